@@ -1,12 +1,15 @@
 """Queries and SQL of this subpackage, by name."""
 
-from corpusforge.llm import exact_dedup, mixing, topk_search, warc
+from corpusforge.llm import bpe, exact_dedup, langid, mixing, quality, topk_search, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_topk_search": topk_search.op3_topk_search,
+    "op5_bpe": bpe.op5_bpe,
+    "op6_language_id": langid.op6_language_id,
     "op8_warc": warc.op8_warc,
+    "op9_quality": quality.op9_quality,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
