@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, by name."""
 
-from corpusforge.llm import bpe, exact_dedup, langid, mixing, quality, topk_search, warc
+from corpusforge.llm import bpe, exact_dedup, langid, mixing, near_dedup, quality, topk_search, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_topk_search": topk_search.op3_topk_search,
     "op5_bpe": bpe.op5_bpe,
     "op6_language_id": langid.op6_language_id,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_warc": warc.op8_warc,
     "op9_quality": quality.op9_quality,
 }
@@ -15,5 +16,6 @@ ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op2_mix_sources": mixing.OP2_SQL,
     "op3_topk_search": topk_search.OP3_SQL,
+    "op7_near_dedup": near_dedup.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
 }
