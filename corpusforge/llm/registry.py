@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, by name."""
 
-from corpusforge.llm import bpe, exact_dedup, langid, mixing, near_dedup, quality, topk_search, warc
+from corpusforge.llm import bpe, exact_dedup, langid, mixing, near_dedup, quality, suffix_dedup, topk_search, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_warc": warc.op8_warc,
     "op9_quality": quality.op9_quality,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
