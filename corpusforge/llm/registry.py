@@ -1,11 +1,12 @@
 """Queries and SQL of this subpackage, by name."""
 
-from corpusforge.llm import bpe, exact_dedup, langid, mixing, near_dedup, quality, suffix_dedup, topk_search, warc
+from corpusforge.llm import bpe, exact_dedup, langid, line_dedup, mixing, near_dedup, quality, suffix_dedup, topk_search, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_topk_search": topk_search.op3_topk_search,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op6_language_id": langid.op6_language_id,
     "op7_near_dedup": near_dedup.op7_near_dedup,
@@ -17,6 +18,7 @@ ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op2_mix_sources": mixing.OP2_SQL,
     "op3_topk_search": topk_search.OP3_SQL,
+    "op4_line_dedup": line_dedup.OP4_SQL,
     "op7_near_dedup": near_dedup.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
 }
