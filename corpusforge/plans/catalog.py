@@ -1,4 +1,7 @@
-"""Queries over the driver's tables, by name, with the SQL that gives the same rows."""
+"""All queries over the driver's tables, by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from corpusforge.plans import urls
+
+PLANS = (urls,)
+QUERIES: dict = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for plan in PLANS for name, sql in plan.ORACLE_SQL.items()}
