@@ -63,7 +63,7 @@ class MergeList:
         self.lookahead = sufficient_lookahead(merges, self.end)
 
     def base(self, piece: str) -> list[str]:
-        out = [self.symbols[b] for b in piece.encode()]
+        out = list(piece) if piece.isascii() and piece.isprintable() else [self.symbols[b] for b in piece.encode()]
         out[-1] += self.end
         return out
 
@@ -102,23 +102,23 @@ def sufficient_lookahead(merges: Iterable[tuple[str, str]], end: str) -> int:
     return most
 
 
+NEVER = 1 << 60
+
+
 def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """All merges of a short run of symbols, lowest rank first and leftmost among equals."""
+    """All merges of a run of symbols, lowest rank first and leftmost among equals."""
     if len(symbols) > 48:
         return merged_by_heap(symbols, ranks)
-    out, get = list(symbols), ranks.get
-    pairs = [get(p, 1 << 60) for p in zip(out, out[1:])]
-    while pairs:
-        low = min(pairs)
-        if low == 1 << 60:
-            break
+    out, get = symbols.copy(), ranks.get
+    pairs = [get(p, NEVER) for p in zip(out, out[1:])]
+    while pairs and (low := min(pairs)) < NEVER:
         i = pairs.index(low)
-        out[i : i + 2] = [out[i] + out[i + 1]]
+        both = out[i] = out[i] + out.pop(i + 1)
         del pairs[i]
         if i:
-            pairs[i - 1] = get((out[i - 1], out[i]), 1 << 60)
+            pairs[i - 1] = get((out[i - 1], both), NEVER)
         if i < len(pairs):
-            pairs[i] = get((out[i], out[i + 1]), 1 << 60)
+            pairs[i] = get((both, out[i + 1]), NEVER)
     return out
 
 
@@ -181,6 +181,11 @@ class Decoder:
         self.names, self.begun = merges.names, False
         self.machine = codecs.getincrementaldecoder("utf-8")(errors="replace")
 
+    def restart(self) -> Decoder:
+        self.begun = False
+        self.machine.reset()
+        return self
+
     def feed(self, tokens: Iterable[int]) -> str:
         out = b" ".join([b"", *map(self.names.__getitem__, tokens)] if self.begun else map(self.names.__getitem__, tokens))
         self.begun = self.begun or bool(out)
@@ -190,31 +195,49 @@ class Decoder:
         return self.machine.decode(b"", final=True)
 
 
-class Pieces(dict):
-    """Of each stretch without white space: its ids and its decoded text, both joined by spaces; kept up to a bound."""
+class Recent(dict):
+    """A cache of bounded size in two generations: when the young one is full it becomes the old one, from which what is used again returns."""
 
-    def __init__(self, merges: MergeList):
-        self.merges, self.most = merges, 3 * merges.lookahead
-
-    def __missing__(self, stretch: str) -> tuple[str, str]:
-        merges, ids = self.merges, []
-        for piece in (stretch,) if stretch.isascii() and stretch.isalpha() else merges.pieces.findall(stretch):
-            symbols = merges.base(piece)
-            if len(symbols) < self.most:  # the transducer would hold all of it until its end
-                tokens = merged(symbols, merges.ranks)
-            else:
-                encoder = Encoder(merges)
-                tokens = [t for part in (encoder.feed(symbols), encoder.finish()) for t in part]
-            ids += map(merges.ids.__getitem__, tokens)
-        decoder = Decoder(merges)
-        found = (" ".join(map(str, ids)), decoder.feed(ids) + decoder.finish())
-        if len(self) >= CACHE:
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most // 2, {}
+
+    def __missing__(self, key: str) -> tuple[str, str]:
+        found = self.old.get(key) or self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        if len(stretch) < 64:
-            self[stretch] = found
+        if len(key) < 64:
+            self[key] = found
         return found
 
 
+class Pieces(Recent):
+    """Of each stretch without white space: its ids and its decoded text, both joined by spaces."""
+
+    def __init__(self, merges: MergeList):
+        super().__init__(self._stretch, CACHE)
+        self.merges, self.many = merges, 3 * merges.lookahead
+        self.words = Recent(self._word, CACHE)
+        self.find, self.decoder = merges.pieces.findall, Decoder(merges)
+
+    def _stretch(self, stretch: str) -> tuple[str, str]:
+        if stretch.isascii() and stretch.isalpha():
+            return self.words[stretch]
+        found = [self.words[p] for p in self.find(stretch)]
+        return found[0] if len(found) == 1 else (" ".join([f[0] for f in found]), " ".join([f[1] for f in found]))
+
+    def _word(self, piece: str) -> tuple[str, str]:
+        merges = self.merges
+        symbols = merges.base(piece)
+        if len(symbols) < self.many:  # the transducer would hold all of it until its end
+            tokens = merged(symbols, merges.ranks)
+        else:
+            encoder = Encoder(merges)
+            tokens = [t for part in (encoder.feed(symbols), encoder.finish()) for t in part]
+        ids = [merges.ids[t] for t in tokens]
+        return " ".join(map(str, ids)), self.decoder.restart().feed(ids) + self.decoder.finish()
+
+
 def normal(text: str) -> str:
     """NFC, then lower case character by character."""
     if not unicodedata.is_normalized("NFC", text):
