@@ -4,8 +4,8 @@ A byte goes if it lies in a LENGTH-byte string that also starts in a document wi
 
 1. Documents are dealt into blocks by a hash of doc_id. In every window of LENGTH bytes the start of the
    GRAM-byte string with the least hash is the anchor (of equal ones the last), so equal windows have equal
-   anchors at equal places. Blocks send the distinct hashes of their anchors' grams with the least and the
-   greatest doc_id, bucket by bucket; a bucket answers which grams occur in several documents, about the
+   anchors at equal places. Blocks send the distinct hashes of their anchors' grams, and which of them they
+   have in several documents, bucket by bucket; a bucket answers which grams occur in several documents, the
    few per cent that go on.
 2. For each such anchor a block sends the fragment that spans the windows it is the anchor of, once for
    equal fragments, with the least doc_id. A bucket builds the suffix array of its fragments' right
@@ -34,15 +34,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import documents
 
-LENGTH, GRAM = 50, 26
+LENGTH, GRAM = 50, 20
 #: Start positions of grams in a window, and the bytes to the left of an anchor that its windows reach.
 PLACES = LENGTH - GRAM + 1
 BLOCK_BYTES = 8 << 20
+#: Bytes of documents that are hashed at once.
+CHUNK_BYTES = 1 << 18
 ANCHORS_PER_BUCKET = 1 << 19
 NO_ID = np.iinfo(np.int64).max
 
@@ -72,40 +75,71 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
         return out ^ (out >> np.uint64(32))
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, position, first window, last window) of each anchor of a text: windows first..last have it."""
+HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
+
+
+def anchors(texts: list[bytes]) -> list[np.ndarray]:
+    """(gram hash, text number, position, first window, last window) of each anchor: the windows first..last have it."""
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < LENGTH:
-        none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none, none, none
-    hashes = gram_hashes(np.frombuffer(data, np.uint8), GRAM)
-    # the place of the least hash in each window of PLACES hashes, by doubling; of equal ones the last
-    best, width = np.arange(len(hashes)), 1
+        return [np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))]
+    hashes = gram_hashes(data, GRAM)
+    # half of a hash over the place counted from the end: the least of a window is its anchor, of equal ones the last
+    best, width = (hashes & HIGH) | (LOW - np.arange(len(hashes), dtype=np.uint64)), 1
     while width < PLACES:
         step = min(width, PLACES - width)
-        a, b = best[: len(best) - step], best[step:]
-        best = np.where(hashes[b] <= hashes[a], b, a)
+        best = np.minimum(best[:-step], best[step:])
         width += step
-    first = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
-    last = np.append(first[1:], len(best)) - 1
-    at = best[first]
-    return hashes[at], at, first, last
+    number = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    windows = np.flatnonzero(number[: len(best)] == number[LENGTH - 1 :])  # those within one text
+    best, row = (LOW - (best[windows] & LOW)).astype(np.int64), number[windows].astype(np.int64)
+    new = np.flatnonzero((best[1:] != best[:-1]) | (row[1:] != row[:-1])) + 1
+    new = np.concatenate([[0], new]) if len(windows) else new
+    last = windows[np.append(new[1:], len(windows)) - 1] if len(windows) else windows
+    at, row = best[new], row[new]
+    return [hashes[at], row, at - begin[row], windows[new] - begin[row], last - begin[row]]
+
+
+def block_anchors(texts: list[bytes], buckets: int) -> list[np.ndarray]:
+    """(key, text number, position, first window, last window) of a block's anchors; a key is bucket << 32 | 32 bits of the gram's hash."""
+    parts, begin = [], 0
+    while begin < len(texts):
+        end, size = begin, 0
+        while end < len(texts) and (end == begin or size + len(texts[end]) <= CHUNK_BYTES):
+            size += len(texts[end])
+            end += 1
+        part = anchors(texts[begin:end])
+        part[1] = part[1] + begin
+        parts.append(part)
+        begin = end
+    hashes, *others = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    with np.errstate(over="ignore"):  # anchors have small hashes; these are spread again
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return [((hashes % np.uint64(buckets)) << np.uint64(32)) | (hashes >> np.uint64(32)), *others]
+
+
+def by_bucket(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Positions of the keys of each bucket, in their order."""
+    bucket = (keys >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    for part in np.split(order, starts_of(bucket[order])[1:]):
+        if len(part):
+            yield int(bucket[part[0]]), part
 
 
-def block_anchors(frame: pd.DataFrame) -> list[np.ndarray]:
-    """Anchors of all documents of a block: hash, row, position, first and last window."""
-    parts = [anchors(t) for t in frame["data"]]
-    hashes, at, first, last = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    return [hashes, np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]), at, first, last]
+def short(keys: np.ndarray) -> bytes:
+    """The lower half of keys, all that a bucket needs."""
+    return (keys & LOW).astype(np.uint32).tobytes()
 
 
-def by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Positions of the hashes of each bucket."""
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            yield int(bucket[part[0]]), part
+def keys_of(bucket: int, data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint32).astype(np.uint64) | np.uint64(bucket << 32)
+
+
+def squeeze(data: bytes) -> bytes:
+    return zstandard.compress(data, 1)
 
 
 def starts_of(keys: np.ndarray) -> np.ndarray:
@@ -114,78 +148,89 @@ def starts_of(keys: np.ndarray) -> np.ndarray:
 
 
 def ask(buckets: int):
-    """A block's distinct gram hashes with the least and greatest doc_id, for each bucket."""
+    """A block's distinct gram keys, for each bucket, and a bit for those in several of its documents."""
 
     def of_block(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        hashes, row, *_ = block_anchors(frame)
+        keys, row, *_ = block_anchors(list(frame["data"]), buckets)
         ids = frame["id"].to_numpy()[row]
-        order = np.argsort(hashes, kind="stable")
-        hashes, ids = hashes[order], ids[order]
-        at = starts_of(hashes)
+        order = np.argsort(keys, kind="stable")
+        keys, ids = keys[order], ids[order]
+        at = starts_of(keys)
         if not len(at):
-            return pd.DataFrame({"bucket": [], "block": [], "hashes": [], "low": [], "high": []})
-        low, high = np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
-        hashes = hashes[at]
-        rows = [(b, key[0], hashes[p].tobytes(), low[p].tobytes(), high[p].tobytes() if (low[p] != high[p]).any() else b"") for b, p in by_bucket(hashes, buckets)]
-        return pd.DataFrame(rows, columns=["bucket", "block", "hashes", "low", "high"])
+            return pd.DataFrame({"bucket": [], "block": [], "keys": [], "several": []})
+        several = np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at)
+        keys = keys[at]
+        rows = [(b, key[0], short(keys[p]), np.packbits(several[p]).tobytes()) for b, p in by_bucket(keys)]
+        return pd.DataFrame(rows, columns=["bucket", "block", "keys", "several"])
 
     return of_block
 
 
 def answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """For each block, those of its hashes that occur in several documents."""
-    parts = [(np.frombuffer(h, np.uint64), np.frombuffer(a, np.int64), np.frombuffer(b or a, np.int64)) for h, a, b in zip(frame["hashes"], frame["low"], frame["high"])]
-    hashes, low, high = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    order = np.argsort(hashes, kind="stable")
-    at = starts_of(hashes[order])
-    several = np.minimum.reduceat(low[order], at) != np.maximum.reduceat(high[order], at)
+    """For each block, those of its keys that occur in several documents: in several blocks, or in several documents of one."""
+    parts = [np.frombuffer(k, np.uint32) for k in frame["keys"]]
+    several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(p)) for p, b in zip(parts, frame["several"])])
+    keys = np.concatenate(parts)
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    order = np.argsort(keys, kind="stable")
+    at = starts_of(keys[order])
     size = np.diff(np.append(at, len(order)))
-    chosen = order[np.repeat(several, size)]
+    chosen = order[np.repeat((size > 1) | (np.maximum.reduceat(several[order], at) > 0), size)]
     chosen = chosen[np.argsort(owner[chosen], kind="stable")]
-    rows = [(frame["block"].iat[owner[p[0]]], hashes[p].tobytes()) for p in np.split(chosen, starts_of(owner[chosen])[1:]) if len(p)]
-    return pd.DataFrame(rows, columns=["block", "hashes"])
+    rows = [(frame["block"].iat[owner[p[0]]], key[0], keys[p].tobytes()) for p in np.split(chosen, starts_of(owner[chosen])[1:]) if len(p)]
+    return pd.DataFrame(rows, columns=["block", "bucket", "keys"])
 
 
 class Fragments:
     """The wanted anchors of a block with their fragments; equal fragments have one number, in an order fixed by the block's documents."""
 
-    def __init__(self, docs: pd.DataFrame, wanted: list[bytes], buckets: int):
+    def __init__(self, docs: pd.DataFrame, wanted: pd.DataFrame, buckets: int):
         docs = docs.sort_values(["id", "mark"], kind="stable")
         self.docs, self.ids, self.data = docs, docs["id"].to_numpy(), list(docs["data"])
-        known = np.sort(np.concatenate([np.frombuffer(h, np.uint64) for h in wanted])) if wanted else np.zeros(0, np.uint64)
-        hashes, row, at, first, last = block_anchors(docs)
-        keep = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes if len(known) else np.zeros(len(hashes), bool)
+        known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(keys_of(b, k) for b, k in zip(wanted["bucket"], wanted["keys"]))]))
+        if not len(known) or not len(docs):
+            self.row = self.at = self.number = np.zeros(0, np.int64)
+            self.names, self.parts = [], {}
+            return
+        keys, row, at, first, last = block_anchors(self.data, buckets)
+        keep = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
         self.row, self.at = row[keep], at[keep]
         numbers: dict[tuple[int, bytes], int] = {}
         names = ((a - s, self.data[r][s : e + LENGTH]) for r, a, s, e in zip(self.row.tolist(), self.at.tolist(), first[keep].tolist(), last[keep].tolist()))
         self.number = np.fromiter((numbers.setdefault(n, len(numbers)) for n in names), np.int64, len(self.row))
         self.names = list(numbers)
-        self.hashes = np.zeros(len(self.names), np.uint64)
-        self.hashes[self.number] = hashes[keep]
-        self.parts = dict(by_bucket(self.hashes, buckets))
+        self.keys = np.zeros(len(self.names), np.uint64)
+        self.keys[self.number] = keys[keep]
+        self.parts = dict(by_bucket(self.keys))
+
+
+SENT = ["bucket", "block", "keys", "left", "size", "low", "high", "texts"]
 
 
 def send(buckets: int):
     """A block's distinct fragments with their least and greatest doc_id, for each bucket."""
 
     def of_block(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["bucket", "block", "hashes", "left", "size", "low", "high", "texts"]
-        mine = Fragments(docs, list(answers["hashes"]), buckets) if len(docs) and len(answers) else None
-        if mine is None or not len(mine.names):
-            return pd.DataFrame({c: [] for c in columns})
+        mine = Fragments(docs, answers, buckets)
         low, high = np.full(len(mine.names), NO_ID), np.full(len(mine.names), np.iinfo(np.int64).min)
         np.minimum.at(low, mine.number, mine.ids[mine.row])
         np.maximum.at(high, mine.number, mine.ids[mine.row])
         rows = []
         for b, p in mine.parts.items():
             names = [mine.names[i] for i in p]
-            rows.append((b, key[0], mine.hashes[p].tobytes(), bytes(n[0] for n in names), bytes(len(n[1]) for n in names), low[p].tobytes(), high[p].tobytes(), b"".join(n[1] for n in names)))
-        return pd.DataFrame(rows, columns=columns)
+            rows.append((b, key[0], short(mine.keys[p]), bytes(n[0] for n in names), bytes(len(n[1]) for n in names), squeeze(low[p].tobytes()), squeeze((high[p] - low[p]).tobytes()), squeeze(b"".join(n[1] for n in names))))
+        return pd.DataFrame(rows, columns=SENT)
 
     return of_block
 
 
+def unpacked(frame: pd.DataFrame) -> pd.DataFrame:
+    """What blocks sent, with plain low, high and texts."""
+    plain = {c: [zstandard.decompress(x) for x in frame[c]] for c in ("low", "high", "texts")}
+    plain["high"] = [(np.frombuffer(a, np.int64) + np.frombuffer(b, np.int64)).tobytes() for a, b in zip(plain["low"], plain["high"])]
+    return frame.assign(**plain)
+
+
 def suffix_array(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of a byte matrix, and the common prefix of each with the one before it (0 for the first)."""
     n, width = texts.shape
@@ -250,7 +295,7 @@ class Arrays:
 
 def resolve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """For each block's fragments, the ranges of window places whose string has a smaller least doc_id than the block's greatest."""
-    arrays = Arrays(frame)
+    arrays = Arrays(unpacked(frame))
     least = arrays.least()
     row, begin = np.nonzero(np.concatenate([np.ones((len(least), 1), bool), least[:, 1:] != least[:, :-1]], axis=1))
     end = np.where(np.append(row[1:], -1) == row, np.append(begin[1:], 0), PLACES) - 1
@@ -262,8 +307,8 @@ def resolve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     for p in np.split(order, starts_of(arrays.owner[row[order]])[1:]):
         if len(p):
             k = arrays.owner[row[p[0]]]
-            out.append((frame["block"].iat[k], key[0], arrays.within[row[p]].astype(np.int32).tobytes(), begin[p].astype(np.uint8).tobytes(), end[p].astype(np.uint8).tobytes(), low[p].tobytes(), frame["hashes"].iat[k]))
-    return pd.DataFrame(out, columns=["block", "bucket", "row", "begin", "end", "low", "hashes"])
+            out.append((frame["block"].iat[k], key[0], frame["keys"].iat[k], *(squeeze(x.tobytes()) for x in (arrays.within[row[p]].astype(np.int32), begin[p].astype(np.uint8), end[p].astype(np.uint8), low[p]))))
+    return pd.DataFrame(out, columns=["block", "bucket", "keys", "row", "begin", "end", "low"])
 
 
 def maximal_intervals(order: np.ndarray, common: np.ndarray, before: np.ndarray, least: int = LENGTH) -> Iterator[tuple[int, int, int]]:
@@ -297,12 +342,13 @@ def spans_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def covered(docs: pd.DataFrame, found: pd.DataFrame, buckets: int) -> tuple[pd.DataFrame, list[np.ndarray]]:
     """The documents of a block, and which bytes of each go."""
-    mine = Fragments(docs, list(found["hashes"]), buckets)
+    mine = Fragments(docs, found, buckets)
     covers = [np.zeros(len(t) + 1, np.int32) for t in mine.data]
     ranges: dict[int, list[tuple[int, int, int]]] = {}
     for x in found.itertuples(index=False):
-        numbers = mine.parts[x.bucket][np.frombuffer(x.row, np.int32)].tolist()
-        for n, a, b, low in zip(numbers, x.begin, x.end, np.frombuffer(x.low, np.int64).tolist()):
+        row, begin, end, low = (zstandard.decompress(c) for c in (x.row, x.begin, x.end, x.low))
+        numbers = mine.parts[x.bucket][np.frombuffer(row, np.int32)].tolist()
+        for n, a, b, low in zip(numbers, begin, end, np.frombuffer(low, np.int64).tolist()):
             ranges.setdefault(n, []).append((a, b, low))
     for n, r, p in zip(mine.number.tolist(), mine.row.tolist(), mine.at.tolist()):
         for a, b, low in ranges.get(n, ()):
@@ -337,6 +383,7 @@ def span_rows(buckets: int):
 
 def repeat_rows(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """Maximal repeats among the fragments of a bucket, with all occurrences."""
+    frame = unpacked(frame)
     arrays = Arrays(frame)
     texts = b"".join(frame["texts"])
     size = np.concatenate([np.frombuffer(x, np.uint8) for x in frame["size"]]).astype(np.int64)
@@ -361,13 +408,13 @@ def _blocks(docs: DataFrame, text: str, doc_id: str):
         block = F.pmod(F.xxhash64(number, F.when(number == NO_ID, F.xxhash64(whole))), F.lit(blocks))
         return docs.select(block.alias("block"), number.alias("id"), F.xxhash64(whole).alias("mark"), F.encode(whole, "UTF-8").alias("data")).groupBy("block")
 
-    asked = dealt().applyInPandas(ask(buckets), "bucket long, block long, hashes binary, low binary, high binary")
-    answers = asked.groupBy("bucket").applyInPandas(answer, "block long, hashes binary")
-    sent = dealt().cogroup(answers.groupBy("block")).applyInPandas(send(buckets), "bucket long, block long, hashes binary, left binary, size binary, low binary, high binary, texts binary")
+    asked = dealt().applyInPandas(ask(buckets), "bucket long, block long, keys binary, several binary")
+    answers = asked.groupBy("bucket").applyInPandas(answer, "block long, bucket long, keys binary")
+    sent = dealt().cogroup(answers.groupBy("block")).applyInPandas(send(buckets), "bucket long, block long, keys binary, left binary, size binary, low binary, high binary, texts binary")
     return dealt(), sent.groupBy("bucket"), buckets
 
 
-RESOLVED = "block long, bucket long, row binary, begin binary, end binary, low binary, hashes binary"
+RESOLVED = "block long, bucket long, keys binary, row binary, begin binary, end binary, low binary"
 
 
 def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
