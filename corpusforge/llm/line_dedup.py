@@ -89,7 +89,9 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 @F.udf(T.StringType())
-def _without(text: str, removed: list[int]) -> str:
+def _without(text: str | None, removed: list[int] | None) -> str | None:
+    if text is None or removed is None:  # Spark may ask for rows that the condition around it leaves out
+        return text
     gone, kept, at = set(removed), [], 0
     for line in text.split("\n"):
         full = bool(line.encode().split())

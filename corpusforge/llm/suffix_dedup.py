@@ -13,15 +13,15 @@ A byte goes if it lies in a LENGTH-byte string that also starts in a document wi
    sorted suffixes where the common prefix is shorter than t gives the common-prefix intervals of depth t.
    An interval of the right contexts whose left extensions differ splits by the intervals of the left
    contexts; what remains together after a bytes to the left and LENGTH - a to the right holds all
-   occurrences of one LENGTH-byte string, not just neighbours in the array, and so its least doc_id.
+   occurrences of one LENGTH-byte string, not just neighbours in the array, and so its least doc_id. All
+   depths are fixed here, so the intervals are cut level by level in numpy where a general scan would keep
+   them on a stack.
 3. The blocks mark the windows whose least doc_id is smaller than their document's and join overlaps.
 
 Copies are merged before each shuffle, so a passage in a third of all documents costs one entry a block.
 Blocks and buckets have bounded expected size, and their number grows with the input. Comparison is by
 bytes; a hash only proposes.
 
-maximal_repeats lists the intervals of the same arrays by a stack scan, as groups with all occurrences.
-
 Defined cases: null text counts as empty; texts under LENGTH bytes lose nothing; a null doc_id counts as
 larger than any number and is nobody's source; rows that repeat a doc_id do not remove from each other; an
 empty table gives an empty table; further columns are not read.
@@ -311,29 +311,6 @@ def resolve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "bucket", "keys", "row", "begin", "end", "low"])
 
 
-def maximal_intervals(order: np.ndarray, common: np.ndarray, before: np.ndarray, least: int = LENGTH) -> Iterator[tuple[int, int, int]]:
-    """(length, begin, end) of the common-prefix intervals of a suffix array that are maximal repeats.
-
-    A stack holds the intervals that are open at each suffix. An interval closes where the common prefix
-    falls under its length, and is a maximal repeat if its suffixes differ in the byte before them
-    (``before``; a negative value differs from every other). Its occurrences are order[begin:end].
-    """
-    stack = [(0, 0, -2)]  # length, begin, the byte before all suffixes so far, or -1 once they differ
-    join = lambda x, y: y if x == -2 else x if y == -2 or (x == y and x >= 0) else -1
-    for i in range(1, len(order) + 1):
-        height = int(common[i]) if i < len(order) else -1
-        begin, prior = i - 1, int(before[order[i - 1]])
-        while stack and stack[-1][0] > height:
-            length, begin, seen = stack.pop()
-            prior = join(seen, prior)
-            if length >= least and prior == -1:
-                yield length, begin, i
-        if stack and stack[-1][0] == height:
-            stack[-1] = (*stack[-1][:2], join(stack[-1][2], prior))
-        else:
-            stack.append((height, begin, prior))
-
-
 def spans_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
@@ -381,21 +358,6 @@ def span_rows(buckets: int):
     return of_block
 
 
-def repeat_rows(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Maximal repeats among the fragments of a bucket, with all occurrences."""
-    frame = unpacked(frame)
-    arrays = Arrays(frame)
-    texts = b"".join(frame["texts"])
-    size = np.concatenate([np.frombuffer(x, np.uint8) for x in frame["size"]]).astype(np.int64)
-    begin = np.cumsum(size) - size + arrays.far
-    before = np.where(arrays.far > 0, np.frombuffer(texts, np.uint8)[np.maximum(begin - 1, 0)], -1)
-    rows = []
-    for n, (length, lo, hi) in enumerate(maximal_intervals(*arrays.right, before, GRAM)):
-        at = int(begin[arrays.right[0][lo]])
-        rows += [(int(key[0]), n, length, texts[at : at + length], int(arrays.low[i])) for i in arrays.right[0][lo:hi]]
-    return pd.DataFrame(rows, columns=["bucket", "group", "length", "bytes", "id"])
-
-
 def _blocks(docs: DataFrame, text: str, doc_id: str):
     """Documents by block, their distinct fragments by bucket, and the number of buckets."""
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -431,13 +393,5 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "mark", "start", "end")
 
 
-def maximal_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(bucket, group, length, bytes, doc_id): maximal repeats of GRAM to LENGTH bytes that start at anchors, with each
-    occurrence; equal fragments of a block count as one, under their least doc_id."""
-    _, sent, _ = _blocks(docs, text, doc_id)
-    out = sent.applyInPandas(repeat_rows, "bucket long, group long, length int, bytes binary, id long")
-    return out.select("bucket", "group", "length", "bytes", F.nullif("id", F.lit(NO_ID)).alias("doc_id"))
-
-
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(documents(spark, sf_dir))
