@@ -11,9 +11,13 @@
 4. The others are confirmed on the full sets.
 
 Buckets may hold a third of all rows, so pairs within a bucket are not formed. Each member is compared
-with one leader of its bucket, links are joined into components, and only buckets that still hold several
-components go on: there further leaders, eight times as many each round, meet the members of other
-components, until every pair of a bucket is in one component or was compared. Nothing is capped.
+with the leader of each of its buckets and the links are joined into components. Only classes in buckets
+that still hold several components go on, to an exact set-similarity join: every set is ordered by how
+common its shingles are, and two sets at the threshold must share one within their rarest fifth and ninth,
+at places that leave room for enough others, and the odd sketches of the whole sets, which bound how much
+they differ, must allow it. Tokens of one component only are dropped, and of each other
+token the rows of its largest component never meet each other. Nothing is capped. How common a shingle is
+comes from a table of COUNTERS counters, whose size is fixed; its errors cost time, not results.
 
 Defined cases: null and empty texts and those without words have no shingles and are linked with nothing;
 with fewer words than a shingle has, the whole sequence is the only shingle; rows with a null doc_id are
@@ -38,15 +42,15 @@ from corpusforge.llm.components import components
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
+SKETCH_BITS, PARITY_BITS = 512, 1024
 MISS = 1e-9
 SIGNATURE = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
-GROWTH = 8
+COUNTERS = 1 << 18
 WORD_CACHE = 400_000
 
 _rng = np.random.default_rng(20)
-FACTORS = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) | np.uint64(1)
-OFFSETS = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
+FACTORS = _rng.integers(1, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
+OFFSETS = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -84,15 +88,14 @@ def shingles(text: str, words: Words, size: int) -> np.ndarray:
 
 
 def samples(found: np.ndarray) -> np.ndarray:
-    """The MinHash signature: the least of each of SAMPLES hash functions, as their upper 32 bits."""
-    out = np.empty(SAMPLES, np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(found), 16_384):  # bounded memory for very long texts
-            part = found[at : at + 16_384]
-            for i in range(SAMPLES):
-                low = (part * FACTORS[i] + OFFSETS[i]).min()
-                out[i] = low if at == 0 else min(out[i], low)
-    return out >> np.uint64(16)
+    """The MinHash signature: the least of each of SAMPLES permutations of 32-bit numbers."""
+    out = np.full(SAMPLES, 2**32 - 1, np.uint32)
+    short = (found >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 16_384):  # parts that stay in the processor's cache
+        part = short[at : at + 16_384]
+        for i in range(SAMPLES):
+            out[i] = min(out[i], (part * FACTORS[i] + OFFSETS[i]).min())
+    return out.astype(np.uint64)
 
 
 def odd_sketch(signature: np.ndarray) -> np.ndarray:
@@ -211,27 +214,83 @@ def _class_links(reps: DataFrame, texts: DataFrame, shingle: int, percent: int)
         pairs = pairs.join(la, "a", "left").join(lb, "b", "left")
         return pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    # the leader that a class shares most bands with; then its other leaders; then further leaders of each bucket
+    # the leader that a class shares most bands with, then its other leaders, then all that is still apart
     led = members.filter("id <> leader").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("bands"))
     led = materialise(plausible(led))
     links = confirmed(led.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("b")))
     links = links.unionByName(confirmed(apart(led, components(links))))
-    low, high = 0, GROWTH
-    while True:
-        labels = components(links)
-        tagged = members.filter("m > 2").join(labels, F.col("id") == F.col("node"), "left").select("band", "id", "m", F.coalesce("component", "id").alias("component"))
-        open_bands = tagged.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-        place = F.pmod(F.xxhash64("id", "band"), F.lit(1 << 40)) / float(1 << 40) * F.col("m")
-        tagged = materialise(tagged.join(open_bands, "band", "left_semi").withColumn("place", place))
-        most = tagged.agg(F.max("m")).first()[0]
-        if most is None or low >= most:
-            return links
-        # members stand at random places in [0, m) of their bucket; those in [low, high) lead this round
-        lead = tagged.filter((F.col("place") >= low) & (F.col("place") < high)).select(F.col("band").alias("k"), F.col("id").alias("b"), F.col("place").alias("lead"), F.col("component").alias("cb"))
-        pairs = tagged.join(lead, (F.col("band") == F.col("k")) & (F.col("place") > F.col("lead")) & (F.col("component") != F.col("cb")))
-        pairs = pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        links = materialise(links.unionByName(confirmed(plausible(pairs))))
-        low, high = high, high * GROWTH
+    labels = components(links)
+    tagged = members.filter("m > 2").join(labels, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    open_bands = tagged.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
+    several = materialise(tagged.join(open_bands, "band", "left_semi").select("id", "component").distinct())
+    if several.isEmpty():
+        return links
+    pairs = prefix_pairs(materialise(sets.join(several, "id")), percent)
+    return links.unionByName(confirmed(plausible(pairs)))
+
+
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for found in batch["found"]:
+            total += np.bincount(counter_of(found), minlength=COUNTERS)
+    parts = total.reshape(64, -1)
+    yield pd.DataFrame({"part": range(64), "counts": [p.astype(np.int32).tobytes() for p in parts]})
+
+
+def _summed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(c, np.int32).astype(np.int64) for c in frame["counts"])
+    return pd.DataFrame({"part": [key[0]], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+
+
+def counter_of(found: np.ndarray) -> np.ndarray:
+    return (np.asarray(found, np.int64).view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of sets (id, component, found) of different components that may reach the threshold.
+
+    With o common elements, 100 o >= percent (x + y - o) needs (100 + percent) o >= percent (x + y). If the
+    first common element in the common order stands at places i and j, o is at most min(x - i, y - j).
+    """
+    spark = sets.sparkSession
+    # 64 rows of fixed size: COUNTERS counters in all
+    parts = sets.select("found").mapInPandas(_counts, "part int, counts binary").groupBy("part").applyInPandas(_summed, "part int, counts binary").collect()
+    counts = spark.sparkContext.broadcast(np.frombuffer(b"".join(r.counts for r in sorted(parts)), np.int32))
+
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, c, found in zip(batch["id"], batch["component"], batch["found"]):
+                found = np.asarray(found, np.int64)
+                n = len(found)
+                order = np.lexsort((found, counts.value[counter_of(found)]))
+                prefix = found[order[: n - -(-percent * n // 100) + 1]]
+                rows.append((i, c, n, n - -(-2 * percent * n // (100 + percent)) + 1, prefix, parity(found)))
+            yield pd.DataFrame(rows, columns=["id", "component", "n", "near", "prefix", "bits"])
+
+    rows = materialise(sets.mapInPandas(rarest, "id long, component long, n int, near int, prefix array<long>, bits array<long>"))
+    posts = rows.select("id", "component", "n", "near", F.posexplode("prefix").alias("place", "token"))
+    largest = posts.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("c"))
+    posts = posts.join(largest.filter("c > 1"), "token").withColumn("in_main", F.col("component") == F.col("main")).drop("main", "c")
+    posts = materialise(posts.join(rows.select("id", "bits"), "id"))
+    x, y = (posts.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n", "place", "near", "in_main", "bits")]) for s in "xy")
+    y = y.filter("place_y < near_y")
+    larger = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") > F.col("id_y")))
+    both, slack = F.col("n_x") + F.col("n_y"), 100 - percent
+    room = (100 + percent) * F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) >= percent * both
+    fits = (x["token"] == y["token"]) & larger & room & (F.col("component_x") != F.col("component_y")) & ((100 + percent) * xor_bits("bits_x", "bits_y") <= slack * both)
+    pair = [F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")]
+    found = x.filter("NOT in_main_x").join(y, fits).select(pair).union(x.filter("in_main_x").join(y.filter("NOT in_main_y"), fits).select(pair))
+    return found.distinct()
+
+
+def parity(found: np.ndarray) -> np.ndarray:
+    """Odd sketch of a whole set. The XOR of two has at most as many bits as the sets differ in elements: a bound, not an estimate."""
+    with np.errstate(over="ignore"):
+        where = mixed(found.view(np.uint64) * MIX[0]) % np.uint64(PARITY_BITS)
+    bits = np.bincount(where.astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
