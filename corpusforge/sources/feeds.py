@@ -147,11 +147,10 @@ def mixed_csvs(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None,
 
 def dictionary_labels(df: DataFrame, column: str, words: dict[str, int]) -> tuple[DataFrame, DataFrame]:
     """Rows whose class word is known, with label; and a report (class, n, included) of all words."""
-    word = F.lower(F.trim(column))
-    known = F.try_element_at(F.create_map(*[x for k, v in words.items() for x in (F.lit(k), F.lit(v))]), word)
-    marked = df.withColumn("label", known)
-    report = marked.groupBy(word.alias("class")).agg(F.count("*").alias("n"), F.bool_and(F.col("label").isNotNull()).alias("included"))
-    return marked.filter("label IS NOT NULL"), report
+    marked = df.withColumn("_class", F.lower(F.trim(column)))
+    marked = marked.withColumn("label", F.try_element_at(F.create_map(*[x for k, v in words.items() for x in (F.lit(k), F.lit(v))]), "_class"))
+    report = marked.groupBy(F.col("_class").alias("class")).agg(F.count("*").alias("n"), F.bool_and(F.col("label").isNotNull()).alias("included"))
+    return marked.filter("label IS NOT NULL").drop("_class"), report
 
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:
