@@ -345,3 +345,55 @@ def route_policy(df: DataFrame, policy: DataFrame, safe: float, url: str = "norm
     route = clean & F.coalesce(F.exists("_paths", lambda x: F.regexp(u["path"], F.concat(F.lit("^(?:"), x, F.lit(")$")))), F.lit(False))
     applied = F.coalesce(local | route, F.lit(False))
     return joined.withColumn("policy_applied", applied).withColumn("effective_p", F.when(applied, F.least(F.col(p), F.lit(max(0.0, safe - 1e-6)))).otherwise(F.col(p))).drop("_u", "_q", "_h", "_k", "_host", "_paths")
+
+
+def legitimate_only(scored: DataFrame, safe: float, phishing: float, facets: dict[str, str], tags: str | None = None) -> DataFrame:
+    """A set of legitimate rows: verdict counts, fpr and the range of p, overall and by each facet and tag. One pass."""
+    keys = [F.struct(F.lit("all").alias("facet"), F.lit("all").alias("key"))] + [F.struct(F.lit(f).alias("facet"), F.col(c).cast("string").alias("key")) for f, c in facets.items()]
+    every = F.array(*keys)
+    if tags:
+        every = F.concat(every, F.transform(tags, lambda t: F.struct(F.lit("tag").alias("facet"), t.alias("key"))))
+    v = verdict(safe, phishing)
+    long = scored.select(F.explode(every).alias("k"), "p", v.alias("v")).select("k.*", "p", "v")
+    return long.groupBy("facet", "key").agg(F.count("*").alias("n"), *[F.count_if(F.col("v") == x).alias(x.lower()) for x in ("SAFE", "SUSPICIOUS", "PHISHING")],
+                                            F.avg((F.col("v") == "PHISHING").cast("double")).alias("fpr"), F.min("p").alias("min_p"), F.avg("p").alias("avg_p"), F.max("p").alias("max_p"))
+
+
+def hard_recall(scored: DataFrame, threshold: float, tags: str, domain: str, training: DataFrame) -> DataFrame:
+    """Recall of positives by tag, without rows of domains that training has."""
+    rows = scored.filter("label = 1").join(training.select(domain).distinct(), domain, "left_anti")
+    return rows.select("p", F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("samples"), F.count_if(F.col("p") >= threshold).alias("detected"), F.avg((F.col("p") >= threshold).cast("double")).alias("recall"))
+
+
+def coverage(counts: DataFrame, core: list[str]) -> DataFrame:
+    """Whether the classes explain each other away: supports if every core tag has no legitimate and some phishing rows.
+
+    counts has (tag, label, n).
+    """
+    want = counts.sparkSession.createDataFrame([(t,) for t in core], "tag string")
+    per = counts.groupBy("tag").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("l"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"))
+    rows = want.join(per, "tag", "left").select("tag", F.coalesce("l", F.lit(0)).alias("n_legitimate"), F.coalesce("p", F.lit(0)).alias("n_phishing"))
+    return rows.agg(F.bool_and((F.col("n_legitimate") == 0) & (F.col("n_phishing") > 0)).alias("supports"), F.count_if(F.col("n_legitimate") == 0).alias("tags_without_legitimate"))
+
+
+#: The paths under which reports of different shapes keep a metric.
+REPORT_PATHS = {
+    "recall": ("recall", "metrics.recall", "test.recall", "test_metrics.recall", "evaluation.recall"), "precision": ("precision", "metrics.precision", "test.precision", "test_metrics.precision", "evaluation.precision"),
+    "fpr": ("false_positive_rate", "fpr", "metrics.fpr", "metrics.false_positive_rate", "test.fpr", "test_metrics.false_positive_rate"), "roc_auc": ("roc_auc", "metrics.roc_auc", "test.roc_auc", "test_metrics.roc_auc"),
+    "average_precision": ("pr_auc", "average_precision", "metrics.pr_auc", "metrics.average_precision", "test_metrics.pr_auc"), "brier": ("brier_score", "brier", "metrics.brier_score", "metrics.brier", "test_metrics.brier_score"),
+}
+
+
+def report_metrics(reports: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, metric..., complete) from JSON reports of different shapes: the first path that holds a number."""
+    found = {m: F.coalesce(*[F.expr(f"try_cast(get_json_object(`{text}`, '$.{p}') AS double)") for p in paths]) for m, paths in REPORT_PATHS.items()}
+    out = reports.select(key, *[c.alias(m) for m, c in found.items()])
+    return out.withColumn("complete", reduce(lambda a, b: a & b, [F.col(m).isNotNull() for m in found]))
+
+
+def select_candidate(metrics: DataFrame, incumbent: str, margin: float = 0.0) -> DataFrame:
+    """The model with the highest selection score among those that pass; the incumbent stays unless it is beaten by more than margin."""
+    scored = metrics.filter("passed").withColumn("score", selection_score())
+    held = F.max(F.when(F.col("model") == incumbent, F.col("score")))
+    best = scored.agg(F.max_by("model", F.struct("score", "model")).alias("best"), F.max("score").alias("best_score"), held.alias("held"))
+    return best.select(F.when(F.col("held").isNotNull() & (F.col("best_score") - F.col("held") <= margin), F.lit(incumbent)).otherwise(F.col("best")).alias("model"), "best_score", "held")

@@ -267,4 +267,42 @@ def _(spark, d):
     return X.url_features(U.normalize(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url"))).select("page_id", M.evidence().alias("evidence"))
 
 
+@query("legitimate_only", f"""WITH {SCORED}, g AS (SELECT p, unnest(['all', 'source'] || list_transform(tags, lambda t: 'tag')) AS facet, unnest(['all', source] || tags) AS key FROM s WHERE label = 0)
+  SELECT facet, key, count(*) AS n, count(*) FILTER (WHERE p < 0.3) AS safe, count(*) FILTER (WHERE p >= 0.3 AND p < 0.6) AS suspicious, count(*) FILTER (WHERE p >= 0.6) AS phishing, round(avg((p >= 0.6)::INT), 9) AS fpr, round(min(p), 9) AS min_p, round(avg(p), 9) AS avg_p, round(max(p), 9) AS max_p FROM g GROUP BY 1, 2""")
+def _(spark, d):
+    return rounded(M.legitimate_only(scored(spark, d).filter("label = 0"), 0.3, 0.6, {"source": "source"}, "tags"))
+
+
+@query("hard_recall", f"WITH {SCORED}, h AS (SELECT p, unnest(tags) AS tag FROM s WHERE label = 1 AND source NOT IN (SELECT source FROM s WHERE doc_id % 100 = 0)) SELECT tag, count(*) AS samples, count(*) FILTER (WHERE p >= 0.5) AS detected, round(avg((p >= 0.5)::INT), 9) AS recall FROM h GROUP BY tag")
+def _(spark, d):
+    df = scored(spark, d)
+    return rounded(M.hard_recall(df, 0.5, "tags", "source", df.filter("doc_id % 100 = 0")))
+
+
+@query("coverage", f"WITH {SCORED}, t AS (SELECT label, unnest(tags) AS tag FROM s WHERE NOT (dynamic AND label = 0)), w AS (SELECT unnest(['even', 'third', 'none']) AS tag), k AS (SELECT w.tag, count(*) FILTER (WHERE label = 0) AS l, count(*) FILTER (WHERE label = 1) AS p FROM w LEFT JOIN t USING (tag) GROUP BY w.tag) SELECT bool_and(l = 0 AND p > 0) AS supports, count(*) FILTER (WHERE l = 0) AS tags_without_legitimate FROM k")
+def _(spark, d):
+    rows = scored(spark, d).filter("NOT (dynamic AND label = 0)")
+    counts_ = rows.select("label", F.explode("tags").alias("tag")).groupBy("tag", "label").agg(F.count("*").alias("n"))
+    return M.coverage(counts_, ["even", "third", "none"])
+
+
+@query("report_metrics", f"WITH {SCORED} SELECT doc_id, round(p, 6) AS recall, CASE WHEN dynamic THEN round(p, 6) END AS fpr, NULL::DOUBLE AS precision, NULL::DOUBLE AS roc_auc, NULL::DOUBLE AS average_precision, NULL::DOUBLE AS brier, false AS complete FROM s")
+def _(spark, d):
+    number_ = F.round("p", 6).cast("string")
+    text = F.when(F.col("dynamic"), F.concat(F.lit('{"metrics":{"recall":'), number_, F.lit(',"fpr":'), number_, F.lit("}}"))).otherwise(F.concat(F.lit('{"recall":"x","test":{"recall":'), number_, F.lit("}}")))
+    return M.report_metrics(scored(spark, d).withColumn("report", text), "doc_id", "report")
+
+
+@query("dynamic_coverage", f"WITH {SCORED} SELECT label, count(*) AS n, count(*) FILTER (WHERE dynamic) AS n_dynamic FROM s GROUP BY label")
+def _(spark, d):
+    return scored(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.count_if("dynamic").alias("n_dynamic"))
+
+
+@query("select_candidate")
+def _(spark, d):
+    df = scored(spark, d).withColumnRenamed("lang", "model")
+    metrics = M.confusion(df, 0.5, "model").join(M.ranking(df, "model"), "model").join(M.brier(df, "model"), "model").withColumn("passed", F.col("fpr") < 0.9)
+    return rounded(M.select_candidate(metrics, "en", 0.01))
+
+
 QUERIES, ORACLE_SQL = Q, S
