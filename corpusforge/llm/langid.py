@@ -1,6 +1,7 @@
 """Language identification by compression.
 
-For each language a Zstandard raw-content dictionary is cut from a bounded sample of labelled texts. A text
+For each language a Zstandard raw-content dictionary is cut from a bounded sample of labelled texts,
+which give an eighth of it each at most. A text
 belongs to the language whose dictionary compresses it to the fewest bytes. Every whole text is compressed
 once per language; the dictionaries, at most DICT_BYTES a language, are all that is broadcast. Texts and
 dictionaries are put in lower case first, and every run of other ASCII characters than letters becomes one

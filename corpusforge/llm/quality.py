@@ -10,7 +10,7 @@ doc_id; they are encoded on the executors and only their passage features come t
 encodes every passage of every whole text in Arrow batches with the broadcast weights, a few KB.
 
 Defined cases: null and empty texts are one passage without words and are scored as such; a null doc_id is
-learned from and not held out; rows without a label are not learned from; without both labels the score is the share of label 1
+neither held out nor learned from; rows without a label are not learned from; without both labels the score is the share of label 1
 (0.5 without any); repeated rows score alike; an empty table gives an empty table; further columns pass
 through keep_good.
 """
