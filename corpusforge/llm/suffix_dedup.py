@@ -9,13 +9,11 @@ A byte goes if it lies in a LENGTH-byte string that also starts in a document wi
    few per cent that go on.
 2. For each such anchor a block sends the fragment that spans the windows it is the anchor of, once for
    equal fragments, with the least doc_id. A bucket builds the suffix array of its fragments' right
-   contexts and that of their reversed left contexts, each with the lengths of common prefixes. Cutting the
-   sorted suffixes where the common prefix is shorter than t gives the common-prefix intervals of depth t.
-   An interval of the right contexts whose left extensions differ splits by the intervals of the left
-   contexts; what remains together after a bytes to the left and LENGTH - a to the right holds all
-   occurrences of one LENGTH-byte string, not just neighbours in the array, and so its least doc_id. All
-   depths are fixed here, so the intervals are cut level by level in numpy where a general scan would keep
-   them on a stack.
+   contexts and that of their reversed left contexts, each with the lengths of common prefixes. A stack scan
+   lists the common-prefix intervals with all their occurrences, not just neighbours in the array, their
+   least doc_id, and whether their left extensions are diverse. Occurrences that agree in LENGTH - a bytes to
+   the right of the anchor and in a bytes to the left have the same LENGTH-byte string: an interval that is
+   not diverse is settled at once, and a maximal repeat is split by the intervals of the left contexts.
 3. The blocks mark the windows whose least doc_id is smaller than their document's and join overlaps.
 
 Copies are merged before each shuffle, so a passage in a third of all documents costs one entry a block.
@@ -253,6 +251,33 @@ def intervals(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def common_prefix_intervals(order: np.ndarray, common: np.ndarray, kind: np.ndarray, low: np.ndarray) -> Iterator[tuple[int, int, int, int, bool, int]]:
+    """(length, parent's length, begin, end, diverse, least) of the common-prefix intervals of two suffixes or more.
+
+    A stack holds the intervals that are open at each suffix; one closes where the common prefix falls under
+    its length. order[begin:end] are all its occurrences. It is a maximal repeat if its left extensions are
+    diverse: if ``kind`` differs among them. least is the least ``low`` of its occurrences. Prefixes shorter
+    than LENGTH - PLACES + 1 do not count.
+    """
+    heights = np.where(common > LENGTH - PLACES, np.minimum(common, LENGTH), 0).tolist()
+    kinds, lows = kind[order].tolist(), low[order].tolist()
+    stack: list[tuple[int, int, int, int, int]] = []  # length, begin, least and greatest kind, least low
+    for i in range(1, len(kinds) + 1):
+        height = heights[i] if i < len(kinds) else 0
+        if not stack and not height:
+            continue
+        begin, small, large, least = i - 1, kinds[i - 1], kinds[i - 1], lows[i - 1]
+        while stack and stack[-1][0] > height:
+            length, begin, a, b, m = stack.pop()
+            small, large, least = min(small, a), max(large, b), min(least, m)
+            yield length, max(height, stack[-1][0] if stack else LENGTH - PLACES), begin, i, small != large, least
+        if stack and stack[-1][0] == height:
+            _, begin, a, b, m = stack.pop()
+            small, large, least = min(small, a), max(large, b), min(least, m)
+        if height:
+            stack.append((height, begin, small, large, least))
+
+
 def contexts(parts: list[tuple[bytes, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Right contexts, reversed left contexts, and the first and last bytes to the left of the anchor that a fragment's windows take."""
     left = np.concatenate([p[1] for p in parts]).astype(np.int64)
@@ -282,14 +307,27 @@ class Arrays:
 
     def least(self) -> np.ndarray:
         """For each fragment and each place of a window, the least doc_id with that window's string; NO_ID outside the fragment's windows."""
-        least = np.full((len(self.low), PLACES), NO_ID, np.int64)
-        for a in range(PLACES):
-            rows = np.flatnonzero((self.near <= a) & (a <= self.far))
+        places = np.arange(PLACES)
+        within = (self.near[:, None] <= places) & (places <= self.far[:, None])
+        least = np.where(within, self.low[:, None], NO_ID)
+        order, common = self.right
+        # left contexts and windows: what is equal here has the same text on the left
+        kind = (intervals(*self.left, PLACES - 1) * PLACES + self.near) * PLACES + self.far
+        differ = np.zeros((len(least), PLACES), bool)
+        for length, parent, begin, end, diverse, low in common_prefix_intervals(order, common, kind, self.low):
+            rows, a, b = order[begin:end], LENGTH - length, LENGTH - parent
+            if diverse:
+                differ[rows, a:b] = True
+            else:
+                a, b = max(a, int(self.near[rows[0]])), min(b, int(self.far[rows[0]]) + 1)
+                least[rows, a:b] = low
+        for a in range(PLACES):  # maximal repeats are split by the intervals of the left contexts
+            rows = np.flatnonzero(differ[:, a] & within[:, a])
             if len(rows):
-                group = intervals(*self.right, LENGTH - a)[rows] * (len(self.low) + 1) + intervals(*self.left, a)[rows]
-                order = np.argsort(group, kind="stable")
-                at = starts_of(group[order])
-                least[rows[order], a] = np.repeat(np.minimum.reduceat(self.low[rows][order], at), np.diff(np.append(at, len(order))))
+                group = intervals(order, common, LENGTH - a)[rows] * (len(self.low) + 1) + intervals(*self.left, a)[rows]
+                by = np.argsort(group, kind="stable")
+                at = starts_of(group[by])
+                least[rows[by], a] = np.repeat(np.minimum.reduceat(self.low[rows][by], at), np.diff(np.append(at, len(by))))
         return least
 
 

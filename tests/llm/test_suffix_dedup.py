@@ -51,10 +51,15 @@ def test_spans_and_empty(spark):
     assert S.repeated_bytes(docs(spark, [])).count() == 0
 
 
-def test_suffix_array_and_intervals():
+def test_intervals_of_a_stack_scan(monkeypatch):
+    monkeypatch.setattr(S, "LENGTH", 6)
+    monkeypatch.setattr(S, "PLACES", 6)
     text = b"banana"
     rows = np.array([list(text[i:].ljust(6, b"\0")) for i in range(6)], np.uint8)
     order, common = S.suffix_array(rows)
     assert order.tolist() == [5, 3, 1, 0, 4, 2] and common.tolist()[1:3] == [1, 3]
-    at = S.intervals(order, common, 3)
-    assert at[1] == at[3] and len(set(at.tolist())) == 5
+    length = np.array([6, 5, 4, 3, 2, 1])
+    common = np.array([0] + [min(c, length[a], length[b]) for c, a, b in zip(common[1:], order, order[1:])])
+    before = np.array([0, *text[:-1]])
+    found = {text[order[lo] : order[lo] + n].decode(): (parent, sorted(order[lo:hi].tolist()), diverse, least) for n, parent, lo, hi, diverse, least in S.common_prefix_intervals(order, common, before, np.arange(6))}
+    assert found == {"ana": (1, [1, 3], True, 1), "a": (0, [1, 3, 5], True, 1), "na": (0, [2, 4], False, 2)}
