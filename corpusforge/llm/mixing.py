@@ -26,7 +26,7 @@ from corpusforge.llm.common import WORDS, documents, materialise, rows_of, text_
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
-ROWS_PER_BUCKET = 10_000
+ROWS_PER_BUCKET = 2000
 
 
 def words_in(text: str = "text") -> Column:
