@@ -42,7 +42,7 @@ def _winners(digests: DataFrame) -> DataFrame:
     return per_id.groupBy("digest").agg(
         F.min("doc_id").alias("keep_id"),
         F.sum("n").alias("group_size"),
-        F.min_by("n", F.coalesce(F.struct(F.col("doc_id").isNull(), "doc_id"))).alias("keep_rows"),
+        F.min_by("n", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("keep_rows"),
     )
 
 
