@@ -14,11 +14,14 @@ A byte goes if it lies in a LENGTH-byte string that also starts in a document wi
    least doc_id, and whether their left extensions are diverse. Occurrences that agree in LENGTH - a bytes to
    the right of the anchor and in a bytes to the left have the same LENGTH-byte string: an interval that is
    not diverse is settled at once, and a maximal repeat is split by the intervals of the left contexts.
+   A gram with more than HOT anchors (a short line between other texts each time) has too many fragments for
+   one bucket. Only equal windows need to meet, so its fragments are cut into their windows, each once a
+   block, and those go to sub-buckets by a hash of the window.
 3. The blocks mark the windows whose least doc_id is smaller than their document's and join overlaps.
 
 Copies are merged before each shuffle, so a passage in a third of all documents costs one entry a block.
-Blocks and buckets have bounded expected size, and their number grows with the input. Comparison is by
-bytes; a hash only proposes.
+Blocks, buckets and sub-buckets have bounded expected size, and their number grows with the input; no gram
+has more than HOT fragments in a bucket. Comparison is by bytes; a hash only proposes.
 
 Defined cases: null text counts as empty; texts under LENGTH bytes lose nothing; a null doc_id counts as
 larger than any number and is nobody's source; rows that repeat a doc_id do not remove from each other; an
@@ -45,6 +48,8 @@ BLOCK_BYTES = 8 << 20
 #: Bytes of documents that are hashed at once.
 CHUNK_BYTES = 1 << 18
 ANCHORS_PER_BUCKET = 1 << 19
+#: Anchors of one gram that may meet in a bucket (about 1 KB of arrays each), and sub-buckets to a bucket for the windows of the others.
+HOT, SPREAD = 1 << 14, 16
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -146,7 +151,7 @@ def starts_of(keys: np.ndarray) -> np.ndarray:
 
 
 def ask(buckets: int):
-    """A block's distinct gram keys, for each bucket, and a bit for those in several of its documents."""
+    """A block's distinct gram keys, for each bucket, a bit for those in several of its documents, and how many anchors each has."""
 
     def of_block(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         keys, row, *_ = block_anchors(list(frame["data"]), buckets)
@@ -155,40 +160,51 @@ def ask(buckets: int):
         keys, ids = keys[order], ids[order]
         at = starts_of(keys)
         if not len(at):
-            return pd.DataFrame({"bucket": [], "block": [], "keys": [], "several": []})
+            return pd.DataFrame({"bucket": [], "block": [], "keys": [], "several": [], "counts": []})
+        counts = np.diff(np.append(at, len(keys))).astype(np.uint32)
         several = np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at)
         keys = keys[at]
-        rows = [(b, key[0], short(keys[p]), np.packbits(several[p]).tobytes()) for b, p in by_bucket(keys)]
-        return pd.DataFrame(rows, columns=["bucket", "block", "keys", "several"])
+        rows = [(b, key[0], short(keys[p]), np.packbits(several[p]).tobytes(), squeeze(counts[p].tobytes())) for b, p in by_bucket(keys)]
+        return pd.DataFrame(rows, columns=["bucket", "block", "keys", "several", "counts"])
 
     return of_block
 
 
-def answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """For each block, those of its keys that occur in several documents: in several blocks, or in several documents of one."""
-    parts = [np.frombuffer(k, np.uint32) for k in frame["keys"]]
-    several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(p)) for p, b in zip(parts, frame["several"])])
-    keys = np.concatenate(parts)
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    order = np.argsort(keys, kind="stable")
-    at = starts_of(keys[order])
-    size = np.diff(np.append(at, len(order)))
-    chosen = order[np.repeat((size > 1) | (np.maximum.reduceat(several[order], at) > 0), size)]
-    chosen = chosen[np.argsort(owner[chosen], kind="stable")]
-    rows = [(frame["block"].iat[owner[p[0]]], key[0], keys[p].tobytes()) for p in np.split(chosen, starts_of(owner[chosen])[1:]) if len(p)]
-    return pd.DataFrame(rows, columns=["block", "bucket", "keys"])
+def answer(hot: int):
+    """For each block, those of its keys that occur in several documents (in several blocks, or in several documents of one): keys, and apart those with more than ``hot`` anchors."""
+
+    def of_bucket(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(k, np.uint32) for k in frame["keys"]]
+        several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(p)) for p, b in zip(parts, frame["several"])])
+        counts = np.concatenate([np.frombuffer(zstandard.decompress(c), np.uint32) for c in frame["counts"]])
+        keys = np.concatenate(parts)
+        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        order = np.argsort(keys, kind="stable")
+        at = starts_of(keys[order])
+        size = np.diff(np.append(at, len(order)))
+        many = np.zeros(len(keys), bool)
+        many[order] = np.repeat(np.add.reduceat(counts[order].astype(np.int64), at) > hot, size)
+        chosen = order[np.repeat((size > 1) | (np.maximum.reduceat(several[order], at) > 0), size)]
+        chosen = chosen[np.argsort(owner[chosen], kind="stable")]
+        rows = [(frame["block"].iat[owner[p[0]]], key[0], keys[p[~many[p]]].tobytes(), keys[p[many[p]]].tobytes()) for p in np.split(chosen, starts_of(owner[chosen])[1:]) if len(p)]
+        return pd.DataFrame(rows, columns=["block", "bucket", "keys", "hot"])
+
+    return of_bucket
 
 
 class Fragments:
-    """The wanted anchors of a block with their fragments; equal fragments have one number, in an order fixed by the block's documents."""
+    """The wanted anchors of a block with their fragments; equal fragments have one number, in an order fixed by the block's documents.
+
+    parts has the numbers by bucket, without those of hot grams, which are cut into windows.
+    """
 
-    def __init__(self, docs: pd.DataFrame, wanted: pd.DataFrame, buckets: int):
+    def __init__(self, docs: pd.DataFrame, wanted: pd.DataFrame, hot: np.ndarray, buckets: int):
         docs = docs.sort_values(["id", "mark"], kind="stable")
         self.docs, self.ids, self.data = docs, docs["id"].to_numpy(), list(docs["data"])
-        known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(keys_of(b, k) for b, k in zip(wanted["bucket"], wanted["keys"]))]))
+        known = np.sort(np.concatenate([np.zeros(0, np.uint64), hot, *(keys_of(b, k) for b, k in zip(wanted["bucket"], wanted["keys"]))]))
         if not len(known) or not len(docs):
             self.row = self.at = self.number = np.zeros(0, np.int64)
-            self.names, self.parts = [], {}
+            self.names, self.parts, self.hot = [], {}, np.zeros(0, np.int64)
             return
         keys, row, at, first, last = block_anchors(self.data, buckets)
         keep = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
@@ -199,17 +215,53 @@ class Fragments:
         self.names = list(numbers)
         self.keys = np.zeros(len(self.names), np.uint64)
         self.keys[self.number] = keys[keep]
-        self.parts = dict(by_bucket(self.keys))
+        is_hot = np.isin(self.keys, hot)
+        self.hot, cold = np.flatnonzero(is_hot), np.flatnonzero(~is_hot)
+        self.parts = {b: cold[p] for b, p in by_bucket(self.keys[cold])}
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(fragment's number, start in it, LENGTH bytes) of each window of the hot grams' fragments."""
+        texts = [self.names[i][1] for i in self.hot]
+        size = np.array([len(t) for t in texts], np.int64)
+        count = size - LENGTH + 1
+        start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        if not len(start):
+            return start, start, np.zeros(0, WINDOW)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        rows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[np.repeat(np.cumsum(size) - size, count) + start]
+        return np.repeat(self.hot, count), start, rows.view(WINDOW).ravel()
+
+
+WINDOW = f"V{LENGTH}"
+
+
+def sub_bucket(windows: np.ndarray, buckets: int) -> np.ndarray:
+    """The sub-bucket of each window; they are numbered after the buckets."""
+    out = np.zeros(len(windows), np.uint64)
+    with np.errstate(over="ignore"):
+        for column in windows.view(np.uint8).reshape(len(windows), LENGTH).T:
+            out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out % np.uint64(buckets * SPREAD) + np.uint64(buckets)
+
+
+def least_of(windows: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows, the number of each window among them, and the least ``low`` of each."""
+    distinct, number = np.unique(windows, return_inverse=True)
+    least = np.full(len(distinct), NO_ID)
+    np.minimum.at(least, number, low)
+    return distinct, number, least
 
 
 SENT = ["bucket", "block", "keys", "left", "size", "low", "high", "texts"]
 
 
 def send(buckets: int):
-    """A block's distinct fragments with their least and greatest doc_id, for each bucket."""
+    """A block's distinct fragments with their least and greatest doc_id, for each bucket, and the distinct windows of its hot grams, for each sub-bucket."""
 
     def of_block(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        mine = Fragments(docs, answers, buckets)
+        hot = np.concatenate([np.zeros(0, np.uint64), *(keys_of(b, k) for b, k in zip(answers["bucket"], answers["hot"]))])
+        mine = Fragments(docs, answers, hot, buckets)
         low, high = np.full(len(mine.names), NO_ID), np.full(len(mine.names), np.iinfo(np.int64).min)
         np.minimum.at(low, mine.number, mine.ids[mine.row])
         np.maximum.at(high, mine.number, mine.ids[mine.row])
@@ -217,6 +269,12 @@ def send(buckets: int):
         for b, p in mine.parts.items():
             names = [mine.names[i] for i in p]
             rows.append((b, key[0], short(mine.keys[p]), bytes(n[0] for n in names), bytes(len(n[1]) for n in names), squeeze(low[p].tobytes()), squeeze((high[p] - low[p]).tobytes()), squeeze(b"".join(n[1] for n in names))))
+        number, _, windows = mine.windows()
+        distinct, of, least = least_of(windows, low[number])
+        most = np.full(len(distinct), np.iinfo(np.int64).min)
+        np.maximum.at(most, of, high[number])
+        for b, p in by_bucket(sub_bucket(distinct, buckets) << np.uint64(32)):
+            rows.append((b, key[0], b"", b"", b"", squeeze(least[p].tobytes()), squeeze((most[p] - least[p]).tobytes()), squeeze(distinct[p].tobytes())))
         return pd.DataFrame(rows, columns=SENT)
 
     return of_block
@@ -331,8 +389,30 @@ class Arrays:
         return least
 
 
+RESOLVED_COLUMNS = ["block", "bucket", "keys", "row", "begin", "end", "low"]
+
+
+def resolve_windows(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """For each block, its windows (as keys) in a sub-bucket with a smaller least doc_id than the block's greatest."""
+    plain, out = unpacked(frame), []
+    parts = [np.frombuffer(t, WINDOW) for t in plain["texts"]]
+    low, high = (np.concatenate([np.frombuffer(x, np.int64) for x in plain[c]]) for c in ("low", "high"))
+    _, number, least = least_of(np.concatenate(parts), low)
+    begin = 0
+    for block, windows in zip(frame["block"], parts):
+        end = begin + len(windows)
+        found = least[number[begin:end]]
+        good = found < high[begin:end]
+        if good.any():
+            out.append((block, key[0], squeeze(windows[good].tobytes()), b"", b"", b"", squeeze(found[good].tobytes())))
+        begin = end
+    return pd.DataFrame(out, columns=RESOLVED_COLUMNS)
+
+
 def resolve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """For each block's fragments, the ranges of window places whose string has a smaller least doc_id than the block's greatest."""
+    if not frame["left"].iat[0]:  # a fragment has a left context, a window has none
+        return resolve_windows(key, frame)
     arrays = Arrays(unpacked(frame))
     least = arrays.least()
     row, begin = np.nonzero(np.concatenate([np.ones((len(least), 1), bool), least[:, 1:] != least[:, :-1]], axis=1))
@@ -346,7 +426,7 @@ def resolve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         if len(p):
             k = arrays.owner[row[p[0]]]
             out.append((frame["block"].iat[k], key[0], frame["keys"].iat[k], *(squeeze(x.tobytes()) for x in (arrays.within[row[p]].astype(np.int32), begin[p].astype(np.uint8), end[p].astype(np.uint8), low[p]))))
-    return pd.DataFrame(out, columns=["block", "bucket", "keys", "row", "begin", "end", "low"])
+    return pd.DataFrame(out, columns=RESOLVED_COLUMNS)
 
 
 def spans_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -357,7 +437,12 @@ def spans_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def covered(docs: pd.DataFrame, found: pd.DataFrame, buckets: int) -> tuple[pd.DataFrame, list[np.ndarray]]:
     """The documents of a block, and which bytes of each go."""
-    mine = Fragments(docs, found, buckets)
+    windows = np.concatenate([np.zeros(0, WINDOW), *(np.frombuffer(zstandard.decompress(k), WINDOW) for k in found["keys"][found["bucket"] >= buckets])])
+    least = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(zstandard.decompress(x), np.int64) for x in found["low"][found["bucket"] >= buckets])])
+    found = found[found["bucket"] < buckets]
+    # a window's own anchor is that of its gram wherever it stands
+    hot = np.unique(block_anchors(windows.tolist(), buckets)[0]) if len(windows) else np.zeros(0, np.uint64)
+    mine = Fragments(docs, found, hot, buckets)
     covers = [np.zeros(len(t) + 1, np.int32) for t in mine.data]
     ranges: dict[int, list[tuple[int, int, int]]] = {}
     for x in found.itertuples(index=False):
@@ -365,6 +450,11 @@ def covered(docs: pd.DataFrame, found: pd.DataFrame, buckets: int) -> tuple[pd.D
         numbers = mine.parts[x.bucket][np.frombuffer(row, np.int32)].tolist()
         for n, a, b, low in zip(numbers, begin, end, np.frombuffer(low, np.int64).tolist()):
             ranges.setdefault(n, []).append((a, b, low))
+    smaller = dict(zip(windows.tolist(), least.tolist()))
+    for n, start, window in zip(*(x.tolist() for x in mine.windows())):
+        if window in smaller:
+            place = mine.names[n][0] - start
+            ranges.setdefault(n, []).append((place, place, smaller[window]))
     for n, r, p in zip(mine.number.tolist(), mine.row.tolist(), mine.at.tolist()):
         for a, b, low in ranges.get(n, ()):
             if low < mine.ids[r]:  # windows that start b to a bytes before the anchor
@@ -408,8 +498,8 @@ def _blocks(docs: DataFrame, text: str, doc_id: str):
         block = F.pmod(F.xxhash64(number, F.when(number == NO_ID, F.xxhash64(whole))), F.lit(blocks))
         return docs.select(block.alias("block"), number.alias("id"), F.xxhash64(whole).alias("mark"), F.encode(whole, "UTF-8").alias("data")).groupBy("block")
 
-    asked = dealt().applyInPandas(ask(buckets), "bucket long, block long, keys binary, several binary")
-    answers = asked.groupBy("bucket").applyInPandas(answer, "block long, bucket long, keys binary")
+    asked = dealt().applyInPandas(ask(buckets), "bucket long, block long, keys binary, several binary, counts binary")
+    answers = asked.groupBy("bucket").applyInPandas(answer(HOT), "block long, bucket long, keys binary, hot binary")
     sent = dealt().cogroup(answers.groupBy("block")).applyInPandas(send(buckets), "bucket long, block long, keys binary, left binary, size binary, low binary, high binary, texts binary")
     return dealt(), sent.groupBy("bucket"), buckets
 

@@ -63,3 +63,33 @@ def test_intervals_of_a_stack_scan(monkeypatch):
     before = np.array([0, *text[:-1]])
     found = {text[order[lo] : order[lo] + n].decode(): (parent, sorted(order[lo:hi].tolist()), diverse, least) for n, parent, lo, hi, diverse, least in S.common_prefix_intervals(order, common, before, np.arange(6))}
     assert found == {"ana": (1, [1, 3], True, 1), "a": (0, [1, 3, 5], True, 1), "na": (0, [2, 4], False, 2)}
+
+
+def hot_rows(n):
+    """A short line between other texts in each document, of which each third is also copied."""
+    line = "all rights reserved by the"
+    texts = [prose(6, 2 * i) + "\n" + line + "\n" + prose(6, 2 * i + 1) for i in range(n)]
+    return [(7 * i % 1009, t) for i, t in enumerate(texts)] + [(2000 + i, t[5:] + "x") for i, t in enumerate(texts[::3])] + [(None, texts[0])]
+
+
+@pytest.mark.parametrize("hot", [0, 3, 40])
+def test_hot_grams_match_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(S, "HOT", hot)
+    rows = hot_rows(120) + [(3000 + i, t) for i, t in enumerate(["\x00" * 90, "x" * 49, "x" * 50, "x" * 300, "ab" * 100, "é" * 60] * 2)]
+    got = [tuple(r) for r in S.repeated_bytes(docs(spark, rows).repartition(3)).collect()]
+    assert sorted(got, key=str) == brute(rows)
+
+
+def test_a_hot_gram_is_split():
+    import pandas as pd
+
+    frame = pd.DataFrame([(i or S.NO_ID, 0, t.encode()) for i, t in hot_rows(300)], columns=["id", "mark", "data"])
+    asked = S.ask(1)((0,), frame)
+    answers = S.answer(50)((0,), asked)
+    sent = S.send(1)((0,), frame, answers)
+    fragments = sent[sent["bucket"] < 1]
+    _, anchors = np.unique(np.concatenate([S.keys_of(0, k) for k in fragments["keys"]]), return_counts=True)
+    assert anchors.max() <= 50
+    windows = [len(S.zstandard.decompress(t)) // S.LENGTH for t in sent[sent["bucket"] >= 1]["texts"]]
+    assert len(windows) == S.SPREAD and max(windows) < 3 * np.mean(windows)
