@@ -21,7 +21,8 @@ comes from a table of COUNTERS counters, whose size is fixed; its errors cost ti
 
 Defined cases: null and empty texts and those without words have no shingles and are linked with nothing;
 with fewer words than a shingle has, the whole sequence is the only shingle; rows with a null doc_id are
-linked with nothing (component null, kept); rows that repeat a doc_id with other texts are judged each by its own text; rows that repeat both stay or go together; an
+linked with nothing (component null, kept); rows that repeat a doc_id with other texts are judged each by its own text, and
+of those in one component the one with the least hash of its text stays; rows that repeat both stay or go together; an
 empty table gives an empty table; further columns pass through near_dedup.
 """
 
@@ -169,14 +170,23 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("n"))
     several = materialise(classes.filter("n > 1").select("set_a", "set_b", "first.*").withColumnsRenamed({"doc_id": "id", "text_hash": "id_hash"}))
-    known = signed.join(several, ["set_a", "set_b"], "left").withColumn("own", F.col("id").isNull() | ((F.col("id") == F.col("doc_id")) & (F.col("id_hash") == F.col("text_hash"))))
-    known = materialise(known.select("doc_id", "text_hash", "n_shingles", F.coalesce("id", "doc_id").alias("class"), F.when(F.col("own"), F.struct("bands", "sketch")).alias("s")))
-    reps = known.filter("s IS NOT NULL AND n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("class").alias("id"), "text_hash", "n_shingles", "s.bands", "s.sketch")
+    known = signed.join(several, ["set_a", "set_b"], "left")
+    # a class is named by doc_id and hash of its first row; its node is a number that is written once with it
+    alone = known.filter("id IS NULL AND n_shingles > 0 AND doc_id IS NOT NULL")
+    first = known.filter("id = doc_id AND id_hash = text_hash").dropDuplicates(["doc_id", "text_hash"])
+    reps = alone.unionByName(first).select("doc_id", "text_hash", "n_shingles", "bands", "sketch")
+    reps = materialise(reps.withColumn("id", F.monotonically_increasing_id()))
     found = components(_class_links(reps, texts, shingle, percent))
+    linked_classes = materialise(reps.join(found, F.col("id") == F.col("node")).select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"), "component"))
+    least = linked_classes.groupBy("component").agg(F.min(F.struct("c_id", "c_hash")).alias("least"))
+    named = linked_classes.join(least, "component").select("c_id", "c_hash", "least")
     member = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    out = known.join(found, F.col("class") == F.col("node"), "left")
-    out = out.select("doc_id", "text_hash", "n_shingles", F.when(member, F.coalesce("component", "class")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = known.select("doc_id", "text_hash", "n_shingles", F.coalesce("id", "doc_id").alias("class"), F.coalesce("id_hash", "text_hash").alias("class_hash"))
+    out = rows.join(named, member & (F.col("class") == F.col("c_id")) & (F.col("class_hash") == F.col("c_hash")), "left")
+    stays = F.when(member, F.coalesce("least", F.struct(F.col("class").alias("c_id"), F.col("class_hash").alias("c_hash"))))
+    out = out.select("doc_id", "text_hash", "n_shingles", stays.alias("stays"))
+    kept = F.col("stays").isNull() | ((F.col("doc_id") == F.col("stays.c_id")) & (F.col("text_hash") == F.col("stays.c_hash")))
+    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("stays.c_id", "doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -190,9 +200,9 @@ def _class_links(reps: DataFrame, texts: DataFrame, shingle: int, percent: int)
     shared = materialise(banded.groupBy("band").agg(F.min_by("id", F.xxhash64("id")).alias("leader"), F.count("*").alias("m")).filter("m > 1"))
     members = materialise(banded.join(shared, "band").select("band", "id", "leader", "m"))
     candidates = reps.join(members.select("id").distinct(), "id", "left_semi")
-    sketches = materialise(candidates.select("id", "text_hash", "n_shingles", "sketch"))
-    wanted = texts.join(sketches.select(F.col("id").alias("doc_id"), "text_hash"), ["doc_id", "text_hash"], "left_semi")
-    wanted = wanted.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text")).select(F.col("doc_id").alias("id"), "text")
+    sketches = materialise(candidates.select("id", "doc_id", "text_hash", "n_shingles", "sketch"))
+    wanted = texts.join(sketches.select("id", "doc_id", "text_hash"), ["doc_id", "text_hash"])
+    wanted = wanted.groupBy("doc_id", "text_hash").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text")
     sets = materialise(wanted.mapInPandas(_sets(shingle), "id long, found array<long>"))
     limit = sketch_limit(percent)
 

@@ -67,6 +67,16 @@ def test_repeated_ids(spark):
     assert got == [(3, 3), (5, 3), (5, 5), (7, 5), (7, 5)]
 
 
+def test_a_near_copy_of_one_row_of_a_repeated_id(spark):
+    a, b, d = prose(200, 1), prose(200, 2), prose(200, 4)
+    near, again = edited(b, 150, 3), edited(d, 150, 5)
+    df = docs(spark, [(5, a), (5, b), (3, near), (8, d), (8, again), (9, " " + d), (6, a + " x")])
+    got = [(r.doc_id, r.component_id, r.kept) for r in N.near_groups(df).collect()]
+    assert sorted(got) == [(3, 3, True), (5, 3, False), (5, 5, True), (6, 5, False), (8, 8, False), (8, 8, True), (9, 8, False)]
+    kept = [(r.doc_id, r.text) for r in N.near_dedup(df).collect()]
+    assert len(kept) == 3 and {(3, near), (5, a)} <= set(kept) and sum(t in (d, again) for _, t in kept) == 1
+
+
 def test_sketches():
     assert 2 * N.SAMPLES > N.sketch_limit(80) > 2 * 0.2 * N.SAMPLES
     rng = np.random.default_rng(1)
