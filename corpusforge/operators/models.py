@@ -27,6 +27,12 @@ def _sublinear(v):
     return SparseVector(v.size, v.indices, [1.0 + math.log(x) for x in v.values])
 
 
+@F.udf("n int, norm double")  # as small; vector_to_array would make the vector dense
+def nonzeros(v):
+    """Entries above 0 of a sparse vector, and the sum of its squares."""
+    return sum(1 for x in v.values if x > 0), float(sum(x * x for x in v.values))
+
+
 class TfIdf:
     """TF-IDF over an array of terms: terms in min_df rows, the ``top`` most frequent, 1 + ln tf, ln((1 + n) / (1 + df)) + 1, unit length."""
 

@@ -55,7 +55,7 @@ def _(spark, d):
 @query("tree_models")
 def _(spark, d):
     parts = []
-    for name, estimator in (("forest", O.forest(10)), ("boosting", O.boosting(5, depth=3))):
+    for name, estimator in (("forest", O.forest()), ("boosting", O.boosting())):
         model, _, test = fitted(spark, d, estimator)
         parts.append(M.ranking(O.probability(model.transform(test)).select("label", "p")).withColumn("model", F.lit(name)))
     return parts[0].unionByName(parts[1])
@@ -101,11 +101,8 @@ def _(spark, d):
 @query("tfidf")
 def _(spark, d):
     pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", O.char_grams(F.col("url"), 3, 5).alias("grams"))
-    model = O.TfIdf(top=2000).fit(pages)
-    from pyspark.ml.functions import vector_to_array
-
-    v = vector_to_array("tfidf")
-    return model.transform(pages).select("page_id", F.size(F.filter(v, lambda x: x > 0)).alias("n_terms"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+    v = O.nonzeros("tfidf")
+    return O.TfIdf().fit(pages).transform(pages).select("page_id", v["n"].alias("n_terms"), F.round(v["norm"], 6).alias("norm"))
 
 
 @query("counterfactual_variants", "WITH o AS (SELECT DISTINCT regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) AS base_url FROM pages), v AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}')" for k, t in O.VARIANTS.items()) + ") x(variant_type, tail)) SELECT base_url, variant_type, base_url || tail AS url FROM o, v")

@@ -106,3 +106,21 @@ def test_search(spark):
     assert ids(L.faceted(df, {}, "paypal", ["url"], ["tags"])) == [2] and ids(L.faceted(df, {"url": "all"}, " ")) == [1, 2, 3]
     assert ids(L.since(df, "x", 500, "id")) == [1, 2, 3] and ids(L.lookup(df, 2, "id", "url")) == [2]
     assert L.page(df, 0, 0, "id").count() == 1
+
+
+def test_tfidf_and_trees_are_not_cut(spark, tmp_path, monkeypatch):
+    import random
+
+    from corpusforge.plans import models as P
+
+    rng = random.Random(1)
+    urls = ["https://" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(40)]
+    spark.createDataFrame(list(enumerate(urls * 2)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    grams = [{u[i : i + n] for n in (3, 4, 5) for i in range(len(u) - n + 1)} for u in urls]
+    assert len(set().union(*grams)) > 2000
+    got = {r.page_id: (r.n_terms, r.norm) for r in P.Q["tfidf"](spark, str(tmp_path)).collect()}
+    assert got == {i: (len(grams[i % 40]), 1.0) for i in range(80)}
+    seen, fitted = [], P.fitted
+    monkeypatch.setattr(P, "fitted", lambda s, d, e: (seen.append(e), fitted(s, d))[1])
+    P.Q["tree_models"](spark, "/root/testdata/sf0.001")
+    assert [seen[0].getNumTrees(), seen[1].getMaxIter(), seen[1].getMaxDepth()] == [80, 100, 5]
