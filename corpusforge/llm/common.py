@@ -16,17 +16,31 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset.
+
+    In local mode, as in tests, one machine does all, and a temporary folder of its own serves.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/corpusforge-scratch"
+    found = getattr(spark.sparkContext, "_own_scratch", None)
     if not found:
-        found = getattr(spark.sparkContext, "_own_scratch", None)
-        if not found:
-            found = tempfile.mkdtemp(prefix="corpusforge-")
-            atexit.register(shutil.rmtree, found, ignore_errors=True)
-            spark.sparkContext._own_scratch = found
+        found = tempfile.mkdtemp(prefix="corpusforge-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.sparkContext._own_scratch = found
     return found
 
 
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, which is deleted when the application ends."""
+    path = f"{scratch_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to a new table in the shared folder and read it back.
 
@@ -34,7 +48,7 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     compressed, and gives the planner true sizes, so that later joins broadcast only what is small.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.partitionBy(*(partition_by or [])).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -11,13 +11,22 @@
 4. The others are confirmed on the full sets.
 
 Buckets may hold a third of all rows, so pairs within a bucket are not formed. Each member is compared
-with the leader of each of its buckets and the links are joined into components. Only classes in buckets
-that still hold several components go on, to an exact set-similarity join: every set is ordered by how
+with the leader that it shares most buckets with, then, if still apart, with the leaders of its other
+buckets, and the links are joined into components. Only classes in buckets
+that still hold several components go on, to a set-similarity join: every set is ordered by how
 common its shingles are, and two sets at the threshold must share one within their rarest fifth and ninth,
-at places that leave room for enough others, and the odd sketches of the whole sets, which bound how much
-they differ, must allow it. Tokens of one component only are dropped, and of each other
-token the rows of its largest component never meet each other. Nothing is capped. How common a shingle is
-comes from a table of COUNTERS counters, whose size is fixed; its errors cost time, not results.
+at places that leave room for enough others, and the odd sketches of the whole sets, which estimate how much
+they differ, must allow it (a pair at the threshold fails with probability MISS at most). Tokens of one
+component only are dropped, and of each other token the rows of its largest component never meet each other.
+How common a shingle is comes from a table of COUNTERS counters, whose size is fixed; its errors cost time,
+not results.
+
+A group of n near copies has up to n * n / 2 such meetings, nearly all of them links that a few others make
+needless. So they are taken in rounds, by a hash of the two classes and the token: the first round takes the
+share of all meetings that makes MEETINGS a class, every further one GROWTH times more, the last all that is left, and
+before each the links found so far are joined, so that only classes still apart meet. Sampled like that, the
+links between different components of the sample before number at most GROWTH a class in expectation: the
+rows of a round grow with the classes, not with their pairs. No meeting is left out.
 
 Defined cases: null and empty texts and those without words have no shingles and are linked with nothing;
 with fewer words than a shingle has, the whole sequence is the only shingle; rows with a null doc_id are
@@ -45,6 +54,9 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS, PARITY_BITS = 512, 1024
 MISS = 1e-9
+#: Standard deviations that a normal value exceeds with less than MISS.
+DEVIATIONS = 6.2
+MEETINGS, GROWTH = 8, 16
 SIGNATURE = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 COUNTERS = 1 << 18
 WORD_CACHE = 400_000
@@ -176,7 +188,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     first = known.filter("id = doc_id AND id_hash = text_hash").dropDuplicates(["doc_id", "text_hash"])
     reps = alone.unionByName(first).select("doc_id", "text_hash", "n_shingles", "bands", "sketch")
     reps = materialise(reps.withColumn("id", F.monotonically_increasing_id()))
-    found = components(_class_links(reps, texts, shingle, percent))
+    found = _class_components(reps, texts, shingle, percent)
     linked_classes = materialise(reps.join(found, F.col("id") == F.col("node")).select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"), "component"))
     least = linked_classes.groupBy("component").agg(F.min(F.struct("c_id", "c_hash")).alias("least"))
     named = linked_classes.join(least, "component").select("c_id", "c_hash", "least")
@@ -194,8 +206,8 @@ def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("text_hash"), whole.alias("text"))
 
 
-def _class_links(reps: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b): links that join every two classes with a chain of similar ones between them."""
+def _class_components(reps: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that have links."""
     banded = reps.select("id", F.explode("bands").alias("band"))
     shared = materialise(banded.groupBy("band").agg(F.min_by("id", F.xxhash64("id")).alias("leader"), F.count("*").alias("m")).filter("m > 1"))
     members = materialise(banded.join(shared, "band").select("band", "id", "leader", "m"))
@@ -210,33 +222,52 @@ def _class_links(reps: DataFrame, texts: DataFrame, shingle: int, percent: int)
         """Pairs (a, b) whose sizes and sketches allow a link."""
         a, b = (sketches.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}")) for s in "ab")
         fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (xor_bits("sa", "sb") <= limit)
-        return pairs.join(a, "a").join(b, "b").filter(fits).select(*pairs.columns)
+        return pairs.join(a, "a").join(b, "b").filter(fits).select("a", "b")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs that are similar by their full sets. The pairs are written first, so that few of them are broadcast."""
-        pairs = materialise(pairs)
+        pairs = materialise(plausible(pairs))
         a, b = (sets.select(F.col("id").alias(s), F.col("found").alias(f"f{s}")) for s in "ab")
         return materialise(pairs.join(a, "a").join(b, "b").filter(linked("fa", "fb", percent)).select("a", "b"))
 
-    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs whose classes are not in one component yet."""
-        la, lb = (labels.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
-        pairs = pairs.join(la, "a", "left").join(lb, "b", "left")
-        return pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
     # the leader that a class shares most bands with, then its other leaders, then all that is still apart
     led = members.filter("id <> leader").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("bands"))
-    led = materialise(plausible(led))
-    links = confirmed(led.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("b")))
-    links = links.unionByName(confirmed(apart(led, components(links))))
-    labels = components(links)
+    led = materialise(led)
+    best = led.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("b"))
+    labels = components(confirmed(best))
+    others = led.select("a", "b").join(best, ["a", "b"], "left_anti")
+    labels = _merged(labels, confirmed(_apart(others, labels)))
     tagged = members.filter("m > 2").join(labels, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     open_bands = tagged.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    several = materialise(tagged.join(open_bands, "band", "left_semi").select("id", "component").distinct())
+    several = materialise(tagged.join(open_bands, "band", "left_semi").select("id").distinct())
     if several.isEmpty():
-        return links
-    pairs = prefix_pairs(materialise(sets.join(several, "id")), percent)
-    return links.unionByName(confirmed(plausible(pairs)))
+        return labels
+    posts = prefix_posts(materialise(sets.join(several, "id")), percent)
+    low, share = 0.0, first_share(posts, labels)
+    while low < 1:
+        share = min(1.0, share)
+        found = confirmed(meetings(posts, labels, percent, low, share))
+        labels = _merged(labels, found)
+        low, share = share, share * GROWTH
+    return labels
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose classes are not in one component yet."""
+    la, lb = (labels.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
+    pairs = pairs.join(la, "a", "left").join(lb, "b", "left")
+    return pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links, which join whole components."""
+    if links.isEmpty():
+        return labels
+    la, lb = (labels.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
+    between = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(between).withColumnsRenamed({"node": "old", "component": "new"})
+    known = labels.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("component", F.col("node")))
+    return materialise(known.join(joined, known["component"] == joined["old"], "left").select("node", F.coalesce("new", "component").alias("component")))
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,12 +288,8 @@ def counter_of(found: np.ndarray) -> np.ndarray:
     return (np.asarray(found, np.int64).view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64)
 
 
-def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of sets (id, component, found) of different components that may reach the threshold.
-
-    With o common elements, 100 o >= percent (x + y - o) needs (100 + percent) o >= percent (x + y). If the
-    first common element in the common order stands at places i and j, o is at most min(x - i, y - j).
-    """
+def prefix_posts(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, id, n, near, place, bits): the rarest shingles of each set (id, found), at their places in the common order."""
     spark = sets.sparkSession
     # 64 rows of fixed size: COUNTERS counters in all
     parts = sets.select("found").mapInPandas(_counts, "part int, counts binary").groupBy("part").applyInPandas(_summed, "part int, counts binary").collect()
@@ -271,30 +298,70 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for i, c, found in zip(batch["id"], batch["component"], batch["found"]):
+            for i, found in zip(batch["id"], batch["found"]):
                 found = np.asarray(found, np.int64)
                 n = len(found)
                 order = np.lexsort((found, counts.value[counter_of(found)]))
                 prefix = found[order[: n - -(-percent * n // 100) + 1]]
-                rows.append((i, c, n, n - -(-2 * percent * n // (100 + percent)) + 1, prefix, parity(found)))
-            yield pd.DataFrame(rows, columns=["id", "component", "n", "near", "prefix", "bits"])
-
-    rows = materialise(sets.mapInPandas(rarest, "id long, component long, n int, near int, prefix array<long>, bits array<long>"))
-    posts = rows.select("id", "component", "n", "near", F.posexplode("prefix").alias("place", "token"))
-    largest = posts.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("c"))
-    posts = posts.join(largest.filter("c > 1"), "token").withColumn("in_main", F.col("component") == F.col("main")).drop("main", "c")
-    posts = materialise(posts.join(rows.select("id", "bits"), "id"))
+                rows.append((i, n, n - -(-2 * percent * n // (100 + percent)) + 1, prefix, parity(found)))
+            yield pd.DataFrame(rows, columns=["id", "n", "near", "prefix", "bits"])
+
+    rows = materialise(sets.mapInPandas(rarest, "id long, n int, near int, prefix array<long>, bits array<long>"))
+    posts = rows.select("id", "n", "near", F.posexplode("prefix").alias("place", "token"))
+    twice = posts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
+    return materialise(posts.join(twice, "token").join(rows.select("id", "bits"), "id"))
+
+
+def _labelled(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    known = posts.join(labels, posts["id"] == labels["node"], "left")
+    return known.select(*posts.columns, F.coalesce("component", "id").alias("component"))
+
+
+def first_share(posts: DataFrame, labels: DataFrame) -> float:
+    """The share of all meetings of a token in different components that makes MEETINGS a class."""
+    sizes = _labelled(posts.select("token", "id"), labels).groupBy("token", "component").agg(F.count("*").cast("double").alias("k"))
+    sizes = sizes.groupBy("token").agg(((F.sum("k") ** 2 - F.sum(F.col("k") ** 2)) / 2).alias("pairs"))
+    pairs = sizes.agg(F.sum("pairs")).first()[0]
+    return MEETINGS * posts.select("id").distinct().count() / pairs if pairs else 1.0
+
+
+def meetings(posts: DataFrame, labels: DataFrame, percent: int, low: float, high: float) -> DataFrame:
+    """(a, b): pairs of sets of different components that may reach the threshold, of the meetings between two shares.
+
+    With o common elements, 100 o >= percent (x + y - o) needs (100 + percent) o >= percent (x + y). If the
+    first common element in the common order stands at places i and j, o is at most min(x - i, y - j).
+    """
+    posts = _labelled(posts, labels)
+    sizes = posts.groupBy("token", "component").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("c"))
+    posts = materialise(posts.join(largest.filter("c > 1"), "token").withColumn("in_main", F.col("component") == F.col("main")).drop("main", "c"))
     x, y = (posts.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n", "place", "near", "in_main", "bits")]) for s in "xy")
     y = y.filter("place_y < near_y")
     larger = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") > F.col("id_y")))
-    both, slack = F.col("n_x") + F.col("n_y"), 100 - percent
+    both = F.col("n_x") + F.col("n_y")
     room = (100 + percent) * F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) >= percent * both
-    fits = (x["token"] == y["token"]) & larger & room & (F.col("component_x") != F.col("component_y")) & ((100 + percent) * xor_bits("bits_x", "bits_y") <= slack * both)
+    fits = (x["token"] == y["token"]) & (F.col("component_x") != F.col("component_y")) & larger & room
+    if (low, high) != (0.0, 1.0):
+        chance = F.shiftrightunsigned(F.xxhash64("id_x", "id_y", x["token"]), 11) / float(1 << 53)
+        fits &= (chance >= low) & (chance < high)
+    fits &= xor_bits("bits_x", "bits_y") <= parity_limit(both, percent)
     pair = [F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")]
     found = x.filter("NOT in_main_x").join(y, fits).select(pair).union(x.filter("in_main_x").join(y.filter("NOT in_main_y"), fits).select(pair))
     return found.distinct()
 
 
+def parity_limit(both: Column, percent: int) -> Column:
+    """XOR bits of two parity sketches that two sets of these sizes at the threshold exceed with probability MISS at most.
+
+    They differ in d = both * (100 - percent) / (100 + percent) elements at most, each of which flips one of m
+    bits: (1 - q) m / 2 bits in the mean with q = (1 - 2 / m) ** d, with a variance below (1 - q * q) m / 4,
+    and never more than d.
+    """
+    differ = both * (100 - percent) / (100 + percent)
+    q = F.pow(F.lit(1 - 2 / PARITY_BITS), differ)
+    return F.least(differ, (1 - q) * (PARITY_BITS / 2) + DEVIATIONS * F.sqrt((1 - q * q) * (PARITY_BITS / 4)))
+
+
 def parity(found: np.ndarray) -> np.ndarray:
     """Odd sketch of a whole set. The XOR of two has at most as many bits as the sets differ in elements: a bound, not an estimate."""
     with np.errstate(over="ignore"):

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusforge.llm import near_dedup as N
 from corpusforge.llm.components import components
@@ -77,6 +78,32 @@ def test_a_near_copy_of_one_row_of_a_repeated_id(spark):
     assert len(kept) == 3 and {(3, near), (5, a)} <= set(kept) and sum(t in (d, again) for _, t in kept) == 1
 
 
+def test_a_large_group_of_near_copies_is_joined_with_few_pairs(spark, monkeypatch):
+    base, seen = prose(80, 5), []
+    rows = [(i, edited(base, random.Random(i).choice([12, 18, 30]), i)) for i in range(500)]
+    of = N.meetings
+
+    def counted(*args):
+        found = N.materialise(of(*args))
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(N, "meetings", counted)
+    got = sorted(tuple(r) for r in N.near_groups(docs(spark, rows).repartition(5)).select("doc_id", "n_shingles", "component_id", "kept").collect())
+    assert got == brute(rows, 5)
+    assert len(seen) > 1 and sum(seen) < 20 * len(rows)
+
+
+def test_parity_limit_lets_pairs_at_the_threshold_pass(spark):
+    rng = np.random.default_rng(3)
+    bits = lambda x, y: sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+    for n in (9, 90, 450, 1800, 9000):
+        both = spark.createDataFrame([(2 * n,)], "n int").select(N.parity_limit(F.col("n"), 80)).first()[0]
+        for _ in range(40):
+            common, own = rng.integers(-(2**63), 2**63, n - n // 9), rng.integers(-(2**63), 2**63, (2, n // 9))
+            assert bits(*(N.parity(np.concatenate([common, x])) for x in own)) <= both
+
+
 def test_sketches():
     assert 2 * N.SAMPLES > N.sketch_limit(80) > 2 * 0.2 * N.SAMPLES
     rng = np.random.default_rng(1)
