@@ -1,18 +1,25 @@
 """BPE encoding and decoding as a streaming transducer with bounded lookahead.
 
-Encoding applies a merge list in order of rank. What follows a token can change it only through a chain of
-merges of falling rank towards the left, each overlapping the next. The longest reach of such a chain is
-computed once from the merge list; it is the lookahead that suffices. The transducer buffers symbols, and
-as soon as a token ends that far before the end of the buffer it is stable and is emitted. The buffer never
-holds more than three lookaheads, whatever the length of a word. Decoding feeds the bytes of each token to
-an incremental UTF-8 state machine.
-
-Texts are cut at white space first, which no token crosses, and the encodings of pieces are kept in a
-cache of bounded size.
+Encoding applies a merge list in order of rank. Of a prefix of a word, the last token is settled by the
+last token of a shorter prefix: a sequence of tokens is the encoding of its symbols just when each token
+and each two neighbours are. So the transducer keeps, for every prefix of what it buffers, the length of
+its last token. The token after the next symbols can begin only within the longest token's length of the
+end; as far back as the encodings of all prefixes that end there agree, their tokens are stable and are
+emitted. Whatever they are, what follows a token can change it only through a chain of merges of falling
+rank towards the left, each overlapping the next. The longest reach of such a chain is computed once from
+the merge list; it is the lookahead that suffices, and tokens that end further back are emitted in any
+case, so the buffer is bounded whatever the length of a word. Decoding feeds the bytes of each token to an
+incremental UTF-8 state machine.
+
+A text is taken in segments of SEGMENT characters, cut before white space, which no token crosses, or
+inside a piece, which the transducer then goes on with. Ids and decoded text leave segment by segment, so
+digests need constant memory beside the text itself. The ids of stretches without white space are kept in a
+cache of bounded size, filled by the transducer.
 
 Defined cases: null text counts as empty and has no tokens; the strings of special tokens in a text become
 those tokens, as in the tokenizer's own library; repeated rows are encoded alike; an empty table gives an
-empty table; further columns pass through encode_column.
+empty table; further columns pass through encode_column and decode_column, and where one has the name of the
+new column, that takes underscores until it differs.
 """
 
 from __future__ import annotations
@@ -21,8 +28,10 @@ import codecs
 import hashlib
 import heapq
 import json
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pandas as pd
 import regex
@@ -31,7 +40,8 @@ from pyspark.sql import functions as F
 
 from corpusforge.llm.common import documents
 
-CACHE = 400_000
+CACHE, PAIRS = 400_000, 200_000
+SEGMENT, PORTION = 1 << 16, 256
 #: The white space of the tokenizer's \s, and those of Python's str.split that it lacks.
 WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 NOT_WHITE = regex.compile(r"[\x1c-\x1f]")
@@ -46,47 +56,66 @@ def byte_symbols() -> list[str]:
 
 
 class MergeList:
-    """Vocabulary, merges by rank, and the lookahead that suffices for them."""
+    """Vocabulary, merges by rank, and the lookahead that suffices for them.
+
+    Inside, every symbol is one character; one of the range from LAST stands for a byte at the end of a word.
+    """
+
+    LAST = 0xE000
 
     def __init__(self, tokenizer: str):
         spec = json.loads(tokenizer)
         model = spec["model"]
-        self.ids: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
+        self.symbols = byte_symbols()
+        self.last = {c: chr(self.LAST + b) if self.end else c for b, c in enumerate(self.symbols)}
+        self.ids: dict[str, int] = {self.inner(t): i for t, i in model["vocab"].items()}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks: dict[tuple[str, str], int] = {m: rank for rank, m in enumerate(merges)}
+        self.ranks: dict[tuple[str, str], int] = {tuple(map(self.inner, m)): rank for rank, m in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t.encode() for t, i in [*self.ids.items(), *self.special.items()]}
+        self.names = {i: t.encode() for t, i in [*model["vocab"].items(), *self.special.items()]}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"])
-        self.symbols = byte_symbols()
-        self.lookahead = sufficient_lookahead(merges, self.end)
-
-    def base(self, piece: str) -> list[str]:
-        out = list(piece) if piece.isascii() and piece.isprintable() else [self.symbols[b] for b in piece.encode()]
-        out[-1] += self.end
-        return out
-
-
-def symbols_of(token: str, end: str) -> tuple[str, ...]:
-    """A token's base symbols; the suffix belongs to the last."""
-    if end and token.endswith(end):
-        body = token.removesuffix(end)
-        return (*body[:-1], body[-1:] + end)
-    return tuple(token)
+        self.longest = max(map(len, self.ids))
+        self.lengths: dict[str, list[int]] = {}  # of tokens, by their last two symbols, longest first
+        for token in self.ids:
+            self.lengths.setdefault(token[-2:], []).append(len(token))
+        self.lengths = {k: sorted(set(v), reverse=True) for k, v in self.lengths.items()}
+        self.lookahead = sufficient_lookahead(self.ranks)
+        self.known: dict[tuple[str, str], bool] = {}
+
+    def inner(self, token: str) -> str:
+        """A token of the vocabulary with one character a symbol."""
+        if self.end and token.endswith(self.end) and len(token) > len(self.end):
+            body = token.removesuffix(self.end)
+            return body[:-1] + self.last.get(body[-1], body[-1])
+        return token
+
+    def base(self, piece: str) -> str:
+        """The symbols of a piece, none of them marked as the last."""
+        return piece if piece.isascii() and piece.isprintable() and " " not in piece else "".join([self.symbols[b] for b in piece.encode()])
+
+    def fits(self, before: str, token: str) -> bool:
+        """Whether the two tokens are the encoding of their symbols; with "" before, whether the one is."""
+        found = self.known.get((before, token))
+        if found is None:
+            if len(self.known) >= PAIRS:
+                self.known.clear()
+            found = self.known[before, token] = merged([*before, *token], self.ranks) == [t for t in (before, token) if t]
+        return found
 
 
-def sufficient_lookahead(merges: Iterable[tuple[str, str]], end: str) -> int:
+def sufficient_lookahead(merges: Iterable[tuple[str, str]]) -> int:
     """The longest reach to the left, in symbols, of a chain of merges of rising rank that overlap.
 
     reach[x] is what a change may reach through merge x: a merge y of lower rank that begins inside x, and
     agrees with x where they overlap, can prevent or allow x, which begins k symbols earlier.
     """
-    starting: dict[tuple, int] = {}  # the furthest reach of a merge with this prefix
-    exact: dict[tuple, int] = {}
+    starting: dict[str, int] = {}  # the furthest reach of a merge with this prefix
+    exact: dict[str, int] = {}
     most = 1
     for left, right in merges:
-        x = symbols_of(left, end) + symbols_of(right, end) if not (end and left.endswith(end)) else symbols_of(left + right, end)
+        x = left + right
         reach = len(x)
         for k in range(1, len(x)):
             tail = x[k:]
@@ -146,33 +175,74 @@ def merged_by_heap(symbols: list[str], ranks: dict[tuple[str, str], int]) -> lis
 class Encoder:
     """The transducer: feed symbols of one word in any portions, get tokens as they become stable."""
 
-    def __init__(self, merges: MergeList, lookahead: int | None = None):
-        self.merges, self.lookahead = merges, lookahead or merges.lookahead
-        self.buffer: list[str] = []
-
-    def feed(self, symbols: Iterable[str]) -> Iterator[str]:
-        for s in symbols:
-            self.buffer.append(s)
-            if len(self.buffer) >= 3 * self.lookahead:
-                yield from self._stable()
+    def __init__(self, merges: MergeList):
+        self.merges = merges
+        self._restart()
+
+    def _restart(self) -> None:
+        #: Symbols that are not emitted yet, the length of the last token of each of their prefixes, and the token before them.
+        self.text, self.back, self.before, self.held = "", [0], "", ""
+
+    def feed(self, symbols: str) -> list[str]:
+        symbols, out = self.held + symbols, []
+        self.held = symbols[-1:]  # it may be the word's last
+        for at in range(0, len(symbols) - 1, PORTION):
+            self._extend(symbols[at : min(at + PORTION, len(symbols) - 1)])
+            if len(self.text) >= 2 * self.merges.longest:
+                out += self._emit(self._stable())
+        return out
 
-    def _stable(self) -> Iterator[str]:
-        kept = len(self.buffer)
-        for token in merged(self.buffer, self.merges.ranks):
-            kept -= len(symbols_of(token, self.merges.end))
-            if kept < self.lookahead:
-                kept += len(symbols_of(token, self.merges.end))
-                break
-            yield token
-        self.buffer = self.buffer[-kept:]
+    def finish(self) -> list[str]:
+        if self.held:
+            self._extend(self.merges.last[self.held])
+        out = self._emit(len(self.text))
+        self._restart()
+        return out
 
-    def finish(self) -> Iterator[str]:
-        yield from merged(self.buffer, self.merges.ranks)
-        self.buffer = []
+    def _extend(self, symbols: str) -> None:
+        begin, text, back = len(self.text), self.text + symbols, self.back
+        lengths, ids, known, fits = self.merges.lengths, self.merges.ids, self.merges.known, self.merges.fits
+        for i in range(begin + 1, len(text) + 1):
+            for n in lengths.get(text[max(0, i - 2) : i]) or (1,):
+                at = i - n
+                if at >= 0 and (token := text[at:i]) in ids:
+                    before = text[at - back[at] : at] if at else self.before
+                    found = known.get((before, token))
+                    if found or found is None and fits(before, token):
+                        back.append(n)
+                        break
+            else:
+                back.append(1)
+        self.text = text
+
+    def _stable(self) -> int:
+        """The end of the tokens that no further symbol can change."""
+        n, merges = len(self.text), self.merges
+        live = set(range(max(0, n - merges.longest + 1), n + 1))
+        for at in range(n, 0, -1):
+            if at in live:
+                if len(live) == 1:
+                    return at
+                live.discard(at)
+                live.add(at - self.back[at])
+        at = n
+        while at > max(0, n - merges.lookahead):
+            at -= self.back[at]
+        return at
+
+    def _emit(self, end: int) -> list[str]:
+        out, at = [], end
+        while at:
+            out.append(self.text[at - self.back[at] : at])
+            at -= self.back[at]
+        if out:
+            out.reverse()
+            self.before, self.text, self.back = out[-1], self.text[end:], [0, *self.back[end + 1 :]]
+        return out
 
 
 class Decoder:
-    """Token ids to text, piece by piece; bytes of a character may come in several pieces.
+    """Token ids to text, portion by portion; bytes of a character may come in several portions.
 
     As the library does for a tokenizer without a decoder, tokens are joined by a space.
     """
@@ -181,11 +251,6 @@ class Decoder:
         self.names, self.begun = merges.names, False
         self.machine = codecs.getincrementaldecoder("utf-8")(errors="replace")
 
-    def restart(self) -> Decoder:
-        self.begun = False
-        self.machine.reset()
-        return self
-
     def feed(self, tokens: Iterable[int]) -> str:
         out = b" ".join([b"", *map(self.names.__getitem__, tokens)] if self.begun else map(self.names.__getitem__, tokens))
         self.begun = self.begun or bool(out)
@@ -201,7 +266,7 @@ class Recent(dict):
     def __init__(self, make, most: int):
         self.make, self.most, self.old = make, most // 2, {}
 
-    def __missing__(self, key: str) -> tuple[str, str]:
+    def __missing__(self, key: str) -> list[int]:
         found = self.old.get(key) or self.make(key)
         if len(self) >= self.most:
             self.old = dict(self)
@@ -212,30 +277,22 @@ class Recent(dict):
 
 
 class Pieces(Recent):
-    """Of each stretch without white space: its ids and its decoded text, both joined by spaces."""
+    """The ids of each stretch without white space."""
 
     def __init__(self, merges: MergeList):
         super().__init__(self._stretch, CACHE)
-        self.merges, self.many = merges, 3 * merges.lookahead
+        self.merges, self.encoder = merges, Encoder(merges)
         self.words = Recent(self._word, CACHE)
-        self.find, self.decoder = merges.pieces.findall, Decoder(merges)
+        self.find = merges.pieces.findall
 
-    def _stretch(self, stretch: str) -> tuple[str, str]:
+    def _stretch(self, stretch: str) -> list[int]:
         if stretch.isascii() and stretch.isalpha():
             return self.words[stretch]
-        found = [self.words[p] for p in self.find(stretch)]
-        return found[0] if len(found) == 1 else (" ".join([f[0] for f in found]), " ".join([f[1] for f in found]))
+        return [i for p in self.find(stretch) for i in self.words[p]]
 
-    def _word(self, piece: str) -> tuple[str, str]:
-        merges = self.merges
-        symbols = merges.base(piece)
-        if len(symbols) < self.many:  # the transducer would hold all of it until its end
-            tokens = merged(symbols, merges.ranks)
-        else:
-            encoder = Encoder(merges)
-            tokens = [t for part in (encoder.feed(symbols), encoder.finish()) for t in part]
-        ids = [merges.ids[t] for t in tokens]
-        return " ".join(map(str, ids)), self.decoder.restart().feed(ids) + self.decoder.finish()
+    def _word(self, piece: str) -> list[int]:
+        ids, symbols = self.merges.ids, self.merges.base(piece)
+        return [ids[t] for t in [*self.encoder.feed(symbols), *self.encoder.finish()]]
 
 
 def normal(text: str) -> str:
@@ -245,50 +302,143 @@ def normal(text: str) -> str:
     return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
 
 
-def encode(text: str, merges: MergeList, pieces: Pieces) -> tuple[list[str], list[str]]:
-    """Ids and decoded text of a whole text, as lists of parts to be joined by spaces."""
-    parts = [text]
-    if any(s in text for s in merges.special):
-        parts = regex.split("(" + "|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True))) + ")", text)
-    found: list[tuple[str, str]] = []
-    for part in parts:
-        if part in merges.special:
-            found.append((str(merges.special[part]), part))
-        elif part:
-            part = normal(part)
-            found += map(pieces.__getitem__, filter(None, WHITE.split(part)) if NOT_WHITE.search(part) else part.split())
-    return [f[0] for f in found if f[0]], [f[1] for f in found if f[0]]
-
-
-def _sha(parts: list[str]) -> str:
-    return hashlib.sha256(" ".join(parts).encode()).hexdigest()
-
-
-_made: dict[str, tuple[MergeList, Pieces]] = {}
-
-
-def _worker(tokenizer) -> tuple[MergeList, Pieces]:
-    """The merge list and its cache, built once in each Python worker."""
+@cache
+def seconds() -> frozenset[str]:
+    """Characters that NFC may join to the one before: second halves of canonical decompositions, and the vowels and finals of Hangul."""
+    found = {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}
+    for c in range(sys.maxunicode + 1):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            found.add(chr(int(parts[1], 16)))
+    return frozenset(found)
+
+
+def segments(text: str, merges: MergeList, size: int = SEGMENT) -> Iterator[tuple[str, bool]]:
+    """The text in segments, each with whether the next one may go on with its last piece."""
+    at = 0
+    while len(text) - at > size:
+        end = at + size
+        space = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
+        if space > 0:
+            yield text[at:space], False
+            at = space
+            continue
+        while end < len(text) and not _may_cut(text, end, merges):
+            end += 1
+        yield text[at:end], end < len(text)
+        at = end
+    yield text[at:], False
+
+
+def _may_cut(text: str, at: int, merges: MergeList) -> bool:
+    """Whether no composition, no apostrophe with letters near it and no special token lies across this place."""
+    if unicodedata.combining(text[at]) or text[at] in seconds():
+        return False
+    if "'" in text[max(0, at - 3) : at + 1] and any(c.isalpha() for c in text[max(0, at - 3) : at + 4]):
+        return False
+    return not any(text.find(s, max(0, at - len(s) + 1), at + len(s) - 1) >= 0 for s in merges.special)
+
+
+class Transducer:
+    """A whole text to token ids, segment by segment."""
+
+    def __init__(self, merges: MergeList, pieces: Pieces):
+        self.merges, self.pieces = merges, pieces
+        self.encoder, self.open = Encoder(merges), ""  # the class of the piece that the encoder is inside of
+        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True))) + ")") if merges.special else None
+
+    def ids(self, text: str, size: int = SEGMENT) -> Iterator[list[int]]:
+        """Portions of the ids of a text."""
+        if len(text) <= size:
+            yield self._segment(text, False)
+            return
+        for segment, more in segments(text, self.merges, size):
+            yield self._segment(segment, more)
+
+    def _segment(self, segment: str, more: bool) -> list[int]:
+        out: list[int] = []
+        parts = self.specials.split(segment) if self.specials and any(s in segment for s in self.merges.special) else [segment]
+        for k, part in enumerate(parts):
+            if part in self.merges.special:
+                out += self._close()
+                out.append(self.merges.special[part])
+            elif part:
+                part, goes_on = normal(part), more and k == len(parts) - 1
+                if self.open:
+                    first = self.merges.pieces.match(part)
+                    if not first or self._class(first.group()) != self.open:
+                        out += self._close()
+                    else:
+                        out += self._feed(first.group())
+                        part = part[first.end() :]
+                        if part or not goes_on:
+                            out += self._close()
+                last = ""
+                if goes_on and part:
+                    *_, found = [None, *self.merges.pieces.finditer(part)]
+                    if found and found.end() == len(part) and self._class(found.group()) != "number":
+                        last, part = found.group(), part[: found.start()]
+                stretches = filter(None, WHITE.split(part)) if NOT_WHITE.search(part) else part.split()
+                for ids in map(self.pieces.__getitem__, stretches):
+                    out += ids
+                if last:
+                    self.open = self._class(last)
+                    out += self._feed(last)
+        return out if more else out + self._close()
+
+    @staticmethod
+    def _class(piece: str) -> str:
+        return "letters" if regex.match(r"\p{L}", piece) else "number" if regex.match(r"\p{N}", piece) else "others"
+
+    def _feed(self, piece: str) -> list[int]:
+        return [self.merges.ids[t] for t in self.encoder.feed(self.merges.base(piece))]
+
+    def _close(self) -> list[int]:
+        if not self.open:
+            return []
+        self.open = ""
+        return [self.merges.ids[t] for t in self.encoder.finish()]
+
+
+def digests_of(text: str, transducer: Transducer, size: int = SEGMENT) -> tuple[int, str, str]:
+    """Number of tokens, digest of the ids joined by spaces, and digest of the text decoded from them, in constant memory."""
+    n, ids_sha, text_sha, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(transducer.merges)
+    for ids in transducer.ids(text, size):
+        if ids:
+            ids_sha.update(((" " if n else "") + " ".join(map(str, ids))).encode())
+            text_sha.update(decoder.feed(ids).encode())
+            n += len(ids)
+    text_sha.update(decoder.finish().encode())
+    return n, ids_sha.hexdigest(), text_sha.hexdigest()
+
+
+_made: dict[str, Transducer] = {}
+
+
+def _worker(tokenizer) -> Transducer:
+    """The transducer with its cache, built once in each Python worker."""
     key = hashlib.sha256(tokenizer.value.encode()).hexdigest()
     if key not in _made:
         merges = MergeList(tokenizer.value)
-        _made[key] = (merges, Pieces(merges))
+        _made[key] = Transducer(merges, Pieces(merges))
     return _made[key]
 
 
+def _free(df: DataFrame, name: str) -> str:
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def round_trip(spark: SparkSession, tokenizer_path: str, text: Column) -> Column:
     """struct(n_tokens, ids_sha256, decoded_sha256) of every whole text. The file is read once and sent to the workers."""
     tokenizer = spark.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
 
     @F.pandas_udf(RESULT)
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        merges, pieces = _worker(tokenizer)
+        transducer = _worker(tokenizer)
         for texts in batches:
-            rows = []
-            for t in texts:
-                ids, decoded = encode(t, merges, pieces)
-                ids = " ".join(ids)
-                rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), _sha(decoded)))
+            rows = [digests_of(t, transducer) for t in texts]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digests(F.coalesce(text, F.lit("")))
@@ -300,11 +450,11 @@ def encode_column(spark: SparkSession, docs: DataFrame, tokenizer_path: str, tex
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        merges, pieces = _worker(tokenizer)
+        transducer = _worker(tokenizer)
         for texts in batches:
-            yield pd.Series([[int(i) for part in encode(t, merges, pieces)[0] for i in part.split(" ")] for t in texts])
+            yield pd.Series([[i for portion in transducer.ids(t) for i in portion] for t in texts])
 
-    return docs.withColumn(out, ids(F.coalesce(F.col(text), F.lit(""))))
+    return docs.withColumn(_free(docs, out), ids(F.coalesce(F.col(text), F.lit(""))))
 
 
 def decode_column(spark: SparkSession, tokens: DataFrame, tokenizer_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -313,7 +463,7 @@ def decode_column(spark: SparkSession, tokens: DataFrame, tokenizer_path: str, i
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        merges, _ = _worker(tokenizer)
+        merges = _worker(tokenizer).merges
         for rows in batches:
             out = []
             for row in rows:
@@ -321,7 +471,7 @@ def decode_column(spark: SparkSession, tokens: DataFrame, tokenizer_path: str, i
                 out.append(decoder.feed(map(int, row)) + decoder.finish())
             yield pd.Series(out)
 
-    return tokens.withColumn(out, texts(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
+    return tokens.withColumn(_free(tokens, out), texts(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
 
 def default_tokenizer() -> str:
