@@ -79,6 +79,12 @@ def primary(tags: Column, priority: tuple[str, ...] = PRIORITY, default: str = "
     return F.coalesce(*[F.when(F.array_contains(tags, t), t) for t in priority], F.lit(default))
 
 
+def training_category(tags: Column, detected: Column) -> Column:
+    """The category of a collected URL: what the collector detects (its class, or NULL), else the first of a few training tags."""
+    named = [F.when(F.array_contains(tags, t), t) for t in ("homepage", "documentation", "login_account", "search", "path")]
+    return F.coalesce(detected, *named, F.lit("other_observed"))
+
+
 def taxonomy_structures(s: Column) -> Tags:
     query, where = s["query"] != "", F.lower(F.concat(s["host"], s["path"]))
     return [

@@ -7,6 +7,7 @@ rows that hold one. A rejected URL is never dropped: it comes back as NULL with
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,18 +22,26 @@ IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4
 SUFFIXES = ("com", "org", "net", "edu", "gov", "io", "dev", "in", "uk", "de", "co.uk", "org.uk", "ac.uk", "gov.uk", "co.in", "gov.in", "nic.in", "ac.in", "github.io")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body uses it; the optimiser would copy a plain expression to each use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parts(url: Column) -> Column:
     """struct(scheme, netloc, userinfo, host, port, path, query, fragment) of a URL; host is lower case without brackets."""
-    group = lambda i: F.coalesce(F.regexp_extract(url, PARTS, i), F.lit(""))
-    netloc = group(2)
-    at = F.regexp_extract(netloc, r"(?s)^(.*)@", 1)
-    place = F.regexp_replace(netloc, r"(?s)^.*@", "")
-    host = F.when(place.startswith("["), F.regexp_extract(place, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(place, r":[^:]*$", ""))
-    port = F.regexp_extract(F.regexp_replace(place, r"^\[[^\]]*\]", ""), r":([^:]*)$", 1)
-    return F.struct(
-        F.lower(group(1)).alias("scheme"), netloc.alias("netloc"), F.when(netloc.contains("@"), at).alias("userinfo"), F.lower(host).alias("host"),
-        F.nullif(port, F.lit("")).alias("port"), group(3).alias("path"), group(4).alias("query"), group(5).alias("fragment"),
-    )
+    names = ("scheme", "netloc", "path", "query", "fragment")
+    groups = F.struct(*[F.coalesce(F.regexp_extract(url, PARTS, i), F.lit("")).alias(n) for i, n in enumerate(names, 1)])
+
+    def of(g: Column) -> Column:
+        place = F.regexp_replace(g["netloc"], r"(?s)^.*@", "")
+        host = F.when(place.startswith("["), F.regexp_extract(place, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(place, r":[^:]*$", ""))
+        port = F.regexp_extract(F.regexp_replace(place, r"^\[[^\]]*\]", ""), r":([^:]*)$", 1)
+        return F.struct(
+            F.lower(g["scheme"]).alias("scheme"), g["netloc"].alias("netloc"), F.when(g["netloc"].contains("@"), F.regexp_extract(g["netloc"], r"(?s)^(.*)@", 1)).alias("userinfo"), F.lower(host).alias("host"),
+            F.nullif(port, F.lit("")).alias("port"), g["path"].alias("path"), g["query"].alias("query"), g["fragment"].alias("fragment"),
+        )
+
+    return let(groups, of)
 
 
 @F.pandas_udf(T.StringType())  # type: ignore[call-overload]
@@ -98,33 +107,67 @@ def lenient_url(url: Column) -> Column:
     """For deduplication only: http:// is assumed, the host is lower case, default ports go, the path is / at least; '' if unusable."""
     value = F.trim(url)
     value = F.when(value.rlike("(?i)^[a-z][a-z0-9+.-]*://"), value).otherwise(F.concat(F.lit("http://"), value))
-    p = parts(value)
-    keep = p["port"].isNotNull() & ~(((p["scheme"] == "http") & (p["port"] == "80")) | ((p["scheme"] == "https") & (p["port"] == "443")))
-    netloc = F.concat(p["host"], F.when(keep, F.concat(F.lit(":"), p["port"])).otherwise(""))
-    path = F.when(p["path"] == "", "/").otherwise(p["path"])
-    good = p["scheme"].isin("http", "https") & (p["host"] != "")
-    return F.when(F.coalesce(good, F.lit(False)), _join(p["scheme"], netloc, path, p["query"], p["fragment"])).otherwise("")
+
+    def of(p: Column) -> Column:
+        keep = p["port"].isNotNull() & ~(((p["scheme"] == "http") & (p["port"] == "80")) | ((p["scheme"] == "https") & (p["port"] == "443")))
+        netloc = F.concat(p["host"], F.when(keep, F.concat(F.lit(":"), p["port"])).otherwise(""))
+        path = F.when(p["path"] == "", "/").otherwise(p["path"])
+        good = p["scheme"].isin("http", "https") & (p["host"] != "")
+        return F.when(F.coalesce(good, F.lit(False)), _join(p["scheme"], netloc, path, p["query"], p["fragment"])).otherwise("")
+
+    return let(parts(value), of)
 
 
 #: Top-level names that are never public.
 INTERNAL = ("local", "localhost", "internal", "lan", "home", "corp", "intranet", "test", "example", "invalid", "localdomain", "arpa", "onion", "private", "lab")
 
 
+#: Characters that the collector's quoting leaves as they are.
+UNQUOTED = r"[A-Za-z0-9/%:@!$&'()*+,;=\-._~]"
+
+
+def quoted(text: Column, more: str = "") -> Column:
+    """text with every character outside the fixed set (and ``more``) as the escapes of its UTF-8 bytes."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    escaped = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+    return F.array_join(F.transform(chars, lambda c: F.when(c.rlike(UNQUOTED) | (c == more), c).otherwise(escaped(c))), "")
+
+
+def collector_ascii(url: Column) -> Column:
+    """A URL in ASCII: internationalised names by IDN, the rest quoted; NULL where the name cannot be encoded."""
+    v = F.trim(url)
+    tail = lambda mark, c: F.when(c != "", F.concat(F.lit(mark), quoted(c, "?"))).otherwise("")
+
+    def of(p: Column) -> Column:
+        name = F.when(~p["netloc"].rlike(r"^\.|\.\."), F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), p["netloc"]))
+        return F.concat(p["scheme"], F.lit("://"), name, quoted(p["path"]), tail("?", p["query"]), tail("#", p["fragment"]))
+
+    return F.when(v.rlike(r"^[\x00-\x7F]*$"), v).otherwise(let(parts(v), of))
+
+
+#: IPv6 blocks that are not global: loopback, mapped, discard, protocol assignments, documentation, 6to4, unique local, link local.
+RESERVED_IPV6 = r"^(?:::1?$|::ffff:|64:ff9b:1:|100::|2001:(?:0*(?:1?[0-9a-f]{1,2})?|0?db8):|2002:|3fff:0?[0-9a-f]{1,3}:|f[cd]|fe[89ab])"
+
+
 def collector_check(url: Column) -> Column:
     """The reason why a collector refuses a URL, or NULL; the first that holds counts."""
-    v = F.trim(url)
-    p = parts(v)
-    host = F.regexp_replace(p["host"], r"\.+$", "")
-    private = host.rlike(r"^(?:10\.|127\.|0\.|169\.254\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|192\.0\.[02]\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|(?:2[4-5][0-9])\.)")
-    return (
-        F.when(url.isNull() | (url == ""), "empty").when(F.length(v) < 10, "too_short").when(F.length(v) > 2048, "too_long")
-        .when(~v.rlike("(?i)^https?://"), "non_http_scheme").when(v.rlike(r'[\s\x00-\x1f\x7f<>"\\{}^`]'), "malformed_chars")
-        .when(p["port"].isNotNull() & ~p["port"].rlike("^[0-9]{1,5}$"), "parse_error").when(host == "", "no_host")
-        .when(p["netloc"].contains("@"), "userinfo_in_url").when(p["port"].rlike("^0+$"), "bad_port")
-        .when(host.rlike(IPV4) | host.contains(":"), F.when(private | host.rlike("^(?:::1?$|f[cd]|fe[89ab])"), "private_or_reserved_ip").otherwise("ip_literal_host"))
-        .when(~host.contains(".") | (F.length(host) > 253) | ~host.rlike(rf"^(?:{LABEL}\.)+(?:[a-z]{{2,63}}|xn--[a-z0-9-]{{1,59}})$"), "bad_host")
-        .when(F.element_at(F.split(host, r"\."), -1).isin(*INTERNAL), "internal_host")
-    )
+    raw = F.trim(url)
+
+    def of(x: Column) -> Column:
+        v, p, host = x["v"], x["p"], F.regexp_replace(x["p"]["host"], r"\.+$", "")
+        private = host.rlike(r"^(?:10\.|127\.|0\.|169\.254\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|192\.0\.[02]\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|(?:2[4-5][0-9])\.)")
+        port = p["port"].try_cast("long")
+        return (
+            F.when(url.isNull() | (url == ""), "empty").when(F.length(raw) < 10, "too_short").when(F.length(raw) > 2048, "too_long")
+            .when(~raw.rlike("(?i)^https?://"), "non_http_scheme").when(v.isNull(), "encoding_error").when(v.rlike(r'[\s\x00-\x1f\x7f<>"\\{}^`]'), "malformed_chars")
+            .when(p["port"].isNotNull() & (~p["port"].rlike("^[0-9]+$") | port.isNull() | (port > 65535)), "parse_error").when(host == "", "no_host")
+            .when(p["netloc"].contains("@"), "userinfo_in_url").when(port == 0, "bad_port")
+            .when(host.rlike(IPV4) | host.contains(":"), F.when(private | host.rlike(RESERVED_IPV6), "private_or_reserved_ip").otherwise("ip_literal_host"))
+            .when(~host.contains(".") | (F.length(host) > 253) | ~host.rlike(rf"^(?:{LABEL}\.)+(?:[a-z]{{2,63}}|xn--[a-z0-9-]{{1,59}})$"), "bad_host")
+            .when(F.element_at(F.split(host, r"\."), -1).isin(*INTERNAL), "internal_host")
+        )
+
+    return let(let(collector_ascii(url), lambda v: F.struct(v.alias("v"), parts(v).alias("p"))), of)
 
 
 def upper_escapes(text: Column) -> Column:
@@ -137,18 +180,21 @@ def upper_escapes(text: Column) -> Column:
 
 def collector_url(url: Column) -> Column:
     """The collector's canonical form of an accepted URL: upper-case escapes, no trailing / on a path, no default port."""
-    p = parts(F.trim(url))
-    keep = p["port"].isNotNull() & ~(((p["scheme"] == "http") & (p["port"] == "80")) | ((p["scheme"] == "https") & (p["port"] == "443")))
-    netloc = F.concat(F.regexp_replace(p["host"], r"\.+$", ""), F.when(keep, F.concat(F.lit(":"), p["port"])).otherwise(""))
-    path = F.regexp_replace(upper_escapes(p["path"]), "/+$", "")
-    return _join(p["scheme"], netloc, F.when(path == "", "/").otherwise(path), upper_escapes(p["query"]), upper_escapes(p["fragment"]))
+
+    def of(p: Column) -> Column:
+        keep = p["port"].isNotNull() & ~(((p["scheme"] == "http") & (p["port"] == "80")) | ((p["scheme"] == "https") & (p["port"] == "443")))
+        netloc = F.concat(F.regexp_replace(p["host"], r"\.+$", ""), F.when(keep, F.concat(F.lit(":"), p["port"])).otherwise(""))
+        path = F.regexp_replace(upper_escapes(p["path"]), "/+$", "")
+        return _join(p["scheme"], netloc, F.when(path == "", "/").otherwise(path), upper_escapes(p["query"]), upper_escapes(p["fragment"]))
+
+    return let(let(collector_ascii(url), parts), of)
 
 
 def safe_normalize(df: DataFrame, url: str = "url") -> DataFrame:
     """df with normalized_url and hostname: the strict form, else scheme and netloc in lower case without the fragment; the host defaults to unknown."""
     df = normalize(df, url, "_strict", "_why")
-    p = parts(F.trim(F.col(url)))
-    plain = F.when(p["scheme"] != "", _join(p["scheme"], F.lower(p["netloc"]), p["path"], p["query"], F.lit(""))).otherwise(F.trim(F.col(url)))
+    whole = F.trim(F.col(url))
+    plain = let(parts(whole), lambda p: F.when(p["scheme"] != "", _join(p["scheme"], F.lower(p["netloc"]), p["path"], p["query"], F.lit(""))).otherwise(whole))
     df = df.withColumn("normalized_url", F.coalesce("_strict", plain))
     return df.withColumn("hostname", F.coalesce(F.nullif(parts(F.col("normalized_url"))["host"], F.lit("")), F.lit("unknown"))).drop("_strict", "_why")
 

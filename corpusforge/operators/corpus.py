@@ -89,6 +89,28 @@ def remainder(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right.select(key).distinct(), key, "left_anti")
 
 
+def remove_overlaps(df: DataFrame, key: str, existing: DataFrame, holdout: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df without keys of the existing corpus, then without keys of the external holdout; and the counts
+    n_rows, removed_existing, removed_holdout, kept in one row."""
+    mark = lambda t, name: t.select(F.col(key).alias(f"_{name}")).distinct()
+    marked = df.join(mark(existing, "e"), F.col(key) == F.col("_e"), "left").join(mark(holdout, "h"), F.col(key) == F.col("_h"), "left")
+    old, held = F.col("_e").isNotNull(), F.col("_h").isNotNull()
+    counts = marked.agg(F.count("*").alias("n_rows"), F.count_if(old).alias("removed_existing"), F.count_if(~old & held).alias("removed_holdout"), F.count_if(~old & ~held).alias("kept"))
+    return marked.filter(~old & ~held).drop("_e", "_h"), counts
+
+
+def identity_guard(df: DataFrame, identities: DataFrame, identity: str, url: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """Legitimate rows whose identity no phishing row has, the first of each URL; and the counts
+    n_rows, conflicts, duplicates, kept in one row. Firsts are merged before the shuffle."""
+    marked = df.join(identities.select(F.col(identity).alias("_i")).distinct(), F.col(identity) == F.col("_i"), "left")
+    clean = marked.filter("_i IS NULL").drop("_i")
+    row = F.struct(*df.columns)
+    kept = clean.groupBy(F.col(url).alias("_url")).agg(F.min_by(row, F.struct(F.col(order), F.xxhash64(row))).alias("_r")).select("_r.*")
+    counts = marked.groupBy().agg(F.count("*").alias("n_rows"), F.count_if(F.col("_i").isNotNull()).alias("conflicts"))
+    counts = counts.crossJoin(F.broadcast(kept.agg(F.count("*").alias("kept"))))  # one row
+    return kept, counts.select("n_rows", "conflicts", (F.col("n_rows") - F.col("conflicts") - F.col("kept")).alias("duplicates"), "kept")
+
+
 def cross_class(df: DataFrame, url: str, domain: str, label: str = "label") -> DataFrame:
     """df with conflict: url (the legitimate copy of a URL of both classes), domain (any row of a domain of both), or NULL.
 
@@ -101,12 +123,16 @@ def cross_class(df: DataFrame, url: str, domain: str, label: str = "label") -> D
 
 
 def skip_list(sources: DataFrame, key: str, order: str, used: DataFrame, reserved: DataFrame) -> DataFrame:
-    """sources with decision: already_used, reserved, duplicate or approved; the first that holds."""
+    """sources with decision: already_used, reserved, duplicate or approved; the first that holds.
+
+    The first row of a key is a minimum merged before the shuffle; keys are joined to it, so a hot one is split.
+    """
     mark = lambda t, name: t.select(F.col(key).alias(f"_{name}")).distinct()
     df = sources.join(mark(used, "used"), F.col(key) == F.col("_used"), "left").join(mark(reserved, "reserved"), F.col(key) == F.col("_reserved"), "left")
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    decision = F.when(F.col("_used").isNotNull(), "already_used").when(F.col("_reserved").isNotNull(), "reserved").when(n > 1, "duplicate").otherwise("approved")
-    return df.withColumn("decision", decision).drop("_used", "_reserved")
+    firsts = sources.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
+    df = df.join(firsts, F.col(key).eqNullSafe(F.col("_key")), "left")
+    decision = F.when(F.col("_used").isNotNull(), "already_used").when(F.col("_reserved").isNotNull(), "reserved").when(F.col(order) > F.col("_first"), "duplicate").otherwise("approved")
+    return df.withColumn("decision", decision).drop("_used", "_reserved", "_key", "_first")
 
 
 def enrich(df: DataFrame, lookup: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -140,21 +166,38 @@ def label_violations(df: DataFrame, label: str) -> Column:
     return F.when(F.col(label).isNull(), "null").when(number.isNull(), "not_numeric").when(number != F.floor(number), "not_integral").when(~number.isin(0.0, 1.0), "not_binary")
 
 
-REQUIRED = ("url", "normalized_url", "label", "source", "collection_method", "verification_status", "category", "cohorts", "registered_domain", "source_page_url", "collection_date", "provenance")
+#: The fields that every observation has.
+REQUIRED = ("url", "normalized_url", "label", "source", "collection_method", "verification_status", "registered_domain", "source_page_url", "verified_final_url", "verified_content_type", "collection_date", "provenance")
 
 
-def provenance_errors(df: DataFrame) -> DataFrame:
-    """df with errors: missing fields alone, or every rule that a complete observation breaks."""
-    missing = F.array_compact(F.array(*[F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.concat(F.lit("missing:"), F.lit(c))) for c in REQUIRED]))
-    host = lambda c: F.regexp_replace(F.regexp_extract(c, "(?i)^https?://([^/?#]*)", 1), "(?i)^www[.]", "")
+def provenance_errors(df: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """df with errors: missing fields alone, else malformed alone, else every rule that a complete observation breaks.
+
+    An observation is malformed if its URL is not valid, its status holds no number after http_, or its date is
+    no ISO date. Domains are registered domains under suffixes (the built-in table if none is given).
+    """
+    from corpusforge.functions import urls as U
+
+    suffixes = suffixes if suffixes is not None else U.suffix_table(df.sparkSession)
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), F.concat(F.lit("missing:"), F.lit(c))) for c in REQUIRED]))
+    out = U.normalize(df, "url", "_good", "_why").withColumn("_missing", missing)
+    for name, c in (("_row", F.col("_good")), ("_from", F.col("source_page_url")), ("_to", F.col("verified_final_url"))):
+        out = out.withColumn(f"{name}_host", F.regexp_replace(U.host_of(c), r"^www\.", ""))
+        out = U.registered_domains(out, f"{name}_host", suffixes, name)
+    status = F.regexp_extract("verification_status", "^[^_]*_ *([+-]?[0-9]+) *(?:_|$)", 1).try_cast("int")
+    day = F.when(F.col("collection_date").cast("string").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.col("collection_date").cast("string").try_cast("date"))
+    malformed = F.col("_good").isNull() | status.isNull() | day.isNull()
+    secure = lambda c: F.coalesce(F.lower(c).startswith("https://"), F.lit(False))
     rules = [
-        ("label_must_be_zero", F.col("label") != 0), ("normalized_url_must_be_http", ~F.col("normalized_url").rlike("^https?://")), ("source_page_must_be_https", ~F.col("source_page_url").startswith("https://")),
-        ("status_must_be_verified", F.col("verification_status").rlike("(?i)^http_[45]")), ("final_url_leaves_domain", F.coalesce(~F.lower(host(F.col("verified_final_url"))).endswith(F.col("registered_domain")), F.lit(False))),
-        ("content_type_must_be_html", F.coalesce(~F.lower(F.col("verified_content_type")).contains("html"), F.lit(False))), ("url_outside_domain", ~F.lower(host(F.col("normalized_url"))).endswith(F.col("registered_domain"))),
-        ("collection_date_in_future", F.col("collection_date") > F.current_date()),
+        ("label_not_zero", F.col("label") != 0), ("not_normalized", (F.col("url") != F.col("_good")) | (F.col("normalized_url") != F.col("_good"))),
+        ("domain_mismatch", F.col("registered_domain") != F.coalesce("_row", F.lit(""))),
+        ("leaves_first_party_domain", ~(F.col("_from").eqNullSafe(F.col("_row")) & F.col("_to").eqNullSafe(F.col("_row")))),
+        ("not_https", ~(secure(F.col("url")) & secure(F.col("source_page_url")) & secure(F.col("verified_final_url")))),
+        ("not_2xx", ~status.between(200, 299)), ("not_same_domain", ~F.col("verification_status").endswith("_same_registered_domain")),
     ]
-    broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in rules]))
-    return df.withColumn("errors", F.when(F.size(missing) > 0, missing).otherwise(broken))
+    broken = F.array_compact(F.array(*[F.when(c, n) for n, c in rules]))
+    errors = F.when(F.size("_missing") > 0, F.col("_missing")).when(malformed, F.array(F.lit("malformed"))).otherwise(broken)
+    return out.withColumn("errors", errors).select(*df.columns, "errors")
 
 
 def official(host: Column, domains: list[str]) -> Column:
@@ -220,17 +263,40 @@ def top_domains(df: DataFrame, domain: str, n: int = 10) -> DataFrame:
     return df.groupBy(domain).agg(F.count("*").alias("n_rows")).orderBy(F.desc("n_rows"), domain).limit(n)
 
 
-def admissibility(df: DataFrame, dataset: str, url: str, label: str) -> DataFrame:
-    """One status per candidate dataset of legitimate rows: the first failure, or valid."""
+def admissibility(df: DataFrame, dataset: str, url: str, label: str, expected: DataFrame | None = None) -> DataFrame:
+    """One status per candidate dataset of legitimate rows: the first failure, or valid; expected names datasets that may have no row."""
     why = label_violations(df, label)
     counts = df.groupBy(dataset).agg(
         F.count("*").alias("n_rows"), F.count_if(why == "null").alias("_null"), F.count_if(why.isin("not_numeric", "not_integral")).alias("_odd"), F.count_if(why.isNull() & (F.expr(f"try_cast(`{label}` AS double)") != 0)).alias("_other"),
         F.count_if(F.coalesce(F.trim(F.col(url)), F.lit("")) == "").alias("_blank"),
     )
+    if expected is not None:
+        counts = expected.select(F.col(dataset)).distinct().join(counts, dataset, "full_outer").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
     status = F.when(F.col("n_rows") == 0, "missing").when(F.col("_null") > 0, "null_labels").when(F.col("_odd") > 0, "non_integer_labels").when(F.col("_other") > 0, "labels_not_all_zero").when(F.col("_blank") > 0, "invalid_url_data").otherwise("valid")
     return counts.select(dataset, "n_rows", status.alias("status"))
 
 
+def composition(df: DataFrame, split: str, category: str, quota: DataFrame) -> DataFrame:
+    """Rows of each split and category beside quota (split, category, quota), with the shortfall."""
+    counts = df.groupBy(F.col(split).alias("split"), F.col(category).alias("category")).agg(F.count("*").alias("n_rows"))
+    both = counts.join(quota, ["split", "category"], "full_outer").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    return both.select("split", "category", "n_rows", "quota", F.greatest(F.coalesce("quota", F.lit(0)) - F.col("n_rows"), F.lit(0)).alias("shortfall"))
+
+
+def readiness(rows: DataFrame, used: DataFrame, required: list[str], url: str, domain: str, tags: str, status: str) -> DataFrame:
+    """One row of counts: rows, distinct URLs and domains, those that used has too, required tags without a row, rows by HTTP status class."""
+    code = F.regexp_extract(status, "(?i)http_([1-5])[0-9]{2}", 1)
+    counts = rows.agg(
+        F.count("*").alias("n_rows"), F.countDistinct(url).alias("n_urls"), F.countDistinct(domain).alias("n_domains"), *[F.count_if(code == str(k)).alias(f"n_{k}xx") for k in (2, 3, 4, 5)],
+        F.count_if(code == "").alias("n_without_status"),
+    )
+    shared = lambda c, name: rows.select(c).distinct().join(used.select(c).distinct(), c, "left_semi").agg(F.count("*").alias(name))
+    lacking = required_tags(rows, tags, required).agg(F.array_sort(F.collect_list(F.when(F.col("missing"), F.col("tag")))).alias("missing_tags"))
+    for one in (shared(url, "overlapping_urls"), shared(domain, "overlapping_domains"), lacking):  # one row each
+        counts = counts.crossJoin(F.broadcast(one))
+    return counts
+
+
 def fingerprint(df: DataFrame, columns: list[str], groups: list[str]) -> DataFrame:
     """An order-free fingerprint of rows, with counts by group."""
     h = F.xxhash64(*columns)

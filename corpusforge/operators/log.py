@@ -83,6 +83,12 @@ def since(df: DataFrame, cursor, limit: int, key: str = "id", most: int = 200) -
     return df.filter(F.col(key) > cursor).orderBy(key).limit(max(1, min(limit, most)))
 
 
+def older(df: DataFrame, last: int | None, limit: int, key: str = "id", most: int = 200) -> DataFrame:
+    """The page of rows before a key, newest first, or the newest without one: deep paging that never counts off earlier pages."""
+    rows = df if last is None else df.filter(F.col(key) < last)
+    return rows.orderBy(F.desc(key)).limit(max(1, min(limit, most)))
+
+
 def nested_search(df: DataFrame, text: str, scalars: list[str], arrays: list[str] = (), maps: str | None = None, fields: list[str] = ()) -> DataFrame:
     """Rows with the text in a scalar, in a member of an array, or in a field of an array of maps."""
     t = text.lower()

@@ -1,11 +1,13 @@
 """Evaluation of a scored table (label 0/1, probability p, optional weight and groups): counts, ranking, calibration, thresholds.
 
-Ranking metrics first aggregate by distinct score. Cumulative sums over scores then run in two levels: within
-score ranges of equal width, and over the totals of those ranges, so no task sorts all scores.
+Ranking metrics first aggregate by distinct score. Cumulative sums over scores then run in three levels: within
+fine score ranges, over the totals of those in each coarse range, and over the totals of coarse ranges, so no
+task sorts all scores, also where they crowd together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,13 +36,22 @@ def by_score(scored: DataFrame, *groups: str, weight: str | None = None) -> Data
     """Each distinct score with pos, neg and the sums pos_ge, neg_ge of all scores at least as high."""
     w = F.col(weight) if weight else F.lit(1)
     per = scored.groupBy(*groups, "p").agg(F.sum(F.when(F.col("label") == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 0, w).otherwise(0)).alias("neg"))
-    per = per.withColumn("_r", F.floor(F.col("p") * RANGES))
-    totals = per.groupBy(*groups, "_r").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    above = Window.partitionBy(*groups).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*groups, "_r", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_pa"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_na"))
-    inside = Window.partitionBy(*groups, "_r").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = per.join(F.broadcast(totals) if not groups else totals, [*groups, "_r"])  # at most RANGES + 1 rows without groups
-    return per.withColumn("pos_ge", F.col("_pa") + F.sum("pos").over(inside)).withColumn("neg_ge", F.col("_na") + F.sum("neg").over(inside)).drop("_r", "_pa", "_na")
+    return from_the_top(per, ["pos", "neg"], *groups)
+
+
+def from_the_top(per: DataFrame, names: list[str], *groups: str) -> DataFrame:
+    """per, one row for each score p, with the sums {name}_ge of all scores at least as high."""
+    per = per.withColumn("_r", F.floor(F.col("p") * RANGES)).withColumn("_f", F.floor(F.col("p") * RANGES * RANGES))
+    fine = per.groupBy(*groups, "_r", "_f").agg(*[F.sum(n).alias(f"_f_{n}") for n in names])
+    coarse = fine.groupBy(*groups, "_r").agg(*[F.sum(f"_f_{n}").alias(f"_r_{n}") for n in names])
+    above = lambda keys, order: Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c, keys, order: F.coalesce(F.sum(c).over(above(keys, order)), F.lit(0))
+    coarse = coarse.select(*groups, "_r", *[earlier(f"_r_{n}", groups, "_r").alias(f"_r_{n}") for n in names])
+    fine = fine.select(*groups, "_r", "_f", *[earlier(f"_f_{n}", [*groups, "_r"], "_f").alias(f"_f_{n}") for n in names]).join(coarse, [*groups, "_r"])
+    fine = fine.select(*groups, "_f", *[(F.col(f"_r_{n}") + F.col(f"_f_{n}")).alias(f"_a_{n}") for n in names])
+    inside = Window.partitionBy(*groups, "_f").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = per.drop("_r").join(fine, [*groups, "_f"]).withColumns({f"{n}_ge": F.col(f"_a_{n}") + F.sum(n).over(inside) for n in names})
+    return out.drop("_f", *[f"_a_{n}" for n in names])
 
 
 def ranking(scored: DataFrame, *groups: str, weight: str | None = None) -> DataFrame:
@@ -172,6 +183,40 @@ def leaderboard(results: DataFrame) -> DataFrame:
     return last.withColumn("rank", F.row_number().over(order))
 
 
+def improves(fpr: Column, recall: Column, old_fpr: Column, old_recall: Column, guard: float = 98.0, fpr_step: float = 0.2, recall_step: float = 1.0) -> Column:
+    """Whether a candidate improves on an incumbent meaningfully; all in percentage points, NULL counts as 0.
+
+    Reaching the guard does. Otherwise the fpr falls by fpr_step at a loss of recall of recall_step at most, or
+    recall rises by recall_step at a rise of fpr of fpr_step at most; never by leaving the guard.
+    """
+    fpr, recall, old_fpr, old_recall = (F.coalesce(c, F.lit(0.0)) for c in (fpr, recall, old_fpr, old_recall))
+    traded = ((old_fpr - fpr >= fpr_step) & (recall >= old_recall - recall_step)) | ((recall - old_recall >= recall_step) & (fpr <= old_fpr + fpr_step))
+    return F.when((recall >= guard) & (old_recall < guard), True).otherwise(traded)
+
+
+def candidate_loop(candidates: list, evaluate: Callable[[object], tuple[float, float, float]], incumbent: tuple[float, float, float], spark, patience: int = 3, guard: float = 98.0) -> tuple[int | None, str, DataFrame]:
+    """(index of the winner or None, stop reason, table of trials): candidates are tried in order.
+
+    evaluate gives (fpr, recall, precision) in percentage points on the validation part, which Spark computes.
+    One that improves meaningfully and ranks higher becomes the incumbent; after ``patience`` in a row that do
+    not improve the loop stops. Only these few numbers are on the driver.
+    """
+    rank = lambda m: (m[1] >= guard, -m[0], m[1], m[2])
+    held, winner, idle, reason, rows = incumbent, None, 0, "candidates_exhausted", []
+    for i, candidate in enumerate(candidates):
+        new = evaluate(candidate)
+        pair = spark.createDataFrame([(*map(float, new[:2]), *map(float, held[:2]))], "a double, b double, c double, d double")
+        better = pair.select(improves(F.col("a"), F.col("b"), F.col("c"), F.col("d"), guard)).first()[0]
+        rows.append((i, *map(float, new), bool(better), winner))
+        if better and rank(new) > rank(held):
+            held, winner = new, i
+        idle = 0 if better else idle + 1
+        if idle >= patience:
+            reason = "no_meaningful_improvement"
+            break
+    return winner, reason, spark.createDataFrame(rows, "trial int, fpr double, recall double, precision double, improves boolean, against int")
+
+
 def selection_score() -> Column:
     return 0.35 * F.col("recall") + 0.25 * F.col("average_precision") + 0.2 * F.col("f1") - 0.3 * F.col("fpr") - 0.1 * F.col("brier")
 
@@ -207,8 +252,8 @@ def parity(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def distribution(scored: DataFrame, *groups: str, value: str = "p") -> DataFrame:
     """Minimum, exact percentiles and maximum."""
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)]))
-    names = ("p01", "p05", "p25", "p50", "p75", "p95", "p99")
+    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)]))
+    names = ("p01", "p05", "p25", "p50", "p75", "p90", "p95", "p99")
     out = scored.groupBy(*groups).agg(F.count(value).alias("n"), F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"), F.avg(value).alias("mean"))
     return out.select(*groups, "n", "min", *[F.col("_q")[i].alias(c) for i, c in enumerate(names)], "max", "mean")
 
@@ -226,6 +271,11 @@ def binned_misses(positives: DataFrame, threshold: float, edges: dict[str, list[
     return long.groupBy("dimension", "value").agg(F.count("*").alias("samples"), F.count_if("miss").alias("missed"), F.avg(F.col("miss").cast("double")).alias("miss_rate"))
 
 
+def worst_groups(misses: DataFrame, n: int = 20) -> DataFrame:
+    """The n rows of binned_misses with the most missed, then the highest rate."""
+    return misses.orderBy(F.desc("missed"), F.desc("miss_rate"), "dimension", "value").limit(n)
+
+
 def error_groups(scored: DataFrame, threshold: float, groups: dict[str, str]) -> DataFrame:
     """False positives and negatives by each grouping: (group_type, key)."""
     hit = F.col("p") >= threshold
@@ -257,11 +307,16 @@ def budget_thresholds(scored: DataFrame, below_safe: float = 0.02, at_phishing:
     return out.withColumn("safe", F.when(F.col("phishing") <= F.col("safe"), F.least("safe", F.greatest(F.col("phishing") - 0.05, F.lit(0.0)))).otherwise(F.col("safe")))
 
 
-def next_negative_threshold(scored: DataFrame, budget: float = 0.02) -> DataFrame:
-    """The lowest negative score above the cut that leaves floor(budget * negatives) of them; infinity if there is none."""
-    per = _thresholds(by_score(scored)).filter("neg > 0")
-    fits = F.col("neg_ge") <= F.floor(budget * F.col("all_neg"))
-    return per.agg(F.coalesce(F.min(F.when(fits, F.col("p"))), F.lit(float("inf"))).alias("phishing"))
+def next_negative_threshold(scored: DataFrame, budget: float = 0.02, below_safe: float = 0.02, defaults: tuple[float, float] = (0.45, 0.85)) -> DataFrame:
+    """(safe, phishing) by sorted index: the positive score of index floor(below_safe * positives), which gives way, and
+    the lowest negative score above the cut that leaves floor(budget * negatives) of them, infinity if there is none."""
+    per = _thresholds(by_score(scored))
+    below = F.col("all_pos") - F.col("pos_ge") + F.col("pos")
+    safe = F.min(F.when((F.col("pos") > 0) & (below >= F.least(F.floor(below_safe * F.col("all_pos")) + 1, "all_pos")), F.col("p")))
+    fits = (F.col("neg") > 0) & (F.col("neg_ge") <= F.floor(budget * F.col("all_neg")))
+    phishing = F.when(F.sum("neg") > 0, F.coalesce(F.min(F.when(fits, F.col("p"))), F.lit(float("inf")))).otherwise(defaults[1])
+    out = per.agg(F.coalesce(safe, F.lit(defaults[0])).alias("safe"), phishing.alias("phishing"))
+    return out.withColumn("safe", F.when(F.col("phishing") <= F.col("safe"), F.least("safe", F.greatest(F.col("phishing") - 0.05, F.lit(0.0)))).otherwise(F.col("safe")))
 
 
 def false_positive_threshold(scored: DataFrame, budget: float = 0.005) -> DataFrame:
@@ -271,26 +326,55 @@ def false_positive_threshold(scored: DataFrame, budget: float = 0.005) -> DataFr
     return per.agg(F.coalesce(F.max(F.when(over, F.col("p"))), F.lit(-1.0)).alias("above"))
 
 
-def domain_threshold(scored: DataFrame, domain: str, limit: float = 0.02) -> DataFrame:
-    """Most recall with at most ``limit`` of the legitimate domains hit; ties to the higher threshold."""
-    tops = scored.filter("label = 0").groupBy(domain).agg(F.max("p").alias("p")).select("p", F.lit(0).alias("label"))
-    both = tops.unionByName(scored.filter("label = 1").select("p", F.lit(1).alias("label")))
-    per = _thresholds(by_score(both)).filter(F.col("neg_ge") <= limit * F.col("all_neg"))
-    best = per.orderBy(F.desc("pos_ge"), F.desc("p")).limit(1)
-    return best.select(F.col("p").alias("phishing"), (F.col("pos_ge") / F.col("all_pos")).alias("recall"), (F.col("neg_ge") / F.col("all_neg")).alias("domain_fpr"))
+#: The next number above 1: no probability reaches it.
+ABOVE_ONE = 1.0 + 2.0**-52
+
+
+def _one_more(scored: DataFrame, p: float, columns: dict[str, Column]) -> DataFrame:
+    return scored.sparkSession.range(1).select(F.lit(p).alias("p"), *[c.alias(n) for n, c in columns.items()])
 
 
-def weighted_threshold(scored: DataFrame, weight: str, dynamic: str, limit: float = 0.01) -> DataFrame:
-    """Most recall, then the lowest negative score (or 1), with weighted fpr and fpr of dynamic negatives within limits; infinity if infeasible."""
+def domain_threshold(scored: DataFrame, domain: str, limit: float = 0.02) -> DataFrame:
+    """Most recall with at most ``limit`` of the legitimate domains hit; ties to the higher threshold.
+
+    Asked for are the scores of positives, the highest of each legitimate domain, and one above 1, which always fits.
+    """
+    neg = F.col("label") == 0
+    tops = scored.filter(neg).groupBy(domain).agg(F.max("p").alias("p")).select("p", F.lit(1).alias("t"), F.lit(0).alias("y"), F.lit(0).alias("c"))
+    every = scored.select("p", F.lit(0).alias("t"), (F.col("label") == 1).cast("int").alias("y"), neg.cast("int").alias("c"))
+    both = tops.unionByName(every).unionByName(_one_more(scored, ABOVE_ONE, {n: F.lit(0) for n in "tyc"}))
+    per = from_the_top(both.groupBy("p").agg(*[F.sum(c).alias(c) for c in "tyc"]), ["t", "y", "c"])
+    total = per.agg(*[F.sum(c).alias(f"all_{c}") for c in "tyc"])
+    per = per.crossJoin(F.broadcast(total)).filter("t > 0 OR y > 0 OR p > 1").filter(F.col("t_ge") <= limit * F.col("all_t"))  # one row
+    best = per.orderBy(F.desc("y_ge"), F.desc("p")).limit(1)
+    rate = lambda c: _ratio(F.col(f"{c}_ge"), F.col(f"all_{c}"))
+    return best.select(F.col("p").alias("phishing"), rate("y").alias("recall"), rate("t").alias("domain_fpr"), rate("c").alias("url_fpr"))
+
+
+def weighted_threshold(scored: DataFrame, weight: str, dynamic: str, limit: float = 0.01, below_safe: float = 0.02) -> DataFrame:
+    """(safe, phishing, feasible, recall, weighted_fpr, dynamic_fpr).
+
+    phishing: of the negative scores and 1 those with weighted fpr and fpr of dynamic negatives within limits, most
+    recall, then the lowest; the next number above 1 if infeasible. safe: the highest positive score (or 0) with
+    at most a share below_safe of the weight of positives below it; it gives way to phishing.
+    """
     neg, pos = F.col("label") == 0, F.col("label") == 1
-    rows = scored.select("p", F.when(neg, F.col(weight)).otherwise(0.0).alias("w"), F.when(neg & F.col(dynamic), 1).otherwise(0).alias("d"), pos.cast("int").alias("y"), neg.cast("int").alias("c"))
-    per = rows.groupBy("p").agg(*[F.sum(c).alias(c) for c in "wdyc"])
-    up = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = per.agg(F.sum("w").alias("all_w"), F.sum("d").alias("all_d"), F.sum("y").alias("all_y"))
-    per = per.select("p", "c", *[F.sum(x).over(up).alias(x) for x in "wdy"]).crossJoin(F.broadcast(total))
-    fits = (F.col("w") / F.greatest("all_w", F.lit(1.0)) <= limit) & (F.col("d") <= limit * F.col("all_d"))
-    best = per.filter((F.col("c") > 0) & fits).agg(F.max_by(F.struct("p", (F.col("y") / F.col("all_y")).alias("recall")), F.struct("y", -F.col("p"))).alias("b"))
-    return best.select(F.coalesce("b.p", F.lit(float("inf"))).alias("phishing"), F.coalesce("b.recall", F.lit(0.0)).alias("recall"))
+    zero = lambda c, x: F.when(c, x).otherwise(0)
+    rows = scored.select("p", zero(neg, F.col(weight)).alias("w"), zero(neg & F.col(dynamic), 1).alias("d"), pos.cast("int").alias("y"), neg.cast("int").alias("c"), zero(pos, F.col(weight)).alias("v"))
+    names = ["w", "d", "y", "v"]
+    rows = rows.unionByName(_one_more(scored, 1.0, {"w": F.lit(0), "d": F.lit(0), "y": F.lit(0), "c": F.lit(1), "v": F.lit(0)}))
+    per = from_the_top(rows.groupBy("p").agg(*[F.sum(c).alias(c) for c in [*names, "c"]]), names)
+    per = per.crossJoin(F.broadcast(per.agg(*[F.sum(x).alias(f"all_{x}") for x in names])))  # one row
+    weighted, moving = F.col("w_ge") / F.greatest("all_w", F.lit(1.0)), _ratio(F.col("d_ge"), F.col("all_d"))
+    fits = (F.col("c") > 0) & (weighted <= limit) & (F.col("d_ge") <= limit * F.col("all_d"))
+    found = F.struct("p", _ratio(F.col("y_ge"), F.col("all_y")).alias("recall"), weighted.alias("weighted_fpr"), moving.alias("dynamic_fpr"))
+    low = (F.col("all_v") - F.col("v_ge")) / F.greatest("all_v", F.lit(1.0)) <= below_safe
+    best = per.agg(F.max_by(F.when(fits, found), F.when(fits, F.struct("y_ge", -F.col("p")))).alias("b"), F.max(F.when((F.col("y") > 0) & low, F.col("p"))).alias("s"))
+    phishing, safe = F.coalesce("b.p", F.lit(ABOVE_ONE)), F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(0.0))
+    return best.select(
+        F.when(safe >= phishing, F.greatest(phishing - 1e-6, F.lit(0.0))).otherwise(safe).alias("safe"), phishing.alias("phishing"), F.col("b").isNotNull().alias("feasible"),
+        F.coalesce("b.recall", F.lit(0.0)).alias("recall"), F.col("b.weighted_fpr").alias("weighted_fpr"), F.col("b.dynamic_fpr").alias("dynamic_fpr"),
+    )
 
 
 def guarded_threshold(scored: DataFrame, safe: float = 0.45, guard: float = 0.98) -> DataFrame:
@@ -303,15 +387,19 @@ def guarded_threshold(scored: DataFrame, safe: float = 0.45, guard: float = 0.98
     return best.select(F.col("p").alias("phishing"), "recall", "fpr", met.alias("guard_met"))
 
 
-def grid_threshold(scored: DataFrame, limit: float = 0.015, low: float = 0.05, high: float = 0.999, steps: int = 2000) -> DataFrame:
-    """Most recall with fpr within limit over a grid and all scores; ties to lower fpr, then to the higher threshold.
+def grid_threshold(scored: DataFrame, limit: float = 0.015, high: float = 0.999) -> DataFrame:
+    """Most recall with fpr within limit over all scores and a grid that ends at high; ties to lower fpr, then to the higher threshold.
 
-    Between two scores all thresholds count alike, so each score is asked for, and the highest grid point up to it from the score below.
+    Between two scores all thresholds count alike, so of the grid only its end can win, where it is above all
+    scores. Where nothing fits, phishing, recall and fpr are NULL and feasible is false.
     """
-    per = _thresholds(by_score(scored))
-    fits = per.filter(F.col("neg_ge") <= limit * F.col("all_neg"))
-    best = fits.orderBy(F.desc("pos_ge"), "neg_ge", F.desc("p")).limit(1)
-    return best.select(F.col("p").alias("phishing"), (F.col("pos_ge") / F.col("all_pos")).alias("recall"), (F.col("neg_ge") / F.col("all_neg")).alias("fpr"))
+    end = _one_more(scored, high, {"pos": F.lit(0), "neg": F.lit(0)})
+    per = scored.groupBy("p").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")).unionByName(end)
+    per = _thresholds(from_the_top(per.groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), ["pos", "neg"]))
+    fits = F.col("neg_ge") <= limit * F.col("all_neg")
+    found = F.struct("p", _ratio(F.col("pos_ge"), F.col("all_pos")).alias("recall"), _ratio(F.col("neg_ge"), F.col("all_neg")).alias("fpr"))
+    best = per.agg(F.max_by(F.when(fits, found), F.when(fits, F.struct("pos_ge", -F.col("neg_ge"), "p"))).alias("b"))
+    return best.select(F.col("b.p").alias("phishing"), F.col("b.recall").alias("recall"), F.col("b.fpr").alias("fpr"), F.col("b").isNotNull().alias("feasible"))
 
 
 def evidence(f: dict[str, Column] | None = None) -> Column:

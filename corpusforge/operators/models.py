@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, StandardScaler, VectorAssembler
@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusforge.operators import metrics as M
 
@@ -22,15 +23,15 @@ def char_grams(text: Column, low: int, high: int) -> Column:
     return F.flatten(F.array(*[one(n) for n in range(low, high + 1)]))
 
 
-@F.udf(VectorUDT())  # one small helper per row; MLlib has no sublinear counts
+@F.udf(VectorUDT())  # one small helper per row; MLlib has no sublinear counts, and vectors do not travel in Arrow batches
 def _sublinear(v):
-    return SparseVector(v.size, v.indices, [1.0 + math.log(x) for x in v.values])
+    return SparseVector(v.size, v.indices, 1.0 + np.log(v.values))
 
 
-@F.udf("n int, norm double")  # as small; vector_to_array would make the vector dense
+@F.udf(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("norm", T.DoubleType())]))  # as small; vector_to_array would make the vector dense
 def nonzeros(v):
     """Entries above 0 of a sparse vector, and the sum of its squares."""
-    return sum(1 for x in v.values if x > 0), float(sum(x * x for x in v.values))
+    return int((v.values > 0).sum()), float(v.values @ v.values)
 
 
 class TfIdf:
@@ -91,6 +92,27 @@ def blend(df: DataFrame, weights: dict[str, float], out: str = "raw_p") -> DataF
     return df.withColumn(out, reduce(lambda a, b: a + b, [F.col(c) * w for c, w in weights.items()]))
 
 
+class Stacked:
+    """A logistic curve over the scores of several calibrated models, fitted on rows of their calibration part (label, the scores, an optional weight)."""
+
+    def __init__(self, scored: DataFrame, columns: list[str], weight: str | None = None):
+        self.assembler = VectorAssembler(inputCols=columns, outputCol="_v")
+        self.curve = LogisticRegression(featuresCol="_v", labelCol="label", maxIter=1000, **({"weightCol": weight} if weight else {})).fit(self.assembler.transform(scored))
+
+    def transform(self, df: DataFrame, out: str = "p") -> DataFrame:
+        return probability(self.curve.transform(self.assembler.transform(df)), out).drop("_v")
+
+
+def ablation(train: DataFrame, test: DataFrame, columns: list[str], without: list[str], estimator) -> DataFrame:
+    """(variant, n_features, roc_auc, average_precision) of a model refitted without some columns beside the full one."""
+    parts = []
+    for name, kept in (("full", columns), ("without", [c for c in columns if c not in without])):
+        model = Pipeline(stages=[numeric(kept), estimator]).fit(train)
+        scored = probability(model.transform(test)).select("label", "p")
+        parts.append(M.ranking(scored).select(F.lit(name).alias("variant"), F.lit(len(kept)).alias("n_features"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
 def importance(model, columns: list[str], spark, top: int = 10) -> DataFrame:
     """(feature, importance) of trees or absolute coefficients, normalised to 1, the highest first."""
     last = model.stages[-1] if isinstance(model, PipelineModel) else model
@@ -99,16 +121,20 @@ def importance(model, columns: list[str], spark, top: int = 10) -> DataFrame:
     return spark.createDataFrame([(c, float(v) / total) for c, v in zip(columns, values)], "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
 
 
+#: Rows that are exchanged among each other, and ordered in one task.
+BUCKET_ROWS = 10_000
+
+
 def permutation_importance(model, df: DataFrame, columns: list[str], key: str, repeats: int = 3) -> DataFrame:
     """(feature, mean_drop, std_drop) of average precision when one column is exchanged between rows.
 
     Rows get places by two hash orders within hash buckets of the key, so no task orders all rows.
     """
-    base = M.ranking(probability(model.transform(df))).first()["average_precision"]
+    base, base_rows = M.ranking(probability(model.transform(df))).first()["average_precision"], df.count()
     out = []
     from pyspark.sql import Window
 
-    bucket = F.pmod(F.xxhash64(key), F.lit(64))
+    bucket = F.pmod(F.xxhash64(key), F.lit(max(1, base_rows // BUCKET_ROWS)))
     for c in columns:
         for r in range(repeats):
             place = lambda seed: F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(seed)), key))

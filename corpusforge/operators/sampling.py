@@ -18,10 +18,52 @@ def stable(key: str | Column, seed: str = "") -> Column:
     return F.sha2(F.concat(F.lit(seed), key.cast("string")) if seed else key.cast("string"), 256)
 
 
+#: Hexadecimal digits of a digest that name a bucket: 65,536 buckets, whose counts are all that comes together.
+DIGITS = 4
+
+
+def first_part(df: DataFrame, groups: list[str], key: str, take: Column, seed: str = "", flag: str = "_in") -> DataFrame:
+    """df with flag: whether a row is among the first ``take`` of its group by digest, then key; take may use _size, the rows of the group.
+
+    Rows are counted by digest bucket first, merged before the shuffle, so a rank is a sum over buckets and a
+    rank within one: a group of a third of all rows spreads over its buckets.
+    """
+    df = df.withColumn("_bucket", F.substring(stable(key, seed), 1, DIGITS))
+    counts = df.groupBy(*groups, "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_size", F.sum("_n").over(Window.partitionBy(*groups))).drop("_n")
+    same = None
+    for c in [*groups, "_bucket"]:
+        counts = counts.withColumnRenamed(c, f"_k_{c}")
+        cond = F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        same = cond if same is None else same & cond
+    within = F.row_number().over(Window.partitionBy(*groups, "_bucket").orderBy(stable(key, seed), key))
+    out = df.join(counts, same).withColumn(flag, F.col("_before") + within <= take)
+    return out.drop("_bucket", "_before", "_size", *[f"_k_{c}" for c in [*groups, "_bucket"]])
+
+
+def _cut_scores(domains: DataFrame, places: list[int]) -> dict[int, str]:
+    """The scores (_s) at the given places (from 1) in the order of (_s, _d): counts by bucket, then only the buckets that hold a place are sorted."""
+    bucket = F.substring("_s", 1, DIGITS)
+    seen, wanted = 0, {}
+    for row in domains.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect():  # at most 16 ** DIGITS rows
+        for at in places:
+            if seen < at <= seen + row.n:
+                wanted[at] = (row.b, at - seen)
+        seen += row.n
+    if not wanted:
+        return {}
+    inside = domains.withColumn("_b", bucket).filter(F.col("_b").isin(sorted({b for b, _ in wanted.values()})))
+    inside = inside.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy("_s", "_d")))
+    hit = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(n).alias("n")) for b, n in wanted.values()])
+    found = {(r["_b"], r["_n"]): r["_s"] for r in inside.filter(F.array_contains(hit, F.struct(F.col("_b").alias("b"), F.col("_n").alias("n")))).collect()}
+    return {at: found[where] for at, where in wanted.items()}
+
+
 def fraction_split(df: DataFrame, domain: str, reference: Column, seed: str, fractions: tuple[tuple[str, float], ...]) -> DataFrame:
     """df with split: cut-offs at the ranks of the reference rows' domains, all domains placed by their score.
 
-    Each part gets at least one reference domain if there are enough. It ranks one row per reference domain.
+    Each part gets at least one reference domain if there are enough.
     """
     score = stable(domain, f"{seed}:split:")
     domains = df.filter(reference).select(F.col(domain).alias("_d"), F.substring(score, 1, 16).alias("_s")).distinct()
@@ -31,8 +73,7 @@ def fraction_split(df: DataFrame, domain: str, reference: Column, seed: str, fra
         upto += share
         bounds.append((name, min(max(round(upto * n), i + 1), max(n - (len(fractions) - 1 - i), i + 1))))
     # cut-offs: the score of the first domain of the next part
-    ranked = domains.withColumn("_n", F.row_number().over(Window.orderBy("_s", "_d")))
-    cut = {r["_n"]: r["_s"] for r in ranked.filter(F.col("_n").isin([b + 1 for _, b in bounds])).select("_n", "_s").collect()}
+    cut = _cut_scores(domains, [b + 1 for _, b in bounds])
     place = F.lit(fractions[-1][0])
     for name, b in reversed(bounds):
         if b + 1 in cut:
@@ -42,6 +83,22 @@ def fraction_split(df: DataFrame, domain: str, reference: Column, seed: str, fra
     return df.withColumn("split", place)
 
 
+def rank_split(df: DataFrame, domain: str, salt: str, fractions: tuple[tuple[str, float], ...] = (("train", 0.35), ("calibration", 0.15), ("validation", 0.15), ("test", 0.35))) -> DataFrame:
+    """df with split: domains in the order of a salted digest, each part round(share * domains) of them, the last the rest."""
+    score = stable(domain, f"{salt}:")
+    domains = df.select(F.col(domain).alias("_d"), score.alias("_s")).distinct()
+    n = domains.count()
+    ends, upto = [], 0
+    for name, share in fractions[:-1]:
+        upto += round(n * share)
+        ends.append((name, upto))
+    cut = _cut_scores(domains, [e + 1 for _, e in ends])
+    place = F.lit(fractions[-1][0])
+    for name, end in reversed(ends):
+        place = F.when(score < cut[end + 1], name).otherwise(place) if end + 1 in cut else F.lit(name)
+    return df.withColumn("split", place)
+
+
 def group_split(df: DataFrame, group: str, seed: int, fractions: tuple[tuple[str, float], ...], label: str = "label", tries: int = 100) -> DataFrame:
     """df with split: whole groups, placed by hash, the first seed from ``seed`` on that leaves both classes in each part."""
     cuts, upto = [], 0.0
@@ -107,9 +164,7 @@ def holdout_by_size(df: DataFrame, domain: str, share: float = 0.15) -> DataFram
 
 def stratified_split(df: DataFrame, strata: list[str], key: str, share: float = 0.2) -> DataFrame:
     """df with test: in each stratum floor(share * n) rows, the first by hash."""
-    n = F.count("*").over(Window.partitionBy(*strata))
-    r = F.row_number().over(Window.partitionBy(*strata).orderBy(stable(key), key))
-    return df.withColumn("test", r <= F.floor(n * share))
+    return first_part(df, strata, key, F.floor(F.col("_size") * share), flag="test")
 
 
 def sample(df: DataFrame, key: str, n: int, seed: str = "") -> DataFrame:
@@ -164,8 +219,8 @@ def cohort_quota(df: DataFrame, cohort: str, domain: str, key: str, per_domain:
     if ratio == 1:
         zero = one = F.least(zero, one)
     take = F.when(F.col(label) == 0, zero).otherwise(one)
-    ranked = capped.withColumn("_n", F.row_number().over(Window.partitionBy(cohort, label).orderBy(h, key)))
-    return ranked.join(n, cohort).filter(F.col("_n") <= take).drop("_d", "_n", "_0", "_1")
+    ranked = first_part(capped.join(n, cohort), [cohort, label], key, take)
+    return ranked.filter("_in").drop("_d", "_in", "_0", "_1")
 
 
 def top_by_hash(df: DataFrame, groups: list[str], key: str, k: int) -> DataFrame:

@@ -218,10 +218,71 @@ def _(spark, d):
     return O.top_domains(rows(spark, d), "site")
 
 
-@query("admissibility", f"WITH {ROWS}, v AS (SELECT source, CASE WHEN source = 'alpha' THEN label::VARCHAR WHEN source = 'beta' THEN '0' WHEN page_id % 2 = 0 THEN 'x' ELSE '0' END AS raw FROM r) SELECT source, count(*) AS n_rows, CASE source WHEN 'alpha' THEN 'labels_not_all_zero' WHEN 'beta' THEN 'valid' ELSE 'non_integer_labels' END AS status FROM v GROUP BY source")
+@query("admissibility", f"""WITH {ROWS}, v AS (SELECT source, CASE WHEN source = 'alpha' THEN label::VARCHAR WHEN source = 'beta' THEN '0' WHEN page_id % 2 = 0 THEN 'x' ELSE '0' END AS raw FROM r)
+  SELECT source, count(*) AS n_rows, CASE source WHEN 'alpha' THEN 'labels_not_all_zero' WHEN 'beta' THEN 'valid' ELSE 'non_integer_labels' END AS status FROM v GROUP BY source UNION ALL SELECT 'delta', 0, 'missing'""")
 def _(spark, d):
     raw = F.when(F.col("source") == "alpha", F.col("label").cast("string")).when((F.col("source") == "gamma") & (F.col("page_id") % 2 == 0), "x").otherwise("0")
-    return O.admissibility(rows(spark, d).withColumn("raw", raw), "source", "url", "raw")
+    expected = spark.createDataFrame([(x,) for x in ("alpha", "beta", "gamma", "delta")], "source string")
+    return O.admissibility(rows(spark, d).withColumn("raw", raw), "source", "url", "raw", expected)
+
+
+#: The shapes of observation, by page_id: 0 to 8 break a rule each, or none; the SQL restates the rules for them.
+OBSERVED = """o AS (SELECT page_id, page_id % 9 AS k, 'https://' || host || path AS good, registered_domain AS dom FROM u),
+n AS (SELECT *, CASE k WHEN 1 THEN NULL ELSE good END AS url, CASE k WHEN 2 THEN good || '/x' ELSE good END AS normalized_url, CASE k WHEN 3 THEN 1 ELSE 0 END AS label, CASE k WHEN 4 THEN 'evil' || dom ELSE dom END AS registered_domain,
+  CASE k WHEN 5 THEN 'https://evil' || dom || '/' WHEN 6 THEN 'http://www.' || dom || '/a?b#c' ELSE 'https://' || dom || '/' END AS source_page_url, CASE k WHEN 7 THEN 'http_404_elsewhere' WHEN 8 THEN 'done' ELSE 'http_200_same_registered_domain' END AS status FROM o)"""
+
+
+@query("provenance", f"""WITH {SPLIT}, {OBSERVED} SELECT page_id, CASE k WHEN 1 THEN ['missing:url'] WHEN 2 THEN ['not_normalized'] WHEN 3 THEN ['label_not_zero'] WHEN 4 THEN ['domain_mismatch'] WHEN 5 THEN ['leaves_first_party_domain'] WHEN 6 THEN ['not_https']
+  WHEN 7 THEN ['not_2xx', 'not_same_domain'] WHEN 8 THEN ['malformed'] ELSE []::VARCHAR[] END AS errors FROM n""")
+def _(spark, d):
+    k = F.col("page_id") % 9
+    good = F.concat(F.lit("https://"), F.col("host"), F.regexp_extract("normalized_url", "^[a-z]+://[^/?#]*([^?#]*)", 1))
+    dom = F.col("registered_domain")
+    rows_ = canonical(spark, d).select(
+        "page_id", F.when(k != 1, good).alias("url"), F.when(k == 2, F.concat(good, F.lit("/x"))).otherwise(good).alias("normalized_url"), F.when(k == 3, 1).otherwise(0).alias("label"),
+        F.when(k == 4, F.concat(F.lit("evil"), dom)).otherwise(dom).alias("registered_domain"), F.when(k == 5, F.concat(F.lit("https://evil"), dom, F.lit("/"))).when(k == 6, F.concat(F.lit("http://www."), dom, F.lit("/a?b#c"))).otherwise(F.concat(F.lit("https://"), dom, F.lit("/"))).alias("source_page_url"),
+        good.alias("verified_final_url"), F.when(k == 7, "http_404_elsewhere").when(k == 8, "done").otherwise("http_200_same_registered_domain").alias("verification_status"), F.lit("pages").alias("source"),
+        F.lit("observed").alias("collection_method"), F.lit("text/html").alias("verified_content_type"), F.lit("2024-05-06").alias("collection_date"), F.lit("seen on a page").alias("provenance"),
+    )
+    return O.provenance_errors(rows_).select("page_id", "errors")
+
+
+@query("remove_overlaps", f"""WITH {ROWS}, e AS (SELECT DISTINCT site FROM r WHERE label = 1), h AS (SELECT DISTINCT site FROM r WHERE source = 'gamma'), n AS (SELECT page_id, site, site IN (FROM e) AS old, site IN (FROM h) AS held FROM r WHERE source = 'alpha')
+  SELECT count(*) AS n_rows, count(*) FILTER (WHERE old) AS removed_existing, count(*) FILTER (WHERE held AND NOT old) AS removed_holdout, count(*) FILTER (WHERE NOT old AND NOT held) AS kept FROM n""")
+def _(spark, d):
+    df = rows(spark, d)
+    return O.remove_overlaps(df.filter("source = 'alpha'"), "site", df.filter("label = 1"), df.filter("source = 'gamma'"))[1]
+
+
+@query("remaining_rows", f"WITH {ROWS} SELECT page_id, site FROM r WHERE source = 'alpha' AND site NOT IN (SELECT site FROM r WHERE label = 1 AND source = 'beta') AND site NOT IN (SELECT site FROM r WHERE label = 1 AND source = 'gamma')")
+def _(spark, d):
+    df = rows(spark, d)
+    return O.remove_overlaps(df.filter("source = 'alpha'"), "site", df.filter("label = 1 AND source = 'beta'"), df.filter("label = 1 AND source = 'gamma'"))[0].select("page_id", "site")
+
+
+@query("identity_guard", f"WITH {ROWS} SELECT min(page_id) AS page_id, normalized_url FROM r WHERE label = 0 AND analysis_url NOT IN (SELECT analysis_url FROM r WHERE label = 1) GROUP BY normalized_url")
+def _(spark, d):
+    df = rows(spark, d)
+    kept, _ = O.identity_guard(df.filter("label = 0"), df.filter("label = 1"), "analysis_url", "normalized_url", "page_id")
+    return kept.select("page_id", "normalized_url")
+
+
+@query("composition", f"""WITH {ROWS}, k AS (SELECT CASE WHEN ('0x' || substr(sha256(site), 1, 8))::BIGINT % 100 < 70 THEN 'train' ELSE 'test' END AS split, source AS category, count(*) AS n_rows FROM r GROUP BY 1, 2),
+  q AS (SELECT split, category, 1000 AS quota FROM (VALUES ('train'), ('test')) a(split), (VALUES ('alpha'), ('beta'), ('none')) b(category)) SELECT split, category, coalesce(n_rows, 0) AS n_rows, quota, greatest(coalesce(quota, 0) - coalesce(n_rows, 0), 0) AS shortfall FROM k FULL JOIN q USING (split, category)""")
+def _(spark, d):
+    from corpusforge.functions import urls as U
+
+    df = rows(spark, d).withColumn("split", U.split_of(U.hash_bucket(F.col("site")), (("train", 70), ("test", 100))))
+    return O.composition(df, "split", "source", spark.createDataFrame([(a, b, 1000) for a in ("train", "test") for b in ("alpha", "beta", "none")], "split string, category string, quota int"))
+
+
+@query("readiness", f"""WITH {TAGGED}, a AS (SELECT *, CASE page_id % 4 WHEN 0 THEN 'http_200_ok' WHEN 1 THEN 'got HTTP_404' WHEN 2 THEN 'http_301' ELSE 'none' END AS status FROM tg WHERE source <> 'beta'), b AS (SELECT site, analysis_url FROM tg WHERE source = 'beta')
+  SELECT count(*) AS n_rows, count(DISTINCT analysis_url) AS n_urls, count(DISTINCT site) AS n_domains, count(*) FILTER (WHERE page_id % 4 = 0) AS n_2xx, count(*) FILTER (WHERE page_id % 4 = 2) AS n_3xx, count(*) FILTER (WHERE page_id % 4 = 1) AS n_4xx, 0::BIGINT AS n_5xx,
+    count(*) FILTER (WHERE page_id % 4 = 3) AS n_without_status, count(DISTINCT analysis_url) FILTER (WHERE analysis_url IN (SELECT analysis_url FROM b)) AS overlapping_urls, count(DISTINCT site) FILTER (WHERE site IN (SELECT site FROM b)) AS overlapping_domains,
+    list_sort(list_filter(['absent', 'query'], lambda t: NOT coalesce(list_contains(flatten(list(tags)), t), false))) AS missing_tags FROM a""")
+def _(spark, d):
+    df = _tagged(spark, d).withColumn("status", F.element_at(F.array(F.lit("http_200_ok"), F.lit("got HTTP_404"), F.lit("http_301"), F.lit("none")), (F.col("page_id") % 4 + 1).cast("int")))
+    return O.readiness(df.filter("source <> 'beta'"), df.filter("source = 'beta'"), ["absent", "query"], "analysis_url", "site", "tags", "status")
 
 
 @query("fingerprint")

@@ -51,6 +51,11 @@ def _(spark, d):
     return L.facet_counts(log(spark, d), ["verdict", "event_type"])
 
 
+@query("older_scans", f"WITH {LOG} SELECT event_id, verdict FROM e WHERE event_id < 900 ORDER BY event_id DESC LIMIT 50")
+def _(spark, d):
+    return L.older(log(spark, d), 900, 50, "event_id").select("event_id", "verdict")
+
+
 @query("latest_scans", f"WITH {LOG} SELECT event_id, verdict FROM e ORDER BY ts DESC, event_id DESC LIMIT 100")
 def _(spark, d):
     return L.newest(log(spark, d), 100, F.desc("ts"), F.desc("event_id")).select("event_id", "verdict")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusforge.operators import metrics as M
+from corpusforge.plans.urls import URL_FEATURES
 
 Q, S = {}, {}
 
@@ -176,7 +177,7 @@ def _(spark, d):
     return M.parity(*paths)
 
 
-QUANTILES = ", ".join(f"round(quantile_cont(p, {q}), 9) AS {n}" for q, n in ((0.01, "p01"), (0.05, "p05"), (0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.95, "p95"), (0.99, "p99")))
+QUANTILES = ", ".join(f"round(quantile_cont(p, {q}), 9) AS {n}" for q, n in ((0.01, "p01"), (0.05, "p05"), (0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99")))
 
 
 @query("distribution", f"WITH {SCORED} SELECT label, count(*) AS n, round(min(p), 9) AS min, {QUANTILES}, round(max(p), 9) AS max, round(avg(p), 9) AS mean FROM s GROUP BY label")
@@ -211,7 +212,10 @@ def _(spark, d):
     return rounded(M.budget_thresholds(scored(spark, d)))
 
 
-@query("next_negative_threshold", f"WITH {SCORED} SELECT coalesce(min(p) FILTER (WHERE neg_ge <= floor(0.02::DOUBLE * nn)), 'infinity'::DOUBLE) AS phishing FROM c WHERE neg > 0")
+@query("next_negative_threshold", f"""WITH {SCORED}, n AS (SELECT list(p ORDER BY p) FILTER (WHERE label = 1) AS ps FROM s),
+  t AS (SELECT coalesce(min(p) FILTER (WHERE neg > 0 AND neg_ge <= floor(0.02::DOUBLE * nn)), 'infinity'::DOUBLE) AS phishing FROM c),
+  k AS (SELECT ps[least(floor(0.02::DOUBLE * len(ps))::INT + 1, len(ps))] AS safe, phishing FROM n, t)
+  SELECT CASE WHEN phishing <= safe THEN least(safe, greatest(phishing - 0.05, 0)) ELSE safe END AS safe, phishing FROM k""")
 def _(spark, d):
     return M.next_negative_threshold(scored(spark, d))
 
@@ -221,30 +225,81 @@ def _(spark, d):
     return M.false_positive_threshold(scored(spark, d), 0.05)
 
 
-@query("domain_threshold", f"""WITH {SCORED}, m AS (SELECT source, max(p) AS p FROM s WHERE label = 0 GROUP BY source), a AS (SELECT p, 0 AS label FROM m UNION ALL SELECT p, 1 FROM s WHERE label = 1), g AS (SELECT p, sum(label) AS pos, sum(1 - label) AS neg FROM a GROUP BY p),
-  h AS (SELECT p, sum(pos) OVER (ORDER BY p DESC) AS pg, sum(neg) OVER (ORDER BY p DESC) AS ng, sum(pos) OVER () AS np, sum(neg) OVER () AS nn FROM g) SELECT p AS phishing, round(pg / np, 9) AS recall, round(ng / nn, 9) AS domain_fpr FROM h WHERE ng <= 0.2 * nn ORDER BY pg DESC, p DESC LIMIT 1""")
+def domain_threshold_sql(limit: str) -> str:
+    return f"""WITH {SCORED}, m AS (SELECT source, max(p) AS p FROM s WHERE label = 0 GROUP BY source),
+  t AS (SELECT p FROM m UNION SELECT p FROM s WHERE label = 1 UNION SELECT nextafter(1::DOUBLE, 2::DOUBLE)),
+  r AS (SELECT t.p, (SELECT count(*) FILTER (WHERE m.p >= t.p) / count(*) FROM m) AS domain_fpr,
+    (SELECT count(*) FILTER (WHERE s.p >= t.p) / count(*) FROM s WHERE label = 1) AS recall, (SELECT count(*) FILTER (WHERE s.p >= t.p) / count(*) FROM s WHERE label = 0) AS url_fpr FROM t)
+  SELECT p AS phishing, round(recall, 9) AS recall, round(domain_fpr, 9) AS domain_fpr, round(url_fpr, 9) AS url_fpr FROM r WHERE domain_fpr <= {limit}::DOUBLE ORDER BY recall DESC, p DESC LIMIT 1"""
+
+
+@query("domain_threshold", domain_threshold_sql("0.2"))
 def _(spark, d):
     return rounded(M.domain_threshold(scored(spark, d), "source", 0.2), "phishing")
 
 
-@query("weighted_threshold", f"""WITH {SCORED}, g AS (SELECT p, sum(CASE WHEN label = 0 THEN weight ELSE 0 END) AS w, count(*) FILTER (WHERE label = 0 AND dynamic) AS d, sum(label) AS y, sum(1 - label) AS c FROM s GROUP BY p),
-  h AS (SELECT p, c, sum(w) OVER (ORDER BY p DESC) AS w, sum(d) OVER (ORDER BY p DESC) AS d, sum(y) OVER (ORDER BY p DESC) AS y, sum(w) OVER () AS tw, sum(d) OVER () AS td, sum(y) OVER () AS ty FROM g)
-  SELECT p AS phishing, round(y / ty, 9) AS recall FROM h WHERE c > 0 AND w / greatest(tw, 1) <= 0.2::DOUBLE AND d <= 0.2::DOUBLE * td ORDER BY y DESC, p LIMIT 1""")
+@query("domain_threshold_strict", domain_threshold_sql("0.0"))
+def _(spark, d):
+    return rounded(M.domain_threshold(scored(spark, d), "source", 0.0), "phishing")
+
+
+def weighted_threshold_sql(limit: str) -> str:
+    return f"""WITH {SCORED}, g AS (SELECT p, sum(CASE WHEN label = 0 THEN weight ELSE 0 END) AS w, count(*) FILTER (WHERE label = 0 AND dynamic) AS d, sum(label) AS y, sum(1 - label) AS c,
+    sum(CASE WHEN label = 1 THEN weight ELSE 0 END) AS v FROM (SELECT p, label, weight, dynamic FROM s UNION ALL SELECT 1, 0, 0, false) GROUP BY p),
+  h AS (SELECT p, c, y AS here, sum(w) OVER up AS w, sum(d) OVER up AS d, sum(y) OVER up AS y, sum(v) OVER up AS v, sum(w) OVER () AS tw, sum(d) OVER () AS td, sum(y) OVER () AS ty, sum(v) OVER () AS tv
+    FROM g WINDOW up AS (ORDER BY p DESC)),
+  f AS (SELECT p, y / ty AS recall, w / greatest(tw, 1) AS weighted_fpr, d / td AS dynamic_fpr FROM h WHERE c > 0 AND w / greatest(tw, 1) <= {limit}::DOUBLE AND d <= {limit}::DOUBLE * td ORDER BY y DESC, p LIMIT 1),
+  k AS (SELECT coalesce(max(p) FILTER (WHERE here > 0 AND (tv - v) / greatest(tv, 1) <= 0.02::DOUBLE), 0) AS safe FROM h),
+  j AS (SELECT k.safe, coalesce(f.p, nextafter(1::DOUBLE, 2::DOUBLE)) AS phishing, f.p IS NOT NULL AS feasible, coalesce(recall, 0) AS recall, weighted_fpr, dynamic_fpr FROM k LEFT JOIN f ON true)
+  SELECT round(CASE WHEN safe >= phishing THEN greatest(phishing - 0.000001, 0) ELSE safe END, 9) AS safe, phishing, feasible, round(recall, 9) AS recall, round(weighted_fpr, 9) AS weighted_fpr, round(dynamic_fpr, 9) AS dynamic_fpr FROM j"""
+
+
+@query("weighted_threshold", weighted_threshold_sql("0.2"))
 def _(spark, d):
     return rounded(M.weighted_threshold(scored(spark, d), "weight", "dynamic", 0.2), "phishing")
 
 
+@query("weighted_threshold_strict", weighted_threshold_sql("0.0"))
+def _(spark, d):
+    return rounded(M.weighted_threshold(scored(spark, d), "weight", "dynamic", 0.0), "phishing")
+
+
 @query("guarded_threshold", f"""WITH {SCORED}, t AS (SELECT p, pos_ge / np AS recall, neg_ge / nn AS fpr, pos_ge / (pos_ge + neg_ge) AS precision FROM c WHERE p > 0.25) SELECT p AS phishing, round(recall, 9) AS recall, round(fpr, 9) AS fpr, recall >= 0.9 AS guard_met FROM t
   ORDER BY recall >= 0.9 DESC, CASE WHEN recall >= 0.9 THEN fpr END, CASE WHEN recall < 0.9 THEN -recall END, fpr, recall DESC, precision DESC, p DESC LIMIT 1""")
 def _(spark, d):
     return rounded(M.guarded_threshold(scored(spark, d), 0.25, 0.9), "phishing")
 
 
-@query("grid_threshold", f"WITH {SCORED} SELECT p AS phishing, round(pos_ge / np, 9) AS recall, round(neg_ge / nn, 9) AS fpr FROM c WHERE neg_ge <= 0.1::DOUBLE * nn ORDER BY pos_ge DESC, neg_ge, p DESC LIMIT 1")
+def grid_threshold_sql(limit: str, rows: str = "s") -> str:
+    return f"""WITH {SCORED}, v AS (SELECT * FROM {rows}), t AS (SELECT p FROM v UNION SELECT 0.05 + i * (0.999::DOUBLE - 0.05) / 1999 FROM range(1999) r(i) UNION SELECT 0.999),
+  k AS (SELECT t.p, count(*) FILTER (WHERE label = 1 AND v.p >= t.p) / count(*) FILTER (WHERE label = 1) AS recall, count(*) FILTER (WHERE label = 0 AND v.p >= t.p) / count(*) FILTER (WHERE label = 0) AS fpr FROM t, v GROUP BY t.p),
+  b AS (SELECT * FROM k WHERE fpr <= {limit}::DOUBLE ORDER BY recall DESC, fpr, p DESC LIMIT 1)
+  SELECT b.p AS phishing, round(recall, 9) AS recall, round(fpr, 9) AS fpr, b.p IS NOT NULL AS feasible FROM (SELECT 1) o LEFT JOIN b ON true"""
+
+
+@query("grid_threshold", grid_threshold_sql("0.1"))
 def _(spark, d):
     return rounded(M.grid_threshold(scored(spark, d), 0.1), "phishing")
 
 
+@query("grid_threshold_end", grid_threshold_sql("0.0", "(SELECT label, (label + 1) / 4 AS p FROM s UNION ALL SELECT 0, 0.75)"))
+def _(spark, d):
+    df = scored(spark, d)
+    flat = df.select("label", ((F.col("label") + 1) / 4).alias("p"))
+    return rounded(M.grid_threshold(flat.unionByName(spark.range(1).select(F.lit(0).alias("label"), F.lit(0.75).alias("p"))), 0.0), "phishing")
+
+
+@query("grid_threshold_none", grid_threshold_sql("0.0", "(SELECT label, 1.0::DOUBLE AS p FROM s)"))
+def _(spark, d):
+    return rounded(M.grid_threshold(scored(spark, d).select("label", F.lit(1.0).alias("p")), 0.0), "phishing")
+
+
+@query("worst_groups", f"""WITH {SCORED}, l AS (SELECT 'n_chars' AS dimension, CASE WHEN n_chars <= 500 THEN '<=500' WHEN n_chars <= 2000 THEN '(500,2000]' ELSE '>2000' END AS value, p < 0.5 AS miss FROM s WHERE label = 1 UNION ALL SELECT 'dynamic', CASE WHEN dynamic THEN 'yes' ELSE 'no' END, p < 0.5 FROM s WHERE label = 1)
+  SELECT dimension, value, count(*) AS samples, count(*) FILTER (WHERE miss) AS missed, round(avg(miss::INT), 9) AS miss_rate FROM l GROUP BY 1, 2 ORDER BY missed DESC, miss_rate DESC, dimension, value LIMIT 4""")
+def _(spark, d):
+    return rounded(M.worst_groups(M.binned_misses(scored(spark, d).filter("label = 1"), 0.5, {"n_chars": [500, 2000]}, ["dynamic"]), 4))
+
+
 @query("selection_score", f"WITH {SCORED}, k AS (SELECT {counts('p >= 0.5')} FROM s), r AS (SELECT tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, fp / (fp + tn) AS fpr FROM k), a AS (SELECT sum(pos * pos_ge / (pos_ge + neg_ge)) / any_value(np) AS ap FROM c), bb AS (SELECT avg((p - label) * (p - label)) AS brier FROM s) SELECT round(0.35::DOUBLE * recall + 0.25::DOUBLE * ap + 0.2::DOUBLE * f1 - 0.3::DOUBLE * fpr - 0.1::DOUBLE * brier, 9) AS score FROM r, a, bb")
 def _(spark, d):
     df = scored(spark, d)
@@ -259,12 +314,24 @@ def _(spark, d):
     return rounded(M.ranking(items))
 
 
-@query("evidence")
+def _item(id_: str, severity: str, polarity: str, feature: str) -> str:
+    return f"'{id_}:{severity}:{polarity}:{feature}:' || \"{feature}\"::DOUBLE::VARCHAR"
+
+
+EVIDENCE = ", ".join(f"CASE WHEN {c} THEN {_item(*i)} END" for c, i in (
+    ('"IsHTTPS" = 1', ("https_enabled", "info", "neutral", "IsHTTPS")), ('"IsHTTPS" = 0', ("http_scheme", "warning", "negative", "IsHTTPS")), ('"IsDomainIP" = 1', ("ip_host", "danger", "negative", "IsDomainIP")),
+    ('"HasSuspiciousToken" = 1', ("suspicious_token", "warning", "negative", "HasSuspiciousToken")), ('"HasUserInfo" = 1', ("userinfo", "danger", "negative", "HasUserInfo")), ('"HasPort" = 1', ("explicit_port", "warning", "negative", "HasPort")),
+    ('"URLPercentEncodingCount" > 0', ("encoding", "warning", "negative", "URLPercentEncodingCount")), ('"SubdomainDepth" >= 3', ("deep_subdomains", "warning", "negative", "SubdomainDepth")),
+))
+
+
+@query("evidence", f"WITH f AS ({URL_FEATURES}) SELECT page_id, list_filter([{EVIDENCE}], lambda x: x IS NOT NULL) AS evidence FROM f")
 def _(spark, d):
     from corpusforge.functions import features as X
     from corpusforge.functions import urls as U
 
-    return X.url_features(U.normalize(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url"))).select("page_id", M.evidence().alias("evidence"))
+    df = X.url_features(U.normalize(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url")))
+    return df.select("page_id", F.transform(M.evidence(), lambda e: F.concat_ws(":", e["id"], e["severity"], e["polarity"], e["feature"], e["value"].cast("string"))).alias("evidence"))
 
 
 @query("legitimate_only", f"""WITH {SCORED}, g AS (SELECT p, unnest(['all', 'source'] || list_transform(tags, lambda t: 'tag')) AS facet, unnest(['all', source] || tags) AS key FROM s WHERE label = 0)
@@ -286,6 +353,17 @@ def _(spark, d):
     return M.coverage(counts_, ["even", "third", "none"])
 
 
+@query("meaningful_improvement", f"""WITH {SCORED}, k AS (SELECT source, 100 * (count(*) FILTER (WHERE label = 0 AND p >= 0.5) / count(*) FILTER (WHERE label = 0)) AS fpr, 100 * (count(*) FILTER (WHERE label = 1 AND p >= 0.5) / count(*) FILTER (WHERE label = 1)) AS recall FROM s GROUP BY source),
+  w AS (SELECT source, CASE WHEN isnan(fpr) THEN NULL ELSE fpr END AS fpr, CASE WHEN isnan(recall) THEN NULL ELSE recall END AS recall FROM k), z AS (SELECT source, coalesce(fpr, 0) AS fpr, coalesce(recall, 0) AS recall FROM w)
+  SELECT a.source AS candidate, b.source AS incumbent, CASE WHEN a.recall >= 60 AND b.recall < 60 THEN true ELSE (b.fpr - a.fpr >= 0.2::DOUBLE AND a.recall >= b.recall - 1) OR (a.recall - b.recall >= 1 AND a.fpr <= b.fpr + 0.2::DOUBLE) END AS improves
+  FROM z a JOIN z b ON a.source <> b.source""")
+def _(spark, d):
+    rates = M.confusion(scored(spark, d), 0.5, "source").select("source", (100 * F.col("fpr")).alias("fpr"), (100 * F.when(F.col("tp") + F.col("fn") > 0, F.col("recall"))).alias("recall"))
+    a, b = (rates.select(*[F.col(c).alias(f"{c}_{x}") for c in rates.columns]) for x in "ab")
+    pairs = a.join(b, F.col("source_a") != F.col("source_b"))  # one row a source on each side
+    return pairs.select(F.col("source_a").alias("candidate"), F.col("source_b").alias("incumbent"), M.improves(F.col("fpr_a"), F.col("recall_a"), F.col("fpr_b"), F.col("recall_b"), 60.0).alias("improves"))
+
+
 @query("report_metrics", f"WITH {SCORED} SELECT doc_id, round(p, 6) AS recall, CASE WHEN dynamic THEN round(p, 6) END AS fpr, NULL::DOUBLE AS precision, NULL::DOUBLE AS roc_auc, NULL::DOUBLE AS average_precision, NULL::DOUBLE AS brier, false AS complete FROM s")
 def _(spark, d):
     number_ = F.round("p", 6).cast("string")

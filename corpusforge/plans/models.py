@@ -76,7 +76,27 @@ def _(spark, d):
 @query("permutation_importance")
 def _(spark, d):
     model, _, test = fitted(spark, d)
-    return O.permutation_importance(model, test.select("page_id", "label", *COLUMNS), ["QueryLength", "IsHTTPS"], "page_id", 2)
+    return O.permutation_importance(model, test.select("page_id", "label", *COLUMNS), COLUMNS, "page_id")
+
+
+@query("stacked_model")
+def _(spark, d):
+    df = table(spark, d)
+    train, calibration, test = df.filter("bucket < 60"), df.filter("bucket >= 60 AND bucket < 80"), df.filter("bucket >= 80")
+    from pyspark.ml import Pipeline
+
+    for name, columns in (("p_length", COLUMNS[:4]), ("p_shape", COLUMNS[4:])):
+        one = O.Calibrated(Pipeline(stages=[O.numeric(columns), O.logistic(train.count())]).fit(train), calibration)
+        calibration, test = (one.transform(x).withColumnRenamed("p", name).drop("raw_p", "_x", "features") for x in (calibration, test))
+    scored = O.Stacked(calibration, ["p_length", "p_shape"]).transform(test)
+    blended = O.blend(test, {"p_length": 0.7, "p_shape": 0.3}, "p")
+    return M.ranking(scored.select("label", "p")).withColumn("model", F.lit("stacked")).unionByName(M.ranking(blended.select("label", "p")).withColumn("model", F.lit("blend")))
+
+
+@query("ablation")
+def _(spark, d):
+    df = table(spark, d).cache()
+    return O.ablation(df.filter("bucket < 60"), df.filter("bucket >= 80"), COLUMNS, ["URLLength", "PathLength", "QueryLength", "FragmentLength"], O.logistic(1))
 
 
 @query("url_decisions")

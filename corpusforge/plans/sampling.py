@@ -36,6 +36,12 @@ def _(spark, d):
     return rows(spark, d).select("page_id", b.alias("bucket"), U.split_of(b, (("train", 60), ("calibration", 70), ("validation", 80), ("test", 100))).alias("split"))
 
 
+@query("rank_split", f"""WITH {ROWS}, g AS (SELECT DISTINCT site, sha256('repair:' || site) AS s FROM r), n AS (SELECT *, row_number() OVER (ORDER BY s, site) AS n, count(*) OVER () AS t FROM g),
+  e AS (SELECT *, round_even(0.35 * t, 0) AS a, round_even(0.15 * t, 0) AS b FROM n) SELECT page_id, CASE WHEN n <= a THEN 'train' WHEN n <= a + b THEN 'calibration' WHEN n <= a + 2 * b THEN 'validation' ELSE 'test' END AS split FROM r JOIN e USING (site)""")
+def _(spark, d):
+    return X.rank_split(rows(spark, d), "site", "repair").select("page_id", "split")
+
+
 @query("fraction_split", f"""WITH {ROWS}, g AS (SELECT DISTINCT site, substr(sha256('7:split:' || site), 1, 16) AS s FROM r WHERE label = 0), n AS (SELECT *, row_number() OVER (ORDER BY s, site) AS n, count(*) OVER () AS t FROM g),
   b AS (SELECT max(s) FILTER (WHERE n = round_even(0.6 * t, 0) + 1) AS c1, max(s) FILTER (WHERE n = round_even(0.8 * t, 0) + 1) AS c2 FROM n) SELECT page_id, CASE WHEN substr(sha256('7:split:' || site), 1, 16) < c1 THEN 'train' WHEN substr(sha256('7:split:' || site), 1, 16) < c2 THEN 'validation' ELSE 'test' END AS split FROM r, b""")
 def _(spark, d):

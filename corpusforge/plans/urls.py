@@ -207,11 +207,57 @@ BENIGN_CLASSES = f"""WITH {SPLIT} SELECT page_id, CASE WHEN len(list_filter(keys
   WHEN {has('keys', *C.REDIRECT_KEYS)} THEN 'redirect_style' WHEN contains(query, '%') THEN 'encoded_query' WHEN length(query) > 100 THEN 'long_query' WHEN len(string_split(query, '&')) > 1 THEN 'multiple_query_parameters' WHEN fragment <> '' THEN 'fragment'
   WHEN NOT bare AND query <> '' THEN 'path_query' WHEN query <> '' THEN 'query_only' WHEN NOT bare THEN CASE WHEN length(url) > 200 THEN 'long_legitimate_url' WHEN {entropy_sql('path')} >= 4.0 THEN 'high_entropy_legitimate' ELSE 'path_only' END END AS class FROM u"""
 
+def training_category(spark, sf_dir):
+    classes = C.split(pages(spark, sf_dir)).select("page_id", "url", C.benign_class(F.col("_s")).alias("class"))
+    return C.tagged(classes, "training").select("page_id", C.training_category(F.col("tags"), F.col("class")).alias("category"))
+
+
+TRAINING_CATEGORY = (
+    f"WITH c AS ({BENIGN_CLASSES}), t AS ({tags_sql('training')}) SELECT page_id, coalesce(class, "
+    + ", ".join(f"CASE WHEN list_contains(tags, '{t}') THEN '{t}' END" for t in ("homepage", "documentation", "login_account", "search", "path")) + ", 'other_observed') AS category FROM c JOIN t USING (page_id)"
+)
+
+#: URLs of hard shapes by page_id, from a page's host: userinfo, ports, addresses, suffixes of two labels, other scripts, escapes, other schemes.
+EDGES = (
+    ("'HTTP://User:Pw@' || host || ':80/A%2fb?x=1#'", "'http://User:Pw@' || host || '/A%2fb?x=1'", None, "registered_domain", "userinfo_in_url", None),
+    ("'https://' || host || ':8443/p/'", "'https://' || host || ':8443/p/'", None, "registered_domain", None, "'https://' || host || ':8443/p'"),
+    ("'https://' || host || ':99999/'", None, "invalid_url", None, "parse_error", None),
+    ("'http://192.168.1.9/x'", "'http://192.168.1.9/x'", None, "'192.168.1.9'", "private_or_reserved_ip", None),
+    ("'http://8.8.8.8/x'", "'http://8.8.8.8/x'", None, "'8.8.8.8'", "ip_literal_host", None),
+    ("'https://www.shop.co.uk/a'", "'https://www.shop.co.uk/a'", None, "'shop.co.uk'", None, "'https://www.shop.co.uk/a'"),
+    ("'https://b\u00fccher.example.net/\u00fc?q=\u00e4'", "'https://xn--bcher-kva.example.net/\u00fc?q=\u00e4'", None, "'example.net'", None, "'https://xn--bcher-kva.example.net/%C3%BC?q=%C3%A4'"),
+    ("'https://' || host || '/a%zz'", None, "invalid_url", None, None, "'https://' || host || '/a%zz'"),
+    ("'ftp://' || host || '/file'", None, "unsupported_scheme", None, "non_http_scheme", None),
+    ("'https://[2001:DB8:0:0::1]/x'", "'https://[2001:db8::1]/x'", None, "'2001:db8::1'", "private_or_reserved_ip", None),
+    ("'https://host.localdomain/x'", "'https://host.localdomain/x'", None, "'host.localdomain'", "internal_host", None),
+    ("'https://' || host || '/ok path'", None, "invalid_url", None, "malformed_chars", None),
+    ("'https://' || host || ':0/%c3%bc'", None, "invalid_url", None, "bad_port", None),
+)
+
+
+def url_edges(spark, sf_dir):
+    base = canonical(spark, sf_dir).filter("host IS NOT NULL").select("page_id", "host")
+    url = F.expr("CASE page_id % " + str(len(EDGES)) + " " + " ".join(f"WHEN {i} THEN {e[0]}" for i, e in enumerate(EDGES)) + " END")
+    df = U.normalize(base.select("page_id", url.alias("url"))).withColumn("host", U.host_of(F.col("normalized_url")))
+    df = U.registered_domains(df, "host", U.suffix_table(spark)).withColumn("collector_reason", U.collector_check(F.col("url")))
+    return df.select("page_id", "normalized_url", "reject_reason", F.when(F.col("normalized_url").isNotNull(), F.col("registered_domain")).alias("registered_domain"), "collector_reason",
+                     F.when(F.col("collector_reason").isNull(), U.collector_url(F.col("url"))).alias("collector_url"))
+
+
+def _edge(column: int, quote: bool = False) -> str:
+    value = lambda v: "NULL::VARCHAR" if v is None else f"'{v}'" if quote else v
+    return "CASE page_id % " + str(len(EDGES)) + " " + " ".join(f"WHEN {i} THEN {value(e[column])}" for i, e in enumerate(EDGES)) + " END"
+
+
+URL_EDGES = f"WITH {SPLIT} SELECT page_id, {_edge(1)} AS normalized_url, {_edge(2, True)} AS reject_reason, {_edge(3)} AS registered_domain, {_edge(4, True)} AS collector_reason, {_edge(5)} AS collector_url FROM u"
+
 QUERIES = {
+    "training_category": training_category, "url_edges": url_edges,
     "split_profile": split_profile, "url_keys": url_keys, "safe_urls": safe_urls, "url_features": url_features, "component_features": component_features, "host_features": host_features, "benign_classes": benign_classes,
     **{f"tags_{t}": tag_query(t) for t in C.TAXONOMIES},
 }
 ORACLE_SQL = {
+    "training_category": TRAINING_CATEGORY, "url_edges": URL_EDGES,
     "split_profile": SPLIT_PROFILE, "url_keys": URL_KEYS, "safe_urls": SAFE_URLS, "url_features": URL_FEATURES, "component_features": COMPONENT_FEATURES, "host_features": HOST_FEATURES, "benign_classes": BENIGN_CLASSES,
     **{f"tags_{t}": tags_sql(t) for t in TAGS_SQL},
 }

@@ -52,14 +52,13 @@ def malware_csv(lines: DataFrame, column: str = "value") -> DataFrame:
 def malware_json(payloads: DataFrame, column: str = "value") -> DataFrame:
     """JSON payloads of the shapes {urls: [...]}, {key: [...]}, {key: {url}} and [...]; tags are a text or a list."""
     v = payloads.select(F.try_parse_json(F.col(column)).alias("v")).filter("v IS NOT NULL")
-    v.createOrReplaceTempView("_payloads")
     top = v.sparkSession.sql("""
-      WITH top AS (SELECT v, schema_of_variant(v) LIKE 'ARRAY%' AS is_list, try_variant_get(v, '$.urls', 'array<variant>') AS urls FROM _payloads),
+      WITH top AS (SELECT v, schema_of_variant(v) LIKE 'ARRAY%' AS is_list, try_variant_get(v, '$.urls', 'array<variant>') AS urls FROM {payloads}),
       lists AS (SELECT explode(urls) AS item FROM top WHERE urls IS NOT NULL
         UNION ALL SELECT explode(try_variant_get(v, '$', 'array<variant>')) FROM top WHERE is_list
         UNION ALL SELECT explode(coalesce(try_variant_get(e.value, '$', 'array<variant>'), array(e.value))) FROM (SELECT v FROM top WHERE urls IS NULL AND NOT is_list) t, LATERAL variant_explode(t.v) e)
       SELECT item FROM lists WHERE try_variant_get(item, '$.url', 'string') IS NOT NULL
-    """)
+    """, payloads=v)
     get = lambda *names: F.coalesce(*[F.try_variant_get("item", f"$.{n}", "string") for n in names])
     listed = F.filter(F.try_variant_get("item", "$.tags", "array<string>"), lambda t: (t != "") & (F.lower(t) != "none"))
     tags = F.coalesce(listed, split_tags(get("tags")))
@@ -120,6 +119,13 @@ def labelled_csv(spark: SparkSession, path: str, url: str, label: str, source: s
     return rows.select("url", y.alias("label"), F.lit(source).alias("source"), F.lit(None).cast("date").alias("collection_date"))
 
 
+def labelled_feed(lines: DataFrame, source: str, column: str = "value", label: int = 1) -> tuple[DataFrame, DataFrame]:
+    """url, label, source and collection_date of a feed of one URL per line, blank lines left out; and the counts n_lines, blank_lines."""
+    blank = F.coalesce(F.trim(F.col(column)), F.lit("")) == ""
+    rows = lines.filter(~blank).select(F.col(column).alias("url"), F.lit(label).alias("label"), F.lit(source).alias("source"), F.lit(None).cast("date").alias("collection_date"))
+    return rows, lines.agg(F.count("*").alias("n_lines"), F.count_if(blank).alias("blank_lines"))
+
+
 def mixed_csvs(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[str]]:
     """Rows (url, label, file) of files with different headers, and the files that have no usable header or are missing.
 
@@ -164,39 +170,60 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
     return urls.filter(F.col("url") != head[column]) if is_header and head[column] is not None else urls
 
 
-TEXT_SCHEMA = "value string"
-ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
+def existing_urls(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct canonical URLs (url) of a file's URL column, of those that a collector accepts."""
+    from corpusforge.functions import urls as U
+
+    good = url_list(spark, path).withColumn("_why", U.collector_check(F.col("url"))).filter("_why IS NULL")
+    return good.select(U.collector_url(F.col("url")).alias("url")).distinct()
+
+
+#: The named entities that URLs and feeds hold; numbered ones are decoded by their number.
+ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", "\u00a0"), ("amp", "&"))
 
 
 def unescaped(text: Column) -> Column:
-    for name, char in reversed(ENTITIES):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """text with its character references decoded, each once: &amp;lt; becomes &lt;."""
+    pieces = F.split(text, "&")
+    named = F.create_map(*[F.lit(x) for e in ENTITIES for x in e])
+
+    def one(piece: Column) -> Column:
+        name, rest = F.regexp_extract(piece, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]+);", 1), F.regexp_replace(piece, "^[^;]*;", "")
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).cast("int")
+        # the four bytes of the number are the character in UTF-32
+        char = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        found = F.coalesce(char, F.try_element_at(named, name))
+        return F.coalesce(F.concat(found, rest), F.concat(F.lit("&"), piece))
+
+    return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), one), ""))
 
 
-def page_links(pages: DataFrame, url: str = "url", html: str = "html", https_only: bool = True) -> DataFrame:
-    """(page_url, link): distinct links of a page to other pages of its registered domain.
+def page_links(pages: DataFrame, url: str = "url", html: str = "html", https_only: bool = True, suffixes: DataFrame | None = None) -> DataFrame:
+    """(page_url, link): distinct links of a page to other pages of its registered domain under suffixes.
 
     Relative ones are resolved; fragments-only, javascript:, mailto: and tel: links go.
     """
     from corpusforge.functions import urls as U
 
+    suffixes = suffixes if suffixes is not None else U.suffix_table(pages.sparkSession)
     refs = pages.select(F.col(url).alias("page_url"), F.explode(F.regexp_extract_all(F.col(html), F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""))).alias("_r"))
     refs = refs.withColumn("_r", F.trim(unescaped(F.col("_r")))).filter(~F.col("_r").rlike("(?i)^(?:#|javascript:|mailto:|tel:|$)"))
-    p = U.parts(F.col("page_url"))
+    refs = refs.distinct().withColumn("_page", U.parts(F.col("page_url")))
+    p, r = F.col("_page"), F.col("_r")
     origin = F.concat(p["scheme"], F.lit("://"), p["netloc"])
     folder = F.regexp_replace(F.when(p["path"] == "", "/").otherwise(p["path"]), "[^/]*$", "")
-    r = F.col("_r")
     full = (
         F.when(r.rlike("(?i)^[a-z][a-z0-9+.-]*://"), r).when(r.startswith("//"), F.concat(p["scheme"], F.lit(":"), r)).when(r.startswith("/"), F.concat(origin, r))
         .when(r.startswith("?"), F.concat(origin, p["path"], r)).otherwise(F.concat(origin, folder, r))
     )
-    rows = U.normalize(refs.withColumn("_full", full), "_full", "link", "_why").filter("link IS NOT NULL")
+    rows = U.normalize(refs.select("page_url", F.regexp_replace(p["host"], r"\.+$", "").alias("_from"), full.alias("_full")), "_full", "link", "_why").filter("link IS NOT NULL")
     rows = rows.withColumn("link", F.regexp_replace("link", "#.*$", "")).filter(F.col("link") != F.regexp_replace("page_url", "#.*$", ""))
     if https_only:
         rows = rows.filter(F.col("link").startswith("https://"))
-    same = U.fallback_domain(U.host_of(F.col("link"))) == U.fallback_domain(U.host_of(F.col("page_url")))
-    return rows.filter(same).select("page_url", "link").distinct()
+    rows = rows.select("page_url", "_from", "link").distinct().withColumn("_to", U.host_of(F.col("link")))
+    # most links stay on their host, so only the others ask for registered domains
+    away = U.registered_domains(U.registered_domains(rows.filter("_from <> _to"), "_from", suffixes, "_d1"), "_to", suffixes, "_d2").filter("_d1 = _d2")
+    return rows.filter("_from = _to").select("page_url", "link").unionByName(away.select("page_url", "link"))
 
 
 def sitemap_urls(files: DataFrame, file: str, xml: str, cap: int) -> DataFrame:
@@ -247,7 +274,6 @@ def verified_online(rows: DataFrame, url: str) -> tuple[DataFrame, DataFrame]:
     from corpusforge.functions import urls as U
 
     df = U.normalize(rows, url)
-    first = F.row_number().over(Window.partitionBy("normalized_url").orderBy(url))
     outcome = F.when(F.lower("verified") != "yes", "not_verified").when(F.lower("online") != "yes", "not_online").when(F.col("reject_reason").isNotNull(), F.col("reject_reason"))
     marked = df.withColumn("_o", outcome).withColumn("_n", F.when(F.col("_o").isNull(), F.row_number().over(Window.partitionBy("normalized_url", F.col("_o").isNull()).orderBy(url))))
     marked = marked.withColumn("outcome", F.coalesce("_o", F.when(F.col("_n") > 1, "duplicate").otherwise("kept"))).drop("_o", "_n")

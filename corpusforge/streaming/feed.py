@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.functions import urls as U
@@ -56,15 +56,13 @@ def upsert(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
 
 def changes(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """One event per record: indicator.new at the first sight of its key, else indicator.update."""
-    n = F.row_number().over(Window.partitionBy("indicator_hash").orderBy("ingested_at", "ordinal"))
-    df = records.withColumn("_n", n)
-    if state is None:
-        known = F.lit(False)
-    else:
-        df = df.join(state.select(F.col("indicator_hash").alias("_h")), F.col("indicator_hash") == F.col("_h"), "left")
-        known = F.col("_h").isNotNull()
-    event = F.when((F.col("_n") == 1) & ~known, "indicator.new").otherwise("indicator.update")
-    return df.withColumn("event", event).drop("_n", "_h")
+    # the first record of a key is a minimum that is merged before the shuffle; a hot key is split in the join
+    firsts = records.groupBy(F.col("indicator_hash").alias("_h")).agg(F.min(F.struct("ingested_at", "ordinal")).alias("_first"))
+    if state is not None:
+        firsts = firsts.join(state.select(F.col("indicator_hash").alias("_h")), "_h", "left_anti")
+    df = records.join(firsts, F.col("indicator_hash") == F.col("_h"), "left")
+    event = F.when(F.struct("ingested_at", "ordinal") == F.col("_first"), "indicator.new").otherwise("indicator.update")
+    return df.withColumn("event", event).drop("_first", "_h")
 
 
 def health(fetches: DataFrame, sources: DataFrame, as_of: str) -> DataFrame:
@@ -137,13 +135,19 @@ class Snapshots:
             self.write(self.read().limit(0), found[-1] + 1)
 
 
-def run_feed(records: DataFrame, snapshots: Snapshots, events: str, checkpoint: str, as_of: Callable[[int], str] | None = None, stats: str | None = None):
-    """Start the stream: each micro-batch becomes version batch + 1 of the state, its change events, and running statistics."""
+def run_feed(records: DataFrame, snapshots: Snapshots, events: str, checkpoint: str, as_of: Callable[[int], str] | None = None, stats: str | None = None, quarantine: str | None = None):
+    """Start the stream: each micro-batch becomes version batch + 1 of the state, its change events, and running statistics.
+
+    Records without a usable URL go to the quarantine folder (beside the events where none is named).
+    """
+    aside = quarantine or f"{events.rstrip('/')}_quarantine"
 
     def fold(batch: DataFrame, number: int) -> None:
-        good, _ = keyed(batch)
+        batch = batch.persist()
+        good, bad = keyed(batch)
         good = good.persist()
         try:
+            bad.write.mode("overwrite").parquet(f"{aside}/batch={number}")
             state = snapshots.read(number)
             changes(good, state).write.mode("overwrite").parquet(f"{events}/batch={number}")
             snapshots.write(upsert(good, state), number + 1)
@@ -151,6 +155,7 @@ def run_feed(records: DataFrame, snapshots: Snapshots, events: str, checkpoint:
                 L.feed_stats(snapshots.read(number + 1), as_of(number), ["primary_source", "indicator_type", "status"]).write.mode("overwrite").parquet(f"{stats}/batch={number}")
         finally:
             good.unpersist()
+            batch.unpersist()
 
     return records.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -30,13 +30,36 @@ def test_order_of_rows_does_not_matter(spark):
 
 
 def test_provenance(spark):
-    good = ("https://a.example.com/x", "https://a.example.com/x", 0, "s", "m", "http_200", "c", "q", "example.com", "https://example.com/", None, None, datetime.date(2024, 1, 1), "p")
-    moved = (*good[:5], "http_404", *good[6:10], "https://other.org/", "text/html", *good[12:])
-    plain = (*good[:9], "http://example.com/", *good[10:])
-    blank = (None, *good[1:])
-    schema = "url string, normalized_url string, label int, source string, collection_method string, verification_status string, category string, cohorts string, registered_domain string, source_page_url string, verified_final_url string, verified_content_type string, collection_date date, provenance string"
-    got = [r.errors for r in O.provenance_errors(spark.createDataFrame([good, moved, plain, blank], schema)).collect()]
-    assert got == [[], ["status_must_be_verified", "final_url_leaves_domain"], ["source_page_must_be_https"], ["missing:url"]]
+    good = dict(url="https://a.example.com/x", normalized_url="https://a.example.com/x", label=0, source="s", collection_method="m", verification_status="http_200_same_registered_domain", category=None, cohorts=None,
+                registered_domain="example.com", source_page_url="https://example.com/", verified_final_url="https://www.example.com/y", verified_content_type="text/html", collection_date="2024-01-01", provenance="p")
+    cases = [
+        ({}, []), ({"verified_final_url": "https://other.org/", "verification_status": "http_404_same_registered_domain"}, ["leaves_first_party_domain", "not_2xx"]), ({"source_page_url": "http://example.com/"}, ["not_https"]),
+        ({"source_page_url": "https://evilexample.com/x", "verification_status": "http_301"}, ["leaves_first_party_domain", "not_2xx", "not_same_domain"]), ({"url": None, "provenance": ""}, ["missing:url", "missing:provenance"]),
+        ({"url": "https://A.example.com/x"}, ["not_normalized"]), ({"label": 1, "registered_domain": "a.example.com"}, ["label_not_zero", "domain_mismatch"]), ({"verification_status": "ok"}, ["malformed"]),
+        ({"collection_date": "yesterday", "label": 1}, ["malformed"]), ({"url": "https://a b/"}, ["malformed"]), ({"category": None, "verified_content_type": "application/pdf"}, []),
+    ]
+    schema = ", ".join(f"{c} {'int' if c == 'label' else 'string'}" for c in good) + ", n int"
+    df = spark.createDataFrame([(*(good | change).values(), n) for n, (change, _) in enumerate(cases)], schema)
+    out = O.provenance_errors(df)
+    assert out.columns == [*df.columns, "errors"]
+    assert {r.n: r.errors for r in out.collect()} == {n: want for n, (_, want) in enumerate(cases)}
+
+
+def test_overlaps_and_identities_are_counted(spark):
+    df = labelled(spark)
+    used, held = df.filter("ordinal = 1"), df.filter("ordinal = 3")
+    kept, counts = O.remove_overlaps(df, "url", used, held)
+    assert kept.count() == 0 and tuple(counts.first()) == (4, 2, 2, 0)
+    kept, counts = O.identity_guard(df.filter("label = 0"), df.filter("label = 1"), "url", "url", "ordinal")
+    assert [r.ordinal for r in kept.collect()] == [3] and tuple(counts.first()) == (3, 1, 1, 1) and kept.columns == df.columns
+
+
+def test_candidates_stop_without_improvement(spark):
+    trials = {"a": (5.0, 90.0, 80.0), "b": (4.0, 90.5, 80.0), "c": (4.0, 98.5, 80.0), "d": (3.9, 98.4, 80.0), "e": (3.9, 97.0, 80.0), "f": (3.95, 98.6, 90.0), "g": (0.0, 99.0, 99.0)}
+    winner, reason, table = M.candidate_loop(list("abcdefg"), lambda n: trials[n], (5.0, 90.0, 80.0), spark)
+    assert (winner, reason) == (2, "no_meaningful_improvement")
+    assert [(r.trial, r.improves, r.against) for r in table.orderBy("trial").collect()] == [(0, False, None), (1, True, None), (2, True, 1), (3, False, 2), (4, False, 2), (5, False, 2)]
+    assert M.candidate_loop([], None, (0.0, 0.0, 0.0), spark)[:2] == (None, "candidates_exhausted")
 
 
 def test_perfect_separation(spark):
@@ -106,6 +129,7 @@ def test_search(spark):
     assert ids(L.faceted(df, {}, "paypal", ["url"], ["tags"])) == [2] and ids(L.faceted(df, {"url": "all"}, " ")) == [1, 2, 3]
     assert ids(L.since(df, "x", 500, "id")) == [1, 2, 3] and ids(L.lookup(df, 2, "id", "url")) == [2]
     assert L.page(df, 0, 0, "id").count() == 1
+    assert [r.id for r in L.older(df, 3, 5).collect()] == [2, 1] and [r.id for r in L.older(df, None, 1).collect()] == [3]
 
 
 def test_tfidf_and_trees_are_not_cut(spark, tmp_path, monkeypatch):
