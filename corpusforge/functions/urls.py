@@ -30,7 +30,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def parts(url: Column) -> Column:
     """struct(scheme, netloc, userinfo, host, port, path, query, fragment) of a URL; host is lower case without brackets."""
     names = ("scheme", "netloc", "path", "query", "fragment")
-    groups = F.struct(*[F.coalesce(F.regexp_extract(url, PARTS, i), F.lit("")).alias(n) for i, n in enumerate(names, 1)])
+    groups = let(url, lambda u: F.struct(*[F.coalesce(F.regexp_extract(u, PARTS, i), F.lit("")).alias(n) for i, n in enumerate(names, 1)]))
 
     def of(g: Column) -> Column:
         place = F.regexp_replace(g["netloc"], r"(?s)^.*@", "")
@@ -105,8 +105,7 @@ def neutral_url(analysis: Column) -> Column:
 
 def lenient_url(url: Column) -> Column:
     """For deduplication only: http:// is assumed, the host is lower case, default ports go, the path is / at least; '' if unusable."""
-    value = F.trim(url)
-    value = F.when(value.rlike("(?i)^[a-z][a-z0-9+.-]*://"), value).otherwise(F.concat(F.lit("http://"), value))
+    value = let(F.trim(url), lambda v: F.when(v.rlike("(?i)^[a-z][a-z0-9+.-]*://"), v).otherwise(F.concat(F.lit("http://"), v)))
 
     def of(p: Column) -> Column:
         keep = p["port"].isNotNull() & ~(((p["scheme"] == "http") & (p["port"] == "80")) | ((p["scheme"] == "https") & (p["port"] == "443")))
@@ -135,14 +134,13 @@ def quoted(text: Column, more: str = "") -> Column:
 
 def collector_ascii(url: Column) -> Column:
     """A URL in ASCII: internationalised names by IDN, the rest quoted; NULL where the name cannot be encoded."""
-    v = F.trim(url)
     tail = lambda mark, c: F.when(c != "", F.concat(F.lit(mark), quoted(c, "?"))).otherwise("")
 
     def of(p: Column) -> Column:
         name = F.when(~p["netloc"].rlike(r"^\.|\.\."), F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), p["netloc"]))
         return F.concat(p["scheme"], F.lit("://"), name, quoted(p["path"]), tail("?", p["query"]), tail("#", p["fragment"]))
 
-    return F.when(v.rlike(r"^[\x00-\x7F]*$"), v).otherwise(let(parts(v), of))
+    return let(F.trim(url), lambda v: F.when(v.rlike(r"^[\x00-\x7F]*$"), v).otherwise(let(parts(v), of)))
 
 
 #: IPv6 blocks that are not global: loopback, mapped, discard, protocol assignments, documentation, 6to4, unique local, link local.
@@ -151,10 +149,8 @@ RESERVED_IPV6 = r"^(?:::1?$|::ffff:|64:ff9b:1:|100::|2001:(?:0*(?:1?[0-9a-f]{1,2
 
 def collector_check(url: Column) -> Column:
     """The reason why a collector refuses a URL, or NULL; the first that holds counts."""
-    raw = F.trim(url)
-
     def of(x: Column) -> Column:
-        v, p, host = x["v"], x["p"], F.regexp_replace(x["p"]["host"], r"\.+$", "")
+        url, raw, v, p, host = x["url"], x["raw"], x["v"], x["p"], x["host"]
         private = host.rlike(r"^(?:10\.|127\.|0\.|169\.254\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|192\.0\.[02]\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|(?:2[4-5][0-9])\.)")
         port = p["port"].try_cast("long")
         return (
@@ -167,7 +163,9 @@ def collector_check(url: Column) -> Column:
             .when(F.element_at(F.split(host, r"\."), -1).isin(*INTERNAL), "internal_host")
         )
 
-    return let(let(collector_ascii(url), lambda v: F.struct(v.alias("v"), parts(v).alias("p"))), of)
+    texts = let(url, lambda u: F.struct(u.alias("url"), F.trim(u).alias("raw"), collector_ascii(u).alias("v")))
+    split = let(texts, lambda t: F.struct(t["url"].alias("url"), t["raw"].alias("raw"), t["v"].alias("v"), parts(t["v"]).alias("p")))
+    return let(let(split, lambda t: F.struct(t["url"].alias("url"), t["raw"].alias("raw"), t["v"].alias("v"), t["p"].alias("p"), F.regexp_replace(t["p"]["host"], r"\.+$", "").alias("host"))), of)
 
 
 def upper_escapes(text: Column) -> Column:

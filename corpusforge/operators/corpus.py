@@ -181,9 +181,14 @@ def provenance_errors(df: DataFrame, suffixes: DataFrame | None = None) -> DataF
     suffixes = suffixes if suffixes is not None else U.suffix_table(df.sparkSession)
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), F.concat(F.lit("missing:"), F.lit(c))) for c in REQUIRED]))
     out = U.normalize(df, "url", "_good", "_why").withColumn("_missing", missing)
-    for name, c in (("_row", F.col("_good")), ("_from", F.col("source_page_url")), ("_to", F.col("verified_final_url"))):
-        out = out.withColumn(f"{name}_host", F.regexp_replace(U.host_of(c), r"^www\.", ""))
-        out = U.registered_domains(out, f"{name}_host", suffixes, name)
+    of = {"_row": F.col("_good"), "_from": F.col("source_page_url"), "_to": F.col("verified_final_url")}
+    out = out.withColumn("_hosts", F.struct(*[F.regexp_replace(U.host_of(c), r"^www\.", "").alias(n) for n, c in of.items()]))
+    # the domains of all hosts at once, then looked up for each
+    hosts = out.select(F.explode(F.array(*[F.col(f"_hosts.{n}") for n in of])).alias("_any"))
+    domains = U.registered_domains(hosts.distinct(), "_any", suffixes, "_domain")
+    for name in of:
+        found = domains.select(F.col("_any").alias("_a"), F.col("_domain").alias(name))
+        out = out.join(found, F.col(f"_hosts.{name}") == F.col("_a"), "left").drop("_a")
     status = F.regexp_extract("verification_status", "^[^_]*_ *([+-]?[0-9]+) *(?:_|$)", 1).try_cast("int")
     day = F.when(F.col("collection_date").cast("string").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.col("collection_date").cast("string").try_cast("date"))
     malformed = F.col("_good").isNull() | status.isNull() | day.isNull()

@@ -236,9 +236,10 @@ n AS (SELECT *, CASE k WHEN 1 THEN NULL ELSE good END AS url, CASE k WHEN 2 THEN
   WHEN 7 THEN ['not_2xx', 'not_same_domain'] WHEN 8 THEN ['malformed'] ELSE []::VARCHAR[] END AS errors FROM n""")
 def _(spark, d):
     k = F.col("page_id") % 9
-    good = F.concat(F.lit("https://"), F.col("host"), F.regexp_extract("normalized_url", "^[a-z]+://[^/?#]*([^?#]*)", 1))
-    dom = F.col("registered_domain")
-    rows_ = canonical(spark, d).select(
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_extract_all("url", F.lit("^[a-z]+://([^/?#]*)"), 1)[0].alias("host"), F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
+    pages = pages.select("page_id", F.concat(F.lit("https://"), "host", "path").alias("good"), F.regexp_extract("host", r"([^.]*\.[^.]*)$", 1).alias("dom"))
+    good, dom = F.col("good"), F.col("dom")
+    rows_ = pages.select(
         "page_id", F.when(k != 1, good).alias("url"), F.when(k == 2, F.concat(good, F.lit("/x"))).otherwise(good).alias("normalized_url"), F.when(k == 3, 1).otherwise(0).alias("label"),
         F.when(k == 4, F.concat(F.lit("evil"), dom)).otherwise(dom).alias("registered_domain"), F.when(k == 5, F.concat(F.lit("https://evil"), dom, F.lit("/"))).when(k == 6, F.concat(F.lit("http://www."), dom, F.lit("/a?b#c"))).otherwise(F.concat(F.lit("https://"), dom, F.lit("/"))).alias("source_page_url"),
         good.alias("verified_final_url"), F.when(k == 7, "http_404_elsewhere").when(k == 8, "done").otherwise("http_200_same_registered_domain").alias("verification_status"), F.lit("pages").alias("source"),

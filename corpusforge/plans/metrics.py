@@ -273,8 +273,8 @@ def _(spark, d):
 def grid_threshold_sql(limit: str, rows: str = "s") -> str:
     return f"""WITH {SCORED}, v AS (SELECT * FROM {rows}), t AS (SELECT p FROM v UNION SELECT 0.05 + i * (0.999::DOUBLE - 0.05) / 1999 FROM range(1999) r(i) UNION SELECT 0.999),
   k AS (SELECT t.p, count(*) FILTER (WHERE label = 1 AND v.p >= t.p) / count(*) FILTER (WHERE label = 1) AS recall, count(*) FILTER (WHERE label = 0 AND v.p >= t.p) / count(*) FILTER (WHERE label = 0) AS fpr FROM t, v GROUP BY t.p),
-  b AS (SELECT * FROM k WHERE fpr <= {limit}::DOUBLE ORDER BY recall DESC, fpr, p DESC LIMIT 1)
-  SELECT b.p AS phishing, round(recall, 9) AS recall, round(fpr, 9) AS fpr, b.p IS NOT NULL AS feasible FROM (SELECT 1) o LEFT JOIN b ON true"""
+  w AS (SELECT * FROM k WHERE fpr <= {limit}::DOUBLE ORDER BY recall DESC, fpr, p DESC LIMIT 1)
+  SELECT w.p AS phishing, round(recall, 9) AS recall, round(fpr, 9) AS fpr, w.p IS NOT NULL AS feasible FROM (SELECT 1) o LEFT JOIN w ON true"""
 
 
 @query("grid_threshold", grid_threshold_sql("0.1"))

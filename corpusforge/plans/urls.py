@@ -236,7 +236,7 @@ EDGES = (
 
 
 def url_edges(spark, sf_dir):
-    base = canonical(spark, sf_dir).filter("host IS NOT NULL").select("page_id", "host")
+    base = pages(spark, sf_dir).select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"))
     url = F.expr("CASE page_id % " + str(len(EDGES)) + " " + " ".join(f"WHEN {i} THEN {e[0]}" for i, e in enumerate(EDGES)) + " END")
     df = U.normalize(base.select("page_id", url.alias("url"))).withColumn("host", U.host_of(F.col("normalized_url")))
     df = U.registered_domains(df, "host", U.suffix_table(spark)).withColumn("collector_reason", U.collector_check(F.col("url")))
