@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusforge.llm import line_dedup as L
 from tests.llm.data import docs
@@ -33,3 +35,35 @@ def test_text_without_repeats(spark):
     assert out.columns == df.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: "a\nb\n\nc", 2: "x", 3: "a"}
     assert L.dedup_lines(docs(spark, [])).count() == 0
+
+
+def test_repeated_rows_and_ids(spark):
+    df = docs(spark, [(1, "a\nb\nx"), (1, "a\nb\nx"), (2, "a\nb"), (3, "q\nr"), (3, "r\nq\nr")])
+    got = sorted((r.doc_id, r.n_lines, r.removed) for r in L.repeated_lines(df).collect())
+    assert got[:3] == [(1, 3, []), (1, 3, []), (2, 2, [0, 1])]
+    assert sorted(len(r[2]) for r in got[3:]) == [0, 2]
+    assert sorted(r.text for r in L.dedup_lines(df).collect())[0] == ""
+
+
+def test_runs_name_their_source(spark):
+    lines = [f"line {i}" for i in range(40)]
+    df = docs(spark, [(1, "\n".join(lines)), (2, "\n".join(["own", *lines[5:25], "other", *lines[30:33]])), (3, "\n".join(lines[7:12]))])
+    got = sorted((r.doc_id, r.start, r.length, r.source_id, r.source_start) for r in L.repeated_runs(df, run=3).collect())
+    assert got == [(2, 1, 20, 1, 5), (2, 22, 3, 1, 30), (3, 0, 5, 1, 7)]
+
+
+def test_very_long_texts(spark):
+    own = "\n".join(f"line {i}" for i in range(200_000))
+    df = docs(spark, [(1, "same\n" * 200_000), (2, own), (3, "first\n" + own)])
+    got = {r.doc_id: r for r in L.repeated_lines(df).select("doc_id", "n_lines", "n_runs", F.size("removed").alias("n")).collect()}
+    assert [(got[i].n_lines, got[i].n, got[i].n_runs) for i in (1, 2, 3)] == [(200_000, 199_999, 1), (200_000, 0, 0), (200_001, 200_000, 1)]
+
+
+@pytest.mark.parametrize("run", [1, 2, 5])
+def test_every_window_selects_a_print(run):
+    rng = np.random.default_rng(run)
+    hashes = rng.integers(0, 4, 200)
+    at, first, last = L.winnow(hashes, run)
+    chosen = {s: a for a, x, y in zip(at, first, last) for s in range(x, y + 1)}
+    assert sorted(chosen) == list(range(200 - run + 1))
+    assert all(chosen[s] == max(i for i in range(s, s + run) if hashes[i] == hashes[s : s + run].min()) for s in chosen)
