@@ -1,20 +1,25 @@
 """Language identification by compression.
 
-For each language a Zstandard raw-content dictionary is cut from a bounded sample of labelled texts,
-which give an eighth of it each at most. A text
-belongs to the language whose dictionary compresses it to the fewest bytes. Every whole text is compressed
-once per language; the dictionaries, at most DICT_BYTES a language, are all that is broadcast. Texts and
-dictionaries are put in lower case first, and every run of other ASCII characters than letters becomes one
-space. Texts up to SHORT bytes are compressed at a higher level, as the size of a match counts for more there.
+For each language a Zstandard raw-content dictionary of SAMPLE_PASSAGES passages is made. Every whole
+labelled text is cut into passages of PASSAGE characters, all of which are candidates; those with the least
+hashes are taken, which is a uniform sample of the labelled text. A text belongs to the language whose
+dictionary compresses it to the fewest bytes. Every whole text is compressed once per language, at one level;
+the dictionaries, about DICT_BYTES a language, are all that is broadcast. Texts and dictionaries are put in
+lower case first, and every run of other ASCII characters than letters becomes one space.
+
+The sample is drawn without gathering a language anywhere: the passages of each language are counted, which
+gives the share of hashes that holds some more than the sample; each row lets through only its passages
+within that share, and the least of those are taken.
 
 The prediction is rejected (``rejected`` is true) when the two smallest sizes differ by less than
-MARGIN_BYTES and by less than MARGIN_SHARE of the smallest; lang_pred then still names the smallest. Equal
+MARGIN_BYTES or by less than MARGIN_SHARE of the smallest; lang_pred then still names the smallest. Equal
 sizes are settled by the size of a copy of the text repeated until it is TIE_BYTES long, then by name.
 score is 1 / sum over languages of 2^-(bytes above the smallest).
 
 Defined cases: a null text or one without a letter gives und, score 0 and rejected; without any labelled
-text every text gives und; rows without a label are not learned from; repeated rows are learned and
-predicted alike; an empty table gives an empty table; further columns are not read.
+text every text gives und; rows without a label or without a letter are not learned from; repeated rows are
+learned and predicted alike, passages with equal hashes in the order of their text; a null doc_id is neither
+held out nor learned from; an empty table gives an empty table; further columns are not read.
 """
 
 from __future__ import annotations
@@ -28,11 +33,12 @@ from pyspark.sql import functions as F
 
 from corpusforge.llm.common import documents
 
-DICT_BYTES = 64 * 1024
-#: Labelled texts of each language that are read for its dictionary, in the order of a hash of doc_id.
-SAMPLE_TEXTS = 128
-LEVEL, SHORT_LEVEL, SHORT = 6, 12, 4096
-MARGIN_BYTES, MARGIN_SHARE = 2, 0.01
+#: The sample of a language: its passages with the least hashes, and their length in characters.
+SAMPLE_PASSAGES, PASSAGE = 128, 512
+#: Passages let through for each one of the sample, so that enough are there.
+SPARE = 2
+LEVEL = 9
+MARGIN_BYTES, MARGIN_SHARE = 2, 0.005
 TIE_BYTES = 512
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, rejected boolean"
@@ -49,30 +55,40 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 5
 
 
-def dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE_TEXTS, size: int = DICT_BYTES) -> dict[str, bytes]:
-    """Raw content of each language: sampled texts joined up to ``size`` bytes."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = labelled.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.substring(text, 1, size // 8).alias("text"))
-    rows = rows.filter("lang IS NOT NULL AND text <> ''").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample)
-    found: dict[str, bytes] = {}
-    for row in rows.orderBy("lang", F.desc("n")).select("lang", "text").toLocalIterator():
-        found[row.lang] = (found.get(row.lang, b"") + letters_of(row.text) + b" ")[-size:]
-    return found
+def dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE_PASSAGES, size: int = PASSAGE) -> dict[str, bytes]:
+    """Raw content of each language: a uniform sample of the passages of all its texts, joined."""
+    rows = labelled.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("n", F.ceil(F.length("text") / size))
+    # one row a language, as the model has
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    if not counts:
+        return {}
+    shares = [(k, min(1.0, (SPARE * sample + 64) / n)) for k, n in counts.items()]
+    rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(shares, "lang string, share double")), "lang")
+    place = lambda i: F.xxhash64("doc_id", i)
+    within = F.filter(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), lambda i: F.shiftrightunsigned(place(i), 11) / float(1 << 53) <= F.col("share"))
+    taken = F.transform(within, lambda i: F.struct(place(i).alias("hash"), F.col("text").substr(i * size + 1, F.lit(size)).alias("text")))
+    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("hash", 11), "hash", "text")
+    found = rows.select("lang", F.explode(taken).alias("p")).select("lang", "p.*").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample)
+    out: dict[str, bytes] = {}
+    for row in found.orderBy("lang", F.desc("k")).select("lang", "text").toLocalIterator():
+        out[row.lang] = out.get(row.lang, b"") + letters_of(row.text) + b" "
+    return out
 
 
 class Classifier:
     def __init__(self, contents: dict[str, bytes]):
         self.langs = sorted(contents)
-        self.compressors = {level: [self._compressor(contents[lang], level) for lang in self.langs] for level in (LEVEL, SHORT_LEVEL)}
+        self.compressors = [self._compressor(contents[lang]) for lang in self.langs]
 
     @staticmethod
-    def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+    def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         prepared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        prepared.precompute_compress(level=level)
-        return zstandard.ZstdCompressor(level=level, dict_data=prepared, write_content_size=False, write_checksum=False, write_dict_id=False)
+        prepared.precompute_compress(level=LEVEL)
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=prepared, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def sizes(self, data: bytes) -> list[int]:
-        return [len(c.compress(data)) for c in self.compressors[SHORT_LEVEL if len(data) <= SHORT else LEVEL]]
+        return [len(c.compress(data)) for c in self.compressors]
 
     def predict(self, text: str) -> tuple[str, float, bool]:
         data = letters_of(text)
@@ -83,7 +99,7 @@ class Classifier:
             again = self.sizes((data + b" ") * -(-TIE_BYTES // (len(data) + 1)))
             best.sort(key=lambda i: (again[i], self.langs[i]))
         second = min((s for i, s in enumerate(sizes) if i != best[0]), default=None)
-        narrow = second is not None and second - least < MARGIN_BYTES and second - least < max(1, MARGIN_SHARE * least)
+        narrow = second is not None and second - least < max(MARGIN_BYTES, MARGIN_SHARE * least)
         return self.langs[best[0]], 1 / sum(2.0 ** -(min(s - least, 1000)) for s in sizes), narrow
 
 
