@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import materialise, scratch_dir
+from corpusforge.llm.common import materialise, scratch_path
 
 LEAST_BYTES = 100
 RECORDS_PER_FILE = 2000
@@ -124,9 +124,7 @@ def resolve(records: DataFrame) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return resolve(read_archives(spark, path)).drop("url")
 
