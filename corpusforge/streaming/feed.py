@@ -1,8 +1,9 @@
 """The indicator feed: keyed upserts from many sources, a change feed, replay, health, and their streaming forms.
 
 State is one row per indicator. A batch is folded into it by one aggregation over the key, with first and
-last values chosen by (ingested_at, ordinal); the stream does the same fold in foreachBatch and writes a new
-version of the snapshot, so a batch that is repeated after a failure gives the same version.
+last values chosen by (ingested_at, ordinal); the stream does the same fold in foreachBatch. It asks the state
+only for the keys of the batch, in the buckets that hold them, and writes only their rows, as the next version;
+now and then a version is written whole. A batch that is repeated after a failure gives the same version.
 """
 
 from __future__ import annotations
@@ -104,29 +105,65 @@ def client_list(events: DataFrame, key: str, order: str, most: int = 200) -> Dat
 
 
 class Snapshots:
-    """Versions of the state under a folder; a pointer names the last one that is complete."""
+    """Versions of the state under a folder: v=n has the rows that version n changed, full=n the whole state.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    Both are sorted by the key and hold its first hexadecimal digits as bucket, so a read for few keys skips most of a file.
+    """
 
-    def _fs(self):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+    BUCKET = "substring(indicator_hash, 1, 2)"
 
-    def versions(self) -> list[int]:
-        fs, path = self._fs()
+    def __init__(self, spark: SparkSession, path: str, whole_every: int = 50):
+        self.spark, self.path, self.whole_every = spark, path, whole_every
+
+    def _found(self, kind: str) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(path(self.path)):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}=") and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
 
-    def read(self, version: int | None = None) -> DataFrame | None:
-        found = [v for v in self.versions() if version is None or v <= version]
-        return self.spark.read.parquet(f"{self.path}/v={found[-1]}") if found else None
+    def versions(self) -> list[int]:
+        return sorted({*self._found("v"), *self._found("full")})
+
+    def read(self, version: int | None = None, keys: DataFrame | None = None) -> DataFrame | None:
+        """The state at a version (the last one if none is given), or only its rows of keys (indicator_hash)."""
+        upto = [v for v in self.versions() if version is None or v <= version]
+        if not upto:
+            return None
+        whole = [v for v in self._found("full") if v <= upto[-1]]
+        base = whole[-1] if whole else 0
+        changed = [v for v in self._found("v") if base < v <= upto[-1]]
+        wanted = None
+        if keys is not None:
+            wanted = [r.b for r in keys.select(F.expr(self.BUCKET).alias("b")).distinct().collect()]  # at most 256
+
+        def part(kind: str, numbers: list[int]) -> DataFrame:
+            rows = self.spark.read.option("basePath", self.path).parquet(*[f"{self.path}/{kind}={n}" for n in numbers])
+            if wanted is not None:
+                rows = rows.filter(F.col("bucket").isin(wanted)).join(keys.select("indicator_hash").distinct(), "indicator_hash", "left_semi")
+            return rows
+
+        out = part("full", [base]).select(*STATE) if whole else None
+        if changed:
+            value = F.struct(*STATE)
+            latest = part("v", changed).groupBy("indicator_hash").agg(F.max_by(value, "v").alias("_s")).select("_s.*")
+            out = latest if out is None else out.join(latest.select("indicator_hash"), "indicator_hash", "left_anti").select(*STATE).unionByName(latest)
+        return out
+
+    def _write(self, rows: DataFrame, name: str) -> None:
+        rows = rows.select(*STATE, F.expr(self.BUCKET).alias("bucket")).repartitionByRange("indicator_hash").sortWithinPartitions("indicator_hash")
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
 
     def write(self, state: DataFrame, version: int) -> None:
-        state.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        """A whole state as a version."""
+        self._write(state, f"full={version}")
+
+    def write_changed(self, rows: DataFrame, version: int) -> None:
+        """The rows that a version changes; every whole_every versions the whole state follows."""
+        self._write(rows, f"v={version}")
+        if version % self.whole_every == 0:
+            self.write(self.read(version), version)
 
     def truncate(self) -> None:
         """An empty version after the last."""
@@ -136,7 +173,7 @@ class Snapshots:
 
 
 def run_feed(records: DataFrame, snapshots: Snapshots, events: str, checkpoint: str, as_of: Callable[[int], str] | None = None, stats: str | None = None, quarantine: str | None = None):
-    """Start the stream: each micro-batch becomes version batch + 1 of the state, its change events, and running statistics.
+    """Start the stream: each micro-batch becomes version batch + 1 of the state, its change events, and (if asked for) statistics of the whole state.
 
     Records without a usable URL go to the quarantine folder (beside the events where none is named).
     """
@@ -148,9 +185,9 @@ def run_feed(records: DataFrame, snapshots: Snapshots, events: str, checkpoint:
         good = good.persist()
         try:
             bad.write.mode("overwrite").parquet(f"{aside}/batch={number}")
-            state = snapshots.read(number)
+            state = snapshots.read(number, good)
             changes(good, state).write.mode("overwrite").parquet(f"{events}/batch={number}")
-            snapshots.write(upsert(good, state), number + 1)
+            snapshots.write_changed(upsert(good, state), number + 1)
             if stats and as_of:
                 L.feed_stats(snapshots.read(number + 1), as_of(number), ["primary_source", "indicator_type", "status"]).write.mode("overwrite").parquet(f"{stats}/batch={number}")
         finally:

@@ -91,8 +91,68 @@ def test_stream_equals_batch(spark, tmp_path):
     events = [r.event for r in spark.read.parquet(f"{tmp_path}/events/batch=*").collect()]
     assert sorted(events) == ["indicator.new", "indicator.new", "indicator.update"]
     assert spark.read.parquet(f"{tmp_path}/stats/batch=2").first().total == 2
+    # a version holds only the keys of its batch, and an empty state written whole holds none
+    changed = [spark.read.parquet(f"{tmp_path}/state/v={n}").count() for n in (1, 2, 3)]
+    assert changed == [1, 1, 1] and snapshots.read(1).count() == 1 and snapshots.read(2).count() == 1
+    key = snapshots.read().filter("hostname = 'evil.test'").select("indicator_hash")
+    assert snapshots.read(keys=key).count() == 1
     snapshots.truncate()
-    assert snapshots.read().count() == 0
+    assert snapshots.read().count() == 0 and snapshots.read(3).count() == 2
+
+
+def test_versions_written_whole(spark, tmp_path):
+    good, _ = W.keyed(spark.createDataFrame(rows(), FEED))
+    snapshots = W.Snapshots(spark, str(tmp_path), whole_every=2)
+    for n, ordinal in enumerate((1, 2, 3), 1):
+        batch = good.filter(F.col("ordinal") == ordinal)
+        snapshots.write_changed(W.upsert(batch, snapshots.read(n - 1, batch)), n)
+    assert snapshots._found("full") == [2] and snapshots.versions() == [1, 2, 3]
+    show = lambda d: sorted((r.hostname, r.sources, r.tags, r.status) for r in d.collect())
+    assert show(snapshots.read()) == show(W.upsert(good)) and snapshots.read(0) is None
+
+
+def test_quarantine_is_kept(spark, tmp_path):
+    spark.createDataFrame(rows(), FEED).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(FEED).parquet(f"{tmp_path}/in")
+    W.run_feed(stream, W.Snapshots(spark, f"{tmp_path}/state"), f"{tmp_path}/events", f"{tmp_path}/check").awaitTermination(120)
+    assert spark.read.parquet(f"{tmp_path}/events_quarantine/batch=0").count() == 2
+
+
+def test_first_sightings_within_a_watermark(spark, tmp_path):
+    at = datetime.datetime(2026, 10, 9, 12)
+    spark.createDataFrame([("a", at), ("a", at), ("b", at)], "indicator_hash string, at timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("indicator_hash string, at timestamp").parquet(f"{tmp_path}/in")
+    q = W.expiring(stream, "at", "1 hour").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.indicator_hash for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b"]
+
+
+def test_readers_without_a_query(spark, tmp_path):
+    good, counts = R.labelled_feed(lines(spark, "http://a", " ", "", "http://b "), "feed")
+    assert [(r.url, r.label, r.source) for r in good.collect()] == [("http://a", 1, "feed"), ("http://b ", 1, "feed")] and tuple(counts.first()) == (4, 2)
+    (tmp_path / "e.csv").write_text("name,link\nx,https://Example.com/a/\ny,ftp://no\nz,https://example.com/a\n")
+    assert [r.url for r in R.existing_urls(spark, str(tmp_path / "e.csv")).collect()] == ["https://example.com/a"]
+    snaps = spark.createDataFrame([(2, "b"), (2, "c"), (3, "d")], "rank int, url string")
+    assert sorted(r.url for r in R.first_nonempty(snaps, "rank").collect()) == ["b", "c"]
+    manifest = '{"sources":[{"name":"s","first_party_pages_crawled":[{"url":"https://a/","status":200},{"url":"https://b/","status":404},{"url":"ftp://c","status":200}]}]}'
+    assert [tuple(r) for r in R.crawled_pages(lines(spark, manifest)).collect()] == [("s", "https://a/")]
+    files = spark.createDataFrame([("f", "u1", "d"), ("f", "u1", "d"), ("g", "u2", "d")], "file string, url string, domain string")
+    assert {r.file: (r.n_urls, r.n_domains) for r in R.inventory(files, "file", "url", "domain").collect()} == {"f": (1, 1), "g": (1, 1), "*": (2, 1)}
+    seen = spark.createDataFrame([("https://a.com/", "yes", "yes"), ("https://A.com/", "yes", "yes"), ("https://b.com/", "no", "yes"), ("https://c.com/", "yes", "no"), ("nope", "yes", "yes")], "url string, verified string, online string")
+    kept, outcomes = R.verified_online(seen, "url")
+    assert kept.count() == 1 and {r.outcome: r.n for r in outcomes.collect()} == {"kept": 1, "duplicate": 1, "not_verified": 1, "not_online": 1, "invalid_url": 1}
+
+
+def test_character_references(spark):
+    texts = {"a&amp;lt;b": "a&lt;b", "x&#38;y": "x&y", "&#x26;&#X3C;": "&<", "&": "&", "a&b;c": "a&b;c", "&#0;&#99999999;": "&#0;&#99999999;", "&quot;&apos;": "\"'", "&#128512;": "\U0001f600", "plain": "plain", "": ""}
+    got = {r.value: r.t for r in lines(spark, *texts).select("value", R.unescaped(F.col("value")).alias("t")).collect()}
+    assert got == texts
+
+
+def test_links_stay_within_the_registered_domain(spark):
+    html = '<a href="https://other.co.uk/x">o</a><a href="https://www.shop.co.uk/y?a=1&#38;b=2">y</a>'
+    df = spark.createDataFrame([("https://shop.co.uk/", html)], "url string, html string")
+    assert [r.link for r in R.page_links(df).collect()] == ["https://www.shop.co.uk/y?a=1&b=2"]
 
 
 def test_stream_scoring_redacts(spark, tmp_path):
