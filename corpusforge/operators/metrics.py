@@ -414,10 +414,28 @@ def evidence(f: dict[str, Column] | None = None) -> Column:
     return F.array_compact(F.array(*[F.when(cond, it) for cond, it in rules]))
 
 
+#: Hosts with their approved paths; for a numeric playback route, also what its query pairs may be.
+OFFICIAL_PATHS = {
+    "chatgpt.com": ("/",), "www.youtube.com": ("/",), "gemini.google.com": ("/app",), "mail.google.com": ("/mail/u/0/",), "netflix.com": ("/browse",), "www.netflix.com": ("/browse",), "www.canva.com": ("/templates",),
+    "www.instagram.com": ("/accounts/onetap/",), "cybercrime.gov.in": ("/",), "www.cybercrime.gov.in": ("/",),
+    "www.indiacode.nic.in": tuple(f"/handle/123456789/{n}" for n in ("1522", "1999", "2000", "2006", "2008", "2013")),
+}
+PLAYBACK = (("netflix.com", "www.netflix.com"), "/watch/[0-9]+", "trackId=[0-9]+|ctx=.*")
+SHOPPING = (("amazon.com", "www.amazon.com"), ("/", "/s", "/cart", "/gp/buy/spc/handlers/display[.]html", "(?i)/gp/cart/view[.]html(?:/.*)?", "(?i)/(?:[^/]+/)?dp/[A-Z0-9]{10}(?:/.*)?", "(?i)/gp/product/[A-Z0-9]{10}(?:/.*)?"))
+
+
+def official_policy(spark) -> DataFrame:
+    """The built-in route policy as a table (host, path_pattern, pair_pattern)."""
+    exact = [(h, p.replace(".", "[.]"), None) for h, paths in OFFICIAL_PATHS.items() for p in paths]
+    rows = exact + [(h, PLAYBACK[1], PLAYBACK[2]) for h in PLAYBACK[0]] + [(h, p, None) for h in SHOPPING[0] for p in SHOPPING[1]]
+    return spark.createDataFrame(rows, "host string, path_pattern string, pair_pattern string")
+
+
 def route_policy(df: DataFrame, policy: DataFrame, safe: float, url: str = "normalized_url", p: str = "p") -> DataFrame:
     """df with policy_applied and effective_p: loopback hosts, and approved routes of exact hosts, end just below safe.
 
-    policy has (host, path_pattern). A route counts only for https, a clean authority, no redirect-like key, no
+    policy has (host, path_pattern), and may have pair_pattern, which then every key=value pair of the query must
+    match; official_policy is one. A route counts only for https, a clean authority, no redirect-like key, no
     embedded absolute URL and no doubly encoded value. The raw score stays.
     """
     from corpusforge.functions import urls as U
@@ -428,11 +446,14 @@ def route_policy(df: DataFrame, policy: DataFrame, safe: float, url: str = "norm
     markers = ("continue", "dest", "destination", "next", "redirect", "return", "target", "url")
     embedded = F.exists("_q", lambda x: F.lower(x["key"]).isin(*markers) | F.lower(x["value"]).rlike("^(?:https?:)?//"))
     clean = (u["scheme"] == "https") & u["userinfo"].isNull() & u["port"].isNull() & ~F.col(url).contains("%") & ~embedded & (F.col(p) >= safe)
-    rules = policy.groupBy(F.col("host").alias("_host")).agg(F.collect_list("path_pattern").alias("_paths"))
+    pair = F.col("pair_pattern") if "pair_pattern" in policy.columns else F.lit(None).cast("string")
+    rules = policy.groupBy(F.col("host").alias("_host")).agg(F.collect_list(F.struct(F.col("path_pattern").alias("path"), pair.alias("pair"))).alias("_rules"))
     joined = df.join(rules, F.col("_h") == F.col("_host"), "left")
-    route = clean & F.coalesce(F.exists("_paths", lambda x: F.regexp(u["path"], F.concat(F.lit("^(?:"), x, F.lit(")$")))), F.lit(False))
+    whole = lambda text, pattern: F.regexp(text, F.concat(F.lit("^(?:"), pattern, F.lit(")$")))
+    allowed = lambda r: r["pair"].isNull() | F.forall("_q", lambda x: whole(F.concat(x["key"], F.lit("="), x["value"]), r["pair"]))
+    route = clean & F.coalesce(F.exists("_rules", lambda r: whole(u["path"], r["path"]) & allowed(r)), F.lit(False))
     applied = F.coalesce(local | route, F.lit(False))
-    return joined.withColumn("policy_applied", applied).withColumn("effective_p", F.when(applied, F.least(F.col(p), F.lit(max(0.0, safe - 1e-6)))).otherwise(F.col(p))).drop("_u", "_q", "_h", "_k", "_host", "_paths")
+    return joined.withColumn("policy_applied", applied).withColumn("effective_p", F.when(applied, F.least(F.col(p), F.lit(max(0.0, safe - 1e-6)))).otherwise(F.col(p))).drop("_u", "_q", "_h", "_k", "_host", "_rules")
 
 
 def legitimate_only(scored: DataFrame, safe: float, phishing: float, facets: dict[str, str], tags: str | None = None) -> DataFrame:

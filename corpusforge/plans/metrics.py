@@ -334,6 +334,21 @@ def _(spark, d):
     return df.select("page_id", F.transform(M.evidence(), lambda e: F.concat_ws(":", e["id"], e["severity"], e["polarity"], e["feature"], e["value"].cast("string"))).alias("evidence"))
 
 
+#: Routes by page_id, and whether the built-in policy covers them.
+ROUTES = (
+    ("https://chatgpt.com/", True), ("https://www.netflix.com/watch/81?trackId=7&ctx=a", True), ("https://www.netflix.com/watch/81?trackId=x", False), ("https://www.netflix.com/watch/81?u=1", False), ("https://netflix.com.evil.test/browse", False),
+    ("https://amazon.com/some-name/dp/B012345678/ref", True), ("https://amazon.com/dp/B01", False), ("https://www.indiacode.nic.in/handle/123456789/1999", True), ("http://127.0.0.1/x", True), ("https://mail.google.com/mail/u/0/?continue=x", False),
+    ("https://www.canva.com/templates?a=https://b.test", False), ("https://user@www.canva.com/templates", False), ("http://www.canva.com/templates", False), ("https://www.youtube.com:8443/", False), ("https://gemini.google.com/app", True),
+)
+
+
+@query("route_policy", "SELECT page_id, " + "CASE page_id % 15 " + " ".join(f"WHEN {i} THEN {str(ok).lower()}" for i, (_, ok) in enumerate(ROUTES)) + " END AND page_id % 4 <> 0 AS policy_applied FROM pages WHERE page_id % 15 <> 8 UNION ALL SELECT page_id, true FROM pages WHERE page_id % 15 = 8")
+def _(spark, d):
+    url = F.element_at(F.array(*[F.lit(u) for u, _ in ROUTES]), (F.col("page_id") % len(ROUTES) + 1).cast("int"))
+    df = spark.read.parquet(f"{d}/pages.parquet").select("page_id", url.alias("normalized_url"), F.when(F.col("page_id") % 4 == 0, 0.2).otherwise(0.9).alias("p"))
+    return M.route_policy(df, M.official_policy(spark), 0.45).select("page_id", "policy_applied")
+
+
 @query("legitimate_only", f"""WITH {SCORED}, g AS (SELECT p, unnest(['all', 'source'] || list_transform(tags, lambda t: 'tag')) AS facet, unnest(['all', source] || tags) AS key FROM s WHERE label = 0)
   SELECT facet, key, count(*) AS n, count(*) FILTER (WHERE p < 0.3) AS safe, count(*) FILTER (WHERE p >= 0.3 AND p < 0.6) AS suspicious, count(*) FILTER (WHERE p >= 0.6) AS phishing, round(avg((p >= 0.6)::INT), 9) AS fpr, round(min(p), 9) AS min_p, round(avg(p), 9) AS avg_p, round(max(p), 9) AS max_p FROM g GROUP BY 1, 2""")
 def _(spark, d):
