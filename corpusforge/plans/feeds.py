@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusforge.operators import log as L
+from corpusforge.plans.urls import SPLIT
 from corpusforge.sources import feeds as R
 from corpusforge.streaming import feed as W
 
@@ -170,7 +171,8 @@ def _(spark, d):
     return W.merge_keeping(e, "user_id", "event_id", ["value"]).select("user_id", "event_type", "value")
 
 
-@query("page_links")
+@query("page_links", f"""WITH {SPLIT}, h AS (SELECT DISTINCT u.url AS page_url, scheme || '://' || host AS base, trim(unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1))) AS r FROM u JOIN pages USING (page_id))
+  SELECT DISTINCT page_url, base || r AS link FROM h WHERE starts_with(r, '/') AND base || r <> regexp_replace(page_url, '#.*$', '')""")
 def _(spark, d):
     return R.page_links(spark.read.parquet(f"{d}/pages.parquet").select("url", "html"), https_only=False)
 

@@ -149,7 +149,20 @@ def _(spark, d):
     return M.leaderboard(results).select("model", "rank")
 
 
-@query("compare_models")
+def _per_model(rows: str) -> str:
+    """CTEs: k, the rates of each model over rows (model, label, p), with ranking and Brier score."""
+    return f"""m AS ({rows}), f AS (SELECT model, {counts('p >= 0.5')}, avg((p - label) * (p - label)) AS brier FROM m GROUP BY model),
+  pb AS (SELECT model, p, sum(label) AS pos, sum(1 - label) AS neg FROM m GROUP BY model, p), pc AS (SELECT *, sum(pos) OVER (PARTITION BY model ORDER BY p DESC) AS pg, sum(neg) OVER (PARTITION BY model ORDER BY p DESC) AS ng FROM pb),
+  pr AS (SELECT model, sum(neg * (pg - pos + pos / 2)) / (sum(pos) * sum(neg)) AS roc_auc, sum(pos * pg / (pg + ng)) / sum(pos) AS average_precision FROM pc GROUP BY model),
+  k AS (SELECT model, (tp + tn) / (tp + fp + tn + fn) AS accuracy, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, fp / (fp + tn) AS fpr, fn / (fn + tp) AS fnr, roc_auc, average_precision, brier
+    FROM f JOIN pr USING (model))"""
+
+
+NINE = ("accuracy", "precision", "recall", "f1", "fpr", "fnr", "roc_auc", "average_precision", "brier")
+
+
+@query("compare_models", f"WITH {SCORED}, " + _per_model("SELECT 'new' AS model, label, p FROM s UNION ALL SELECT 'old', label, 1 - p FROM s") + ", l AS (" + " UNION ALL ".join(f"SELECT model, '{n}' AS metric, {n}::DOUBLE AS value FROM k" for n in NINE) + """)
+  SELECT metric, round(max(value) FILTER (WHERE model = 'old'), 9) AS baseline, round(max(value) FILTER (WHERE model = 'new'), 9) AS candidate, round(max(value) FILTER (WHERE model = 'new') - max(value) FILTER (WHERE model = 'old'), 9) AS delta FROM l GROUP BY metric""")
 def _(spark, d):
     df = scored(spark, d)
     both = df.withColumn("model", F.lit("new")).unionByName(df.withColumn("p", 1 - F.col("p")).withColumn("model", F.lit("old")))
@@ -391,7 +404,8 @@ def _(spark, d):
     return scored(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.count_if("dynamic").alias("n_dynamic"))
 
 
-@query("select_candidate")
+@query("select_candidate", f"WITH {SCORED}, " + _per_model("SELECT lang AS model, label, p FROM s WHERE lang IS NOT NULL") + """, z AS (SELECT model, 0.35::DOUBLE * recall + 0.25::DOUBLE * average_precision + 0.2::DOUBLE * f1 - 0.3::DOUBLE * fpr - 0.1::DOUBLE * brier AS score FROM k WHERE fpr < 0.9::DOUBLE),
+  h AS (SELECT arg_max(model, (score, model)) AS best, max(score) AS best_score, max(score) FILTER (WHERE model = 'en') AS held FROM z) SELECT CASE WHEN held IS NOT NULL AND best_score - held <= 0.01::DOUBLE THEN 'en' ELSE best END AS model, round(best_score, 9) AS best_score, round(held, 9) AS held FROM h""")
 def _(spark, d):
     df = scored(spark, d).withColumnRenamed("lang", "model")
     metrics = M.confusion(df, 0.5, "model").join(M.ranking(df, "model"), "model").join(M.brier(df, "model"), "model").withColumn("passed", F.col("fpr") < 0.9)

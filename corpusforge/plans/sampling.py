@@ -78,12 +78,18 @@ def _quota(spark, d):
     return X.quotas(sizes, "lang", "size", "hard", 120)
 
 
-@query("quotas")
+#: Shares of 120 by size, the hard stratum boosted, largest remainders; no stratum is smaller than its share on these tables.
+QUOTAS = """g AS (SELECT lang, count(*) AS size, lang = 'es' AS hard FROM documents GROUP BY lang), w AS (SELECT *, size * CASE WHEN hard THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END AS w FROM g), q AS (SELECT *, w * 120 / sum(w) OVER () AS q FROM w),
+b AS (SELECT *, least(floor(q), size)::BIGINT AS base FROM q), o AS (SELECT *, row_number() OVER (ORDER BY q - base DESC, lang) AS n, 120 - sum(base) OVER () AS short FROM b), quota AS (SELECT lang, size, base + CASE WHEN n <= short THEN 1 ELSE 0 END AS quota FROM o)"""
+
+
+@query("quotas", f"WITH {QUOTAS} SELECT lang, size, quota FROM quota")
 def _(spark, d):
     return _quota(spark, d).select("lang", "size", "quota")
 
 
-@query("systematic")
+@query("systematic", f"""WITH {QUOTAS}, r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 AS r FROM documents),
+  k AS (SELECT r.*, ceil((r + 1) * quota / size - 0.5::DOUBLE) - ceil(r * quota / size - 0.5::DOUBLE) >= 1 AS taken FROM r JOIN quota ON r.lang = quota.lang) SELECT lang, count(*) AS n, min(doc_id) AS first, sum(doc_id)::BIGINT AS total FROM k WHERE taken GROUP BY lang""")
 def _(spark, d):
     return X.systematic(docs(spark, d), "lang", _quota(spark, d), "n_chars", "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.sum("doc_id").alias("total"))
 
