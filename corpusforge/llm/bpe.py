@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from corpusforge.llm.common import documents
 
 CACHE, PAIRS = 400_000, 200_000
+#: Prefixes of words up to SHARED symbols whose last token is kept, and how many.
+SHARED, PREFIXES = 8, 400_000
 SEGMENT, PORTION = 1 << 16, 256
 #: The white space of the tokenizer's \s, and those of Python's str.split that it lacks.
 WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -77,10 +79,13 @@ class MergeList:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"])
         self.longest = max(map(len, self.ids))
-        self.lengths: dict[str, list[int]] = {}  # of tokens, by their last two symbols, longest first
+        #: Lengths above 3 of the tokens with an ending of 4 symbols, longest first; shorter tokens are simply tried.
+        lengths: dict[str, set[int]] = {}
         for token in self.ids:
-            self.lengths.setdefault(token[-2:], []).append(len(token))
-        self.lengths = {k: sorted(set(v), reverse=True) for k, v in self.lengths.items()}
+            if len(token) > 3:
+                lengths.setdefault(token[-4:], set()).add(len(token))
+        self.lengths = {k: (*sorted(v, reverse=True), 3, 2, 1) for k, v in lengths.items()}
+        self.digits = {i: str(i) for i in self.names}
         self.lookahead = sufficient_lookahead(self.ranks)
         self.known: dict[tuple[str, str], bool] = {}
 
@@ -172,20 +177,23 @@ def merged_by_heap(symbols: list[str], ranks: dict[tuple[str, str], int]) -> lis
     return [x for x in out if x is not None]
 
 
+SHORT = (3, 2, 1)
+
+
 class Encoder:
     """The transducer: feed symbols of one word in any portions, get tokens as they become stable."""
 
     def __init__(self, merges: MergeList):
-        self.merges = merges
+        self.merges, self.seen = merges, {}
         self._restart()
 
     def _restart(self) -> None:
-        #: Symbols that are not emitted yet, the length of the last token of each of their prefixes, and the token before them.
-        self.text, self.back, self.before, self.held = "", [0], "", ""
+        #: Symbols that are not emitted yet, the last token of each of their prefixes (of the empty one, the token before them), and a symbol that may be the word's last.
+        self.text, self.last, self.held = "", [""], ""
 
     def feed(self, symbols: str) -> list[str]:
         symbols, out = self.held + symbols, []
-        self.held = symbols[-1:]  # it may be the word's last
+        self.held = symbols[-1:]
         for at in range(0, len(symbols) - 1, PORTION):
             self._extend(symbols[at : min(at + PORTION, len(symbols) - 1)])
             if len(self.text) >= 2 * self.merges.longest:
@@ -199,45 +207,66 @@ class Encoder:
         self._restart()
         return out
 
+    def word(self, symbols: str) -> list[str]:
+        """All tokens of a word. The steps of its first symbols, which many words share, are kept in a cache of bounded size."""
+        n = len(symbols)
+        if n > PORTION:
+            return [*self.feed(symbols), *self.finish()]
+        text, last, seen = symbols[:-1] + self.merges.last[symbols[-1]], [""], self.seen
+        for i in range(1, min(n, SHARED + 1)):
+            token = seen.get(symbols[:i])
+            if token is None:
+                if len(seen) >= PREFIXES:
+                    seen.clear()
+                token = seen[symbols[:i]] = self._last(text, i, last)
+            last.append(token)
+        for i in range(len(last), n + 1):
+            last.append(self._last(text, i, last))
+        out, at = [], n
+        while at:
+            out.append(last[at])
+            at -= len(last[at])
+        out.reverse()
+        return out
+
+    def _last(self, text: str, i: int, last: list[str]) -> str:
+        """The last token of the first i symbols, given those of all shorter prefixes."""
+        merges = self.merges
+        for n in merges.lengths.get(text[i - 4 : i], SHORT) if i > 3 else SHORT:
+            if n <= i and (token := text[i - n : i]) in merges.ids:
+                before = last[i - n]
+                found = merges.known.get((before, token))
+                if found or found is None and merges.fits(before, token):
+                    break
+        return token
+
     def _extend(self, symbols: str) -> None:
-        begin, text, back = len(self.text), self.text + symbols, self.back
-        lengths, ids, known, fits = self.merges.lengths, self.merges.ids, self.merges.known, self.merges.fits
-        for i in range(begin + 1, len(text) + 1):
-            for n in lengths.get(text[max(0, i - 2) : i]) or (1,):
-                at = i - n
-                if at >= 0 and (token := text[at:i]) in ids:
-                    before = text[at - back[at] : at] if at else self.before
-                    found = known.get((before, token))
-                    if found or found is None and fits(before, token):
-                        back.append(n)
-                        break
-            else:
-                back.append(1)
-        self.text = text
+        begin, self.text = len(self.text), self.text + symbols
+        for i in range(begin + 1, len(self.text) + 1):
+            self.last.append(self._last(self.text, i, self.last))
 
     def _stable(self) -> int:
         """The end of the tokens that no further symbol can change."""
-        n, merges = len(self.text), self.merges
+        n, merges, last = len(self.text), self.merges, self.last
         live = set(range(max(0, n - merges.longest + 1), n + 1))
         for at in range(n, 0, -1):
             if at in live:
                 if len(live) == 1:
                     return at
                 live.discard(at)
-                live.add(at - self.back[at])
+                live.add(at - len(last[at]))
         at = n
         while at > max(0, n - merges.lookahead):
-            at -= self.back[at]
+            at -= len(last[at])
         return at
 
     def _emit(self, end: int) -> list[str]:
         out, at = [], end
         while at:
-            out.append(self.text[at - self.back[at] : at])
-            at -= self.back[at]
-        if out:
-            out.reverse()
-            self.before, self.text, self.back = out[-1], self.text[end:], [0, *self.back[end + 1 :]]
+            out.append(self.last[at])
+            at -= len(self.last[at])
+        out.reverse()
+        self.text, self.last = self.text[end:], self.last[end:]
         return out
 
 
@@ -291,8 +320,8 @@ class Pieces(Recent):
         return [i for p in self.find(stretch) for i in self.words[p]]
 
     def _word(self, piece: str) -> list[int]:
-        ids, symbols = self.merges.ids, self.merges.base(piece)
-        return [ids[t] for t in [*self.encoder.feed(symbols), *self.encoder.finish()]]
+        ids = self.merges.ids
+        return [ids[t] for t in self.encoder.word(self.merges.base(piece))]
 
 
 def normal(text: str) -> str:
@@ -403,9 +432,10 @@ class Transducer:
 def digests_of(text: str, transducer: Transducer, size: int = SEGMENT) -> tuple[int, str, str]:
     """Number of tokens, digest of the ids joined by spaces, and digest of the text decoded from them, in constant memory."""
     n, ids_sha, text_sha, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(transducer.merges)
+    digits = transducer.merges.digits.__getitem__
     for ids in transducer.ids(text, size):
         if ids:
-            ids_sha.update(((" " if n else "") + " ".join(map(str, ids))).encode())
+            ids_sha.update(((" " if n else "") + " ".join(map(digits, ids))).encode())
             text_sha.update(decoder.feed(ids).encode())
             n += len(ids)
     text_sha.update(decoder.finish().encode())
