@@ -6,7 +6,7 @@ line separator is the CR LF CR LF that ends a record, so every file is a valid a
 same protocol as any Spark output. The first of equal payloads is a response; later ones are revisit
 records with fresh headers that name it, without the payload.
 
-read_archives parses the files by Content-Length inside the tasks; resolve joins revisit records to their
+read_archives unpacks and parses the files record by record, by Content-Length, inside the tasks; resolve joins revisit records to their
 originals by id, so a revisit's length and payload digest come from the archived response.
 
 Defined cases: null html counts as empty; payloads under 100 bytes are always responses; a null page_id
@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,20 +72,23 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         .write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive, by its Content-Length."""
+def parse(content: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of an archive, by its Content-Length; of a stream, one record is in memory at a time."""
+    stream = io.BytesIO(content) if isinstance(content, bytes) else content
     at = 0
-    while at < len(content):
-        if not content.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        end = content.index(END.encode(), at)
-        head = dict(x.split(": ", 1) for x in content[at:end].decode().split("\r\n")[1:])
-        start = end + len(END)
-        at = start + int(head["Content-Length"])
-        yield head, content[start:at]
-        if content[at : at + len(END)] != END.encode():
-            raise ValueError(f"record at byte {start} is cut short")
-        at += len(END)
+    while version := stream.readline():
+        if not version.startswith(b"WARC/"):
+            raise ValueError(f"record {at} does not begin with its version")
+        head = {}
+        while line := stream.readline().rstrip(b"\r\n"):
+            name, value = line.decode().split(": ", 1)
+            head[name] = value
+        size = int(head["Content-Length"])
+        block = stream.read(size)
+        if len(block) < size or stream.read(len(END)) != END.encode():
+            raise ValueError(f"record {at} is cut short")
+        yield head, block
+        at += 1
 
 
 def _urn(value: str | None) -> int | None:
@@ -96,7 +101,7 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for content in batch["content"]:
             rows = []
-            for head, block in parse(gzip.decompress(content)):
+            for head, block in parse(gzip.open(io.BytesIO(content))):
                 payload = block[block.index(END.encode()) + len(END) :]
                 first = head["WARC-Type"] == "response"
                 rows.append((

@@ -2,6 +2,8 @@ import gzip
 import hashlib
 from pathlib import Path
 
+import pytest
+
 from corpusforge.llm import warc as W
 
 
@@ -44,3 +46,18 @@ def test_empty(spark, tmp_path):
 def test_repeated_rows(spark, tmp_path):
     _, got = round_trip(spark, tmp_path, [(1, "u", "y" * 120), (1, "u", "y" * 120), (2, "u", "y" * 120)])
     assert [r[3:] for r in got] == [("response", None), ("response", None), ("revisit", 1)]
+
+
+def test_clashing_columns(spark, tmp_path):
+    df = pages(spark, [(1, "u", "z" * 200), (2, "v", "z" * 200)]).selectExpr("*", "'x' AS digest", "'x' AS body", "'x' AS first_id", "'x' AS bytes", "'x' AS value")
+    W.write_archives(df, str(tmp_path / "w"))
+    got = sorted((r.page_id, r.url, r.record_type, r.refers_to) for r in W.resolve(W.read_archives(spark, str(tmp_path / "w"))).collect())
+    assert got == [(1, "u", "response", None), (2, "v", "revisit", 1)]
+
+
+def test_damaged_archives_are_errors():
+    good = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert [block for _, block in W.parse(good * 2)] == [b"abc"] * 2
+    for bad in (good + b"junk", good[:-6], good.replace(b"abc", b"ab")):
+        with pytest.raises(ValueError):
+            list(W.parse(bad))
