@@ -74,3 +74,23 @@ def test_empty_and_clashes(spark):
 
     one = table(spark, {"a": [prose(10, 1)]}).withColumns({c: F.lit("x") for c in ("src", "key", "size", "cut", "row", "epochs")})
     assert M.mix(one).columns == one.columns
+
+
+def test_nulls_ties_repeats_and_long_texts(spark):
+    rows = [(None, prose(10, 1), "a"), (None, prose(10, 1), "a"), (1, prose(10, 2), "a"), (1, prose(10, 2), "a"), (1, prose(10, 2), "b"), (2, prose(60_000, 3), "a"), (3, None, "a"), (4, " \n", None), (5, prose(10, 4), None)]
+    df = spark.createDataFrame([(i, t, "en", s, None) for i, t, s in rows], SCHEMA)
+    got = M.mix_sizes(df.repartition(4)).collect()
+    assert len(got) == len(rows) and sorted(r["size"] for r in got) == [0, 0, 10, 10, 10, 10, 10, 10, 60_000]
+    assert all(r.taken <= 3 * r["size"] for r in got)
+    sizes = filled({"a": 60_040, "b": 10, None: 10})
+    assert {r.source_size: r.target for r in got}[60_040] == pytest.approx(sizes["a"])
+    # rows alike in doc_id, source and size are taken together
+    assert len({r.taken for r in got if r.doc_id is None}) == 1 and len({r.taken for r in got if r.doc_id == 1 and r.source_size > 100}) == 1
+    assert sum(r.taken // max(r["size"], 1) for r in got if r["size"]) == M.mix(df).filter("text RLIKE '[a-z]'").count()
+
+
+def test_plan_has_no_python(spark):
+    df = table(spark, {"a": [prose(10, 1)], "b": [prose(10, 2)]})
+    for out in (M.mix_sizes(df), M.mix(df)):
+        plan = out._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -2,6 +2,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from corpusforge.llm import quality, registry
 from tests.llm.test_near_dedup import brute
@@ -63,3 +65,24 @@ import __spark_entry__ as e
 assert 'pipeline' not in e.queries() and not any(n.startswith('op1_') for n in e.queries()) and e.oracle_sql()
 """
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_pipeline_with_nulls_repeats_and_further_columns(spark, tmp_path):
+    texts = [prose(60, i) for i in range(60)] + [" ".join(w + "###" for w in prose(60, i).split()) for i in range(30)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)]
+    rows += [(200, None, None, None, None), (None, prose(70, 900), "en", "s1", None), (None, prose(70, 901), None, None, None), (5, texts[5], "en", "s2", None), (5, texts[5], "en", "s2", None), (201, "", "en", "s0", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for name in ("digest", "keep_id", "row", "kept", "size", "key", "id", "hash", "gone", "score", "component_id", "n_tokens", "ids"):
+        df = df.withColumn(name, F.lit("x"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 60), 0) for i in range(90)] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, sizes = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in P.STAGES[:-1]:
+        docs = P.materialise(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == df.columns
+        sizes.append(docs.count())
+    assert sizes[0] >= sizes[1] >= sizes[2]
+    kept = [r.doc_id for r in docs.collect()]
+    assert not set(kept) & set(range(60, 90)) and kept.count(5) <= 3
+    out = P.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == sizes[3]

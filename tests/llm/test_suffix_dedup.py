@@ -93,3 +93,11 @@ def test_a_hot_gram_is_split():
     assert anchors.max() <= 50
     windows = [len(S.zstandard.decompress(t)) // S.LENGTH for t in sent[sent["bucket"] >= 1]["texts"]]
     assert len(windows) == S.SPREAD and max(windows) < 3 * np.mean(windows)
+
+
+def test_very_long_texts(spark):
+    passage, long = prose(40, 7), prose(60_000, 8)
+    rows = [(1, long), (2, passage + long[200_000:260_000]), (3, prose(30_000, 9) + passage), (3, "x" * 400_000)]
+    got = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans) for r in S.repeated_bytes(docs(spark, rows).repartition(2)).collect()}
+    assert got[2, len(rows[1][1])] == (60_000, 1) and got[3, 400_000] == (0, 0) and got[1, len(long)] == (0, 0)
+    assert got[3, len(rows[2][1])] == (len(passage), 1)

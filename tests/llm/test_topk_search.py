@@ -40,3 +40,11 @@ def test_large_components_stay_exact(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert T.top_k(df, F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_clashing_columns_and_nulls(spark):
+    rows = [(0, [0.5, 0.25]), (0, [0.5, 0.25]), (1, [0.5, 0.25]), (2, None), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("rid", "v", "dim", "q", "qg", "sg", "score", "rank", "query_id")})
+    got = sorted(tuple(r) for r in T.top_k(df, F.col("vec_id") == 0, k=2).collect())
+    # of equal vectors the other row with the same id comes first, its own row never
+    assert got == [(0, 1, None, 128 * 256 + 64 * 256), (0, 1, None, 128 * 256 + 64 * 256), (0, 2, 0, 128 * 128 + 64 * 64), (0, 2, 0, 128 * 128 + 64 * 64)]
