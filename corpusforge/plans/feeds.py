@@ -101,6 +101,11 @@ def records(spark, d):
     )
 
 
+def keyed(spark, d):
+    """Keyed records, kept as in the stream's fold, since each is read more than once."""
+    return W.keyed(records(spark, d))[0].persist()
+
+
 UPSERT = """WITH e AS (SELECT *, 'http://u' || user_id || '.example.com/a?x=1' AS url, (ts, event_id) AS o FROM events),
 t AS (SELECT user_id, unnest([event_type, 'k' || json_extract_string(props, '$.k')]) AS tag, o, unnest([0, 1]) AS j FROM e), ft AS (SELECT user_id, tag, min((o, j)) AS f FROM t GROUP BY 1, 2), tt AS (SELECT user_id, list(tag ORDER BY f) AS tags FROM ft GROUP BY 1),
 fs AS (SELECT user_id, event_type, min(o) AS f FROM e GROUP BY 1, 2), ss AS (SELECT user_id, list(event_type ORDER BY f) AS sources FROM fs GROUP BY 1)
@@ -115,24 +120,24 @@ def _shown(state):
 
 @query("upsert", UPSERT)
 def _(spark, d):
-    return _shown(W.upsert(W.keyed(records(spark, d))[0]))
+    return _shown(W.upsert(keyed(spark, d)))
 
 
 @query("upsert_in_two_batches", UPSERT)
 def _(spark, d):
-    good, _ = W.keyed(records(spark, d))
+    good = keyed(spark, d)
     first = W.upsert(good.filter("ingested_at < '2024-01-15'"))
     return _shown(W.upsert(good.filter("ingested_at >= '2024-01-15'"), first))
 
 
 @query("change_feed", "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN 'indicator.new' ELSE 'indicator.update' END AS event FROM events")
 def _(spark, d):
-    return W.changes(W.keyed(records(spark, d))[0]).select(F.col("ordinal").alias("event_id"), "event")
+    return W.changes(keyed(spark, d)).select(F.col("ordinal").alias("event_id"), "event")
 
 
 @query("feed_stats", """WITH g AS (SELECT user_id, min(ts) AS f, max(ts) AS l FROM events GROUP BY user_id) SELECT count(*) AS total, count(*) FILTER (WHERE f >= TIMESTAMP '2024-01-02 00:00:00' - INTERVAL 24 HOUR) AS new_24h, count(*) FILTER (WHERE f >= TIMESTAMP '2024-01-02 00:00:00' - INTERVAL 1 HOUR) AS new_1h FROM g""")
 def _(spark, d):
-    return L.feed_stats(W.upsert(W.keyed(records(spark, d))[0]), "2024-01-02 00:00:00", ["primary_source", "status"]).select("total", "new_24h", "new_1h")
+    return L.feed_stats(W.upsert(keyed(spark, d)), "2024-01-02 00:00:00", ["primary_source", "status"]).select("total", "new_24h", "new_1h")
 
 
 @query("feed_health", """WITH f AS (SELECT event_type AS source_id, ts, value >= 20 AS ok, CASE WHEN value < 20 THEN 'http 500' END AS error FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00'), g AS (SELECT source_id, max(ts) FILTER (WHERE ok) AS last_ok FROM f GROUP BY 1),

@@ -46,13 +46,17 @@ def upsert(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
         *[first(c) for c in ("url", "normalized_url", "hostname", "indicator_type", "primary_source", "first_seen_at", "threat_type", "ingested_at")],
         F.max_by("last_seen_at", "o").alias("last_seen_at"), first("source_timestamp", F.col("source_timestamp").isNotNull()), F.max_by("status", F.when(F.coalesce("status", F.lit("")) != "", F.col("o"))).alias("status"),
     )
-    # sets and maps are merged by value first, so that a key with very many records gathers only what is distinct
-    for c in ("sources", "tags"):
-        values = rows.select("indicator_hash", "o", F.posexplode(c).alias("i", "x")).groupBy("indicator_hash", "x").agg(F.min(F.struct("o", "i")).alias("f"))
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("f", "x"))), lambda e: e["x"])
-        out = out.join(values.groupBy("indicator_hash").agg(ordered.alias(c)), "indicator_hash", "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
-    entries = rows.select("indicator_hash", "o", F.explode("metadata").alias("k", "v")).groupBy("indicator_hash", "k").agg(F.max_by("v", "o").alias("v"))
-    return out.join(entries.groupBy("indicator_hash").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("metadata")), "indicator_hash", "left").select(*STATE)
+    # sources, tags and metadata are merged by value first, so that a key with very many records gathers only what is distinct
+    none = F.lit(None).cast("map<string,string>")
+    item = lambda kind, k, i, v: F.struct(F.lit(kind).alias("kind"), k.alias("k"), i.alias("i"), v.alias("v"))
+    listed = lambda kind: F.transform(kind, lambda x, i: item(kind, x, i, none))
+    entries = F.transform(F.map_entries("metadata"), lambda e: item("metadata", e["key"], F.lit(0), e["value"]))
+    long = rows.select("indicator_hash", "o", F.explode(F.concat(listed("sources"), listed("tags"), entries)).alias("e")).select("indicator_hash", "o", "e.*")
+    merged = long.groupBy("indicator_hash", "kind", "k").agg(F.min(F.struct("o", "i")).alias("f"), F.max_by("v", "o").alias("v"))
+    of = lambda kind, value: F.collect_list(F.when(F.col("kind") == kind, value))
+    ordered = lambda kind: F.transform(F.array_sort(of(kind, F.struct("f", "k"))), lambda e: e["k"]).alias(kind)
+    sets = merged.groupBy("indicator_hash").agg(ordered("sources"), ordered("tags"), F.map_from_entries(of("metadata", F.struct("k", "v"))).alias("metadata"))
+    return out.join(sets, "indicator_hash").select(*STATE)
 
 
 def changes(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
