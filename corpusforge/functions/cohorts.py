@@ -62,6 +62,7 @@ def taxonomy_basic(s: Column) -> Tags:
 PRIORITY = ("homepage", "login_account", "long_query", "tracking", "pagination", "encoding", "fragment", "search", "multiple_parameters", "query", "api_endpoint", "docs", "long_url", "content_path")
 
 
+#: The tags, their order, and the words of their rules.
 def taxonomy_realworld(s: Column) -> Tags:
     path, where = F.trim(s["path"], F.lit("/")) != "", F.concat_ws("\n", s["host"], s["low"])
     any_of = lambda words: where.rlike("|".join(words))
@@ -85,6 +86,7 @@ def training_category(tags: Column, detected: Column) -> Column:
     return F.coalesce(detected, *named, F.lit("other_observed"))
 
 
+#: The tags, their order, and the words of their rules.
 def taxonomy_structures(s: Column) -> Tags:
     query, where = s["query"] != "", F.lower(F.concat(s["host"], s["path"]))
     return [
@@ -98,6 +100,7 @@ def taxonomy_structures(s: Column) -> Tags:
     ]
 
 
+#: The tags, their order, and the words of their rules.
 def taxonomy_training(s: Column) -> Tags:
     full = F.size(s["segs"]) > 0
     return [
@@ -109,6 +112,7 @@ def taxonomy_training(s: Column) -> Tags:
     ]
 
 
+#: The tags, their order, and the words of their rules.
 def taxonomy_collector(s: Column) -> Tags:
     segs, keys, host, low = s["segs"], s["keys"], s["host"], s["low"]
     values = F.transform(s["pairs"], lambda p: p["value"])

@@ -402,6 +402,7 @@ def grid_threshold(scored: DataFrame, limit: float = 0.015, high: float = 0.999)
     return best.select(F.col("b.p").alias("phishing"), F.col("b.recall").alias("recall"), F.col("b.fpr").alias("fpr"), F.col("b").isNotNull().alias("feasible"))
 
 
+#: Ids, severities and order of the items.
 def evidence(f: dict[str, Column] | None = None) -> Column:
     """Ordered evidence items from feature columns; the scheme always gives one."""
     c = lambda name: F.col(name)

@@ -37,8 +37,10 @@ def test_keys(spark):
     assert safe == {"HTTP://Bad_Host/A?q#f": ("http://bad_host/A?q", "bad_host"), "nothing": ("nothing", "unknown")}
 
 
+# fixed values: golden URLs with their results
 @pytest.mark.parametrize(("url", "reason"), [
     ("", "empty"), ("http://a", "too_short"), ("ftp://example.com/", "non_http_scheme"), ("https://exa<mple.com/", "malformed_chars"), ("https://u@example.com/", "userinfo_in_url"), ("https://example.com:0/", "bad_port"),
+    ("https://example.com:99999/a", "parse_error"), ("https://[2001:db8::1]/a", "private_or_reserved_ip"), ("https://b\u00fccher.example.com/\u00fc", None), ("https://b\u00fc..example.com/", "encoding_error"), ("https://[2606:4700::1]/a", "ip_literal_host"),
     ("https://10.0.0.1/a", "private_or_reserved_ip"), ("https://8.8.8.8/a", "ip_literal_host"), ("https://singlelabel/", "bad_host"), ("https://host.local/", "internal_host"), ("https://example.com/", None),
 ])
 def test_collector(spark, url, reason):
