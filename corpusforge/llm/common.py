@@ -34,11 +34,17 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder, which is deleted when the application ends."""
-    path = f"{scratch_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+    """A new path in the application's own folder within the shared one. That folder is deleted when the application ends."""
+    context, base = spark.sparkContext, scratch_dir(spark)
+    folders = getattr(context, "_scratch_folders", {})
+    if base not in folders:
+        folders[base] = f"{base.rstrip('/')}/corpusforge-{context.applicationId}-{uuid.uuid4().hex[:8]}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(folders[base])
+        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(folder)  # what is to be deleted on exit must exist
+        system.deleteOnExit(folder)
+        context._scratch_folders = folders
+    return f"{folders[base]}/{kind}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
