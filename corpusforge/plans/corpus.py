@@ -143,11 +143,12 @@ def _(spark, d):
     return O.group_overlap(rows(spark, d), "source", "site")
 
 
-@query("category_urls", f"WITH {ROWS} SELECT DISTINCT a.source AS category, 'https://' || a.site || b.path AS url FROM r a JOIN r b ON a.source = b.source WHERE a.label = 1 AND b.page_id % 40 = 1")
+@query("category_urls", f"""WITH {ROWS}, c AS (SELECT source || ':' || registered_domain AS category, * FROM r)
+  SELECT DISTINCT a.category, 'https://' || a.site || b.path AS url FROM (SELECT DISTINCT category, site FROM c WHERE label = 1) a JOIN (SELECT DISTINCT category, path FROM c) b ON a.category = b.category""")
 def _(spark, d):
-    df = rows(spark, d)
-    paths = df.filter("page_id % 40 = 1").select(F.col("source").alias("category"), F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
-    return O.category_urls(df.filter("label = 1").select(F.col("source").alias("category"), F.col("site").alias("domain")).distinct(), paths.distinct())
+    df = rows(spark, d).withColumn("category", F.concat_ws(":", "source", "registered_domain"))
+    paths = df.select("category", F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
+    return O.category_urls(df.filter("label = 1").select("category", F.col("site").alias("domain")).distinct(), paths.distinct())
 
 
 @query("label_sets", f"WITH {ROWS}, g AS (SELECT source, list_sort(list(DISTINCT label)) AS labels FROM r GROUP BY source), e AS (SELECT *, CASE source WHEN 'alpha' THEN [0, 1] WHEN 'beta' THEN [1] END AS expected FROM g) SELECT source, labels, expected, coalesce(labels = expected, false) AS ok FROM e")
