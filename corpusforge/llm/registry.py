@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, by name."""
 
-from corpusforge.llm import bpe, exact_dedup, langid, line_dedup, mixing, near_dedup, quality, suffix_dedup, topk_search, warc
+from corpusforge.llm import bpe, exact_dedup, hard_negatives, langid, line_dedup, mixing, near_dedup, quality, source_audit, suffix_dedup, topk_search, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_quality": quality.op9_quality,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_source_audit": source_audit.op12_source_audit,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
@@ -21,4 +23,6 @@ ORACLE_SQL = {
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op7_near_dedup": near_dedup.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op12_source_audit": source_audit.OP12_SQL,
 }

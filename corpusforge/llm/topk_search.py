@@ -6,7 +6,10 @@ query, one per candidate group, are merged level by level with a bounded fan-in,
 FAN_IN * k rows of a query however large the table is.
 
 Components are integers floor(scale * x). Products run in float64 where every partial sum stays below 2^53,
-which is exact, and in Python integers (clamped to 64 bits) where it may not.
+which is exact, and in Python integers (clamped to 64 bits) where it may not; components whose multiple is beyond
+float64 are Python integers from the start, so every finite double is defined.
+
+No id goes through a float: tasks get 0 for a null id and a flag beside it.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; only vectors of
 equal length meet; a null vec_id is never a query and sorts last among ties; rows that repeat a vec_id are
@@ -15,6 +18,10 @@ candidates and queries each on their own, a row never meets itself; an empty tab
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from fractions import Fraction
+from math import floor
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,7 +35,7 @@ QUERY_GROUP, SHARD_GROUP = 4096, 16_384
 QUERY_TILE, SHARD_TILE = 512, 4096
 FAN_IN = 32
 EXACT = float(2**53)
-SCHEMA = "dim int, sg long, q_rid long, query_id long, rid long, vec_id long, score long"
+SCHEMA = "sg long, q_rid long, query_id long, rid long, vec_id long, none boolean, score long"
 
 
 def usable(vector: str) -> Column:
@@ -37,16 +44,21 @@ def usable(vector: str) -> Column:
 
 
 def whole(rows: pd.Series, dim: int, scale: int) -> np.ndarray:
-    """floor(scale * x) of every component, as float64."""
+    """floor(scale * x) of every component: as float64, or as Python integers if one of them is too large for it."""
     if not dim:
         return np.zeros((len(rows), 0))
-    return np.floor(np.stack([np.asarray(r, dtype=np.float64) for r in rows]) * scale)
+    given = np.stack([np.asarray(r, dtype=np.float64) for r in rows])
+    with np.errstate(over="ignore"):
+        found = np.floor(given * scale)
+    if np.isfinite(found).all():
+        return found
+    return np.array([[floor(Fraction(x) * scale) for x in row] for row in given.tolist()], dtype=object)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of the rows of a and b as int64."""
     most = lambda x: float(np.abs(x).max(initial=0.0))
-    if most(a) * most(b) * max(1, a.shape[1]) < EXACT:
+    if object not in (a.dtype, b.dtype) and most(a) * most(b) * max(1, a.shape[1]) < EXACT:
         return (a @ b.T).astype(np.int64)
     ints = lambda x: np.array([[int(v) for v in row] for row in x], dtype=object)
     low, high = -(2**63), 2**63 - 1
@@ -70,12 +82,46 @@ def best(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return np.nonzero(chosen)
 
 
-def search(k: int, scale: int):
+def numbered(vectors: DataFrame, vec_id: str, vector: str, asks: Column, *more: Column) -> DataFrame:
+    """The usable rows, written once so that a row has the same number in every role: rid, vec_id, none, v, dim, q and more."""
+    named = F.col(vec_id).isNotNull()
+    rows = vectors.filter(usable(vector)).select(
+        F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(vec_id).cast("long"), F.lit(0)).alias("vec_id"), (~named).alias("none"),
+        F.col(vector).alias("v"), F.size(vector).alias("dim"), (named & F.coalesce(asks, F.lit(False))).alias("q"), *more,
+    )
+    return materialise(rows)
+
+
+def group_of(n: Column | int, seed: int) -> Column:
+    """One of n groups, by a hash of the row number."""
+    return F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(n) if isinstance(n, int) else n)
+
+
+def all_groups(n: Column | int) -> Column:
+    """A row for each of n groups."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+
+
+def merged(found: DataFrame, by: list[str], k: int, groups: int) -> DataFrame:
+    """The k best rows (score, then vec_id) of each key ``by`` from its lists of groups sg, with their rank: FAN_IN lists at a time."""
+    order = [F.desc("score"), F.asc("none"), F.asc("vec_id"), F.asc("rid")]
+    while True:
+        groups = -(-groups // FAN_IN)
+        found = found.withColumn("sg", F.floor(F.col("sg") / FAN_IN))
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "sg").orderBy(*order))).filter(F.col("rank") <= k)
+        if groups <= 1:
+            return found
+
+
+def search(k: int, scale: int) -> Callable:
+    """For cogroups of queries and a shard, whose key ends with the shard's group: each query's k best rows."""
+
     def of_groups(key: tuple, queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        dim, sg = int(key[0]), int(key[2])
         out = []
         if len(queries) and len(shard):
-            shard = shard.sort_values(["vec_id", "rid"], na_position="last")
+            shard = shard.sort_values(["none", "vec_id", "rid"])
+            dim = len(shard["v"].iloc[0])
             a, b = whole(queries["v"], dim, scale), whole(shard["v"], dim, scale)
             q_rid, rid = queries["rid"].to_numpy(), shard["rid"].to_numpy()
             for i in range(0, len(a), QUERY_TILE):
@@ -91,8 +137,8 @@ def search(k: int, scale: int):
         found = found[found.groupby("q").cumcount() < k]
         q, c = found["q"].to_numpy(), found["c"].to_numpy()
         return pd.DataFrame({
-            "dim": dim, "sg": sg, "q_rid": q_rid[q], "query_id": queries["vec_id"].to_numpy()[q],
-            "rid": rid[c], "vec_id": shard["vec_id"].array[c], "score": found["score"].to_numpy(),
+            "sg": int(key[-1]), "q_rid": q_rid[q], "query_id": queries["vec_id"].to_numpy()[q],
+            "rid": rid[c], "vec_id": shard["vec_id"].to_numpy()[c], "none": shard["none"].to_numpy()[c], "score": found["score"].to_numpy(),
         })
 
     return of_groups
@@ -101,28 +147,17 @@ def search(k: int, scale: int):
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products with the other rows.
 
-    is_query is a condition over the column vec_id.
+    is_query is a condition over the columns of vectors.
     """
-    valid = vectors.filter(usable(vector)).select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"))
-    # written once, so that a row has the same number as query and as candidate
-    valid = materialise(valid.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "v", F.size("v").alias("dim"), F.coalesce(is_query, F.lit(False)).alias("q")))
+    valid = numbered(vectors, vec_id, vector, is_query)
     rows, queries = valid.agg(F.count("*"), F.count_if("q")).first()
     qgs, sgs = -(-queries // QUERY_GROUP) or 1, -(-rows // SHARD_GROUP) or 1
-    deal = lambda n, seed: F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     new = lambda *names: [F.col(c).alias(c) for c in names]  # noqa: E731  the two sides must not share attributes
-    asked = valid.filter("q").select(*new("dim"), deal(qgs, 1).alias("qg"), every(sgs).alias("sg"), *new("rid", "vec_id", "v"))
-    shards = valid.select(*new("dim"), every(qgs).alias("qg"), deal(sgs, 2).alias("sg"), *new("rid", "vec_id", "v"))
+    asked = valid.filter("q").select(*new("dim"), group_of(qgs, 1).alias("qg"), all_groups(sgs).alias("sg"), *new("rid", "vec_id", "v"))
+    shards = valid.select(*new("dim"), all_groups(qgs).alias("qg"), group_of(sgs, 2).alias("sg"), *new("rid", "vec_id", "none", "v"))
     found = asked.groupBy("dim", "qg", "sg").cogroup(shards.groupBy("dim", "qg", "sg")).applyInPandas(search(k, scale), SCHEMA)
-    order = [F.desc("score"), F.asc_nulls_last("vec_id"), F.asc("rid")]
-    while sgs > 1:
-        sgs = -(-sgs // FAN_IN)
-        found = found.withColumn("sg", F.floor(F.col("sg") / FAN_IN))
-        level = Window.partitionBy("q_rid", "sg").orderBy(*order)
-        found = found.withColumn("rank", F.row_number().over(level)).filter(F.col("rank") <= k)
-    if "rank" not in found.columns:
-        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("q_rid", "sg").orderBy(*order)))
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = merged(found, ["q_rid"], k, sgs)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.when(~F.col("none"), F.col("vec_id")).alias("vec_id"), "score")
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

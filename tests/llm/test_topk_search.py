@@ -48,3 +48,17 @@ def test_clashing_columns_and_nulls(spark):
     got = sorted(tuple(r) for r in T.top_k(df, F.col("vec_id") == 0, k=2).collect())
     # of equal vectors the other row with the same id comes first, its own row never
     assert got == [(0, 1, None, 128 * 256 + 64 * 256), (0, 1, None, 128 * 256 + 64 * 256), (0, 2, 0, 128 * 128 + 64 * 64), (0, 2, 0, 128 * 128 + 64 * 64)]
+
+
+def test_all_finite_components(spark):
+    rows = [(0, [1e306, 1.0]), (1, [1e307, 1.0]), (2, [-1e307, 0.5]), (3, [1e-300, 0.5])]
+    got = [tuple(r) for r in T.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()]
+    assert [(r, j) for _, r, j, _ in sorted(got)] == [(1, 1), (2, 3), (3, 2)]
+    assert [s for *_, s in sorted(got)] == [2**63 - 1, 256 * 128, -(2**63)]
+
+
+def test_large_ids_beside_null_ids(spark):
+    big = (1 << 60) + 24  # divisible by 50
+    rows = [(big, [0.5]), (big + 1, [0.5]), (big + 3, [0.25]), (None, [0.5]), (None, [0.25])]
+    got = [tuple(r) for r in T.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1), F.col("vec_id") % 50 == 0).collect()]
+    assert sorted(got) == sorted(brute(rows)) and [r[2] for r in sorted(got)] == [big + 1, None, big + 3, None]
