@@ -172,26 +172,30 @@ def divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def tile_sums(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+def tile_sums(tile: int) -> Callable:
     """For a block of terms and a pair of tiles: the sum of divergences over the terms that the tiles' sources have, and how many those are.
 
     A row without a term names a source of the tiles, so that those without a term in the block take part.
     """
-    terms, names = pd.factorize(cells["term"])
-    width, own = len(names), terms >= 0
-    sources = cells[~own].sort_values("i")
-    numbers, none = sources["i"].to_numpy(), sources["none"].to_numpy()
-    table = np.repeat(none[:, None], width, axis=1)
-    table[np.searchsorted(numbers, cells["i"].to_numpy()[own]), terms[own]] = cells["p"].to_numpy()[own]
-    out = []
-    left, right = (np.nonzero(numbers // TILE == key[n])[0] for n in (2, 3))
-    for a in left:
-        others = right[right > a]
-        p, q = table[a], table[others]
-        out.append(pd.DataFrame({"a": numbers[a], "b": numbers[others], "total": ((p - q) ** 2 // (p + q)).sum(axis=1), "seen": width}))
-    found = pd.concat(out) if out else pd.DataFrame({x.split()[0]: [] for x in SUMS.split(", ")[1:]})
-    found.insert(0, "lang", key[0])  # one value: a text column joined from parts has several Arrow chunks, which Spark does not take
-    return found
+
+    def of_tiles(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        terms, names = pd.factorize(cells["term"])
+        width, own = len(names), terms >= 0
+        sources = cells[~own].sort_values("i")
+        numbers, none = sources["i"].to_numpy(), sources["none"].to_numpy()
+        table = np.repeat(none[:, None], width, axis=1)
+        table[np.searchsorted(numbers, cells["i"].to_numpy()[own]), terms[own]] = cells["p"].to_numpy()[own]
+        out = []
+        left, right = (np.nonzero(numbers // tile == key[n])[0] for n in (2, 3))
+        for a in left:
+            others = right[right > a]
+            p, q = table[a], table[others]
+            out.append(pd.DataFrame({"a": numbers[a], "b": numbers[others], "total": ((p - q) ** 2 // (p + q)).sum(axis=1), "seen": width}))
+        found = pd.concat(out) if out else pd.DataFrame({x.split()[0]: [] for x in SUMS.split(", ")[1:]})
+        found.insert(0, "lang", key[0])  # one value: a text column joined from parts has several Arrow chunks, which Spark does not take
+        return found
+
+    return of_tiles
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST_DOCUMENTS, top: int = TOP) -> DataFrame:
@@ -218,7 +222,7 @@ def _pairs(groups: DataFrame, cells: DataFrame) -> DataFrame:
     tile = F.floor(F.col("i") / TILE)
     dealt = here.unionByName(marks).join(last, "lang").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     dealt = dealt.select("lang", "block", F.least(tile, "other").alias("t1"), F.greatest(tile, "other").alias("t2"), "i", "none", "p", "term")
-    found = dealt.groupBy("lang", "block", "t1", "t2").applyInPandas(tile_sums, SUMS)
+    found = dealt.groupBy("lang", "block", "t1", "t2").applyInPandas(tile_sums(TILE), SUMS)
     sums = found.groupBy("lang", "a", "b").agg(F.sum("total").alias("total"), F.sum("seen").alias("seen"))
     x, y = (groups.select("lang", *[F.col(c).alias(f"{c}_{s}") for c in ("i", "source", "none")], *(["v"] if s == "x" else [])) for s in "xy")
     pairs = x.join(y, "lang").filter("i_x < i_y").join(sums.withColumnsRenamed({"a": "i_x", "b": "i_y"}), ["lang", "i_x", "i_y"], "left").na.fill(0, ["total", "seen"])
