@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: The white space of every contract here: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
+#: Rows of a bitmap of hashes, 64 bits each: the size bound of its broadcast.
+BITMAP_ROWS = 1 << 18
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -70,3 +72,26 @@ def rows_of(df: DataFrame) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def without_null(df: DataFrame, column: str) -> DataFrame:
+    """column with 0 for null, and none, which says where. A long column that holds nulls would reach pandas as floats, which round large ids."""
+    return df.withColumn("none", F.col(column).isNull()).withColumn(column, F.coalesce(column, F.lit(0)))
+
+
+def with_null(df: DataFrame, column: str) -> DataFrame:
+    """The inverse of without_null."""
+    return df.withColumn(column, F.when(~F.col("none"), F.col(column))).drop("none")
+
+
+def marked(rows: DataFrame, key: Column, hashes: DataFrame, hash: str, name: str) -> DataFrame:
+    """rows with a boolean column: false if the 64-bit key is surely not among the hashes.
+
+    The hashes become a bitmap of at most BITMAP_ROWS rows, which is broadcast, so rows that need not be joined can stay
+    where they are. When it fills up, more rows are marked; none is missed.
+    """
+    at = lambda h: F.pmod(h, F.lit(BITMAP_ROWS)).cast("int")
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int"))
+    bits = hashes.select(at(F.col(hash)).alias("_word"), bit(F.col(hash)).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = rows.join(F.broadcast(bits), at(key) == F.col("_word"), "left")
+    return found.withColumn(name, F.coalesce(F.col("_bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("_word", "_bits")

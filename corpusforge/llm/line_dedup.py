@@ -34,10 +34,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import documents, materialise, rows_of
+from corpusforge.llm.common import documents, materialise, rows_of, with_null, without_null
 
 RUN = 2
-MARKED = "doc_id long, mark long, lines array<long>, at array<int>, first array<int>, last array<int>"
+MARKED = "doc_id long, none boolean, mark long, lines array<long>, at array<int>, first array<int>, last array<int>"
 
 
 def lines_of(text: str) -> list[bytes]:
@@ -64,9 +64,7 @@ def _mark(run: int):
                 hashes = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in lines_of(text)), np.int64)
                 rows.append((hashes, *winnow(hashes, run)))
             out = pd.DataFrame(rows, columns=["lines", "at", "first", "last"])
-            out.insert(0, "doc_id", batch["doc_id"].array)
-            out.insert(1, "mark", batch["mark"].array)
-            yield out
+            yield pd.concat([batch[["doc_id", "none", "mark"]].reset_index(drop=True), out], axis=1)
 
     return of
 
@@ -75,7 +73,8 @@ def _marked(docs: DataFrame, text: str, doc_id: str, run: int) -> DataFrame:
     """One row per document with its line hashes and fingerprints; node is a number of the row that is written with it."""
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("mark"), whole.alias("text"))
-    return materialise(texts.mapInPandas(_mark(run), MARKED).withColumn("node", F.monotonically_increasing_id()))
+    found = with_null(without_null(texts, "doc_id").mapInPandas(_mark(run), MARKED), "doc_id")
+    return materialise(found.withColumn("node", F.monotonically_increasing_id()))
 
 
 def _matches(marked: DataFrame, run: int) -> DataFrame:

@@ -22,11 +22,9 @@ How common a shingle is comes from a table of COUNTERS counters, whose size is f
 not results.
 
 A group of n near copies has up to n * n / 2 such meetings, nearly all of them links that a few others make
-needless. So they are taken in rounds, by a hash of the two classes and the token: the first round takes the
-share of all meetings that makes MEETINGS a class, every further one GROWTH times more, the last all that is left, and
-before each the links found so far are joined, so that only classes still apart meet. Sampled like that, the
-links between different components of the sample before number at most GROWTH a class in expectation: the
-rows of a round grow with the classes, not with their pairs. No meeting is left out.
+needless. So they are taken in rounds (module meetings): cells of a token's sets, which are drawn before the join and
+grow from round to round to the whole token, and before each the links found so far are joined. No meeting of sets that
+are still apart is left out. Sketches are looked up for the sets of a round and are not written with its posts.
 
 Defined cases: null and empty texts and those without words have no shingles and are linked with nothing;
 with fewer words than a shingle has, the whole sequence is the only shingle; rows with a null doc_id are
@@ -39,15 +37,16 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import documents, materialise, rows_of
+from corpusforge.llm.common import documents, marked, materialise, rows_of, with_null, without_null
 from corpusforge.llm.components import components
+from corpusforge.llm.meetings import dealt, met, rounds, still_open
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 32, 4
@@ -56,8 +55,7 @@ SKETCH_BITS, PARITY_BITS = 512, 1024
 MISS = 1e-9
 #: Standard deviations that a normal value exceeds with less than MISS.
 DEVIATIONS = 6.2
-MEETINGS, GROWTH = 8, 16
-SIGNATURE = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
+SIGNATURE = "doc_id long, none boolean, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 COUNTERS = 1 << 18
 WORD_CACHE = 400_000
 
@@ -136,22 +134,26 @@ def sketch_limit(percent: int) -> int:
     return 0
 
 
+def set_hash(found: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of a sorted set."""
+    return np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
+
+
 def _signatures(size: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for batch in batches:
             rows = []
             with np.errstate(over="ignore"):
-                for mark, text in zip(batch["text_hash"], batch["text"]):
+                for text in batch["text"]:
                     found = shingles(text, words, size)
                     if len(found):
                         signature = samples(found)
-                        whole = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
-                        rows.append((None, mark, len(found), whole[0], whole[1], band_hashes(signature), odd_sketch(signature)))
+                        rows.append((len(found), *set_hash(found), band_hashes(signature), odd_sketch(signature)))
                     else:
-                        rows.append((None, mark, 0, 0, 0, [], []))
-            out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands", "sketch"])
-            yield out.assign(doc_id=batch["doc_id"].array)
+                        rows.append((0, 0, 0, [], []))
+            out = pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "bands", "sketch"])
+            yield pd.concat([batch[["doc_id", "none", "text_hash"]].reset_index(drop=True), out], axis=1)
 
     return of
 
@@ -171,14 +173,22 @@ def linked(a: str, b: str, percent: int) -> Column:
     return 100 * both >= percent * (F.size(a) + F.size(b) - both)
 
 
-def xor_bits(a: str, b: str) -> Column:
+def xor_bits(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and text_hash, which tells rows of one doc_id apart."""
-    texts = _texts(docs, text, doc_id)
-    signed = materialise(texts.mapInPandas(_signatures(shingle), SIGNATURE))
+    texts = plain_texts(docs, text, doc_id)
+    signed = materialise(with_null(without_null(texts, "doc_id").mapInPandas(_signatures(shingle), SIGNATURE), "doc_id"))
+    return grouped(signed, ["bands", "sketch"], lambda reps: _class_components(reps, texts, shingle, percent))
+
+
+def grouped(signed: DataFrame, columns: list[str], link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components of rows (doc_id, text_hash, n_shingles, set_a, set_b and columns), of which those with equal sets are one class.
+
+    link takes the classes (id, doc_id, text_hash, n_shingles and columns of their first rows) and returns (node, component) of those with links.
+    """
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("n"))
     several = materialise(classes.filter("n > 1").select("set_a", "set_b", "first.*").withColumnsRenamed({"doc_id": "id", "text_hash": "id_hash"}))
@@ -186,9 +196,9 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     # a class is named by doc_id and hash of its first row; its node is a number that is written once with it
     alone = known.filter("id IS NULL AND n_shingles > 0 AND doc_id IS NOT NULL")
     first = known.filter("id = doc_id AND id_hash = text_hash").dropDuplicates(["doc_id", "text_hash"])
-    reps = alone.unionByName(first).select("doc_id", "text_hash", "n_shingles", "bands", "sketch")
+    reps = alone.unionByName(first).select("doc_id", "text_hash", "n_shingles", *columns)
     reps = materialise(reps.withColumn("id", F.monotonically_increasing_id()))
-    found = _class_components(reps, texts, shingle, percent)
+    found = link(reps)
     linked_classes = materialise(reps.join(found, F.col("id") == F.col("node")).select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"), "component"))
     least = linked_classes.groupBy("component").agg(F.min(F.struct("c_id", "c_hash")).alias("least"))
     named = linked_classes.join(least, "component").select("c_id", "c_hash", "least")
@@ -201,11 +211,19 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("stays.c_id", "doc_id").alias("component_id"), kept.alias("kept"))
 
 
-def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+def plain_texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("text_hash"), whole.alias("text"))
 
 
+def sets_of(classes: DataFrame, texts: DataFrame, of: Callable, schema: str) -> DataFrame:
+    """What ``of`` makes of the texts of classes (id, doc_id, text_hash), written; only texts whose hash may be theirs are shuffled."""
+    wanted = marked(texts, F.col("text_hash"), classes, "text_hash", "wanted").filter("wanted").drop("wanted")
+    wanted = wanted.join(classes.select("id", "doc_id", "text_hash"), ["doc_id", "text_hash"])
+    wanted = wanted.groupBy("doc_id", "text_hash").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text")
+    return materialise(wanted.mapInPandas(of, schema))
+
+
 def _class_components(reps: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, component) of the classes that have links."""
     banded = reps.select("id", F.explode("bands").alias("band"))
@@ -213,9 +231,7 @@ def _class_components(reps: DataFrame, texts: DataFrame, shingle: int, percent:
     members = materialise(banded.join(shared, "band").select("band", "id", "leader", "m"))
     candidates = reps.join(members.select("id").distinct(), "id", "left_semi")
     sketches = materialise(candidates.select("id", "doc_id", "text_hash", "n_shingles", "sketch"))
-    wanted = texts.join(sketches.select("id", "doc_id", "text_hash"), ["doc_id", "text_hash"])
-    wanted = wanted.groupBy("doc_id", "text_hash").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text")
-    sets = materialise(wanted.mapInPandas(_sets(shingle), "id long, found array<long>"))
+    sets = sets_of(sketches, texts, _sets(shingle), "id long, found array<long>")
     limit = sketch_limit(percent)
 
     def plausible(pairs: DataFrame) -> DataFrame:
@@ -236,30 +252,27 @@ def _class_components(reps: DataFrame, texts: DataFrame, shingle: int, percent:
     best = led.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("b"))
     labels = components(confirmed(best))
     others = led.select("a", "b").join(best, ["a", "b"], "left_anti")
-    labels = _merged(labels, confirmed(_apart(others, labels)))
+    labels = merged_labels(labels, confirmed(apart(others, labels)))
     tagged = members.filter("m > 2").join(labels, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     open_bands = tagged.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
     several = materialise(tagged.join(open_bands, "band", "left_semi").select("id").distinct())
     if several.isEmpty():
         return labels
-    posts = prefix_posts(materialise(sets.join(several, "id")), percent)
-    low, share = 0.0, first_share(posts, labels)
-    while low < 1:
-        share = min(1.0, share)
-        found = confirmed(meetings(posts, labels, percent, low, share))
-        labels = _merged(labels, found)
-        low, share = share, share * GROWTH
+    posts, facts = prefix_posts(materialise(sets.join(several, "id")), percent)
+    for at in range(rounds(posts)):
+        posts = still_open(posts, labels)
+        labels = merged_labels(labels, confirmed(meetings(posts, facts, percent, at)))
     return labels
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose classes are not in one component yet."""
     la, lb = (labels.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
     pairs = pairs.join(la, "a", "left").join(lb, "b", "left")
     return pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after further links, which join whole components."""
     if links.isEmpty():
         return labels
@@ -288,8 +301,8 @@ def counter_of(found: np.ndarray) -> np.ndarray:
     return (np.asarray(found, np.int64).view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64)
 
 
-def prefix_posts(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, id, n, near, place, bits): the rarest shingles of each set (id, found), at their places in the common order."""
+def prefix_posts(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rarest shingles of each set (id, found) at their places in the common order, (token, id, n, near, place, deep), and (id, bits)."""
     spark = sets.sparkSession
     # 64 rows of fixed size: COUNTERS counters in all
     parts = sets.select("found").mapInPandas(_counts, "part int, counts binary").groupBy("part").applyInPandas(_summed, "part int, counts binary").collect()
@@ -308,46 +321,25 @@ def prefix_posts(sets: DataFrame, percent: int) -> DataFrame:
 
     rows = materialise(sets.mapInPandas(rarest, "id long, n int, near int, prefix array<long>, bits array<long>"))
     posts = rows.select("id", "n", "near", F.posexplode("prefix").alias("place", "token"))
-    twice = posts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-    return materialise(posts.join(twice, "token").join(rows.select("id", "bits"), "id"))
-
-
-def _labelled(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    known = posts.join(labels, posts["id"] == labels["node"], "left")
-    return known.select(*posts.columns, F.coalesce("component", "id").alias("component"))
+    return dealt(posts), rows.select("id", "bits")
 
 
-def first_share(posts: DataFrame, labels: DataFrame) -> float:
-    """The share of all meetings of a token in different components that makes MEETINGS a class."""
-    sizes = _labelled(posts.select("token", "id"), labels).groupBy("token", "component").agg(F.count("*").cast("double").alias("k"))
-    sizes = sizes.groupBy("token").agg(((F.sum("k") ** 2 - F.sum(F.col("k") ** 2)) / 2).alias("pairs"))
-    pairs = sizes.agg(F.sum("pairs")).first()[0]
-    return MEETINGS * posts.select("id").distinct().count() / pairs if pairs else 1.0
-
-
-def meetings(posts: DataFrame, labels: DataFrame, percent: int, low: float, high: float) -> DataFrame:
-    """(a, b): pairs of sets of different components that may reach the threshold, of the meetings between two shares.
+def meetings(posts: DataFrame, facts: DataFrame, percent: int, at: int) -> DataFrame:
+    """(a, b): pairs of sets of different components that may reach the threshold, of the meetings of a round.
 
     With o common elements, 100 o >= percent (x + y - o) needs (100 + percent) o >= percent (x + y). If the
-    first common element in the common order stands at places i and j, o is at most min(x - i, y - j).
+    first common element in the common order stands at places i and j, o is at most min(x - i, y - j). In the
+    smaller set it stands within the first ``near`` places.
     """
-    posts = _labelled(posts, labels)
-    sizes = posts.groupBy("token", "component").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("c"))
-    posts = materialise(posts.join(largest.filter("c > 1"), "token").withColumn("in_main", F.col("component") == F.col("main")).drop("main", "c"))
-    x, y = (posts.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n", "place", "near", "in_main", "bits")]) for s in "xy")
-    y = y.filter("place_y < near_y")
-    larger = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") > F.col("id_y")))
-    both = F.col("n_x") + F.col("n_y")
-    room = (100 + percent) * F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) >= percent * both
-    fits = (x["token"] == y["token"]) & (F.col("component_x") != F.col("component_y")) & larger & room
-    if (low, high) != (0.0, 1.0):
-        chance = F.shiftrightunsigned(F.xxhash64("id_x", "id_y", x["token"]), 11) / float(1 << 53)
-        fits &= (chance >= low) & (chance < high)
-    fits &= xor_bits("bits_x", "bits_y") <= parity_limit(both, percent)
-    pair = [F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")]
-    found = x.filter("NOT in_main_x").join(y, fits).select(pair).union(x.filter("in_main_x").join(y.filter("NOT in_main_y"), fits).select(pair))
-    return found.distinct()
+
+    def fits(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+        both = x("n") + y("n")
+        room = (100 + percent) * F.least(x("n") - x("place"), y("n") - y("place")) >= percent * both
+        larger = (x("n") > y("n")) | ((x("n") == y("n")) & (x("id") > y("id")))
+        early = F.when(larger, y("place") < y("near")).otherwise(x("place") < x("near"))
+        return room & early & (xor_bits(x("bits"), y("bits")) <= parity_limit(both, percent))
+
+    return met(posts, facts, fits, at)
 
 
 def parity_limit(both: Column, percent: int) -> Column:
@@ -375,7 +367,9 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
     groups = near_groups(docs, text, doc_id, shingle, percent)
     gone = materialise(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_hash")).distinct())
     rows = docs.select(rows_of(docs).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
-    return rows.join(gone, (F.col("id") == F.col("gone")) & (F.col("hash") == F.col("gone_hash")), "left_anti").select("row.*")
+    rows = marked(rows, F.col("hash"), gone, "gone_hash", "perhaps")
+    judged = rows.filter("perhaps").join(gone, (F.col("id") == F.col("gone")) & (F.col("hash") == F.col("gone_hash")), "left_anti")
+    return rows.filter("NOT perhaps").select("row.*").unionByName(judged.select("row.*"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, by name."""
 
-from corpusforge.llm import bpe, exact_dedup, hard_negatives, langid, line_dedup, mixing, near_dedup, quality, source_audit, suffix_dedup, topk_search, warc
+from corpusforge.llm import bpe, exact_dedup, hard_negatives, jaccard_join, langid, line_dedup, mixing, near_dedup, quality, source_audit, suffix_dedup, topk_search, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_source_audit": source_audit.op12_source_audit,
+    "op13_jaccard_join": jaccard_join.op13_jaccard_join,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op8_warc": warc.OP8_SQL,
     "op11_hard_negatives": hard_negatives.OP11_SQL,
     "op12_source_audit": source_audit.OP12_SQL,
+    "op13_jaccard_join": jaccard_join.OP13_SQL,
 }

@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 from corpusforge.llm.common import materialise, scratch_path
 
 LEAST_BYTES = 100
-RECORDS_PER_FILE = 2000
+#: Payload bytes below which so many records go to one file: no file holds more than 256 MB, or one record that is larger.
+SHELVES = ((1 << 16, 2000), (1 << 22, 64), (1 << 62, 1))
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, declared_digest string, date string"
+NUMBERS = ("page_id", "refers_to", "payload_bytes")
 
 
 def headers(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
@@ -65,11 +67,17 @@ def record(date: str) -> Column:
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z", least: int = LEAST_BYTES) -> None:
     """Write pages as gzipped WARC files under path."""
-    firsts = materialise(originals(headers(pages, page_id, html), least))
+    heads = headers(pages, page_id, html)
+    firsts, most = materialise(originals(heads, least)), heads.agg(F.max("bytes")).first()[0] or 0
     body = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest"))
-    (rows.join(firsts, "digest", "left").select(record(date).alias("value"))
-        .write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+    low = 0
+    for high, records in SHELVES:
+        if low <= most:
+            shelf = rows.filter((F.octet_length("body") >= low) & (F.octet_length("body") < high)) if most >= SHELVES[0][0] else rows
+            found = shelf.join(firsts, "digest", "left").select(record(date).alias("value"))
+            found.write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+        low = high
 
 
 def parse(content: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -108,8 +116,9 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     _urn(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), head["WARC-Type"], _urn(head.get("WARC-Refers-To")), len(payload) if first else None,
                     hashlib.sha256(payload).hexdigest() if first else None, head["WARC-Payload-Digest"].removeprefix("sha256:"), head["WARC-Date"],
                 ))
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({c: "Int64" for c in ("page_id", "refers_to", "payload_bytes")})
+            # column by column: a frame made of rows would turn whole numbers beside a missing one into floats
+            columns = dict(zip(names, zip(*rows))) if rows else {n: [] for n in names}
+            yield pd.DataFrame({n: pd.array(v, dtype="Int64" if n in NUMBERS else "object") for n, v in columns.items()})
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -67,3 +67,10 @@ def test_every_window_selects_a_print(run):
     chosen = {s: a for a, x, y in zip(at, first, last) for s in range(x, y + 1)}
     assert sorted(chosen) == list(range(200 - run + 1))
     assert all(chosen[s] == max(i for i in range(s, s + run) if hashes[i] == hashes[s : s + run].min()) for s in chosen)
+
+
+def test_large_ids_beside_a_null_id(spark):
+    big, text = 1 << 60, "first line of this\nsecond line of this\nthird line"
+    df = docs(spark, [(big + 3, text), (None, text), (big + 1, text), (big + 5, "another")]).coalesce(1)
+    got = sorted((str(r.doc_id), list(r.removed)) for r in L.repeated_lines(df).collect())
+    assert got == sorted([(str(big + 1), []), (str(big + 3), [0, 1, 2]), (str(big + 5), []), ("None", [0, 1, 2])])

@@ -61,3 +61,20 @@ def test_damaged_archives_are_errors():
     for bad in (good + b"junk", good[:-6], good.replace(b"abc", b"ab")):
         with pytest.raises(ValueError):
             list(W.parse(bad))
+
+
+def test_large_ids_beside_nulls(spark, tmp_path):
+    big, text = 1 << 60, "z" * 150
+    _, got = round_trip(spark, tmp_path, [(big + 1, "u", text), (big + 3, "u", text), (None, "u", text), (big + 5, "u", "short")])
+    assert [(r[0], r[1], r[3], r[4]) for r in got] == [(big + 1, 150, "response", None), (big + 3, 150, "revisit", big + 1), (big + 5, 5, "response", None), (None, 150, "revisit", big + 1)]
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "SHELVES", ((100, 4), (1000, 2), (1 << 62, 1)))
+    rows = [(i, "u", chr(97 + i) * n) for i, n in enumerate([5] * 6 + [500] * 5 + [5000] * 3)] + [(20, "u", "l" * 5000)]
+    path = str(tmp_path / "w")
+    W.write_archives(pages(spark, rows).coalesce(1), path)
+    held = sorted(sorted(len(block) - len(W.HTTP) for _, block in W.parse(gzip.decompress(f.read_bytes()))) for f in Path(path).glob("*.gz"))
+    assert [x for x in held if x] == sorted([[0]] + [[5] * 2, [5] * 4] + [[500], [500] * 2, [500] * 2] + [[5000]] * 3, key=lambda x: (x[0], len(x)))
+    got = sorted((r.page_id, r.payload_bytes) for r in W.resolve(W.read_archives(spark, path)).collect())
+    assert got == [(i, len(h)) for i, _, h in rows]
