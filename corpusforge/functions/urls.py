@@ -214,24 +214,72 @@ def fallback_domain(host: Column, row_id: Column | None = None) -> Column:
     return F.when(F.coalesce(host, F.lit("")) == "", missing).when(host.rlike(IPV4) | host.contains(":"), host).otherwise(two)
 
 
+def resolved(page: Column, ref: Column) -> Column:
+    """A reference as an absolute URL; page is the struct of parts of the URL that it stands in.
+
+    References with a scheme stay as they are, and so do those with an authority, which take the page's scheme; the
+    paths of others are merged with the page's, and segments . and .. are folded away.
+    """
+    scheme, tail = F.concat(page["scheme"], F.lit(":")), r"(?s)^[^?#]*"
+    origin = F.concat(scheme, F.lit("//"), page["netloc"])
+    path, rest = F.regexp_extract(ref, r"(?s)^([^?#]*)", 1), F.regexp_replace(ref, tail, "")
+    own_query = F.when(page["query"] != "", F.concat(F.lit("?"), page["query"])).otherwise("")
+    own = F.when(page["path"] == "", "/").otherwise(page["path"])
+    # empty segments within a merged path go, those of a path from the root stay
+    folder = F.slice(F.split(page["path"], "/"), F.lit(2), F.greatest(F.size(F.split(page["path"], "/")) - 2, F.lit(0)))
+    steps = F.split(path, "/")
+    merged = F.concat(F.filter(F.concat(folder, F.slice(steps, F.lit(1), F.size(steps) - 1)), lambda s: s != ""), F.slice(steps, F.lit(-1), F.lit(1)))
+    whole = F.when(path.startswith("/"), F.slice(steps, F.lit(2), F.size(steps))).otherwise(merged)
+    return (
+        F.when(ref.rlike("(?i)^[a-z][a-z0-9+.-]*:"), ref).when(ref.startswith("//"), F.concat(scheme, ref)).when(path != "", F.concat(origin, without_dots(whole), rest))
+        .when(ref.startswith("?"), F.concat(origin, own, ref)).otherwise(F.concat(origin, own, own_query, ref))
+    )
+
+
+def without_dots(segments: Column) -> Column:
+    """The path of an array of segments, without those that are . or .. and those that .. leaves."""
+
+    def step(path: Column, s: Column) -> Column:
+        return F.when(s == "..", F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))).when(s == ".", path).otherwise(F.concat(path, F.array(s)))
+
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.element_at(segments, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
 def suffix_table(spark, suffixes=SUFFIXES) -> DataFrame:
+    """Rules of a public suffix list in its own form: co.uk, *.ck for all names below, !www.ck for an exception."""
     return spark.createDataFrame([(s,) for s in suffixes], "suffix string")
 
 
+def suffix_file(spark, path: str) -> DataFrame:
+    """The rules of a list file: a rule ends at the first space, lines that begin with // are remarks, names become ASCII."""
+    rule = F.lower(F.regexp_extract("value", r"^\s*(\S+)", 1))
+    lines = spark.read.text(path).select(rule.alias("rule")).filter((F.col("rule") != "") & ~F.col("rule").startswith("//"))
+    mark, name = F.regexp_extract("rule", r"^(!|\*\.)?", 1), F.regexp_replace("rule", r"^(?:!|\*\.)", "")
+    plain = F.when(name.rlike(r"^[\x00-\x7F]*$"), name).otherwise(F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), name)))
+    return lines.select(F.concat(mark, plain).alias("suffix")).filter("suffix IS NOT NULL").distinct()
+
+
 def registered_domains(df: DataFrame, host: str, suffixes: DataFrame, out: str = "registered_domain") -> DataFrame:
-    """df with the registered domain under the longest known suffix; IPs and hosts without one stay as they are.
+    """df with the registered domain: one label more than the public suffix; IPs, hosts without a rule and suffixes themselves stay as they are.
 
-    Computed once for each distinct host: its label suffixes are exploded and equi-joined to the table.
+    Of the rules that match a host an exception wins, which takes its first label off, else the one with most
+    labels, a wildcard counting as a label. Computed once for each distinct host: its label suffixes are exploded and equi-joined to the table.
     """
+    mark = F.when(F.col("suffix").startswith("!"), 1).when(F.col("suffix").startswith("*."), -1).otherwise(0)
+    rules = suffixes.select(F.regexp_replace("suffix", r"^(?:!|\*\.)", "").alias("_suffix"), mark.alias("_mark"))
     hosts = df.select(F.col(host).alias("_host")).distinct()
     plain = F.regexp_replace("_host", r"^www\.", "")
     labels = F.split(plain, r"\.")
-    cut = F.when(plain.rlike(IPV4) | plain.contains(":"), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(2), F.greatest(F.size(labels), F.lit(2))))
+    cut = F.when(plain.rlike(IPV4) | plain.contains(":"), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))))
     tails = hosts.select("_host", plain.alias("_plain"), labels.alias("_labels"), F.explode_outer(cut).alias("_i"))
     tail = lambda i: F.concat_ws(".", F.slice("_labels", i, F.size("_labels")))
-    tails = tails.withColumn("_suffix", F.when(F.col("_i") <= F.size("_labels"), tail(F.col("_i")))).withColumn("_domain", F.when(F.col("_i") <= F.size("_labels"), tail(F.col("_i") - 1)))
-    found = tails.join(suffixes, F.col("_suffix") == F.col("suffix"), "left")
-    best = found.groupBy("_host").agg(F.coalesce(F.min_by(F.when(F.col("suffix").isNotNull(), F.col("_domain")), F.when(F.col("suffix").isNotNull(), F.col("_i"))), F.first("_plain")).alias(out))
+    found = tails.withColumn("_tail", F.when(F.col("_i") > 0, tail(F.col("_i")))).join(rules, F.col("_tail") == F.col("_suffix"), "left")
+    # where the public suffix begins: at the rule's first label, one before it for a wildcard, one after it for an exception
+    begin = F.when(F.col("_mark").isNotNull() & ((F.col("_mark") >= 0) | (F.col("_i") > 1)), F.struct((F.col("_mark") < 1).alias("plain"), (F.col("_i") + F.col("_mark")).alias("at")))
+    best = found.groupBy("_host").agg(F.min(begin).alias("_begin"), F.first("_plain").alias("_plain"), F.first("_labels").alias("_labels"))
+    at = F.col("_begin.at")
+    best = best.select("_host", F.when(at > 1, tail(F.greatest(at - 1, F.lit(1)))).otherwise(F.col("_plain")).alias(out))
     return df.join(best, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
 
 

@@ -182,6 +182,52 @@ def _(spark, d):
     return R.page_links(spark.read.parquet(f"{d}/pages.parquet").select("url", "html"), https_only=False)
 
 
+#: Markup around a page: links in remarks, scripts and other attributes, which are none, and links of all shapes; % stands for the page's number, ^ for its host.
+BEFORE = """<!-- <a href="/remark/%">x</a> --><script>var s = '<a href="/script/%">';</script><style>a:after{content:'<a href="/style/%">'}</style>"""
+AFTER = """<A CLASS=c HREF=/plain/%/x?y=1>x</A><a title="a > b" href="../up/%/./z">x</a><a href='./here/%/..'>x</a><a data-href="/data/%" href="?only=%">x</a><a title="href=/title/%" href = "//^/abs/../%">x</a>
+<a href="../../../../top/%">x</a><a href="/first/%" href="/last/%/a//b/../c">x</a><abbr href="/abbr/%">x</abbr><a name=n>x</a><a href>x</a><a/href=/slash/%>x</a><a href="next/%#part">x</a><a href=".">x</a><!-- open <a href="/open/%">"""
+REFS = ("/plain/%/x?y=1", "../up/%/./z", "./here/%/..", "?only=%", "//^/abs/../%", "../../../../top/%", "/last/%/a//b/../c", "/slash/%", "next/%#part", ".")
+
+
+@query("page_link_shapes", f"""
+WITH {SPLIT}, h AS (
+  SELECT u.*, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1)) AS r FROM u JOIN pages USING (page_id)
+  UNION ALL SELECT *, replace(replace(unnest({list(REFS)}), '%', page_id::VARCHAR), '^', host) FROM u
+), a AS (SELECT *, regexp_extract(trim(r), '^([^?#]*)', 1) AS rp, string_split(regexp_extract(trim(r), '^([^?#]*)', 1), '/') AS steps, string_split(path, '/') AS own FROM h
+), b AS (
+  SELECT *, CASE WHEN starts_with(rp, '/') THEN steps[2:] ELSE list_filter(list_concat(own[2:len(own) - 1], steps[1:len(steps) - 1]), lambda x: x <> '') || steps[len(steps):] END AS pieces FROM a
+), c AS (
+  SELECT *, list_reduce(list_concat([''], pieces), lambda acc, seg: CASE WHEN seg = '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN seg = '.' THEN acc ELSE acc || '/' || seg END) AS folded, pieces[len(pieces)] IN ('.', '..') AS ends FROM b
+), d AS (
+  SELECT url AS page_url, scheme || ':' || CASE
+    WHEN starts_with(r, '//') THEN r
+    WHEN rp = '' THEN '//' || host || CASE WHEN path = '' THEN '/' ELSE path END || r
+    ELSE '//' || host || CASE WHEN folded = '' THEN '/' WHEN ends THEN folded || '/' ELSE folded END || substr(trim(r), length(rp) + 1) END AS link FROM c
+)
+SELECT DISTINCT page_url, regexp_replace(link, '#.*$', '') AS link FROM d WHERE regexp_replace(link, '#.*$', '') <> regexp_replace(page_url, '#.*$', '')
+""")
+def _(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    around = lambda text: F.replace(F.replace(F.lit(text), F.lit("%"), F.col("page_id").cast("string")), F.lit("^"), host)
+    return R.page_links(pages.select("url", F.concat(around(BEFORE), "html", around(AFTER)).alias("html")), https_only=False)
+
+
+#: A JSON text with a page's URL at several depths, as key, in text, escaped; % stands for the URL, ^ for the page's number.
+NESTED = r'''{"%": {"deep": [[{"k": "%", "n": [1, null, true]}, "http:\/\/e.test\/?a=1\u0026id=^"], "not http", [[["https://five.test/^"]]]], "t": "say \"https://in.text/\" now\\"}, "x": "HTTPS://Up.test/^", "http://key.test/": {}, "y" : "a\\"}'''
+
+
+@query("json_harvest", rf"""
+WITH v AS (SELECT page_id, replace(replace('{NESTED}', '%', url), '^', page_id::VARCHAR) || CASE WHEN page_id % 7 = 3 THEN '}}' ELSE '' END AS value FROM pages),
+s AS (SELECT page_id, j.atom ->> '$' AS url FROM v, json_tree(CASE WHEN json_valid(value) THEN value ELSE 'null' END::JSON) AS j WHERE j.type = 'VARCHAR')
+SELECT url, count(*) AS n FROM s WHERE regexp_matches(url, '(?i)^https?://') GROUP BY url
+""")
+def _(spark, d):
+    text = F.replace(F.replace(F.lit(NESTED), F.lit("%"), F.col("url")), F.lit("^"), F.col("page_id").cast("string"))
+    broken = F.when(F.col("page_id") % 7 == 3, F.lit("}")).otherwise("")
+    return R.harvested(spark.read.parquet(f"{d}/pages.parquet").select(F.concat(text, broken).alias("value"))).groupBy("url").agg(F.count("*").alias("n"))
+
+
 @query("plain_feed", """WITH l AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN '# ' || url WHEN page_id % 4 = 1 THEN regexp_replace(url, '^https?://', '') WHEN page_id % 4 = 2 THEN '  ' || url || ' ' ELSE '' END AS value FROM pages) SELECT CASE WHEN regexp_matches(trim(value), '^https?://') THEN trim(value) ELSE 'http://' || trim(value) END AS url, 'openphish' AS source, 0.9::DOUBLE AS confidence
   FROM l WHERE trim(value) <> '' AND NOT starts_with(trim(value), '#')""")
 def _(spark, d):

@@ -251,13 +251,41 @@ def _edge(column: int, quote: bool = False) -> str:
 
 URL_EDGES = f"WITH {SPLIT} SELECT page_id, {_edge(1)} AS normalized_url, {_edge(2, True)} AS reject_reason, {_edge(3)} AS registered_domain, {_edge(4, True)} AS collector_reason, {_edge(5)} AS collector_url FROM u"
 
+#: Rules of all three kinds: plain, wildcard and exception.
+RULES = ("com", "net", "org", "uk", "co.uk", "ck", "*.ck", "!www.ck", "jp", "*.kawasaki.jp", "!city.kawasaki.jp", "au", "com.au", "io", "github.io")
+#: Hosts around the first label of a page's host, which % stands for.
+HOSTS = (
+    "%.ck", "a.%.ck", "x.a.%.ck", "www.ck", "%.www.ck", "%.kawasaki.jp", "a.%.kawasaki.jp", "x.a.%.kawasaki.jp", "city.kawasaki.jp", "%.city.kawasaki.jp", "kawasaki.jp",
+    "%.co.uk", "www.%.co.uk", "co.uk", "%.uk", "shop.%.com.au", "com.au", "%.github.io", "a.%.github.io", "github.io", "%.unknown", "%", "192.0.2.1", "2001:db8::1", "www.www.com",
+)
+
+
+def suffix_rules(spark, sf_dir):
+    label = F.regexp_extract("url", "://([^./:?#]*)", 1)
+    forms = F.array(*[F.replace(F.lit(h), F.lit("%"), label) for h in HOSTS])
+    hosts = pages(spark, sf_dir).select("page_id", F.posexplode(forms).alias("form", "host"))
+    return U.registered_domains(hosts, "host", U.suffix_table(spark, RULES))
+
+
+SUFFIX_RULES = f"""
+WITH k AS (
+  SELECT regexp_replace(rule, '^(!|\\*\\.)', '') AS tail, CASE WHEN starts_with(rule, '!') THEN 1 WHEN starts_with(rule, '*.') THEN -1 ELSE 0 END AS mark FROM (SELECT unnest({list(RULES)}) AS rule)
+), f AS (
+  SELECT page_id, i - 1 AS form, replace({list(HOSTS)}[i], '%', regexp_extract(url, '://([^./:?#]*)', 1)) AS host FROM pages, unnest(range(1, {len(HOSTS) + 1})) AS u(i)
+), p AS (SELECT *, regexp_replace(host, '^www\\.', '') AS plain, string_split(regexp_replace(host, '^www\\.', ''), '.') AS labels FROM f
+), t AS (
+  SELECT page_id, form, mark, i + mark AS pos FROM (SELECT *, unnest(range(1, len(labels) + 1)) AS i FROM p WHERE NOT regexp_matches(plain, ':|^[0-9.]+$'))
+  JOIN k ON array_to_string(labels[i:], '.') = tail WHERE mark >= 0 OR i > 1
+), b AS (SELECT page_id, form, coalesce(min(pos) FILTER (mark = 1), min(pos)) AS pos FROM t GROUP BY ALL)
+SELECT page_id, form::INT AS form, host, CASE WHEN pos > 1 THEN array_to_string(labels[pos - 1:], '.') ELSE plain END AS registered_domain FROM p LEFT JOIN b USING (page_id, form)
+"""
 QUERIES = {
-    "training_category": training_category, "url_edges": url_edges,
+    "training_category": training_category, "url_edges": url_edges, "suffix_rules": suffix_rules,
     "split_profile": split_profile, "url_keys": url_keys, "safe_urls": safe_urls, "url_features": url_features, "component_features": component_features, "host_features": host_features, "benign_classes": benign_classes,
     **{f"tags_{t}": tag_query(t) for t in C.TAXONOMIES},
 }
 ORACLE_SQL = {
-    "training_category": TRAINING_CATEGORY, "url_edges": URL_EDGES,
+    "training_category": TRAINING_CATEGORY, "url_edges": URL_EDGES, "suffix_rules": SUFFIX_RULES,
     "split_profile": SPLIT_PROFILE, "url_keys": URL_KEYS, "safe_urls": SAFE_URLS, "url_features": URL_FEATURES, "component_features": COMPONENT_FEATURES, "host_features": HOST_FEATURES, "benign_classes": BENIGN_CLASSES,
     **{f"tags_{t}": tags_sql(t) for t in TAGS_SQL},
 }

@@ -198,24 +198,37 @@ def unescaped(text: Column) -> Column:
     return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), one), ""))
 
 
+#: What a page is made of, as far as its links go: remarks, scripts and styles, whose content is no markup, and start tags, whose quoted values may hold >.
+MARKUP = r"""(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b[^>]*+>.*?(?:</(?:script|style)\s*>|\z)|<%s(?=[\s/])((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+#: One attribute: a name, and perhaps = and a value in quotes or up to the next space.
+ATTRIBUTE = r"""(?s)([^\s/=>]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'][^\s]*+)?)?)"""
+
+
+def tag_attributes(html: Column, tag: str, attribute: str) -> Column:
+    """The values of an attribute of all start tags of a kind, character references decoded; of a repeated attribute the last."""
+
+    def value(attributes: Column) -> Column:
+        named = F.filter(F.regexp_extract_all(attributes, F.lit(ATTRIBUTE)), lambda a: a.rlike(rf"(?is)^{attribute}\s*="))
+        raw = F.regexp_replace(F.try_element_at(named, F.lit(-1)), r"(?s)^[^=]*=\s*", "")
+        return F.trim(unescaped(F.when(raw.rlike("^[\"']"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)))
+
+    found = F.filter(F.regexp_extract_all(html, F.lit(MARKUP % tag), F.lit(1)), lambda a: F.coalesce(a, F.lit("")) != "")
+    return F.filter(F.transform(found, value), lambda v: v.isNotNull())
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html", https_only: bool = True, suffixes: DataFrame | None = None) -> DataFrame:
     """(page_url, link): distinct links of a page to other pages of its registered domain under suffixes.
 
-    Relative ones are resolved; fragments-only, javascript:, mailto: and tel: links go.
+    Links are the href of <a> tags outside remarks, scripts and styles, quoted or not. Relative ones are resolved, with
+    dot segments; fragments-only, javascript:, mailto: and tel: links go.
     """
     from corpusforge.functions import urls as U
 
     suffixes = suffixes if suffixes is not None else U.suffix_table(pages.sparkSession)
-    refs = pages.select(F.col(url).alias("page_url"), F.explode(F.regexp_extract_all(F.col(html), F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""))).alias("_r"))
-    refs = refs.withColumn("_r", F.trim(unescaped(F.col("_r")))).filter(~F.col("_r").rlike("(?i)^(?:#|javascript:|mailto:|tel:|$)"))
+    refs = pages.select(F.col(url).alias("page_url"), F.explode(F.array_distinct(tag_attributes(F.col(html), "a", "href"))).alias("_r"))
+    refs = refs.filter(~F.col("_r").rlike("(?i)^(?:#|javascript:|mailto:|tel:|$)"))
     refs = refs.distinct().withColumn("_page", U.parts(F.col("page_url")))
-    p, r = F.col("_page"), F.col("_r")
-    origin = F.concat(p["scheme"], F.lit("://"), p["netloc"])
-    folder = F.regexp_replace(F.when(p["path"] == "", "/").otherwise(p["path"]), "[^/]*$", "")
-    full = (
-        F.when(r.rlike("(?i)^[a-z][a-z0-9+.-]*://"), r).when(r.startswith("//"), F.concat(p["scheme"], F.lit(":"), r)).when(r.startswith("/"), F.concat(origin, r))
-        .when(r.startswith("?"), F.concat(origin, p["path"], r)).otherwise(F.concat(origin, folder, r))
-    )
+    p, full = F.col("_page"), U.resolved(F.col("_page"), F.col("_r"))
     rows = U.normalize(refs.select("page_url", F.regexp_replace(p["host"], r"\.+$", "").alias("_from"), full.alias("_full")), "_full", "link", "_why").filter("link IS NOT NULL")
     rows = rows.withColumn("link", F.regexp_replace("link", "#.*$", "")).filter(F.col("link") != F.regexp_replace("page_url", "#.*$", ""))
     if https_only:
@@ -248,9 +261,17 @@ def json_field_urls(lines: DataFrame, fields: list[str], column: str = "value")
     return lines.select(F.explode(F.array_compact(F.array(*[F.get_json_object(column, f"$.{f}") for f in fields]))).alias("url"))
 
 
+#: A string of a JSON text, and the colon after it if it is a key. Strings are the only place for quotes in JSON, so their order tells where each ends.
+JSON_STRING = r"""(?s)("[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?)"""
+
+
 def harvested(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Every JSON string value that starts with http(s), at any depth."""
-    return lines.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(r'"(https?://[^"]*)"(?!\s*:)'))).alias("url"))
+    """Every string value of JSON texts that starts with http(s), at any depth, escapes decoded; keys and texts that are not JSON give none."""
+    # as the one member of an array, since the parser does not mind what follows a whole value
+    alone = F.size(F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit("]"))).cast("array<variant>")) == 1
+    texts = lines.select(F.explode(F.regexp_extract_all(F.when(alone, F.col(column)), F.lit(JSON_STRING))).alias("s"))
+    value = F.get(F.from_json(F.concat(F.lit("["), F.col("s"), F.lit("]")), "array<string>"), F.lit(0))
+    return texts.filter(F.col("s").endswith('"')).select(value.alias("url")).filter(F.col("url").rlike("(?i)^https?://"))
 
 
 MANIFEST = "sources array<struct<name: string, source_records: array<struct<name: string>>, first_party_pages_crawled: array<struct<url: string, status: int>>>>"
