@@ -24,18 +24,57 @@ def daily_trend(log: DataFrame, at: str, verdict: str, verdicts: list[str], last
     return out.withColumn("total", reduce(lambda a, b: a + b, [F.col(v) for v in verdicts]))
 
 
-def count_map(df: DataFrame, column: str, name: str) -> DataFrame:
-    counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(column), F.col("n"))))).alias(name))
+#: Values of a facet that its count map may hold.
+MAP_VALUES = 10_000
+DAY, HOUR = 24 * 3600, 3600
+
+
+def stat_counts(indicators: DataFrame, as_of: str, facets: list[str], first_seen: str = "first_seen_at", ingested: str = "ingested_at", sign: int = 1) -> DataFrame:
+    """(facet, value, n): what statistics need, in a form that can be added up: counts, the seconds of the last day, and the latest time.
+
+    With sign -1 the rows are taken away; the latest time, which only rises, is then left out.
+    """
+    since = F.unix_timestamp(F.to_timestamp(F.lit(as_of))) - DAY
+    second = F.unix_seconds(first_seen)
+    one = lambda facet, value, n=sign: F.struct(F.lit(facet).alias("facet"), value.alias("value"), F.lit(n).cast("long").alias("n") if isinstance(n, int) else n.alias("n"))
+    entries = [one("total", F.lit(None).cast("string")), *[one(f, F.col(f).cast("string")) for f in facets], F.when(second >= since, one("second", second.cast("string")))]
+    if sign > 0:
+        entries.append(one("latest", F.lit(None).cast("string"), F.unix_micros(ingested)))
+    return stat_sum(indicators.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*"), as_of)
+
+
+def stat_sum(counts: DataFrame, as_of: str) -> DataFrame:
+    """Counts of several parts as one; seconds that have left the day before as_of go."""
+    since = F.unix_timestamp(F.to_timestamp(F.lit(as_of))) - DAY
+    n = F.when(F.col("facet") == "latest", F.max("n")).otherwise(F.sum("n")).alias("n")
+    return counts.groupBy("facet", "value").agg(n).filter((F.col("n") != 0) & ((F.col("facet") != "second") | (F.try_to_number("value", F.lit("99999999999")) >= since)))
+
+
+def stat_row(counts: DataFrame, as_of: str, facets: list[str], sources: DataFrame | None = None) -> DataFrame:
+    """One row: total, latest, new in 24 hours and one hour before as_of, and a count map for each facet, of MAP_VALUES values at most.
+
+    With sources (enabled, status) the counts of enabled and of healthy ones among them follow.
+    """
+    now = F.unix_timestamp(F.to_timestamp(F.lit(as_of)))
+    recent = lambda span: F.coalesce(F.sum(F.when((F.col("facet") == "second") & (F.col("value").cast("long") >= now - span), F.col("n"))), F.lit(0))
+    out = counts.filter(F.col("facet").isin("total", "latest", "second")).agg(
+        F.coalesce(F.sum(F.when(F.col("facet") == "total", F.col("n"))), F.lit(0)).alias("total"), F.timestamp_micros(F.max(F.when(F.col("facet") == "latest", F.col("n")))).alias("latest"),
+        recent(DAY).alias("new_24h"), recent(HOUR).alias("new_1h"),
+    )
+    for f in facets:  # one row each
+        few = counts.filter(F.col("facet") == f).limit(MAP_VALUES + 1).agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("e"))
+        many = F.raise_error(F.lit(f"facet {f} has more than {MAP_VALUES} values")).cast("map<string,bigint>")
+        named = F.filter("e", lambda x: x["value"].isNotNull())
+        out = out.crossJoin(F.broadcast(few.select(F.when(F.size("e") > MAP_VALUES, many).otherwise(F.map_from_entries(named)).alias(f"by_{f}"))))
+    if sources is not None:
+        health = sources.filter("enabled").agg(F.count("*").alias("configured_sources"), F.count_if(F.col("status") == "healthy").alias("healthy_sources"))
+        out = out.crossJoin(F.broadcast(health))
+    return out
 
 
-def feed_stats(indicators: DataFrame, as_of: str, facets: list[str], first_seen: str = "first_seen_at", ingested: str = "ingested_at") -> DataFrame:
-    """One row: total, latest, new in 24 hours and one hour before as_of, and a count map for each facet (few values)."""
-    now = F.to_timestamp(F.lit(as_of))
-    out = indicators.agg(F.count("*").alias("total"), F.max(ingested).alias("latest"), F.count_if(F.col(first_seen) >= now - F.expr("INTERVAL 24 HOURS")).alias("new_24h"), F.count_if(F.col(first_seen) >= now - F.expr("INTERVAL 1 HOUR")).alias("new_1h"))
-    for f in facets:
-        out = out.crossJoin(F.broadcast(count_map(indicators, f, f"by_{f}")))  # one row each
-    return out
+def feed_stats(indicators: DataFrame, as_of: str, facets: list[str], first_seen: str = "first_seen_at", ingested: str = "ingested_at", sources: DataFrame | None = None) -> DataFrame:
+    """The statistics of a whole state, as stat_row gives them; as_of counts in whole seconds."""
+    return stat_row(stat_counts(indicators, as_of, facets, first_seen, ingested), as_of, facets, sources)
 
 
 def facet_counts(df: DataFrame, facets: list[str]) -> DataFrame:

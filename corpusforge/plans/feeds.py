@@ -135,9 +135,23 @@ def _(spark, d):
     return W.changes(keyed(spark, d)).select(F.col("ordinal").alias("event_id"), "event")
 
 
-@query("feed_stats", """WITH g AS (SELECT user_id, min(ts) AS f, max(ts) AS l FROM events GROUP BY user_id) SELECT count(*) AS total, count(*) FILTER (WHERE f >= TIMESTAMP '2024-01-02 00:00:00' - INTERVAL 24 HOUR) AS new_24h, count(*) FILTER (WHERE f >= TIMESTAMP '2024-01-02 00:00:00' - INTERVAL 1 HOUR) AS new_1h FROM g""")
+@query("feed_stats", """
+WITH g AS (
+  SELECT user_id, min(ts) AS f, arg_min(event_type, (ts, event_id)) AS source, arg_max(event_type, (ts, event_id)) FILTER (WHERE event_id % 3 <> 0) AS status FROM events GROUP BY user_id
+), s AS (SELECT source, count(*) AS n FROM g GROUP BY 1), t AS (SELECT status, count(*) AS n FROM g WHERE status IS NOT NULL GROUP BY 1)
+SELECT count(*) AS total, count(*) FILTER (WHERE f >= TIMESTAMP '2024-01-02 00:00:00' - INTERVAL 24 HOUR) AS new_24h, count(*) FILTER (WHERE f >= TIMESTAMP '2024-01-02 00:00:00' - INTERVAL 1 HOUR) AS new_1h,
+  strftime(max(f), '%Y-%m-%d %H:%M:%S') AS latest, (SELECT list(source || '=' || n ORDER BY source) FROM s) AS by_source, (SELECT list(status || '=' || n ORDER BY status) FROM t) AS by_status,
+  (SELECT count(DISTINCT event_type) FILTER (WHERE event_type <> 'click') FROM events) AS configured_sources, (SELECT count(DISTINCT event_type) FILTER (WHERE event_type NOT IN ('click', 'view')) FROM events) AS healthy_sources
+FROM g""")
 def _(spark, d):
-    return L.feed_stats(W.upsert(keyed(spark, d)), "2024-01-02 00:00:00", ["primary_source", "status"]).select("total", "new_24h", "new_1h")
+    kinds = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("source_id")).distinct()
+    sources = kinds.select((F.col("source_id") != "click").alias("enabled"), F.when(F.col("source_id") == "view", "stale").otherwise("healthy").alias("status"))
+    row = L.feed_stats(W.upsert(keyed(spark, d)), "2024-01-02 00:00:00", ["primary_source", "status"], sources=sources)
+    shown = lambda c: F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    return row.select(
+        "total", "new_24h", "new_1h", F.date_format("latest", "yyyy-MM-dd HH:mm:ss").alias("latest"), shown("by_primary_source").alias("by_source"), shown("by_status").alias("by_status"),
+        "configured_sources", "healthy_sources",
+    )
 
 
 @query("feed_health", """WITH f AS (SELECT event_type AS source_id, ts, value >= 20 AS ok, CASE WHEN value < 20 THEN 'http 500' END AS error FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00'), g AS (SELECT source_id, max(ts) FILTER (WHERE ok) AS last_ok FROM f GROUP BY 1),

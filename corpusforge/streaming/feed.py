@@ -159,6 +159,10 @@ class Snapshots:
         rows = rows.select(*STATE, F.expr(self.BUCKET).alias("bucket")).repartitionByRange("indicator_hash").sortWithinPartitions("indicator_hash")
         rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
 
+    def changed(self, version: int) -> DataFrame:
+        """The rows that a version changed, as they are in it."""
+        return self.spark.read.parquet(f"{self.path}/v={version}").select(*STATE)
+
     def write(self, state: DataFrame, version: int) -> None:
         """A whole state as a version."""
         self._write(state, f"full={version}")
@@ -176,12 +180,50 @@ class Snapshots:
             self.write(self.read().limit(0), found[-1] + 1)
 
 
-def run_feed(records: DataFrame, snapshots: Snapshots, events: str, checkpoint: str, as_of: Callable[[int], str] | None = None, stats: str | None = None, quarantine: str | None = None):
+class Statistics:
+    """Statistics of the state after each batch, kept up by what the batch changed: old rows taken away, new rows added.
+
+    path_counts/batch=n has the sums, path/batch=n the row of them. A batch reads the sums of the one before and no
+    state; only where those are missing are the rows of the whole version counted. as_of must not go back.
+    """
+
+    FACETS = ("primary_source", "indicator_type", "status")
+
+    def __init__(self, spark: SparkSession, path: str, as_of: Callable[[int], str], sources: Callable[[int], DataFrame] | None = None):
+        self.spark, self.path, self.as_of, self.sources = spark, path.rstrip("/"), as_of, sources
+
+    def counts(self, number: int) -> DataFrame | None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}_counts/batch={number}/_SUCCESS")
+        found = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+        return self.spark.read.parquet(f"{self.path}_counts/batch={number}") if found else None
+
+    def advance(self, number: int, old: DataFrame | None, snapshots: Snapshots) -> None:
+        """After version number + 1 is written; old has the rows of its keys in the version before."""
+        at, facets = self.as_of(number), list(self.FACETS)
+        before = self.counts(number - 1)
+        if before is None:
+            now = L.stat_counts(snapshots.read(number + 1), at, facets)
+        else:
+            now = before.unionByName(L.stat_counts(snapshots.changed(number + 1), at, facets))
+            if old is not None:
+                now = now.unionByName(L.stat_counts(old, at, facets, sign=-1))
+            now = L.stat_sum(now, at)
+        now.coalesce(1).write.mode("overwrite").parquet(f"{self.path}_counts/batch={number}")
+        row = L.stat_row(self.counts(number), at, facets, self.sources(number) if self.sources else None)
+        row.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+
+def run_feed(
+    records: DataFrame, snapshots: Snapshots, events: str, checkpoint: str, as_of: Callable[[int], str] | None = None, stats: str | None = None, quarantine: str | None = None,
+    sources: Callable[[int], DataFrame] | None = None,
+):
     """Start the stream: each micro-batch becomes version batch + 1 of the state, its change events, and (if asked for) statistics of the whole state.
 
-    Records without a usable URL go to the quarantine folder (beside the events where none is named).
+    Records without a usable URL go to the quarantine folder (beside the events where none is named). sources gives the
+    sources (enabled, status) whose health the statistics of a batch count.
     """
     aside = quarantine or f"{events.rstrip('/')}_quarantine"
+    kept = Statistics(snapshots.spark, stats, as_of, sources) if stats and as_of else None
 
     def fold(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
@@ -192,8 +234,8 @@ def run_feed(records: DataFrame, snapshots: Snapshots, events: str, checkpoint:
             state = snapshots.read(number, good)
             changes(good, state).write.mode("overwrite").parquet(f"{events}/batch={number}")
             snapshots.write_changed(upsert(good, state), number + 1)
-            if stats and as_of:
-                L.feed_stats(snapshots.read(number + 1), as_of(number), ["primary_source", "indicator_type", "status"]).write.mode("overwrite").parquet(f"{stats}/batch={number}")
+            if kept:
+                kept.advance(number, state, snapshots)
         finally:
             good.unpersist()
             batch.unpersist()
