@@ -7,15 +7,43 @@ first, and semi and anti joins are left to the planner, which broadcasts a side
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusforge.operators.percentiles import percentiles
+
 
 def keep_first(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
-    """The first row of each key in the order given."""
+    """The first row of each key in the order given.
+
+    The filter on the number lets Spark keep one row a key in every map task (WindowGroupLimit), so a hot key shuffles a row a task.
+    """
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
+#: Parts into which rows of a key that are not its first are dealt.
+SALTS = 64
+
+
+def mark_first(df: DataFrame, keys: list[str], order: str, name: str, among: Column | None = None) -> DataFrame:
+    """df with a boolean: whether a row is the first of its key (among the rows of a condition, if one is given).
+
+    The least order of each key is merged before the shuffle and joined back, where adaptive execution splits a hot key.
+    Only rows that tie for the first place meet in one window; the others of a key are dealt into SALTS parts.
+    """
+    among = F.lit(True) if among is None else among
+    least = df.filter(among).groupBy(F.struct(*keys).alias("_key")).agg(F.struct(F.min(order).alias("o"), F.count_if(F.col(order).isNull()).alias("n")).alias("_least"))
+    rows = df.withColumn("_key", F.struct(*keys)).join(least, "_key", "left")
+    # as in ascending order, a null comes first
+    tied = among & F.when(F.col("_least.n") > 0, F.col(order).isNull()).otherwise(F.col(order) == F.col("_least.o"))
+    rows = rows.withColumn("_tied", F.coalesce(tied, F.lit(False)))
+    part = F.when(F.col("_tied"), -1).otherwise(F.pmod(F.xxhash64(order), F.lit(SALTS)))
+    number = F.row_number().over(Window.partitionBy("_key", part).orderBy(F.col(order)))
+    return rows.withColumn(name, F.col("_tied") & (number == 1)).drop("_key", "_least", "_tied")
+
+
 def rank_of(column: str, ranked: list[str]) -> Column:
     """Place of a value in a priority list; others come last."""
     place = F.lit(len(ranked))
@@ -57,16 +85,17 @@ def merge_membership(df: DataFrame, key: str, source: str, priority: list[str],
 def incremental(df: DataFrame, key: str, order: str, existing: DataFrame) -> DataFrame:
     """df with outcome added, duplicate (of an earlier row) or existing (in an earlier corpus with the same key)."""
     known = existing.select(F.col(key).alias("_k")).distinct().withColumn("_known", F.lit(True))
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    marked = df.withColumn("_n", n).join(known, F.col(key) == F.col("_k"), "left")
-    return marked.withColumn("outcome", F.when(F.col("_known"), "existing").when(F.col("_n") > 1, "duplicate").otherwise("added")).drop("_n", "_k", "_known")
+    marked = mark_first(df, [key], order, "_first").join(known, F.col(key) == F.col("_k"), "left")
+    return marked.withColumn("outcome", F.when(F.col("_known"), "existing").when(~F.col("_first"), "duplicate").otherwise("added")).drop("_first", "_k", "_known")
 
 
 def duplicate_examples(df: DataFrame, key: str, value: str, order: str, limit: int = 20) -> DataFrame:
     """The first pairs (first, duplicate) of one key in input order."""
-    w = Window.partitionBy(key).orderBy(order)
-    pairs = df.select(key, F.first(value).over(w).alias("first"), F.col(value).alias("duplicate"), F.col(order).alias("line"), F.row_number().over(w).alias("_n"))
-    return pairs.filter("_n > 1").drop("_n").orderBy("line").limit(limit)
+    marked = mark_first(df.select(key, value, order), [key], order, "_first")
+    firsts = marked.filter("_first").select(F.struct(key).alias("_key"), F.col(value).alias("first"))
+    # only the earliest duplicates look for their first row
+    rest = marked.filter("NOT _first").select(F.struct(key).alias("_key"), F.col(value).alias("duplicate"), F.col(order).alias("line")).orderBy("line").limit(limit)
+    return rest.join(firsts, "_key").select(F.col("_key")[key].alias(key), "first", "duplicate", "line").orderBy("line")
 
 
 def uniqueness(df: DataFrame, **layers: Column) -> DataFrame:
@@ -76,9 +105,9 @@ def uniqueness(df: DataFrame, **layers: Column) -> DataFrame:
 
 def staged_dedup(df: DataFrame, exact: str, normal: str, order: str) -> DataFrame:
     """df with stage: exact_duplicate, normalized_duplicate or kept. Exact copies are found before normalised ones."""
-    df = df.withColumn("_e", F.row_number().over(Window.partitionBy(exact).orderBy(order)))
-    n = F.row_number().over(Window.partitionBy(normal, F.col("_e") > 1).orderBy(order))
-    return df.withColumn("stage", F.when(F.col("_e") > 1, "exact_duplicate").when(n > 1, "normalized_duplicate").otherwise("kept")).drop("_e")
+    df = mark_first(df, [exact], order, "_e")
+    df = mark_first(df, [normal], order, "_n", among=F.col("_e"))
+    return df.withColumn("stage", F.when(~F.col("_e"), "exact_duplicate").when(~F.col("_n"), "normalized_duplicate").otherwise("kept")).drop("_e", "_n")
 
 
 def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -228,7 +257,12 @@ def split_summary(df: DataFrame, split: str, domain: str, source: str, label: st
 def structure_rates(df: DataFrame, groups: list[str], tags: str, names: list[str], medians: list[str]) -> DataFrame:
     """Share of rows with each tag, and exact medians, by group."""
     rates = [F.avg(F.array_contains(tags, n).cast("double")).alias(f"rate_{n}") for n in names]
-    return df.groupBy(*groups).agg(F.count("*").alias("n_rows"), *rates, *[F.percentile(m, 0.5).alias(f"median_{m}") for m in medians])
+    out = df.groupBy(*groups).agg(F.count("*").alias("n_rows"), *rates)
+    for m in medians:
+        found = percentiles(df, groups, m, {f"median_{m}": 0.5}).withColumnsRenamed({g: f"_{g}" for g in groups})
+        same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups])
+        out = out.join(found, same).drop(*[f"_{g}" for g in groups])
+    return out
 
 
 def tag_counts(df: DataFrame, tags: str, label: str = "label") -> DataFrame:

@@ -35,11 +35,11 @@ def stat_counts(indicators: DataFrame, as_of: str, facets: list[str], first_seen
     With sign -1 the rows are taken away; the latest time, which only rises, is then left out.
     """
     since = F.unix_timestamp(F.to_timestamp(F.lit(as_of))) - DAY
-    second = F.unix_seconds(first_seen)
+    second = F.unix_seconds(F.col(first_seen).cast("timestamp"))
     one = lambda facet, value, n=sign: F.struct(F.lit(facet).alias("facet"), value.alias("value"), F.lit(n).cast("long").alias("n") if isinstance(n, int) else n.alias("n"))
     entries = [one("total", F.lit(None).cast("string")), *[one(f, F.col(f).cast("string")) for f in facets], F.when(second >= since, one("second", second.cast("string")))]
     if sign > 0:
-        entries.append(one("latest", F.lit(None).cast("string"), F.unix_micros(ingested)))
+        entries.append(one("latest", F.lit(None).cast("string"), F.unix_micros(F.col(ingested).cast("timestamp"))))
     return stat_sum(indicators.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*"), as_of)
 
 

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusforge.operators.percentiles import percentiles
+
 RANGES = 1024
 
 
@@ -135,8 +137,11 @@ def one_class(scored: DataFrame, threshold: float, ok: Column | None = None) ->
     """A phishing-only holdout: recall with failed rows as missed; fpr is NULL by definition."""
     ok = F.lit(True) if ok is None else ok
     hit = ok & (F.col("p") >= threshold)
-    return scored.agg(F.count("*").alias("n"), F.count_if(hit).alias("detected"), F.count_if(~ok).alias("failed"), F.avg(hit.cast("double")).alias("recall"), F.avg((~hit).cast("double")).alias("fnr"),
-                      F.min("p").alias("min_p"), F.percentile("p", 0.5).alias("median_p"), F.max("p").alias("max_p"), F.lit(None).cast("double").alias("fpr"))
+    counts = (
+        F.count("*").alias("n"), F.count_if(hit).alias("detected"), F.count_if(~ok).alias("failed"), F.avg(hit.cast("double")).alias("recall"), F.avg((~hit).cast("double")).alias("fnr"),
+        F.min("p").alias("min_p"), F.max("p").alias("max_p"), F.lit(None).cast("double").alias("fpr"),
+    )
+    return percentiles(scored, [], "p", {"median_p": 0.5}, *counts)
 
 
 def domain_fpr(scored: DataFrame, threshold: float, domain: str) -> DataFrame:
@@ -160,8 +165,11 @@ def counterfactual(variants: DataFrame, base: str, variant: str, threshold: floa
     d = F.col("p") - F.col("_h")
     joined = variants.filter(F.col(variant) != home).join(homes, F.col(base) == F.col("_b"))
     crossed = (F.col("_h") < threshold) & (F.col("p") >= threshold)
-    out = joined.groupBy(variant).agg(F.count("*").alias("n"), F.percentile(d, 0.5).alias("median_delta"), F.avg(d).alias("mean_delta"), F.max(d).alias("max_delta"), F.avg((d > 0).cast("double")).alias("share_up"),
-                                      F.count_if(crossed).alias("crossed"), F.bool_and(d > 0).alias("always_up"))
+    moved = (
+        F.count("*").alias("n"), F.avg(d).alias("mean_delta"), F.max(d).alias("max_delta"), F.avg((d > 0).cast("double")).alias("share_up"),
+        F.count_if(crossed).alias("crossed"), F.bool_and(d > 0).alias("always_up"),
+    )
+    out = percentiles(joined, [variant], d, {"median_delta": 0.5}, *moved)
     return out.withColumn("systematic", (F.col("median_delta") >= limit) | (F.col("crossed") * 2 > F.col("n")))
 
 
@@ -252,10 +260,9 @@ def parity(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def distribution(scored: DataFrame, *groups: str, value: str = "p") -> DataFrame:
     """Minimum, exact percentiles and maximum."""
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)]))
-    names = ("p01", "p05", "p25", "p50", "p75", "p90", "p95", "p99")
-    out = scored.groupBy(*groups).agg(F.count(value).alias("n"), F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"), F.avg(value).alias("mean"))
-    return out.select(*groups, "n", "min", *[F.col("_q")[i].alias(c) for i, c in enumerate(names)], "max", "mean")
+    names = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    rest = (F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    return percentiles(scored, list(groups), value, names, *rest).select(*groups, "n", "min", *names, "max", "mean")
 
 
 def binned_misses(positives: DataFrame, threshold: float, edges: dict[str, list[float]], flags: list[str]) -> DataFrame:

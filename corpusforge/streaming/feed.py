@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions import urls as U
 from corpusforge.operators import log as L
+from corpusforge.operators.percentiles import percentiles
 
 STATE = ("indicator_hash", "url", "normalized_url", "hostname", "indicator_type", "primary_source", "sources", "first_seen_at", "last_seen_at", "source_timestamp", "status", "threat_type", "tags", "metadata", "ingested_at")
 
@@ -94,7 +95,7 @@ def latency(events: DataFrame) -> DataFrame:
     gap = lambda a, b: F.col(b).cast("double") - F.col(a).cast("double")
     steps = {"ingest": ("source_at", "ingested_at"), "persist": ("ingested_at", "persisted_at"), "emit": ("persisted_at", "emitted_at")}
     long = events.select(F.explode(F.array(*[F.struct(F.lit(k).alias("step"), gap(*v).alias("seconds")) for k, v in steps.items()])).alias("x")).select("x.*")
-    return long.groupBy("step").agg(F.count("seconds").alias("n"), F.percentile("seconds", 0.5).alias("median"), F.percentile("seconds", 0.95).alias("p95"))
+    return percentiles(long, ["step"], "seconds", {"median": 0.5, "p95": 0.95}, F.count("seconds").alias("n"))
 
 
 def merge_keeping(rows: DataFrame, key: str, order: str, first: list[str]) -> DataFrame:

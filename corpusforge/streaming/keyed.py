@@ -111,7 +111,7 @@ def upserted(records: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """
     spark: SparkSession = records.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    micros = lambda c: F.coalesce(F.unix_micros(c), F.lit(NO_TIME))
+    micros = lambda c: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(NO_TIME))
     rows = records.filter("ingested_at IS NOT NULL").select(
         "indicator_hash", micros("ingested_at").alias("at_us"), F.coalesce(F.col("ordinal").cast("long"), F.lit(NO_TIME)).alias("ordinal"), *KEPT, micros("source_timestamp").alias("source_us"), "status",
         F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce(F.to_json("metadata"), F.lit("{}")).alias("metadata"),
