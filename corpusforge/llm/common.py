@@ -84,14 +84,23 @@ def with_null(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.when(~F.col("none"), F.col(column))).drop("none")
 
 
-def marked(rows: DataFrame, key: Column, hashes: DataFrame, hash: str, name: str) -> DataFrame:
-    """rows with a boolean column: false if the 64-bit key is surely not among the hashes.
+def marked(rows: DataFrame, key: Column, known: DataFrame, of: Column, name: str) -> DataFrame:
+    """rows with a boolean column: false if their 64-bit key is surely none of the keys ``of`` of known.
 
-    The hashes become a bitmap of at most BITMAP_ROWS rows, which is broadcast, so rows that need not be joined can stay
-    where they are. When it fills up, more rows are marked; none is missed.
+    The keys' hashes become a bitmap of at most BITMAP_ROWS rows, which is broadcast, so rows that need not be joined can
+    stay where they are. When it fills up, more rows are marked; none is missed.
     """
     at = lambda h: F.pmod(h, F.lit(BITMAP_ROWS)).cast("int")
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int"))
-    bits = hashes.select(at(F.col(hash)).alias("_word"), bit(F.col(hash)).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    found = rows.join(F.broadcast(bits), at(key) == F.col("_word"), "left")
-    return found.withColumn(name, F.coalesce(F.col("_bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("_word", "_bits")
+    hashes = known.select(F.xxhash64(of).alias("_h"))
+    bits = hashes.select(at(F.col("_h")).alias("_word"), bit(F.col("_h")).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = rows.withColumn("_h", F.xxhash64(key))
+    found = found.join(F.broadcast(bits), at(F.col("_h")) == F.col("_word"), "left")
+    return found.withColumn(name, F.coalesce(F.col("_bits").bitwiseAND(bit(F.col("_h"))) != 0, F.lit(False))).drop("_word", "_bits", "_h")
+
+
+def without(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """rows whose long column is none of those of gone (one column of that name); only rows that may be are shuffled."""
+    found = marked(rows, F.col(column), gone, F.col(column), "_perhaps")
+    judged = found.filter("_perhaps").join(gone, column, "left_anti").select(*rows.columns)
+    return found.filter("NOT _perhaps").select(*rows.columns).unionByName(judged)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from corpusforge.llm.common import documents, materialise, with_null, without_null
 from corpusforge.llm.components import components
 from corpusforge.llm.meetings import dealt, met, rounds, still_open
-from corpusforge.llm.near_dedup import MIX, Words, apart, grouped, merged_labels, mixed, parity, plain_texts, set_hash, sets_of, shingles, xor_bits
+from corpusforge.llm.near_dedup import MIX, Words, among, apart, grouped, led_buckets, merged_labels, mixed, parity, plain_texts, set_hash, sets_of, shingles, xor_bits
 
 NGRAM, PERCENT = 3, 90
 FRAGMENTS = 8
@@ -161,11 +161,8 @@ def counted(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 def _class_components(reps: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
     """(node, component) of the classes that have links."""
-    posts = reps.select("id", F.explode("prints").alias("token"))
-    shared = materialise(posts.groupBy("token").agg(F.min_by("id", F.xxhash64("id")).alias("leader"), F.count("*").alias("m")).filter("m > 1"))
-    members = materialise(posts.join(shared, "token").select("token", "id", "leader", "m"))
-    facts = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "text_hash", F.col("n_shingles").alias("n"), "bits")
-    facts = materialise(facts)
+    members = led_buckets(reps.select("id", F.explode("prints").alias("token")))
+    facts = materialise(among(reps.select("id", "doc_id", "text_hash", F.col("n_shingles").alias("n"), "bits"), members))
     segments = sets_of(facts, texts, _segments(ngram, FRAGMENTS), SEGMENTS)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -196,7 +193,7 @@ def meetings(posts: DataFrame, facts: DataFrame, percent: int, at: int) -> DataF
 def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and text_hash, which tells rows of one doc_id apart."""
     texts = plain_texts(docs, text, doc_id)
-    signed = materialise(with_null(without_null(texts, "doc_id").mapInPandas(_printed(ngram, percent), PRINTED), "doc_id"))
+    signed = with_null(without_null(texts, "doc_id").mapInPandas(_printed(ngram, percent), PRINTED), "doc_id")
     return grouped(signed, ["prints", "bits"], lambda reps: _class_components(reps, texts, ngram, percent))
 
 

@@ -44,7 +44,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import documents, marked, materialise, rows_of, with_null, without_null
+from corpusforge.llm.common import documents, marked, materialise, rows_of, with_null, without, without_null
 from corpusforge.llm.components import components
 from corpusforge.llm.meetings import dealt, met, rounds, still_open
 
@@ -180,7 +180,7 @@ def xor_bits(a: Column | str, b: Column | str) -> Column:
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and text_hash, which tells rows of one doc_id apart."""
     texts = plain_texts(docs, text, doc_id)
-    signed = materialise(with_null(without_null(texts, "doc_id").mapInPandas(_signatures(shingle), SIGNATURE), "doc_id"))
+    signed = with_null(without_null(texts, "doc_id").mapInPandas(_signatures(shingle), SIGNATURE), "doc_id")
     return grouped(signed, ["bands", "sketch"], lambda reps: _class_components(reps, texts, shingle, percent))
 
 
@@ -188,27 +188,28 @@ def grouped(signed: DataFrame, columns: list[str], link: Callable[[DataFrame], D
     """Components of rows (doc_id, text_hash, n_shingles, set_a, set_b and columns), of which those with equal sets are one class.
 
     link takes the classes (id, doc_id, text_hash, n_shingles and columns of their first rows) and returns (node, component) of those with links.
+    Rows are numbered as they are written; columns, which may be long, are shuffled only for rows that may be copies.
     """
+    signed = materialise(signed.withColumn("id", F.monotonically_increasing_id()))
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("n"))
-    several = materialise(classes.filter("n > 1").select("set_a", "set_b", "first.*").withColumnsRenamed({"doc_id": "id", "text_hash": "id_hash"}))
-    known = signed.join(several, ["set_a", "set_b"], "left")
-    # a class is named by doc_id and hash of its first row; its node is a number that is written once with it
-    alone = known.filter("id IS NULL AND n_shingles > 0 AND doc_id IS NOT NULL")
-    first = known.filter("id = doc_id AND id_hash = text_hash").dropDuplicates(["doc_id", "text_hash"])
-    reps = alone.unionByName(first).select("doc_id", "text_hash", "n_shingles", *columns)
-    reps = materialise(reps.withColumn("id", F.monotonically_increasing_id()))
+    classes = some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_hash", "id")).alias("first"), F.count("*").alias("n"))
+    several = materialise(classes.filter("n > 1").select("set_a", "set_b", "first"))
+    light = marked(some.select("id", "set_a", "set_b"), F.col("set_a"), several, F.col("set_a"), "perhaps").filter("perhaps")
+    copies = materialise(light.join(several, ["set_a", "set_b"]).filter("id <> first.id").select("id", "first"))
+    reps = without(some.select("id", "doc_id", "text_hash", "n_shingles", *columns), "id", copies.select("id"))
     found = link(reps)
-    linked_classes = materialise(reps.join(found, F.col("id") == F.col("node")).select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"), "component"))
-    least = linked_classes.groupBy("component").agg(F.min(F.struct("c_id", "c_hash")).alias("least"))
-    named = linked_classes.join(least, "component").select("c_id", "c_hash", "least")
+    named = found.join(signed.select("id", "doc_id", "text_hash"), F.col("node") == F.col("id")).select("node", "component", F.struct("doc_id", "text_hash").alias("name"))
+    named = materialise(named)
+    least = named.groupBy("component").agg(F.min("name").alias("least"))
+    named = named.join(least, "component").select("node", "least")
+    rows = signed.select("id", "doc_id", "text_hash", "n_shingles").join(copies, "id", "left")
+    own = F.when(F.col("first").isNotNull(), F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))).otherwise(F.struct("doc_id", "text_hash"))
+    rows = rows.select("doc_id", "text_hash", "n_shingles", F.coalesce("first.id", "id").alias("class"), own.alias("own"))
+    out = rows.join(named, F.col("class") == F.col("node"), "left")
     member = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    rows = known.select("doc_id", "text_hash", "n_shingles", F.coalesce("id", "doc_id").alias("class"), F.coalesce("id_hash", "text_hash").alias("class_hash"))
-    out = rows.join(named, member & (F.col("class") == F.col("c_id")) & (F.col("class_hash") == F.col("c_hash")), "left")
-    stays = F.when(member, F.coalesce("least", F.struct(F.col("class").alias("c_id"), F.col("class_hash").alias("c_hash"))))
-    out = out.select("doc_id", "text_hash", "n_shingles", stays.alias("stays"))
-    kept = F.col("stays").isNull() | ((F.col("doc_id") == F.col("stays.c_id")) & (F.col("text_hash") == F.col("stays.c_hash")))
-    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("stays.c_id", "doc_id").alias("component_id"), kept.alias("kept"))
+    out = out.select("doc_id", "text_hash", "n_shingles", F.when(member, F.coalesce("least", "own")).alias("stays"))
+    kept = F.col("stays").isNull() | ((F.col("doc_id") == F.col("stays.doc_id")) & (F.col("text_hash") == F.col("stays.text_hash")))
+    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("stays.doc_id", "doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def plain_texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -218,19 +219,28 @@ def plain_texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 def sets_of(classes: DataFrame, texts: DataFrame, of: Callable, schema: str) -> DataFrame:
     """What ``of`` makes of the texts of classes (id, doc_id, text_hash), written; only texts whose hash may be theirs are shuffled."""
-    wanted = marked(texts, F.col("text_hash"), classes, "text_hash", "wanted").filter("wanted").drop("wanted")
+    wanted = marked(texts, F.col("text_hash"), classes, F.col("text_hash"), "wanted").filter("wanted").drop("wanted")
     wanted = wanted.join(classes.select("id", "doc_id", "text_hash"), ["doc_id", "text_hash"])
     wanted = wanted.groupBy("doc_id", "text_hash").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text")
     return materialise(wanted.mapInPandas(of, schema))
 
 
+def led_buckets(posts: DataFrame) -> DataFrame:
+    """posts (token, id) of tokens with several ids, with the leader, the least id, and the number m of each, written."""
+    shared = materialise(posts.groupBy("token").agg(F.min("id").alias("leader"), F.count("*").alias("m")).filter("m > 1"))
+    perhaps = marked(posts, F.col("token"), shared, F.col("token"), "perhaps").filter("perhaps")
+    return materialise(perhaps.join(shared, "token").select("token", "id", "leader", "m"))
+
+
+def among(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """rows whose id may be among the members': all that are and, as the filter is a bitmap, some others."""
+    return marked(rows, F.col("id"), members.select("id").distinct(), F.col("id"), "perhaps").filter("perhaps").drop("perhaps")
+
+
 def _class_components(reps: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, component) of the classes that have links."""
-    banded = reps.select("id", F.explode("bands").alias("band"))
-    shared = materialise(banded.groupBy("band").agg(F.min_by("id", F.xxhash64("id")).alias("leader"), F.count("*").alias("m")).filter("m > 1"))
-    members = materialise(banded.join(shared, "band").select("band", "id", "leader", "m"))
-    candidates = reps.join(members.select("id").distinct(), "id", "left_semi")
-    sketches = materialise(candidates.select("id", "doc_id", "text_hash", "n_shingles", "sketch"))
+    members = led_buckets(reps.select("id", F.explode("bands").alias("token"))).withColumnRenamed("token", "band")
+    sketches = materialise(among(reps.select("id", "doc_id", "text_hash", "n_shingles", "sketch"), members))
     sets = sets_of(sketches, texts, _sets(shingle), "id long, found array<long>")
     limit = sketch_limit(percent)
 
@@ -367,7 +377,7 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
     groups = near_groups(docs, text, doc_id, shingle, percent)
     gone = materialise(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_hash")).distinct())
     rows = docs.select(rows_of(docs).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
-    rows = marked(rows, F.col("hash"), gone, "gone_hash", "perhaps")
+    rows = marked(rows, F.col("hash"), gone, F.col("gone_hash"), "perhaps")
     judged = rows.filter("perhaps").join(gone, (F.col("id") == F.col("gone")) & (F.col("hash") == F.col("gone_hash")), "left_anti")
     return rows.filter("NOT perhaps").select("row.*").unionByName(judged.select("row.*"))
 
