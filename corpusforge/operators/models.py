@@ -10,7 +10,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,25 +125,30 @@ def importance(model, columns: list[str], spark, top: int = 10) -> DataFrame:
 BUCKET_ROWS = 10_000
 
 
-def permutation_importance(model, df: DataFrame, columns: list[str], key: str, repeats: int = 3) -> DataFrame:
-    """(feature, mean_drop, std_drop) of average precision when one column is exchanged between rows.
+def exchanged(df: DataFrame, columns: list[str], key: str, repeats: int, rows: int) -> DataFrame:
+    """Each row once a feature and repeat, (feature, repeat) and df's columns, with the feature's value of another row.
 
-    Rows get places by two hash orders within hash buckets of the key, so no task orders all rows.
+    A repeat is one exchange of whole rows: they get places by two hash orders within hash buckets of the key, so no task
+    orders all rows, and the row at the same place gives the value.
     """
-    base, base_rows = M.ranking(probability(model.transform(df))).first()["average_precision"], df.count()
-    out = []
-    from pyspark.sql import Window
-
-    bucket = F.pmod(F.xxhash64(key), F.lit(max(1, base_rows // BUCKET_ROWS)))
-    for c in columns:
-        for r in range(repeats):
-            place = lambda seed: F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(seed)), key))
-            left = df.withColumn("_b", bucket).withColumn("_n", place(2 * r))
-            right = df.withColumn("_b", bucket).withColumn("_n", place(2 * r + 1)).select("_b", "_n", F.col(c).alias("_other"))
-            mixed = left.join(right, ["_b", "_n"]).withColumn(c, F.col("_other").cast(df.schema[c].dataType)).drop("_b", "_n", "_other")
-            out.append((c, base - M.ranking(probability(model.transform(mixed))).first()["average_precision"]))
-    drops = df.sparkSession.createDataFrame(out, "feature string, drop double")
-    return drops.groupBy("feature").agg(F.avg("drop").alias("mean_drop"), F.stddev_pop("drop").alias("std_drop"))
+    bucket = F.pmod(F.xxhash64(key), F.lit(max(1, rows // BUCKET_ROWS)))
+    many = df.withColumn("_b", bucket).withColumn("repeat", F.explode(F.array(*[F.lit(r) for r in range(repeats)])))
+    place = lambda side: F.row_number().over(Window.partitionBy("_b", "repeat").orderBy(F.xxhash64(key, F.lit(side), "repeat"), key))
+    left = many.withColumn("_n", place(0))
+    right = many.withColumn("_n", place(1)).select("_b", "repeat", "_n", F.struct(*columns).alias("_other"))
+    one = lambda f: F.struct(F.lit(f).alias("feature"), *[(F.col("_other")[c] if c == f else F.col(c)).alias(c) for c in columns])
+    rest = [c for c in df.columns if c not in columns]
+    long = left.join(right, ["_b", "repeat", "_n"]).select(*rest, "repeat", F.explode(F.array(*[one(f) for f in columns])).alias("_x"))
+    return long.select(*rest, "repeat", "_x.*")
+
+
+def permutation_importance(model, df: DataFrame, columns: list[str], key: str, repeats: int = 3) -> DataFrame:
+    """(feature, mean_drop, std_drop) of average precision when one column is exchanged between rows. All exchanges are scored in one pass."""
+    base = M.ranking(probability(model.transform(df))).select(F.col("average_precision").alias("_base"))
+    scored = probability(model.transform(exchanged(df, columns, key, repeats, df.count())))
+    found = M.ranking(scored, "feature", "repeat").crossJoin(F.broadcast(base))  # one row
+    drop = F.col("_base") - F.col("average_precision")
+    return found.groupBy("feature").agg(F.avg(drop).alias("mean_drop"), F.stddev_pop(drop).alias("std_drop"))
 
 
 def substitutions(model, df: DataFrame, key: str, columns: list[str], neutral: dict[str, float]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions import cohorts as C
 from corpusforge.operators import corpus as O
+from corpusforge.operators import merkle
 from corpusforge.plans.urls import SPLIT, TAGS_SQL, canonical
 
 PRIORITY = ["beta", "alpha", "gamma"]
@@ -301,4 +302,34 @@ def _(spark, d):
     return df.groupBy(F.coalesce("reject_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+MERKLE = """
+WITH d AS (
+  SELECT sha256(concat_ws(',', length(page_id::VARCHAR) || ':' || page_id, length(url) || ':' || url, coalesce(length(lang) || ':' || lang, '-'))) AS row_digest
+  FROM (SELECT page_id % 50 AS page_id, url, CASE WHEN page_id % 3 > 0 THEN substr(url, 1, 9) END AS lang FROM pages)
+), e AS (SELECT row_digest, count(*) AS n FROM d GROUP BY 1
+), l2 AS (SELECT substr(row_digest, 1, 2) AS node, sha256(string_agg(row_digest || '=' || n, ',' ORDER BY row_digest || '=' || n)) AS digest, sum(n)::BIGINT AS n FROM e GROUP BY 1
+), l1 AS (SELECT substr(node, 1, 1) AS node, sha256(string_agg(node || '=' || digest, ',' ORDER BY node)) AS digest, sum(n)::BIGINT AS n FROM l2 GROUP BY 1
+), l0 AS (SELECT '' AS node, sha256(string_agg(node || '=' || digest, ',' ORDER BY node)) AS digest, sum(n)::BIGINT AS n FROM l1)
+SELECT 2 AS level, * FROM l2 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 0, * FROM l0
+"""
+
+
+@query("merkle_tree", MERKLE)
+def _(spark, d):
+    lang = F.when(F.col("page_id") % 3 > 0, F.substring("url", 1, 9))
+    pages = spark.read.parquet(f"{d}/pages.parquet").select((F.col("page_id") % 50).alias("page_id"), "url", lang.alias("lang"))
+    return merkle.tree(pages, ["page_id", "url", "lang"], depth=2)
+
+
+@query("merkle_changes", """
+WITH b AS (SELECT page_id, url FROM pages), a AS (SELECT page_id, CASE WHEN page_id % 90 = 7 THEN url || '#new' ELSE url END AS url FROM pages WHERE page_id % 70 <> 3 UNION ALL SELECT page_id, url FROM pages WHERE page_id % 80 = 5),
+u AS (SELECT *, 1 AS s FROM a UNION ALL SELECT *, -1 FROM b)
+SELECT page_id, url, sum(s)::BIGINT AS change FROM u GROUP BY ALL HAVING sum(s) <> 0""")
+def _(spark, d):
+    before = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
+    edited = F.when(F.col("page_id") % 90 == 7, F.concat("url", F.lit("#new"))).otherwise(F.col("url"))
+    after = before.filter("page_id % 70 <> 3").select("page_id", edited.alias("url")).unionByName(before.filter("page_id % 80 = 5"))
+    return merkle.changes(before, after, ["page_id", "url"])
+
+
 QUERIES, ORACLE_SQL = Q, S

@@ -8,6 +8,7 @@ from corpusforge.functions import features as X
 from corpusforge.functions import urls as U
 from corpusforge.operators import metrics as M
 from corpusforge.operators import models as O
+from corpusforge.operators.boosting import HistBoosting
 from corpusforge.plans.corpus import rows
 
 Q, S = {}, {}
@@ -23,7 +24,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-COLUMNS = ["URLLength", "PathLength", "QueryLength", "FragmentLength", "PathSegmentCount", "QueryParameterCount", "DigitRatioInURL", "URLEntropy", "IsHTTPS"]
+#: The 29 features that models see.
+COLUMNS = list(X.MODEL_FEATURES)
 
 
 def table(spark, d):
@@ -61,6 +63,14 @@ def _(spark, d):
     return parts[0].unionByName(parts[1])
 
 
+@query("hist_boosting")
+def _(spark, d):
+    df = table(spark, d)
+    model = HistBoosting(COLUMNS, l2=1.0).fit(df.filter("bucket < 60"))
+    scored = model.transform(df.filter("bucket >= 80")).select("label", "p")
+    return M.ranking(scored).crossJoin(M.brier(scored))
+
+
 @query("feature_importance")
 def _(spark, d):
     model, _, _ = fitted(spark, d)
