@@ -239,6 +239,20 @@ def official(host: Column, domains: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(d) for d in domains]), lambda d: (host == d) | host.endswith(F.concat(F.lit("."), d)))
 
 
+def official_url(url: Column, domains: list[str]) -> Column:
+    """The URL of an official source in its canonical form, or NULL: https, a host that is official, and no user or password."""
+    from corpusforge.functions import urls as U
+
+    def of(p: Column) -> Column:
+        tail = lambda mark, c: F.when(c != "", F.concat(F.lit(mark), c)).otherwise("")
+        port = F.when(p["port"].isNotNull() & (p["port"] != "443"), F.concat(F.lit(":"), p["port"])).otherwise("")
+        good = (p["scheme"] == "https") & official(p["host"], domains) & (F.coalesce(p["userinfo"], F.lit("")) == "")
+        path = F.when(p["path"] == "", "/").otherwise(p["path"])
+        return F.when(good, F.concat(F.lit("https://"), p["host"], port, path, tail("?", p["query"]), tail("#", p["fragment"])))
+
+    return U.let(U.parts(F.trim(url)), of)
+
+
 def preparation_report(df: DataFrame, source: str, exact: str, analysis: str, domain: str, reason: str, label: str = "label") -> DataFrame:
     """One pass over each source: rows, invalid, distinct at two layers, labels, domains."""
     ok = F.col(reason).isNull()

@@ -162,6 +162,20 @@ def _(spark, d):
     return rows(spark, d).select("page_id", O.official(F.col("host"), ["example.org", "example.net"]).alias("official"))
 
 
+@query("official_urls", """
+WITH v AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_replace(url, '^[a-z]+://[^/?#]*', '') AS rest FROM pages)
+SELECT page_id, CASE WHEN page_id % 6 IN (1, 3, 5) AND (host = 'example.org' OR ends_with(host, '.example.org')) THEN 'https://' || host || CASE WHEN page_id % 6 = 5 THEN ':8443' ELSE '' END || CASE WHEN starts_with(rest, '/') THEN '' ELSE '/' END || rest END AS official FROM v
+""")
+def _(spark, d):
+    host, rest = F.regexp_extract("url", "://([^/?#]*)", 1), F.regexp_replace("url", "^[a-z]+://[^/?#]*", "")
+    kind = F.col("page_id") % 6
+    before = F.when(kind == 0, "http://").when(kind == 1, "  HTTPS://").when(kind == 2, "https://user:secret@").when(kind == 4, "https://not").otherwise("https://")
+    port = F.when(kind == 3, ":443").when(kind == 5, ":8443").when(kind == 4, ".org").otherwise("")
+    name = F.when(kind == 1, F.upper(host)).when(kind == 4, F.replace(host, F.lit("."), F.lit("-"))).otherwise(host)
+    url = F.concat(before, name, port, rest, F.when(kind == 1, " ").otherwise(""))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", O.official_url(url, ["example.org"]).alias("official"))
+
+
 @query("preparation_report", f"WITH {ROWS} SELECT source, count(*) AS n_rows, 0::BIGINT AS n_invalid, count(DISTINCT normalized_url) AS n_normalized, count(DISTINCT analysis_url) AS n_analysis, count(*) FILTER (WHERE label = 0) AS n_legitimate, count(*) FILTER (WHERE label = 1) AS n_phishing, count(DISTINCT registered_domain) AS n_domains FROM r GROUP BY source")
 def _(spark, d):
     return O.preparation_report(rows(spark, d), "source", "normalized_url", "analysis_url", "registered_domain", "reject_reason")

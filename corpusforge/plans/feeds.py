@@ -231,6 +231,88 @@ def _(spark, d):
 NESTED = r'''{"%": {"deep": [[{"k": "%", "n": [1, null, true]}, "http:\/\/e.test\/?a=1\u0026id=^"], "not http", [[["https://five.test/^"]]]], "t": "say \"https://in.text/\" now\\"}, "x": "HTTPS://Up.test/^", "http://key.test/": {}, "y" : "a\\"}'''
 
 
+def _lines(spark, d, *parts):
+    """One text a page: parts are texts, or columns."""
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("value"))
+
+
+@query("sitemap", """
+WITH u AS (SELECT page_id AS file, unnest([url, 'https://c.test/' || page_id || '?a&b']) AS url, page_id % 3 = 0 AS is_index FROM pages) SELECT * FROM u""")
+def _(spark, d):
+    tag = F.when(F.col("page_id") % 3 == 0, "sitemapindex").otherwise("urlset")
+    files = _lines(spark, d, "<", tag, "><url><loc>\n ", F.replace("url", F.lit("&"), F.lit("&amp;")), " </loc></url><url><loc><![CDATA[https://c.test/", F.col("page_id"), "?a&b]]></loc></url><url><loc>https://third/</loc></url></", tag, ">")
+    return R.sitemap_urls(files.withColumnRenamed("page_id", "file"), "file", "value", 2)
+
+
+@query("feed_items", """
+SELECT page_id AS file, unnest([0, 1]) AS place, unnest([url, 'https://alt.test/' || page_id]) AS url FROM pages""")
+def _(spark, d):
+    link = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    files = _lines(spark, d, "<rss><item><title>t</title><link>", link, '</link></item><entry><link rel="self" href="https://no/"/><link rel="alternate" href="https://alt.test/', F.col("page_id"), '"/></entry><item><title>none</title></item></rss>')
+    return R.feed_links(files.withColumnRenamed("page_id", "file"), "file", "value")
+
+
+@query("json_fields", "SELECT url, count(*) AS n FROM (SELECT url FROM pages UNION ALL SELECT 'https://m.test/' || page_id FROM pages WHERE page_id % 2 = 0) GROUP BY url")
+def _(spark, d):
+    more = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(',"m":{"link":"https://m.test/'), F.col("page_id").cast("string"), F.lit('"}'))).otherwise("")
+    return R.json_field_urls(_lines(spark, d, '{"url":"', F.col("url"), '"', more, "}"), ["url", "m.link"]).groupBy("url").agg(F.count("*").alias("n"))
+
+
+@query("crawled_pages", "SELECT 's' || page_id % 4 AS source, url FROM pages WHERE page_id % 3 = 0")
+def _(spark, d):
+    status = F.when(F.col("page_id") % 3 == 0, "200").otherwise("404")
+    texts = _lines(spark, d, '{"sources":[{"name":"s', F.col("page_id") % 4, '","first_party_pages_crawled":[{"url":"', F.col("url"), '","status":', status, '},{"url":"ftp://x","status":200}]},{"name":"none"}]}')
+    return R.crawled_pages(texts)
+
+
+@query("inventory", """
+WITH r AS (SELECT 'f' || page_id % 5 AS file, url, regexp_extract(url, '://([^/?#]*)', 1) AS domain FROM pages)
+SELECT file, count(DISTINCT url) AS n_urls, count(DISTINCT domain) AS n_domains FROM (SELECT * FROM r UNION ALL SELECT '*', url, domain FROM r) GROUP BY file""")
+def _(spark, d):
+    file = F.concat(F.lit("f"), (F.col("page_id") % 5).cast("string"))
+    return R.inventory(spark.read.parquet(f"{d}/pages.parquet").select(file.alias("file"), "url", F.regexp_extract("url", "://([^/?#]*)", 1).alias("domain")), "file", "url", "domain")
+
+
+@query("verified_online", f"""
+WITH {SPLIT}, r AS (SELECT normalized_url, page_id % 3 > 0 AS verified, page_id % 4 > 0 AS online FROM u UNION ALL SELECT normalized_url, true, true FROM u WHERE page_id % 5 = 0),
+o AS (SELECT CASE WHEN NOT verified THEN 'not_verified' WHEN NOT online THEN 'not_online' WHEN row_number() OVER (PARTITION BY normalized_url, verified AND online) > 1 THEN 'duplicate' ELSE 'kept' END AS outcome FROM r)
+SELECT outcome, count(*) AS n FROM o GROUP BY 1""")
+def _(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    word = lambda c: F.when(c, "Yes").otherwise("no")
+    rows = pages.select("url", word(F.col("page_id") % 3 > 0).alias("verified"), word(F.col("page_id") % 4 > 0).alias("online"))
+    again = pages.filter("page_id % 5 = 0").select("url", F.lit("yes").alias("verified"), F.lit("YES").alias("online"))
+    return R.verified_online(rows.unionByName(again), "url")[1]
+
+
+@query("labelled_feed", "SELECT url, 1 AS label, 'feed' AS source FROM pages WHERE page_id % 4 > 0")
+def _(spark, d):
+    value = F.when(F.col("page_id") % 4 == 0, "  ").otherwise(F.col("url"))
+    return R.labelled_feed(_lines(spark, d, value), "feed")[0].select("url", "label", "source")
+
+
+@query("dictionary_labels", """
+WITH w AS (SELECT page_id, ['benign', 'phishing', 'malware', 'odd'][page_id % 4 + 1] AS class FROM pages) SELECT class, count(*) AS n, class <> 'odd' AS included FROM w GROUP BY class""")
+def _(spark, d):
+    word = F.element_at(F.array(*[F.lit(w) for w in (" Benign", "PHISHING ", "malware", "odd")]), (F.col("page_id") % 4 + 1).cast("int"))
+    return R.dictionary_labels(_lines(spark, d, word), "value", {"benign": 0, "phishing": 1, "malware": 1})[1]
+
+
+@query("first_nonempty", "SELECT page_id FROM pages WHERE page_id % 4 = (SELECT min(page_id % 4) FROM pages WHERE page_id % 4 > 1)")
+def _(spark, d):
+    return R.first_nonempty(spark.read.parquet(f"{d}/pages.parquet").select("page_id", (F.col("page_id") % 4).alias("rank")).filter("rank > 1"), "rank").select("page_id")
+
+
+@query("lookup", "SELECT event_id, user_id FROM events WHERE event_id = 17 OR user_id = 17")
+def _(spark, d):
+    return L.lookup(spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id"), "17", "event_id", "user_id")
+
+
+@query("since_cursor", "SELECT event_id, event_type FROM events WHERE event_id > 40 ORDER BY event_id LIMIT 25")
+def _(spark, d):
+    return L.since(spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type"), "40", 25, "event_id")
+
+
 @query("json_harvest", rf"""
 WITH v AS (SELECT page_id, replace(replace('{NESTED}', '%', url), '^', page_id::VARCHAR) || CASE WHEN page_id % 7 = 3 THEN '}}' ELSE '' END AS value FROM pages),
 s AS (SELECT page_id, j.atom ->> '$' AS url FROM v, json_tree(CASE WHEN json_valid(value) THEN value ELSE 'null' END::JSON) AS j WHERE j.type = 'VARCHAR')

@@ -279,13 +279,49 @@ WITH k AS (
 ), b AS (SELECT page_id, form, coalesce(min(pos) FILTER (mark = 1), min(pos)) AS pos FROM t GROUP BY ALL)
 SELECT page_id, form::INT AS form, host, CASE WHEN pos > 1 THEN array_to_string(labels[pos - 1:], '.') ELSE plain END AS registered_domain FROM p LEFT JOIN b USING (page_id, form)
 """
+WORDS = (" Phishing ", "BENIGN", "malicious", "Safe", "0", "1", "legitimate", "fraud", "phish", "suspicious", "odd", "")
+
+
+def label_words(spark, sf_dir):
+    word = F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.col("page_id") % len(WORDS) + 1).cast("int"))
+    return pages(spark, sf_dir).select("page_id", U.label_of(word).alias("label"), U.label_of(word, U.AUDIT_PHISHING).alias("audit"), U.label_of(word, U.FEED_PHISHING).alias("feed"))
+
+
+LABEL_WORDS = f"""
+WITH w AS (SELECT page_id, lower(trim({list(WORDS)}[page_id % {len(WORDS)} + 1])) AS w FROM pages), z AS (SELECT page_id, w, w IN ('0', 'legitimate', 'benign', 'safe') AS good FROM w)
+SELECT page_id, CASE WHEN good THEN 0 WHEN w IN ('1', 'phishing', 'malicious') THEN 1 END AS label, CASE WHEN good THEN 0 WHEN w IN ('1', 'phishing', 'malicious', 'fraud', 'suspicious') THEN 1 END AS audit,
+  CASE WHEN good THEN 0 WHEN w IN ('1', 'phishing', 'malicious', 'phish') THEN 1 END AS feed FROM z
+"""
+
+
+def finite_check(spark, sf_dir):
+    i = F.col("page_id")
+    bad = {"none": F.length("url"), "nulls": F.when(i % 3 > 0, F.length("url")), "nans": F.when(i % 5 == 0, float("nan")).otherwise(1.0), "both": F.when(i % 7 == 0, float("-inf")).when(i % 7 == 1, None).otherwise(2.0)}
+    return X.finite_violations(pages(spark, sf_dir).select(*[c.alias(n) for n, c in bad.items()]), tuple(bad))
+
+
+FINITE_CHECK = """
+SELECT unnest(['none', 'nulls', 'nans', 'both']) AS feature, unnest([0, count(*) FILTER (WHERE page_id % 3 = 0), count(*) FILTER (WHERE page_id % 5 = 0), count(*) FILTER (WHERE page_id % 7 < 2)])::BIGINT AS bad FROM pages
+"""
+
+
+def host_categories(spark, sf_dir):
+    rules = spark.createDataFrame([("example.org", "reference"), ("blog.example.org", "blog"), ("net", "network")], "suffix string, category string")
+    hosts = pages(spark, sf_dir).select("page_id", F.regexp_replace(F.regexp_extract("url", "://([^/?#]*)", 1), r"^(m|blog)\.[^.]*", "$1").alias("host"), F.lit("other").alias("fallback"))
+    return C.host_category(hosts, "host", rules, "fallback").select("page_id", "host", "category")
+
+
+HOST_CATEGORIES = r"""
+WITH h AS (SELECT page_id, regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^(m|blog)\.[^.]*', '\1') AS host FROM pages)
+SELECT page_id, host, CASE WHEN host = 'blog.example.org' OR ends_with(host, '.blog.example.org') THEN 'blog' WHEN host = 'example.org' OR ends_with(host, '.example.org') THEN 'reference' ELSE 'other' END AS category FROM h
+"""
 QUERIES = {
-    "training_category": training_category, "url_edges": url_edges, "suffix_rules": suffix_rules,
+    "training_category": training_category, "url_edges": url_edges, "suffix_rules": suffix_rules, "label_words": label_words, "finite_check": finite_check, "host_categories": host_categories,
     "split_profile": split_profile, "url_keys": url_keys, "safe_urls": safe_urls, "url_features": url_features, "component_features": component_features, "host_features": host_features, "benign_classes": benign_classes,
     **{f"tags_{t}": tag_query(t) for t in C.TAXONOMIES},
 }
 ORACLE_SQL = {
-    "training_category": TRAINING_CATEGORY, "url_edges": URL_EDGES, "suffix_rules": SUFFIX_RULES,
+    "training_category": TRAINING_CATEGORY, "url_edges": URL_EDGES, "suffix_rules": SUFFIX_RULES, "label_words": LABEL_WORDS, "finite_check": FINITE_CHECK, "host_categories": HOST_CATEGORIES,
     "split_profile": SPLIT_PROFILE, "url_keys": URL_KEYS, "safe_urls": SAFE_URLS, "url_features": URL_FEATURES, "component_features": COMPONENT_FEATURES, "host_features": HOST_FEATURES, "benign_classes": BENIGN_CLASSES,
     **{f"tags_{t}": tags_sql(t) for t in TAGS_SQL},
 }

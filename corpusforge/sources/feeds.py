@@ -7,6 +7,8 @@ PARSERS is the registry.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -126,29 +128,52 @@ def labelled_feed(lines: DataFrame, source: str, column: str = "value", label: i
     return rows, lines.agg(F.count("*").alias("n_lines"), F.count_if(blank).alias("blank_lines"))
 
 
+#: Columns of a file that mixed_csvs looks at.
+MOST_COLUMNS = 256
+LABEL_NAMES = ("label", "class", "result", "type", "status")
+
+
+def _files(spark: SparkSession, paths: list[str]) -> tuple[list[tuple[str, str, str]], list[str]]:
+    """(path, URI with one slash after its scheme, given path) of the files at or right under the paths, and the paths that are missing."""
+    found, missing = [], []
+    for given in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(given)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            missing.append(given)
+            continue
+        listed = [s.getPath() for s in fs.listStatus(path) if s.isFile() and s.getPath().getName()[0] not in "._"]
+        found += [(p.toString(), re.sub("^([^:/]+):/+", r"\1:/", p.toUri().toString()), given) for p in listed]
+    return found, missing
+
+
 def mixed_csvs(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[str]]:
     """Rows (url, label, file) of files with different headers, and the files that have no usable header or are missing.
 
     The URL column is the first whose name holds url, the label column the first of label, class, result, type, status.
+    All files are read as one: the first row of each is its header, and a table of headers tells every row where its columns are,
+    so that a plan for a thousand files is that for one.
     """
-    out, skipped = None, []
-    for path in paths:
-        try:
-            frame = spark.read.csv(path, header=True)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            skipped.append(path)
-            continue
-        names = {c.lower(): c for c in reversed(frame.columns)}
-        url = next((c for c in frame.columns if "url" in c.lower()), None)
-        label = next((names[n] for n in ("label", "class", "result", "type", "status") if n in names), None)
-        if not url or not label:
-            skipped.append(path)
-            continue
-        rows = frame.select(F.col(f"`{url}`").alias("url"), F.col(f"`{label}`").alias("label"), F.lit(path).alias("file"))
-        out = rows if out is None else out.unionByName(rows)
-    return out, skipped
+    files, skipped = _files(spark, paths)
+    if not files:
+        return None, skipped
+    schema = ", ".join(f"c{i} string" for i in range(MOST_COLUMNS))
+    raw = spark.read.schema(schema).option("enforceSchema", True).csv([f for f, _, _ in files], header=False)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = raw.select(F.regexp_replace("_metadata.file_path", "^([^:/]+):/+", "$1:/").alias("_path"), place.alias("_place"), F.array(*[f"c{i}" for i in range(MOST_COLUMNS)]).alias("_cells"))
+    names = F.transform("_header", lambda n: F.lower(F.regexp_replace(F.coalesce(n, F.lit("")), "^\ufeff", "")))
+    heads = rows.groupBy("_path").agg(F.min("_place").alias("_first"), F.min_by("_cells", "_place").alias("_header")).withColumn("_header", names)
+    url = F.array_position(F.transform("_header", lambda n: n.contains("url")), F.lit(True))
+    label = F.coalesce(*[F.nullif(F.array_position("_header", F.lit(n)), F.lit(0)) for n in LABEL_NAMES], F.lit(0))
+    heads = heads.select("_path", "_first", url.alias("_url"), label.alias("_label"))
+    given = spark.createDataFrame([(uri, path) for _, uri, path in files], "_path string, file string")
+    usable = [r["file"] for r in given.join(heads.filter("_url > 0 AND _label > 0"), "_path").select("file").distinct().collect()]  # at most the given paths
+    good = set(usable)
+    skipped = [p for p in paths if p in set(skipped) or p not in good]
+    if not good:
+        return None, skipped
+    found = rows.join(heads.join(given, "_path").filter("_url > 0 AND _label > 0"), "_path").filter(F.col("_place") != F.col("_first"))
+    return found.select(F.get("_cells", F.col("_url").cast("int") - 1).alias("url"), F.get("_cells", F.col("_label").cast("int") - 1).alias("label"), "file"), skipped
 
 
 def dictionary_labels(df: DataFrame, column: str, words: dict[str, int]) -> tuple[DataFrame, DataFrame]:
