@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusforge.operators import log as L
+from corpusforge.operators import trigrams as T
 from corpusforge.plans.urls import SPLIT
 from corpusforge.sources import feeds as R
 from corpusforge.streaming import feed as W
@@ -236,6 +237,13 @@ def _lines(spark, d, *parts):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("value"))
 
 
+@query("indexed_search", "SELECT page_id, url FROM pages WHERE url ILIKE '%the%' AND url ILIKE '%ple.org/e%'")
+def _(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
+    found = T.search(pages, T.postings(pages, "page_id", ["url"]), "page_id", "The", ["url"])
+    return T.search(found, T.postings(pages, "page_id", ["url"]), "page_id", "PLE.org/e", ["url"])
+
+
 @query("sitemap", """
 WITH u AS (SELECT page_id AS file, unnest([url, 'https://c.test/' || page_id || '?a&b']) AS url, page_id % 3 = 0 AS is_index FROM pages) SELECT * FROM u""")
 def _(spark, d):
