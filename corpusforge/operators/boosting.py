@@ -4,7 +4,7 @@ A tree needs, for its leaves, the sums of gradients and hessians by feature and
 all rows, keyed by (leaf, feature, bin) and merged before the shuffle, whose result is bounded by leaves, features and
 bins. The tree grows best first: of all leaves the split with the largest gain is made next. A step prepares the children
 of every leaf that may be split, so that a tree takes about as many steps as it has levels, not leaves; of two children
-only the left is summed, the right is what remains of the parent. Rows keep their bins and their score so far.
+only the left is summed, the right is what remains of the parent. Rows keep their bins; a round scores them by its trees.
 """
 
 from __future__ import annotations
@@ -95,32 +95,44 @@ class HistBoosting:
                 if len(b):
                     yield b[["y", "w"]].assign(bins=list(self.bins_of(np.stack(b["x"]))))
 
-        rows = given.mapInPandas(binned, "y int, w double, bins array<smallint>")
-        good, bad = rows.agg(F.sum(F.col("w") * F.col("y")), F.sum(F.col("w") * (1 - F.col("y")))).first()
-        if not good or not bad:
-            raise ValueError("boosting needs rows of both classes")
-        self.base = float(np.log(good / bad))
-        kept = [rows.withColumn("score", F.lit(self.base)).persist()]
+        rows = given.mapInPandas(binned, "y int, w double, bins array<smallint>").persist()
+        scored = None
         try:
+            good, bad = rows.agg(F.sum(F.col("w") * F.col("y")), F.sum(F.col("w") * (1 - F.col("y")))).first()
+            if not good or not bad:
+                raise ValueError("boosting needs rows of both classes")
+            self.base = float(np.log(good / bad))
             for _ in range(self.rounds):
-                tree = self._grow(kept[-1])  # its first step computes the rows' scores, for which the round before is needed
-                while len(kept) > 1:
-                    kept.pop(0).unpersist()
+                # from the trees and the bins, not from the round before: a plan stays as short as the first, and so does what a lost executor costs
+                scored = rows.mapInPandas(self._scorer(), "y int, w double, bins array<smallint>, score double").persist()
+                tree = self._grow(scored)
+                scored.unpersist()
                 self.trees.append(tree)
                 if len(tree.value) == 1:
                     break  # nothing is left to split
-                kept.append(kept[-1].select("y", "w", "bins", (F.col("score") + self._leaf(tree.nodes, tree.value)).alias("score")).persist())
         finally:
-            for rows in kept:
-                rows.unpersist()
+            for held in (rows, scored):
+                if held is not None:
+                    held.unpersist()
         return self
 
-    def _leaf(self, nodes: dict[int, tuple[int, int, int, int]], shown: dict[int, float] | None = None, at: int = 0) -> Column:
-        """The number of a row's leaf in a tree of nodes, or what is shown for it."""
+    def _scorer(self):
+        base, trees = self.base, list(self.trees)
+
+        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    bins = np.stack(b["bins"])
+                    yield b.assign(score=base + sum(t.predict(bins) for t in trees))
+
+        return of
+
+    def _leaf(self, nodes: dict[int, tuple[int, int, int, int]], at: int = 0) -> Column:
+        """The number of a row's leaf in a tree of nodes."""
         if at not in nodes:
-            return F.lit(at if shown is None else shown[at])
+            return F.lit(at)
         feature, cut, left, right = nodes[at]
-        return F.when(F.col("bins")[feature] <= cut, self._leaf(nodes, shown, left)).otherwise(self._leaf(nodes, shown, right))
+        return F.when(F.col("bins")[feature] <= cut, self._leaf(nodes, left)).otherwise(self._leaf(nodes, right))
 
     def _sums(self, rows: DataFrame, nodes: dict[int, tuple[int, int, int, int]], wanted: list[int]) -> dict[int, np.ndarray]:
         """Gradient, hessian and rows by feature and bin of some leaves."""
