@@ -20,13 +20,17 @@ BITMAP_ROWS = 1 << 18
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset.
 
-    In local mode, as in tests, one machine does all, and a temporary folder of its own serves.
+    On a cluster a warehouse without a scheme or with file: may be a disk of each machine, and is refused. In local mode, as in
+    tests, one machine does all, and a temporary folder of its own serves.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     if not spark.sparkContext.master.startswith("local"):
-        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/corpusforge-scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if ":" not in warehouse.split("/")[0] or warehouse.startswith("file:"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; the warehouse {warehouse} may be each machine's own")
+        return f"{warehouse.rstrip('/')}/corpusforge-scratch"
     found = getattr(spark.sparkContext, "_own_scratch", None)
     if not found:
         found = tempfile.mkdtemp(prefix="corpusforge-")
