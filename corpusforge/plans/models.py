@@ -66,7 +66,7 @@ def _(spark, d):
 @query("hist_boosting")
 def _(spark, d):
     df = table(spark, d)
-    model = HistBoosting(COLUMNS, l2=1.0).fit(df.filter("bucket < 60"))
+    model = HistBoosting(COLUMNS, rounds=40, l2=1.0).fit(df.filter("bucket < 60"))
     scored = model.transform(df.filter("bucket >= 80")).select("label", "p")
     return M.ranking(scored).crossJoin(M.brier(scored))
 
