@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import SPACES, documents, materialise, rows_of, text_of
+from corpusforge.llm.common import SPACES, documents, marked, materialise, rows_of, text_of
 
 #: Share of all rows from which a digest is heavy; the broadcast holds at most 1 / SUPPORT rows.
 SUPPORT = 1 / 1024
@@ -71,8 +71,11 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sup
     light = materialise(_winners(digests.join(F.broadcast(heavy), "digest", "left_anti")).filter("group_size > 1"))
     rows = docs.select(rows_of(docs).alias("row"), F.col(doc_id).alias("doc_id"), text_digest(text).alias("digest"))
     stays = F.col("w.digest").isNull() | F.col("r.doc_id").eqNullSafe(F.col("w.keep_id"))
-    for winners in (F.broadcast(heavy), light):
-        rows = rows.alias("r").join(winners.alias("w"), F.col("r.digest") == F.col("w.digest"), "left").filter(stays).select("r.*")
+    chosen = lambda rows, winners: rows.alias("r").join(winners.alias("w"), F.col("r.digest") == F.col("w.digest"), "left").filter(stays).select("r.*")
+    # texts without a light copy, by a bitmap of the digests that have one, are not shuffled
+    rows = marked(chosen(rows, F.broadcast(heavy)), F.xxhash64("digest"), light, F.xxhash64("digest"), "copied")
+    alone, copied = rows.filter("NOT copied").drop("copied"), rows.filter("copied").drop("copied")
+    rows = alone.unionByName(chosen(copied, light))
     repeated = heavy.unionByName(light).filter("keep_rows > 1")
     if repeated.isEmpty():
         return rows.select("row.*")
