@@ -110,11 +110,11 @@ COMPONENT_FEATURES = f"""WITH {SPLIT} SELECT page_id, round(length(path) / lengt
   {_bad('host')}::DOUBLE AS "SuspiciousHostTokenCount", {_bad('path')}::DOUBLE AS "SuspiciousPathTokenCount", {_bad('query')}::DOUBLE AS "SuspiciousQueryTokenCount",
   ({_bad('host')} > 0)::INT::DOUBLE AS "SuspiciousTokenHostOnly", ({_bad('path')} > 0)::INT::DOUBLE AS "SuspiciousTokenPathOnly", ({_bad('query')} > 0)::INT::DOUBLE AS "SuspiciousTokenQueryOnly", 1.0::DOUBLE AS "RepeatedPunctuationCount" FROM u"""
 
-HOSTS = ("RegisteredDomainLength", "HostLength", "HostEntropy", "HostDigitRatio", "HostHyphenRatio", "HostMaxCharShare", "HostDiversity", "HostVowelRatio", "HostConsonantRatio", "HostDepth", "HostPunycode", "HostNonAscii", "HostTriple", "HostOddChar")
+HOST_COLUMNS = ("RegisteredDomainLength", "HostLength", "HostEntropy", "HostDigitRatio", "HostHyphenRatio", "HostMaxCharShare", "HostDiversity", "HostVowelRatio", "HostConsonantRatio", "HostDepth", "HostPunycode", "HostNonAscii", "HostTriple", "HostOddChar")
 
 
 def host_features(spark, sf_dir):
-    return X.host_features(canonical(spark, sf_dir)).select("page_id", *[F.round(F.col(c).cast("double"), 9).alias(c) for c in HOSTS], X.random_token(F.col("url")).alias("random_token"))
+    return X.host_features(canonical(spark, sf_dir)).select("page_id", *[F.round(F.col(c).cast("double"), 9).alias(c) for c in HOST_COLUMNS], X.random_token(F.col("url")).alias("random_token"))
 
 
 HOST_FEATURES = f"""WITH {SPLIT}, h AS (SELECT *, len(regexp_extract_all(host, '[aeiou]')) AS v FROM u) SELECT page_id, length(registered_domain)::DOUBLE AS "RegisteredDomainLength", length(host)::DOUBLE AS "HostLength", round({entropy_sql('host')}, 9) AS "HostEntropy",

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from corpusforge.functions import cohorts as C
 from corpusforge.functions import features as X
 from corpusforge.functions import urls as U
+from corpusforge.plans import urls as P
 
 
 def one(spark, value, column):
@@ -81,3 +82,9 @@ def test_cohorts(spark):
     table = spark.createDataFrame([("example.com", "shop"), ("docs.example.com", "docs")], "suffix string, category string")
     hosts = spark.createDataFrame([("a.docs.example.com", "z"), ("b.example.com", "z"), ("c.org", "z")], "host string, other string")
     assert {r.host: r.category for r in C.host_category(hosts, "host", table, "other").collect()} == {"a.docs.example.com": "docs", "b.example.com": "shop", "c.org": "z"}
+
+
+def test_host_features_query_has_its_own_columns(spark):
+    got = P.host_features(spark, "/root/testdata/sf0.001")
+    assert got.columns[:4] == ["page_id", "RegisteredDomainLength", "HostLength", "HostEntropy"] and len(got.columns) == 16
+    assert all(0 < r.HostDiversity <= 1 and r.HostLength > 0 for r in got.collect())
