@@ -46,7 +46,8 @@ def stat_counts(indicators: DataFrame, as_of: str, facets: list[str], first_seen
 def stat_sum(counts: DataFrame, as_of: str) -> DataFrame:
     """Counts of several parts as one; seconds that have left the day before as_of go."""
     since = F.unix_timestamp(F.to_timestamp(F.lit(as_of))) - DAY
-    n = F.when(F.col("facet") == "latest", F.max("n")).otherwise(F.sum("n")).alias("n")
+    # a sum over the latest times would leave 64 bits after some thousand of them
+    n = F.when(F.col("facet") == "latest", F.max("n")).otherwise(F.sum(F.when(F.col("facet") != "latest", F.col("n")))).alias("n")
     return counts.groupBy("facet", "value").agg(n).filter((F.col("n") != 0) & ((F.col("facet") != "second") | (F.try_to_number("value", F.lit("99999999999")) >= since)))
 
 

@@ -59,3 +59,10 @@ def test_indexed_search_gives_the_same_rows(spark, tmp_path):
             found = T.search(df, index, "i", text, ["t"], ["a"], raw)
             assert sorted(r.i for r in found.collect()) == sorted(r.i for r in df.filter(L.search_condition(text, ["t"], ["a"], raw)).collect()), (text, raw)
             assert ("parquet" in plan(found)) == bool(any(len(p) > 2 for p in ((text or "").replace("%", "_").split("_") if raw else [text or ""])))
+
+
+def test_statistics_of_many_indicators(spark):
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("id"))
+    state = spark.range(20_000).select(at.alias("first_seen_at"), at.alias("ingested_at"), (F.col("id") % 2).cast("string").alias("status")).repartition(3)
+    row = L.feed_stats(state, "2024-01-01 05:33:20", ["status"]).first()
+    assert (row.total, row.new_24h, row.new_1h, row.by_status) == (20_000, 20_000, 3600, {"0": 10_000, "1": 10_000}) and str(row.latest) == "2024-01-01 05:33:19"
