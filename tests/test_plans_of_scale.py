@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from corpusforge.operators import corpus as O
 from corpusforge.operators import log as L
 from corpusforge.operators import trigrams as T
+from corpusforge.operators.boosting import HistBoosting
 from corpusforge.operators.percentiles import percentiles
+from corpusforge.operators.scratch import materialise
+from corpusforge.plans import models
 
 
 def plan(df):
@@ -66,3 +69,20 @@ def test_statistics_of_many_indicators(spark):
     state = spark.range(20_000).select(at.alias("first_seen_at"), at.alias("ingested_at"), (F.col("id") % 2).cast("string").alias("status")).repartition(3)
     row = L.feed_stats(state, "2024-01-01 05:33:20", ["status"]).first()
     assert (row.total, row.new_24h, row.new_1h, row.by_status) == (20_000, 20_000, 3600, {"0": 10_000, "1": 10_000}) and str(row.latest) == "2024-01-01 05:33:19"
+
+
+def test_features_of_models_are_a_table_made_without_a_shuffle(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(models, "materialise", lambda df: made.append(plan(df)) or materialise(df))
+    df = models.table(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and "Join" not in made[0] and "Aggregate" not in made[0]
+    assert "html" not in plan(df) and "regexp" not in plan(df) and df.count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
+
+
+def test_boosting_plans_do_not_grow_with_trees(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i % 17), float(i % 5), int(i % 17 > 6) ^ int(i % 5 == 2)) for i in range(400)], "a double, b double, label int")
+    sizes, real = [], type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, *a, **k: sizes.append(len(plan(out := real(self, *a, **k)).splitlines())) or out)
+    model = HistBoosting(["a", "b"], rounds=4, rate=0.3, leaves=8, least=5).fit(df)
+    assert len(model.trees) == 4 and max(len(t.value) for t in model.trees) > 4
+    assert max(sizes[3:]) == sizes[2] and len(sizes) > 8  # binned rows, scores, then sums, step after step
