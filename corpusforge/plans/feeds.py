@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.operators import log as L
 from corpusforge.operators import trigrams as T
+from corpusforge.operators.scratch import materialise
 from corpusforge.plans.urls import SPLIT
 from corpusforge.sources import feeds as R
 from corpusforge.streaming import feed as W
@@ -103,8 +104,8 @@ def records(spark, d):
 
 
 def keyed(spark, d):
-    """Keyed records, kept as in the stream's fold, since each is read more than once."""
-    return W.keyed(records(spark, d))[0].persist()
+    """Keyed records, written once, since each is read more than once."""
+    return materialise(W.keyed(records(spark, d))[0])
 
 
 UPSERT = """WITH e AS (SELECT *, 'http://u' || user_id || '.example.com/a?x=1' AS url, (ts, event_id) AS o FROM events),

@@ -21,10 +21,18 @@ STATE = ("indicator_hash", "url", "normalized_url", "hostname", "indicator_type"
 
 
 def keyed(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records with indicator_hash, normalized_url and hostname; and those without a usable URL."""
+    """Records with indicator_hash, normalized_url and hostname; and those without a usable URL.
+
+    A URL comes with every sighting of its indicator, and taking it apart costs more than a join, so it is done once a distinct
+    URL; only in a stream, which cannot join itself, once a record.
+    """
     good = F.coalesce(F.trim("url"), F.lit("")) != ""
-    df = U.safe_normalize(records.filter(good)).withColumn("indicator_hash", U.indicator_hash(F.col("normalized_url")))
-    return df, records.filter(~good)
+    found = records.filter(good)
+    with_keys = lambda df: U.safe_normalize(df).withColumn("indicator_hash", U.indicator_hash(F.col("normalized_url")))
+    if records.isStreaming:
+        return with_keys(found), records.filter(~good)
+    keys = with_keys(found.select("url").distinct())
+    return found.join(keys, "url").select(*records.columns, "normalized_url", "hostname", "indicator_hash"), records.filter(~good)
 
 
 def upsert(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
@@ -34,30 +42,40 @@ def upsert(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
     that is not null. Last values win: last_seen, status that is not empty, metadata of each source. Sources and
     tags are kept in order of arrival, each once.
     """
-    rows = records.select(
-        "indicator_hash", F.struct("ingested_at", "ordinal").alias("o"), "url", "normalized_url", "hostname", "indicator_type", F.col("source").alias("primary_source"), F.array("source").alias("sources"), F.col("ingested_at").alias("first_seen_at"),
-        F.col("ingested_at").alias("last_seen_at"), "source_timestamp", "status", "threat_type", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.create_map(F.col("source"), F.coalesce("metadata", F.create_map().cast("map<string,string>"))).alias("metadata"), "ingested_at",
+    o = F.struct("ingested_at", F.col("ordinal").cast("long").alias("ordinal"))
+    none = F.create_map().cast("map<string,map<string,string>>")
+    first = F.struct(o.alias("o"), "url", "normalized_url", "hostname", "indicator_type", F.col("source").alias("primary_source"), F.col("ingested_at").alias("first_seen_at"), "threat_type", "ingested_at")
+    # one row a source of a key, all but the tags from one pass, so that a key with very many records gathers only what is distinct
+    seen = records.groupBy("indicator_hash", "source").agg(
+        F.min(first).alias("first"), F.max(o).alias("last"), F.min(F.when(F.col("source_timestamp").isNotNull(), F.struct(o.alias("o"), "source_timestamp"))).alias("timed"),
+        F.max(F.when(F.coalesce("status", F.lit("")) != "", F.struct(o.alias("o"), "status"))).alias("stated"), F.max_by(F.coalesce("metadata", F.create_map().cast("map<string,string>")), o).alias("metadata"),
+    )
+    place = lambda at, n, i, k: F.struct(at.alias("ingested_at"), n.alias("ordinal"), i.alias("i"), k.alias("k"))
+    rows = seen.select(
+        "indicator_hash", "first", F.struct(F.col("last").alias("o"), F.col("last.ingested_at").alias("last_seen_at")).alias("last"), "timed", "stated", F.array(place(F.col("first.o.ingested_at"), F.col("first.o.ordinal"), F.lit(0), F.col("source"))).alias("sources"),
+        F.struct("source", "metadata").alias("entry"), F.lit(None).cast("map<string,map<string,string>>").alias("known"),
     )
+    tags = records.select("indicator_hash", "ingested_at", F.col("ordinal").cast("long").alias("ordinal"), F.posexplode("tags").alias("i", "k"))
     if state is not None:
         # what was there comes before everything new
-        old = state.select("indicator_hash", F.struct(F.lit("0001-01-01").cast("timestamp").alias("ingested_at"), F.lit(-1).cast("long").alias("ordinal")).alias("o"), *STATE[1:])
-        rows = rows.withColumn("o", F.struct(F.col("o.ingested_at"), F.col("o.ordinal").cast("long").alias("ordinal"))).unionByName(old)
-    first = lambda c, cond=None: F.min_by(c, F.when(cond, F.col("o")) if cond is not None else F.col("o")).alias(c)
+        times = F.lit("0001-01-01").cast("timestamp").cast(records.schema["ingested_at"].dataType).alias("ingested_at"), F.lit(-1).cast("long").alias("ordinal")
+        before = F.struct(*times)
+        old = state.select(
+            "indicator_hash", F.struct(before.alias("o"), "url", "normalized_url", "hostname", "indicator_type", "primary_source", "first_seen_at", "threat_type", "ingested_at").alias("first"), F.struct(before.alias("o"), "last_seen_at").alias("last"),
+            F.when(F.col("source_timestamp").isNotNull(), F.struct(before.alias("o"), "source_timestamp")).alias("timed"), F.when(F.coalesce("status", F.lit("")) != "", F.struct(before.alias("o"), "status")).alias("stated"),
+            F.transform("sources", lambda k, i: place(*times, i, k)).alias("sources"), F.lit(None).cast(rows.schema["entry"].dataType).alias("entry"), F.col("metadata").alias("known"),
+        )
+        rows = rows.unionByName(old)
+        tags = tags.unionByName(state.select("indicator_hash", *times, F.posexplode("tags").alias("i", "k")))
     out = rows.groupBy("indicator_hash").agg(
-        *[first(c) for c in ("url", "normalized_url", "hostname", "indicator_type", "primary_source", "first_seen_at", "threat_type", "ingested_at")],
-        F.max_by("last_seen_at", "o").alias("last_seen_at"), first("source_timestamp", F.col("source_timestamp").isNotNull()), F.max_by("status", F.when(F.coalesce("status", F.lit("")) != "", F.col("o"))).alias("status"),
+        F.min("first").alias("first"), F.max("last").alias("last"), F.min("timed").alias("timed"), F.max("stated").alias("stated"),
+        F.array_sort(F.flatten(F.collect_list("sources"))).alias("sources"), F.map_from_entries(F.collect_list("entry")).alias("new"), F.coalesce(F.any_value("known", F.lit(True)), none).alias("known"),
     )
-    # sources, tags and metadata are merged by value first, so that a key with very many records gathers only what is distinct
-    none = F.lit(None).cast("map<string,string>")
-    item = lambda kind, k, i, v: F.struct(F.lit(kind).alias("kind"), k.alias("k"), i.alias("i"), v.alias("v"))
-    listed = lambda kind: F.transform(kind, lambda x, i: item(kind, x, i, none))
-    entries = F.transform(F.map_entries("metadata"), lambda e: item("metadata", e["key"], F.lit(0), e["value"]))
-    long = rows.select("indicator_hash", "o", F.explode(F.concat(listed("sources"), listed("tags"), entries)).alias("e")).select("indicator_hash", "o", "e.*")
-    merged = long.groupBy("indicator_hash", "kind", "k").agg(F.min(F.struct("o", "i")).alias("f"), F.max_by("v", "o").alias("v"))
-    of = lambda kind, value: F.collect_list(F.when(F.col("kind") == kind, value))
-    ordered = lambda kind: F.transform(F.array_sort(of(kind, F.struct("f", "k"))), lambda e: e["k"]).alias(kind)
-    sets = merged.groupBy("indicator_hash").agg(ordered("sources"), ordered("tags"), F.map_from_entries(of("metadata", F.struct("k", "v"))).alias("metadata"))
-    return out.join(sets, "indicator_hash").select(*STATE)
+    kept = F.map_filter("known", lambda k, _: ~F.map_contains_key("new", k))
+    firsts = tags.groupBy("indicator_hash", "k").agg(F.min(F.struct("ingested_at", "ordinal", "i")).alias("f"))
+    tags = firsts.groupBy("indicator_hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "k"))), lambda e: e["k"]).alias("tags"))
+    out = out.select("indicator_hash", "first.*", "last.last_seen_at", "timed.source_timestamp", "stated.status", F.array_distinct(F.transform("sources", lambda e: e["k"])).alias("sources"), F.map_concat(kept, "new").alias("metadata"))
+    return out.join(tags, "indicator_hash", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).select(*STATE)
 
 
 def changes(records: DataFrame, state: DataFrame | None = None) -> DataFrame:

@@ -78,6 +78,31 @@ def test_upsert_and_changes(spark):
     assert [r.event for r in W.changes(good).orderBy("ordinal").collect()] == ["indicator.new", "indicator.update", "indicator.new"]
 
 
+def test_a_feed_of_repeated_urls(spark):
+    at = datetime.datetime(2026, 10, 9, 12)
+    sources = ("a", "b", "c")
+    many = [(f"http://H{i % 7}.test/", sources[i * i % 5 % 3], "t", ("", None, f"s{i}")[i % 3], at if i % 4 == 0 else None, f"x{i}", [f"k{i % 11}", None, f"k{i % 3}"] if i % 6 else None, {"i": str(i)}, at + datetime.timedelta(seconds=i * 37 % 50), i) for i in range(300)]
+    df = spark.createDataFrame(many, FEED).repartition(5)
+    good, _ = W.keyed(df)
+    # a URL is taken apart once, before it meets its records
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "Aggregate [url" in plan and good.columns[:10] == df.columns
+    # the records are exploded for their tags only
+    assert W.upsert(good)._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    cut = at + datetime.timedelta(seconds=20)
+    first = W.upsert(good.filter(F.col("ingested_at") < cut))
+    for state in (W.upsert(good), W.upsert(good.filter(F.col("ingested_at") >= cut), first)):
+        found = {r.url: r for r in state.collect()}
+        assert len(found) == 7
+        for url, r in found.items():
+            mine = sorted((x for x in many if x[0] == url), key=lambda x: (x[8], x[9]))
+            tags = list(dict.fromkeys(t for x in mine for t in x[6] or []))
+            stated, timed = [x[3] for x in mine if x[3]], [x[4] for x in mine if x[4]]
+            assert (r.sources, r.tags, r.status) == (list(dict.fromkeys(x[1] for x in mine)), tags, stated[-1] if stated else None)
+            assert (r.primary_source, r.threat_type, r.first_seen_at, r.last_seen_at, r.source_timestamp) == (mine[0][1], mine[0][5], mine[0][8], mine[-1][8], timed[0] if timed else None)
+            assert r.metadata == {x[1]: x[7] for x in mine}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source = tmp_path / "in"
     for i, r in enumerate(rows()[:3]):
