@@ -128,7 +128,7 @@ def _(spark, d):
 @query("upsert_in_two_batches", UPSERT)
 def _(spark, d):
     good = keyed(spark, d)
-    first = W.upsert(good.filter("ingested_at < '2024-01-15'"))
+    first = materialise(W.upsert(good.filter("ingested_at < '2024-01-15'")))
     return _shown(W.upsert(good.filter("ingested_at >= '2024-01-15'"), first))
 
 
