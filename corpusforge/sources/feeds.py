@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusforge.operators.scratch import materialise
+
 RECORD = ("url", "source", "indicator_type", "status", "source_id", "source_timestamp", "threat_type", "tags", "confidence", "metadata")
 FORMATS = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd HH:mm:ss 'UTC'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
 
@@ -258,8 +260,8 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html", https_onl
     rows = rows.withColumn("link", F.regexp_replace("link", "#.*$", "")).filter(F.col("link") != F.regexp_replace("page_url", "#.*$", ""))
     if https_only:
         rows = rows.filter(F.col("link").startswith("https://"))
-    rows = rows.select("page_url", "_from", "link").distinct().withColumn("_to", U.host_of(F.col("link")))
-    # most links stay on their host, so only the others ask for registered domains
+    # most links stay on their host, so only the others ask for registered domains; all are written once, or each branch would parse every page again
+    rows = materialise(rows.select("page_url", "_from", "link").distinct().withColumn("_to", U.host_of(F.col("link"))))
     away = U.registered_domains(U.registered_domains(rows.filter("_from <> _to"), "_from", suffixes, "_d1"), "_to", suffixes, "_d2").filter("_d1 = _d2")
     return rows.filter("_from = _to").select("page_url", "link").unionByName(away.select("page_url", "link"))
 

@@ -87,3 +87,11 @@ def test_harvest_visits_every_string(spark):
         except (TypeError, ValueError):
             pass
     assert sorted(r.url for r in R.harvested(spark.createDataFrame([(t,) for t in texts], "value string")).collect()) == sorted(want)
+
+
+def test_pages_are_parsed_once(spark):
+    pages = spark.createDataFrame([("https://a.example.com/x", '<a href="/y">1</a><a href="https://b.example.com/z">2</a><a href="https://other.org/">3</a>')], "url string, html string")
+    found = R.page_links(pages)
+    # links on the same host and those elsewhere, which ask for domains, come from one table of links
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.link for r in found.collect()) == ["https://a.example.com/y", "https://b.example.com/z"]
