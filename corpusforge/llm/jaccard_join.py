@@ -34,13 +34,14 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import documents, materialise, with_null, without_null
 from corpusforge.llm.components import components
 from corpusforge.llm.meetings import dealt, met, rounds, still_open
-from corpusforge.llm.near_dedup import MIX, Words, among, apart, grouped, led_buckets, merged_labels, mixed, parity, plain_texts, set_hash, sets_of, shingles, xor_bits
+from corpusforge.llm.near_dedup import LONGS, MIX, Words, among, apart, grouped, led_buckets, merged_labels, mixed, parity, parts_of, plain_texts, set_hash, sets_of, shingles, xor_bits
 
 NGRAM, PERCENT = 3, 90
 FRAGMENTS = 8
@@ -127,16 +128,17 @@ def _printed(size: int, percent: int):
 
 
 def _segments(size: int, fragments: int):
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
-            parts = []
+        for part in (p for batch in batches for p in parts_of(batch)):
+            tokens = []
             with np.errstate(over="ignore"):
-                for text in batch["text"]:
-                    found = shingles(text, words, size)
-                    parts += np.split(found.view(np.int64), bounds(found, fragments)[1:-1])
-            ids = np.repeat(batch["id"].to_numpy(), fragments)
-            yield pd.DataFrame({"id": ids, "fragment": np.tile(np.arange(fragments), len(batch)), "tokens": parts})
+                for text in part["text"]:
+                    found = shingles(text.as_py(), words, size)
+                    tokens += np.split(found.view(np.int64), bounds(found, fragments)[1:-1])
+            ids = np.repeat(part["id"].to_numpy(), fragments)
+            numbers = np.tile(np.arange(fragments, dtype=np.int32), part.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(numbers), pa.array(tokens, LONGS)], names=["id", "fragment", "tokens"])
 
     return of
 

@@ -41,6 +41,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,8 @@ DEVIATIONS = 6.2
 SIGNATURE = "doc_id long, none boolean, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 COUNTERS = 1 << 18
 WORD_CACHE = 400_000
+#: Bytes of text that a worker of the first steps takes at once.
+PART_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(1, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -139,31 +143,47 @@ def set_hash(found: np.ndarray) -> np.ndarray:
     return np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
 
 
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch cut after PART_BYTES of text or the row that exceeds them, so that a worker holds what it makes of a part, not of all texts."""
+    begin, held = 0, 0
+    for at, n in enumerate(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)):
+        held += int(n)
+        if held > PART_BYTES:
+            yield batch.slice(begin, at + 1 - begin)
+            begin, held = at + 1, 0
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
+LONGS = pa.list_(pa.int64())
+
+
 def _signatures(size: int):
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
-            rows = []
+        for part in (p for batch in batches for p in parts_of(batch)):
+            counts, hashes, bands, sketches = [], [], [], []
             with np.errstate(over="ignore"):
-                for text in batch["text"]:
-                    found = shingles(text, words, size)
-                    if len(found):
-                        signature = samples(found)
-                        rows.append((len(found), *set_hash(found), band_hashes(signature), odd_sketch(signature)))
-                    else:
-                        rows.append((0, 0, 0, [], []))
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "bands", "sketch"])
-            yield pd.concat([batch[["doc_id", "none", "text_hash"]].reset_index(drop=True), out], axis=1)
+                for text in part["text"]:
+                    found = shingles(text.as_py(), words, size)
+                    signature = samples(found) if len(found) else None
+                    counts.append(len(found))
+                    hashes.append(set_hash(found) if len(found) else (0, 0))
+                    bands.append([] if signature is None else band_hashes(signature))
+                    sketches.append([] if signature is None else odd_sketch(signature))
+            made = [pa.array(counts, pa.int64()), *[pa.array([h[i] for h in hashes], pa.int64()) for i in (0, 1)], pa.array(bands, LONGS), pa.array(sketches, LONGS)]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["none"], part["text_hash"], *made], names=["doc_id", "none", "text_hash", "n_shingles", "set_a", "set_b", "bands", "sketch"])
 
     return of
 
 
 def _sets(size: int):
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
+        for part in (p for batch in batches for p in parts_of(batch)):
             with np.errstate(over="ignore"):
-                yield pd.DataFrame({"id": batch["id"], "found": [shingles(t, words, size).view(np.int64) for t in batch["text"]]})
+                found = [shingles(t.as_py(), words, size).view(np.int64) for t in part["text"]]
+            yield pa.RecordBatch.from_arrays([part["id"], pa.array(found, LONGS)], names=["id", "found"])
 
     return of
 
@@ -180,7 +200,7 @@ def xor_bits(a: Column | str, b: Column | str) -> Column:
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and text_hash, which tells rows of one doc_id apart."""
     texts = plain_texts(docs, text, doc_id)
-    signed = with_null(without_null(texts, "doc_id").mapInPandas(_signatures(shingle), SIGNATURE), "doc_id")
+    signed = with_null(without_null(texts, "doc_id").mapInArrow(_signatures(shingle), SIGNATURE), "doc_id")
     return grouped(signed, ["bands", "sketch"], lambda reps: _class_components(reps, texts, shingle, percent))
 
 
@@ -222,7 +242,7 @@ def sets_of(classes: DataFrame, texts: DataFrame, of: Callable, schema: str) ->
     wanted = marked(texts, F.col("text_hash"), classes, F.col("text_hash"), "wanted").filter("wanted").drop("wanted")
     wanted = wanted.join(classes.select("id", "doc_id", "text_hash"), ["doc_id", "text_hash"])
     wanted = wanted.groupBy("doc_id", "text_hash").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text")
-    return materialise(wanted.mapInPandas(of, schema))
+    return materialise(wanted.mapInArrow(of, schema))
 
 
 def led_buckets(posts: DataFrame) -> DataFrame:

@@ -133,3 +133,19 @@ def test_components(spark):
         root[y] = x
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_are_taken_in_parts_of_bounded_size():
+    import pyarrow as pa
+
+    from corpusforge.llm import near_dedup as N
+
+    texts = ["a b c d e f g", "", "long " * 300_000 + "end", *[f"w{i} " * 2000 + f"v{i}" for i in range(600)], "é ß"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    made = list(N._sets(4)(iter([batch])))
+    # what a worker makes of a batch leaves it part by part, each row once and in order
+    assert len(made) > 3 and [i for m in made for i in m["id"].to_pylist()] == list(range(len(texts)))
+    words = N.Words()
+    with np.errstate(over="ignore"):
+        assert [f for m in made for f in m["found"].to_pylist()] == [N.shingles(t, words, 4).view(np.int64).tolist() for t in texts]
+    assert list(N._sets(4)(iter([batch.slice(0, 0)]))) == []
